@@ -72,4 +72,13 @@ SELECT page_id, host, path, rule, hit.url IS NOT NULL AS mined, coalesce(says, C
 FROM h LEFT JOIN best USING (page_id) LEFT JOIN hit ON h.url = hit.url
 """
 
-ORACLES = {"op3_line_dedup": OP3, "op7_quality_rules": OP7, "op8_url_filter": OP8}
+OP10 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+q AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest, max(page_id) OVER (PARTITION BY body) AS best FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN best END AS refers_to
+FROM q
+"""
+
+ORACLES = {"op10_warc": OP10, "op3_line_dedup": OP3, "op7_quality_rules": OP7, "op8_url_filter": OP8}

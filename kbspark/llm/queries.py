@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import line_dedup, quality_rules, url_rules
+from kbspark.llm import line_dedup, quality_rules, token_io, url_rules, warc
+from kbspark.llm.shared import fresh_dir
 from kbspark.sources.tables import table
 
 
@@ -14,6 +15,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate_lines(docs)
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Where an installed public tokenizer file lies; it is the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = table(spark, sf_dir, "documents").select("doc_id", "text"), fresh_dir(spark, "tokens")
+    return token_io.read_documents(token_io.write_tokens(docs, folder, vocabulary()), folder)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.quality_rules(docs).drop("text")
@@ -33,8 +46,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(pages, labelled).drop("url")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, folder = table(spark, sf_dir, "pages").select("page_id", "url", "html"), fresh_dir(spark, "warc")
+    return warc.read_archives(warc.write_archives(pages, folder), folder).drop("url")
+
+
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_token_output": op4_token_output,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filter": op8_url_filter,
+    "op10_warc": op10_warc,
 }
