@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import line_dedup, quality_rules, token_io, url_rules, warc
+from kbspark.llm import line_dedup, quality, quality_rules, token_io, url_rules, warc
 from kbspark.llm.shared import fresh_dir
 from kbspark.sources.tables import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_documents(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_boilerplate_lines(docs)
@@ -52,6 +57,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_output": op4_token_output,
     "op7_quality_rules": op7_quality_rules,
