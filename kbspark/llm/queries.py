@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import line_dedup, quality, quality_rules, token_io, url_rules, warc
+from kbspark.llm import decontam, line_dedup, packing, quality, quality_rules, token_io, url_rules, warc
 from kbspark.llm.shared import fresh_dir
 from kbspark.sources.tables import table
 
@@ -15,6 +15,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, packing.token_counts(vocabulary())(F.col("text")))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_boilerplate_lines(docs)
@@ -51,6 +56,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(pages, labelled).drop("url")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, folder = table(spark, sf_dir, "pages").select("page_id", "url", "html"), fresh_dir(spark, "warc")
     return warc.read_archives(warc.write_archives(pages, folder), folder).drop("url")
@@ -58,9 +68,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_output": op4_token_output,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filter": op8_url_filter,
+    "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
 }
