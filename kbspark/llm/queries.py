@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import decontam, line_dedup, packing, quality, quality_rules, token_io, url_rules, warc
+from kbspark.llm import decontam, licenses, line_dedup, packing, quality, quality_rules, token_io, url_rules, warc
 from kbspark.llm.shared import fresh_dir
 from kbspark.sources.tables import table
 
@@ -37,6 +37,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_io.read_documents(token_io.write_tokens(docs, folder, vocabulary()), folder)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.quality_rules(docs).drop("text")
@@ -71,6 +75,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_output": op4_token_output,
+    "op5_license_scan": op5_license_scan,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filter": op8_url_filter,
     "op9_decontamination": op9_decontamination,
