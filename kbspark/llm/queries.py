@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import decontam, licenses, line_dedup, packing, quality, quality_rules, token_io, url_rules, warc
+from kbspark.llm import decontam, licenses, line_dedup, near_dup, packing, quality, quality_rules, token_io, url_rules, warc
 from kbspark.llm.shared import fresh_dir
 from kbspark.sources.tables import table
 
@@ -41,6 +41,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.quality_rules(docs).drop("text")
@@ -76,6 +80,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_token_output": op4_token_output,
     "op5_license_scan": op5_license_scan,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filter": op8_url_filter,
     "op9_decontamination": op9_decontamination,
