@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from kbspark.plans import kb_queries
+
+QUERIES: dict = {**kb_queries.QUERIES}
+ORACLES: dict = {**kb_queries.ORACLES}
