@@ -167,7 +167,7 @@ def ministry_requests(tenants: DataFrame) -> DataFrame:
 def usage_panel(tenants: DataFrame, limit: int = 100) -> DataFrame:
     """``(domain, used, limit, pct)``: the free plan has a limit, the others have none."""
     top = F.when(F.col("plan") == "free", F.lit(limit))
-    return tenants.select("domain", F.col("message_count").alias("used"), top.alias("limit"), F.least(F.lit(100), F.round(F.col("message_count") / top * 100).cast("int")).alias("pct"))
+    return tenants.select("domain", F.col("message_count").alias("used"), top.alias("limit"), F.when(top.isNotNull(), F.least(F.lit(100), F.round(F.col("message_count") / top * 100).cast("int"))).alias("pct"))
 
 
 def purge_tenants(tables: dict[str, DataFrame], gone: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:

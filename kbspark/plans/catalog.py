@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from kbspark.plans import kb_queries
+from kbspark.plans import admin_queries, chat_queries, kb_queries
 
-QUERIES: dict = {**kb_queries.QUERIES}
-ORACLES: dict = {**kb_queries.ORACLES}
+_PARTS = (kb_queries, chat_queries, admin_queries)
+QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -296,7 +296,7 @@ PACKED = f"""{SIBLINGS}, lined AS (SELECT *, row_number() OVER (PARTITION BY que
   SELECT query_id, chunk_id, score, url, content, 0 AS kind FROM primary_hits WHERE source IS DISTINCT FROM 'owner_reply' UNION ALL SELECT query_id, chunk_id, score, url, content, 1 FROM siblings)),
 sized AS (SELECT *, coalesce(sum(length(content) + 2) OVER (PARTITION BY query_id ORDER BY spot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(content) <= 6000 AS fits FROM lined),
 fitting AS (SELECT *, min(CAST(fits AS INTEGER)) OVER (PARTITION BY query_id ORDER BY spot) AS ok FROM sized),
-first_urls AS (SELECT query_id, url, min(at) AS spot FROM fitting WHERE ok = 1 GROUP BY 1, 2)"""
+first_urls AS (SELECT query_id, url, min(spot) AS spot FROM fitting WHERE ok = 1 GROUP BY 1, 2)"""
 
 
 def top(spark: SparkSession, sf_dir: str):
