@@ -125,19 +125,19 @@ def read_records(folder: str, name: str) -> Iterator[tuple[dict[str, str], bytes
             yield fields, body[: int(fields["Content-Length"])]
 
 
-def with_revisits(pages: DataFrame, key_col: str = "page_id", payload_col: str = "html", min_bytes: int = 1000) -> DataFrame:
-    """``pages`` with ``__sha1`` and ``__refers``: the largest key with an equal payload of ``min_bytes`` bytes
-    or more, null for that row itself, for shorter payloads and for payloads that occur once.
+def revisits(pages: DataFrame, key_col: str = "page_id", payload_col: str = "html", min_bytes: int = 1000) -> DataFrame:
+    """``(key, digest, refers)`` of the rows whose payload of ``min_bytes`` bytes or more some row with a larger
+    key has too: ``refers`` is the largest of those keys.
 
-    Only (digest, key) pairs are grouped, with a map-side combine, and only digests that occur twice are
-    joined back.
+    Only keys and digests move. Digests are grouped with a map-side combine and those that occur once are gone
+    before the join.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
-    base = pages.withColumns({"__sha1": F.sha1(F.encode(payload, "UTF-8")), "__long": F.octet_length(payload) >= min_bytes})
-    groups = base.filter("__long").groupBy("__sha1").agg(F.count("*").alias("__n"), F.max(key_col).alias("__best")).filter("__n > 1")
-    joined = base.join(groups.select(F.col("__sha1").alias("__g"), "__best"), (F.col("__sha1") == F.col("__g")) & F.col("__long"), "left")
-    refers = F.when(~F.col(key_col).eqNullSafe(F.col("__best")), F.col("__best"))
-    return joined.withColumn("__refers", refers).drop("__g", "__best", "__long")
+    slim = pages.filter(F.octet_length(payload) >= min_bytes).select(
+        F.col(key_col).cast("long").alias("key"), F.sha1(F.encode(payload, "UTF-8")).alias("digest")
+    )
+    groups = slim.groupBy("digest").agg(F.count("*").alias("n"), F.max("key").alias("refers")).filter("n > 1").drop("n")
+    return slim.join(groups, "digest").filter(~F.col("key").eqNullSafe(F.col("refers"))).select("key", "digest", "refers").distinct()
 
 
 def write_archives(
@@ -159,25 +159,34 @@ def write_archives(
     Null payload: empty. Null URL: empty header. Null keys come first and have an empty id header. Rows that
     repeat the largest key with the same payload are all responses. Empty table: no file, empty manifest.
     """
-    rows = with_revisits(pages, key_col, payload_col, min_bytes).select(
-        F.col(key_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"),
-        F.coalesce(F.col(payload_col), F.lit("")).alias("payload"), F.col("__refers").cast("long").alias("refers"),
-        F.col("__sha1").alias("digest"),
+    payload = F.coalesce(F.col(payload_col), F.lit(""))
+    rows = pages.select(
+        F.col(key_col).cast("long").alias("key"), F.sha1(F.encode(payload, "UTF-8")).alias("digest"), F.lit(1).alias("kind"),
+        F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.lit(None).cast("long").alias("refers"),
     )
-    order = ["key", F.xxhash64("digest", "url")]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Notes of what a row revisits travel to its range on their own and sort just before it, so that payloads
+    # are shuffled once.
+    notes = revisits(pages, key_col, payload_col, min_bytes).select(
+        "key", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "refers"
+    )
+    dealt = rows.unionByName(notes).repartitionByRange("key", "digest").sortWithinPartitions("key", "digest", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, writer, part, out = TaskContext.get().partitionId(), None, 0, []
+        shard, writer, part, out, note = TaskContext.get().partitionId(), None, 0, [], (None, None, None)
         for batch in batches:
-            keys, urls, texts, refers, digests = (batch.column(n) for n in ("key", "url", "payload", "refers", "digest"))
+            keys, urls, texts, refers, digests, kinds = (batch.column(n) for n in ("key", "url", "payload", "refers", "digest", "kind"))
             for i in range(batch.num_rows):
-                key, payload = keys[i].as_py(), texts[i].as_py().encode()
+                key = keys[i].as_py()
+                if kinds[i].as_py() == 0:
+                    note = (key, digests[i].as_py(), refers[i].as_py())
+                    continue
+                payload = texts[i].as_py().encode()
                 digest = hashlib.sha1(payload).hexdigest()
                 if digest != digests[i].as_py():
                     raise ValueError(f"payload of record {key} changed between its digest and its writing")
                 writer = writer or ArchiveWriter(folder, shard, part)
-                writer.add(key, record(key, urls[i].as_py(), payload, refers[i].as_py(), digest))
+                refers_to = note[2] if note[:2] == (key, digest) else None
+                writer.add(key, record(key, urls[i].as_py(), payload, refers_to, digest))
                 if writer.bytes >= roll_bytes:
                     out.append((shard, part, *writer.close()))
                     writer, part = None, part + 1
