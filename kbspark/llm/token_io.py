@@ -10,7 +10,8 @@ A shard file is::
 
 Every chunk but the last holds ``block`` ids, so the chunk of the k-th id of a shard is ``k // block``, and a
 range of ids is read from its chunks alone. A plane gathers the same bit (or byte) of all ids of a block: the
-high planes of a 50,000-word vocabulary are all zero and vanish, the middle ones are skewed and compress.
+high planes of a 50,000-word vocabulary are all zero and vanish, the others are skewed and compress. Byte planes
+are the default: on the test documents they take 1.30 bytes an id against 1.50 for bit planes, in less time.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ MAGIC = b"KBTOKEN1"
 MANIFEST = "shard int, part int, file string, n_docs long, n_tokens long, first_doc long, last_doc long"
 
 
-def to_planes(ids: np.ndarray, kind: str = "bit") -> list[bytes]:
+def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
     """The planes of a block of unsigned 32-bit ids: 4 byte planes, or 32 bit planes of ceil(n / 8) bytes.
 
     A plane of zeros is stored as nothing.
@@ -158,7 +159,7 @@ def write_tokens(
     text_col: str = "text",
     end_id: int | None = 2,
     block: int = 65_536,
-    planes: str = "bit",
+    planes: str = "byte",
     shard_tokens: int = 64_000_000,
 ) -> DataFrame:
     """Encode ``docs`` into shard files in ``folder``, ids in ascending order of ``id_col``, and return the
