@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,10 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.llm.quality_rules import STOP_WORDS
-from kbspark.llm.shared import written
+from kbspark.llm.shared import small_batches, written
 
 _STOP = frozenset(STOP_WORDS)
-_LETTERS = re.compile(r"[^\W\d_]")
 
 #: The document statistics, in the order of :func:`statistics`.
 STATISTICS = (
@@ -27,11 +25,7 @@ STATISTICS = (
 )
 
 
-def _removed(text: str, table: dict) -> int:
-    return len(text) - len(text.translate(table))
-
-
-_TABLES = [dict.fromkeys(map(ord, s)) for s in ("0123456789", ".,;:'\"()-?", "#*$%&<>@^~", "!", "|")]
+_CLASSES = [np.frombuffer(c, np.uint8) for c in (bytes(range(65, 91)), b"0123456789", b".,;:'\"()-?", b"#*$%&<>@^~", b"!", b"|")]
 
 
 def statistics(text: str | None) -> list[float]:
@@ -44,13 +38,18 @@ def statistics(text: str | None) -> list[float]:
     lengths = np.fromiter(map(len, words), np.int64, m)
     counts = Counter(words)
     lines = [x for x in text.split("\n") if x.strip()]
-    digits, punct, symbols, bangs, pipes = (_removed(text, t) for t in _TABLES)
-    lower = text.lower()
-    upper = sum(map(str.__ne__, text, lower)) if len(lower) == n else sum(map(str.isupper, text))
-    capitals = sum(c for w, c in counts.items() if w.isupper())
-    stops = sum(c for w, c in counts.items() if w.lower() in _STOP)
-    odd = sum(c for w, c in counts.items() if not w[-1].isalnum())
-    plain = sum(c for w, c in counts.items() if not _LETTERS.search(w))
+    bytes_ = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)
+    upper, digits, punct, symbols, bangs, pipes = (int(bytes_[c].sum()) for c in _CLASSES)
+    capitals = stops = odd = plain = 0
+    for w, c in counts.items():
+        if w.isupper():
+            capitals += c
+        if w.lower() in _STOP:
+            stops += c
+        if not w[-1].isalnum():
+            odd += c
+        if not w[0].isalpha() and not any(map(str.isalpha, w)):
+            plain += c
     same = sum(map(str.__eq__, words, words[1:]))
     pairs = len(set(zip(words, words[1:])))
     return [
@@ -187,6 +186,28 @@ def fold_of(id_col: str) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5)).cast("int")
 
 
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int, carry: list[str]) -> DataFrame:
+    """``(__id, __fold, __score, __row)`` for every document, ``__row`` a struct of the columns in ``carry``."""
+    small_batches(docs.sparkSession)
+    stats = written(
+        docs.select(
+            F.col(id_col).alias("__id"), fold_of(id_col).alias("__fold"), statistics_column(F.col(text_col)).alias("__stats"),
+            F.struct(*carry).alias("__row") if carry else F.lit(None).cast("int").alias("__row"),
+        ),
+        "quality-stats",
+    )
+    marks = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__key"), F.col(label_col).cast("double").alias("label"))
+    known = stats.filter("__fold <> 0").select("__id", "__fold", "__stats").join(marks, F.col("__id") == F.col("__key"))
+    model = fit(known.select(F.col("__stats").alias("stats"), "label", F.col("__fold").alias("fold")), max_rows=max_rows)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series(model.score(_stack(b)))
+
+    return stats.select("__id", "__fold", score("__stats").alias("__score"), "__row")
+
+
 def score_documents(
     docs: DataFrame,
     labels: DataFrame,
@@ -195,29 +216,32 @@ def score_documents(
     label_col: str = "quality",
     threshold: float = 0.3,
     max_rows: int = 200_000,
-    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``(id_col, *carry, held_out, score, predicted)`` for every document, the score from its whole text alone.
+    """``(id_col, held_out, score, predicted)`` for every document, the score from its whole text alone.
 
     Labels are learnt only from rows whose fold is not 0. Statistics are computed once per document, in
     Arrow batches, and written (about 180 bytes each); the fit and the scoring read them.
 
-    Null text: scored as empty. Null labels: not used. Documents with several label rows: each counts.
-    Repeated documents: each gets its row. No labels at all: the score is 0 to 1 but says nothing. Empty
-    table: empty result. Other columns of ``docs`` are left out unless named in ``carry``.
+    Null text: scored as empty. Null labels and ids: not learnt from. Documents with several label rows: each
+    counts. Repeated documents: each gets its row. No labels at all: the score is 0 to 1 but says nothing. Empty
+    table: empty result. Other columns of ``docs`` are left out.
     """
-    stats = written(
-        docs.select(F.col(id_col), *carry, fold_of(id_col).alias("__fold"), statistics_column(F.col(text_col)).alias("__stats")),
-        "quality-stats",
+    rows = _scored(docs, labels, id_col, text_col, label_col, max_rows, [])
+    return rows.select(
+        F.col("__id").alias(id_col), (F.col("__fold") == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted")
     )
-    marks = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("label"))
-    known = stats.filter("__fold <> 0").join(marks, F.col(id_col) == F.col("__id"))
-    model = fit(known.select(F.col("__stats").alias("stats"), "label", F.col("__fold").alias("fold")), max_rows=max_rows)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield pd.Series(model.score(_stack(b)))
 
-    out = stats.withColumn("score", score("__stats")).withColumn("held_out", F.col("__fold") == 0)
-    return out.select(id_col, *carry, "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def keep_good_documents(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    threshold: float = 0.3,
+    max_rows: int = 200_000,
+) -> DataFrame:
+    """``docs`` without the documents that :func:`score_documents` predicts to be bad; all columns as they are,
+    whatever their names. Cases as there."""
+    rows = _scored(docs, labels, id_col, text_col, label_col, max_rows, docs.columns)
+    return rows.filter(F.col("__score") >= threshold).select("__row.*")
