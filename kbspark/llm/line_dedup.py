@@ -39,6 +39,10 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
     return found.filter(F.col("__ld_n") > max_ratio * F.col("__ld_total")).select("__ld_host", "__ld_key")
 
 
+def _filled(lines: Column) -> Column:
+    return F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(ASCII_SPACE)) != ""))
+
+
 def drop_boilerplate_lines(
     docs: DataFrame,
     host_col: str = "source",
@@ -46,9 +50,10 @@ def drop_boilerplate_lines(
     max_ratio: float = 0.1,
     min_pages: int = 5,
     broadcast_lines: int = BROADCAST_LINES,
+    counts: bool = True,
 ) -> DataFrame:
-    """``docs`` with the boilerplate lines of each host taken out of ``text_col``, and two new columns:
-    ``n_lines`` (lines with text before) and ``n_removed``.
+    """``docs`` with the boilerplate lines of each host taken out of ``text_col``, and with ``counts`` two new
+    columns: ``n_lines`` (lines with text before) and ``n_removed``.
 
     Lines are compared without outer white space and within their host only; blank lines stay. The
     number of flagged lines of a host is at most its mean lines a page divided by ``max_ratio``, whatever
@@ -58,7 +63,8 @@ def drop_boilerplate_lines(
 
     Null text: stays null, counts 0. Null host: all such rows are one host, the same as the empty name.
     Repeated rows: each counts as a page. A text whose lines all go becomes empty and stays as a row.
-    Empty table: empty result. A column named ``n_lines`` or ``n_removed`` is replaced.
+    Empty table: empty result. With ``counts`` a column named ``n_lines`` or ``n_removed`` is replaced; without,
+    all columns but the text are as they were.
     """
     flagged = written(boilerplate(docs, host_col, text_col, max_ratio, min_pages), "boilerplate")
     sets = flagged.groupBy("__ld_host").agg(F.sort_array(F.collect_set("__ld_key")).alias("__ld_set"))
@@ -69,18 +75,13 @@ def drop_boilerplate_lines(
         salts = 64
         salted = sets.withColumn("__ld_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         base = base.withColumn("__ld_salt", F.pmod(F.xxhash64(text_col), F.lit(salts)).cast("int"))
-        joined = base.join(salted.hint("shuffle_hash"), ["__ld_host", "__ld_salt"], "left").drop("__ld_salt")
+        joined = base.join(salted.hint("shuffle_hash"), ["__ld_host", "__ld_salt"], "left")
     lines = F.split(F.col(text_col), "\n")
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__ld_set"), _key(x)), F.lit(False)))
-    full = lambda a: F.coalesce(F.size(F.filter(a, lambda x: F.btrim(x, F.lit(ASCII_SPACE)) != "")), F.lit(0))
-    new_text = F.when(F.col("__ld_set").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    counted = joined.withColumns(
-        {
-            "n_lines": F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(full(lines)).cast("long"),
-            "n_removed": F.when(F.col(text_col).isNull() | F.col("__ld_set").isNull(), F.lit(0))
-            .otherwise(F.size(lines) - F.size(kept))
-            .cast("long"),
-            text_col: new_text,
-        }
-    )
-    return counted.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    touched = F.col(text_col).isNotNull() & F.col("__ld_set").isNotNull()
+    new = {text_col: F.when(touched, F.array_join(kept, "\n")).otherwise(F.col(text_col))}
+    if counts:
+        new["n_lines"] = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(_filled(lines)).cast("long")
+        new["n_removed"] = F.when(touched, F.size(lines) - F.size(kept)).otherwise(F.lit(0)).cast("long")
+    own = [c for c in docs.columns if not (counts and c in ("n_lines", "n_removed"))]
+    return joined.withColumns(new).select(*own, *(["n_lines", "n_removed"] if counts else []))
