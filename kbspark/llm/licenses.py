@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kbspark.llm.license_templates import TEMPLATES
 from kbspark.llm.quality_rules import STOP_WORDS
+from kbspark.llm.shared import small_batches
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -117,9 +118,21 @@ class Scanner:
         if best:
             yield best[1], best[2] + 1
 
+    def align(self, template: list[str], words: list[str], lo: int, hi: int) -> tuple[int, list[tuple[int, int]]]:
+        """(start, matched pairs) in a region. Words around a license can hide its anchors by repeating them, so
+        where the whole region falls short, stretches of the template's length inside it are tried too."""
+        best, n = (lo, patience(template, words[lo:hi])), len(template)
+        if len(best[1]) >= self.coverage * n:
+            return best
+        for k in range(max(0, lo - n // 4), max(lo, hi - int(self.coverage * n)) + 1, max(1, n // 20)):
+            pairs = patience(template, words[k : k + n + n // 20])
+            if len(pairs) > len(best[1]):
+                best = (k, pairs)
+        return best
+
     def scan(self, text: str) -> list[tuple[str, float, int, int, int, int]]:
         """(template, coverage, matched words, its words, first word, end) of licenses in a text; where several
-        templates claim the same words, the one that is covered best, then with most words."""
+        templates claim the same words, the one with most matched words, then the best covered."""
         if not text:
             return []
         words = words_of(text)
@@ -136,11 +149,11 @@ class Scanner:
         for name in sorted(names):
             template = self.words[name]
             for lo, hi in self.regions(name, where):
-                pairs = patience(template, words[lo:hi])
+                lo, pairs = self.align(template, words, lo, hi)
                 if pairs and len(pairs) >= self.coverage * len(template):
                     found.append((len(pairs) / len(template), len(pairs), name, lo + pairs[0][1], lo + pairs[-1][1] + 1))
         out: list = []
-        for cover, n, name, s, e in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
+        for cover, n, name, s, e in sorted(found, key=lambda f: (-f[1], -f[0], f[2], f[3])):
             if all(e <= x[4] or s >= x[5] for x in out):
                 out.append((name, cover, n, len(self.words[name]), s, e))
         return sorted(out, key=lambda x: (x[4], x[0]))
@@ -161,10 +174,11 @@ def scan_licenses(
     plus 8 words at most, matches ``coverage`` of its words. Stretches that can't reach that are skipped by
     a bound on their words, which loses nothing. No shuffle.
 
-    Null or empty text: no row. Several licenses, or one several times: a row each. Ties between templates:
-    the more words, then the name. Very long texts: n log n. Repeated rows: each is scanned. Empty table:
+    Null or empty text: no row. Several licenses, or one several times: a row each. Where templates claim
+    the same words: the more matched words, the better coverage, then the name. Very long texts: n log n. Repeated rows: each is scanned. Empty table:
     empty result. Other columns are not carried.
     """
+    small_batches(docs.sparkSession)
     scanner = Scanner(templates or TEMPLATES, coverage, slack)
     id_type = docs.schema[id_col].dataType.simpleString()
 
