@@ -48,6 +48,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Arrow batches of whole texts hold ``rows`` rows at most, unless the session has its own setting: Spark's
+    10,000 rows of long texts and their word lists are a few hundred megabytes for each task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) == 10000:
+        spark.conf.set(name, str(rows))
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and use it several times in ``body(variable)``.
 
