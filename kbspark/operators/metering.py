@@ -50,13 +50,20 @@ def calendar_periods(messages: DataFrame) -> DataFrame:
 
 
 def quota_outcome(messages: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """``messages`` (``domain, period_start, ts, message_id, plan``) with ``rn`` (place in the period),
-    ``accepted`` and ``notice`` (the first blocked one, which tells the owner). Blocked messages don't count,
-    so a free tenant's first ``limit`` messages of a period are accepted."""
+    """``messages`` (``domain, period_start, ts, message_id, plan``) with ``rn`` (place in the period, null beyond
+    ``limit + 1``), ``accepted`` and ``notice`` (the first blocked one, which tells the owner). Blocked messages
+    don't count, so a free tenant's first ``limit`` messages of a period are accepted.
+
+    Only the first ``limit + 1`` messages of a period are ranked, a bound that Spark applies in part before the
+    exchange: a busy tenant sends that many rows from each map task, and its other messages meet no window.
+    """
     order = Window.partitionBy("domain", "period_start").orderBy("ts", "message_id")
+    slim = messages.select("domain", "period_start", "ts", "message_id")
+    first = slim.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= limit + 1)
+    ranked = messages.join(first.select("domain", "message_id", "rn"), ["domain", "message_id"], "left")
     free = F.col("plan") == "free"
-    ranked = messages.withColumn("rn", F.row_number().over(order))
-    return ranked.withColumns({"accepted": ~free | (F.col("rn") <= limit), "notice": free & (F.col("rn") == limit + 1)})
+    fits = F.coalesce(F.col("rn") <= limit, F.lit(False))
+    return ranked.withColumns({"accepted": ~free | fits, "notice": free & F.coalesce(F.col("rn") == limit + 1, F.lit(False))})
 
 
 def blocked_counts(messages: DataFrame, limit: int = LIMIT) -> DataFrame:

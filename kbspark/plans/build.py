@@ -13,12 +13,19 @@ from kbspark.operators.paragraphs import dedup_paragraphs, rebuild_pages, split_
 from kbspark.sources.pages import crawled_pages
 
 
-def first_of_each_url(pages: DataFrame) -> DataFrame:
-    """One page for each url key of a domain, the first crawled. Keys are ranked without the html, which only
-    meets the surviving keys."""
+#: Repeated pages whose keys may be broadcast, about 50 bytes each.
+BROADCAST_PAGES = 500_000
+
+
+def first_of_each_url(pages: DataFrame, broadcast_pages: int = BROADCAST_PAGES) -> DataFrame:
+    """One page for each url key of a domain, the first crawled. Keys are ranked without the html; the pages that
+    are repeats, usually few, are then taken out, and as long as they are few (counted) no html is shuffled."""
     keys = pages.select("domain", "page_seq", url_key(F.col("url")).alias("key"))
-    first = keys.groupBy("domain", "key").agg(F.min("page_seq").alias("page_seq"))
-    return pages.join(first.select("domain", "page_seq"), ["domain", "page_seq"], "left_semi")
+    first = keys.groupBy("domain", "key").agg(F.min("page_seq").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    repeats = keys.join(first, ["domain", "key"]).filter("page_seq <> first").select("domain", "page_seq")
+    if repeats.count() <= broadcast_pages:
+        repeats = F.broadcast(repeats)
+    return pages.join(repeats, ["domain", "page_seq"], "left_anti")
 
 
 def extracted_pages(raw: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:

@@ -173,7 +173,7 @@ def outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.quota_outcome(mt.calendar_periods(views.metered(spark, sf_dir)), LIMIT)
 
 
-@query(f"WITH {QUOTA} SELECT message_id, rn, accepted, notice FROM outcome")
+@query(f"WITH {QUOTA} SELECT message_id, CASE WHEN rn <= {LIMIT} + 1 THEN rn END AS rn, accepted, notice FROM outcome")
 def q_quota_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcome(spark, sf_dir).select("message_id", F.col("rn").cast("long").alias("rn"), "accepted", "notice")
 

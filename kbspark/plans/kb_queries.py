@@ -13,7 +13,7 @@ from kbspark.operators import paragraphs as pa
 from kbspark.operators import retrieval as rt
 from kbspark.operators import scans
 from kbspark.operators import snapshots as sn
-from kbspark.plans import build, views
+from kbspark.plans import build, serve, views
 from kbspark.plans.views import ASKED, CHUNKS, CRAWL, LIMITS, RE2_WS, STORED
 from kbspark.sources.pages import crawled_pages, site_domain
 from kbspark.sources.tables import table
@@ -383,3 +383,31 @@ def d_semantic_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.vector_chunks(spark, sf_dir)
     paras = c.select("chunk_id", "domain", F.col("url").alias("page_seq"), F.col("chunk_index").alias("idx"), F.col("content").alias("para"), "embedding")
     return scans.semantic_boundaries(paras, 0.05).select("chunk_id", "segment")
+
+
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS snapshot_id, 'p' || l_partkey AS url, l_linenumber AS chunk_index FROM lineitem WHERE l_orderkey IN (SELECT max(o_orderkey) FROM orders GROUP BY o_custkey)""")
+def s_snapshot_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    newest = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").cast("string").alias("newest"))
+    rows = views.archived(spark, sf_dir).join(newest, F.col("snapshot_id") == F.col("newest"))
+    return sn.snapshot_chunks(rows, F.col("newest")).drop("newest", "o_custkey")
+
+
+@query(f"""WITH {CHUNKS}, b AS (SELECT *, lag(embedding) OVER w AS before FROM chunks WINDOW w AS (PARTITION BY domain, url ORDER BY chunk_index)),
+s AS (SELECT *, sum(CASE WHEN before IS NOT NULL AND list_dot_product(before, embedding) < 0.05 THEN 1 ELSE 0 END) OVER (PARTITION BY domain, url ORDER BY chunk_index) AS segment FROM b),
+p AS (SELECT *, floor((sum(length(content) + 2) OVER (PARTITION BY domain, url, segment ORDER BY chunk_index) - 1) / 1800) AS part FROM s)
+SELECT domain, url AS page, CAST(segment AS BIGINT) AS segment, CAST(part AS BIGINT) AS part, string_agg(content, chr(10) || chr(10) ORDER BY chunk_index) AS content FROM p GROUP BY 1, 2, 3, 4""")
+def d_semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = views.vector_chunks(spark, sf_dir)
+    paras = c.select("domain", F.col("url").alias("page_seq"), F.col("chunk_index").alias("idx"), F.col("content").alias("para"), "embedding")
+    return scans.semantic_chunks(paras, 0.05).withColumnRenamed("page_seq", "page")
+
+
+@query(f"""WITH {TOP}, {views.METERED}, n AS (SELECT chunk_id AS query_id, row_number() OVER (PARTITION BY domain ORDER BY chunk_id) AS rn FROM chunks WHERE chunk_id % {views.QUERY_EVERY} = 0),
+hit AS (SELECT DISTINCT query_id FROM primary_hits)
+SELECT query_id, domain, rn <= 3 AS accepted, CASE WHEN rn <= 3 THEN hit.query_id IS NOT NULL END AS had_context, CASE WHEN rn <= 3 THEN CASE WHEN query_id % 100 = 0 THEN 'small' ELSE 'large' END END AS model
+FROM asked JOIN n USING (query_id) LEFT JOIN hit USING (query_id)""")
+def w3_answered_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = views.vector_queries(spark, sf_dir)
+    turns = asked.select("query_id", "domain", "vector", F.when(F.col("query_id") % 100 == 0, "simple").otherwise("complex").alias("route"), F.lit("question").alias("text"))
+    metered = turns.select("domain", F.col("query_id").alias("message_id"), F.lit("free").alias("plan"), F.lit("2024-01").alias("period_start"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    return serve.answered_turns(turns, metered, views.vector_chunks(spark, sf_dir), views.tenant_limits(spark, sf_dir), limit=3, default=0.25, offset=0.15, floor=0.05)

@@ -15,39 +15,43 @@ from kbspark.functions.text import CrawlSettings, is_heading, strip_block_marker
 from kbspark.operators.conversations import fold_handoff
 from kbspark.operators.metering import LIMIT, THRESHOLDS, fold_periods
 from kbspark.operators.paragraphs import BOILERPLATE_MAX, MAX_HEADINGS, split_pages
-from kbspark.sources.writes import VersionedTable
 
-SEEN = "domain string, para_hash string, cnt long"
+SEEN = "domain string, para_hash string, n long, batch long"
 
 
 class IncrementalDedup:
     """Paragraph dedup batch by batch, equal to the dedup of all pages at once in batch order.
 
-    The state is a versioned table of how often each short paragraph was kept, five at most. A batch keeps its
-    n-th copy where the earlier count plus n stays within the limit. The state is swapped after the output is
-    written, keyed by batch id, so a batch that is run again sees the state from before it.
+    The state is a table of how many copies of each short paragraph each batch kept, one folder a batch. A batch
+    reads the earlier batches' counts of its own paragraphs only, keeps its n-th copy where their sum plus n stays
+    within the limit, and adds a folder; it never rewrites the others. A batch that is run again doesn't see its
+    own counts and replaces its folder, so it gives the same rows. :meth:`compact` folds old folders into one.
     """
 
     def __init__(self, spark: SparkSession, state_path: str, sink: Callable[[DataFrame, int], None], settings: CrawlSettings = CrawlSettings()):
-        self.spark, self.sink, self.settings = spark, sink, settings
-        self.seen = VersionedTable(spark, state_path)
+        self.spark, self.path, self.sink, self.settings = spark, state_path.rstrip("/"), sink, settings
+        spark.createDataFrame([], "domain string, para_hash string, n long").write.mode("ignore").parquet(f"{self.path}/batch=-1")
+
+    def counts(self, before: int) -> DataFrame:
+        return self.spark.read.schema(SEEN).parquet(self.path).filter(F.col("batch") < before)
 
     def __call__(self, pages: DataFrame, batch_id: int) -> None:
-        now = self.seen.current()
-        if now is not None and now[0] > batch_id:
-            return
-        before = self.seen.read() if now is not None else self.spark.createDataFrame([], SEEN)
         bare = strip_block_marker(F.col("para"))
         marked = split_pages(pages, self.settings).withColumns({"heading": is_heading(bare), "para_hash": F.sha2(bare, 256), "short": F.length(bare) <= BOILERPLATE_MAX})
         order = Window.partitionBy("domain", "para_hash").orderBy("page_seq", "idx")
         first = marked.filter("short").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= MAX_HEADINGS)
+        mine = first.select("domain", "para_hash").distinct()
+        before = self.counts(batch_id).join(mine, ["domain", "para_hash"], "left_semi").groupBy("domain", "para_hash").agg(F.sum("n").alias("cnt"))
         joined = first.join(before, ["domain", "para_hash"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
         kept = joined.filter(F.col("cnt") + F.col("rn") <= F.when(F.col("heading"), MAX_HEADINGS).otherwise(1))
         cols = ["domain", "page_seq", "url", "idx", "para"]
         self.sink(kept.select(*cols).unionByName(marked.filter("NOT short").select(*cols)), batch_id)
-        fresh = kept.groupBy("domain", "para_hash").agg(F.count("*").alias("n"))
-        total = before.join(fresh, ["domain", "para_hash"], "full_outer")
-        self.seen.write(total.select("domain", "para_hash", (F.coalesce("cnt", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("cnt")))
+        kept.groupBy("domain", "para_hash").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+    def compact(self, to: str, before: int) -> None:
+        """Write the sums of the batches before ``before`` into a new state folder ``to``."""
+        sums = self.counts(before).groupBy("domain", "para_hash").agg(F.sum("n").alias("n"))
+        sums.write.parquet(f"{to.rstrip('/')}/batch=-1")
 
 
 METERED = StructType([

@@ -14,13 +14,16 @@ def test_incremental_dedup_equals_batch(spark, tmp_path):
     line = "a footer line that every page has"
     rows = [("d", i, f"u{i}", f"{line}\n[H2] Same heading\nown paragraph number {i} of the page\n{line}") for i in range(9)]
     pages = spark.createDataFrame(rows, "domain string, page_seq long, url string, text string")
-    out = []
-    dedup = jobs.IncrementalDedup(spark, str(tmp_path / "seen"), lambda df, n: out.extend(df.collect()))
+    out = {}
+    dedup = jobs.IncrementalDedup(spark, str(tmp_path / "seen"), lambda df, n: out.update({n: df.collect()}))
     for n, (a, b) in enumerate([(0, 2), (2, 3), (3, 9)]):
         dedup(pages.filter((F.col("page_seq") >= a) & (F.col("page_seq") < b)), n)
         dedup(pages.filter((F.col("page_seq") >= a) & (F.col("page_seq") < b)), n)  # a batch that runs again changes nothing
+    dedup.compact(str(tmp_path / "compact"), 3)
+    assert jobs.IncrementalDedup(spark, str(tmp_path / "compact"), print).counts(9).count() == dedup.counts(9).select("domain", "para_hash").distinct().count()
     whole = pa.dedup_paragraphs(pa.split_pages(pages)).collect()
-    assert sorted(map(tuple, out)) == sorted((r.domain, r.page_seq, r.url, r.idx, r.para) for r in whole)
+    rows = [tuple(r) for n in out for r in out[n]]
+    assert sorted(rows) == sorted((r.domain, r.page_seq, r.url, r.idx, r.para) for r in whole)
 
 
 def test_handoff_stream_equals_fold(spark):
