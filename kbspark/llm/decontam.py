@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.shared import written
+from kbspark.llm.shared import lean, small_batches, written
 
-#: Fixed masks: 1 compares a word, 0 ignores it. Each compares six; between them they meet any pattern that
-#: substitutes every fifth word or fewer, whatever its phase, in an overlap of a dozen words.
-MASKS = ("1110111", "11011011", "1101100101", "1001110011")
+#: Fixed masks: 1 compares a word, 0 ignores it; each compares six. Every stretch of 13 words with up to 2
+#: substitutions, of 15 with 3, of 20 with 4 and of 25 with 5 has a place where one of them fits: the set was found
+#: by a greedy search over all such patterns, and a test goes through them again.
+MASKS = ("1110111", "1111011", "1110100011", "11000011011")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,23 +109,24 @@ def contaminated(
     masks: tuple[str, ...] = MASKS,
 ) -> DataFrame:
     """``(id_col, item_col, overlap, equal, item_words, coverage, doc_word)``: the documents and benchmark items
-    that share a stretch of ``min_overlap`` aligned words (or a whole shorter item) of which at least ``share``
-    are equal, with the best such stretch of the pair. ``doc_word`` is its first word in the document.
+    that share a stretch of ``min_overlap`` aligned words of which at least ``share`` are equal, with the best such
+    stretch of the pair. Items with fewer words than that count only whole and word for word. ``doc_word`` is the
+    first word of the stretch in the document.
 
     Documents pass a fixed-size sieve of the benchmark's seeds in one scan; what it lets through is joined
-    on the exact seed hash and only those places are aligned, up to ``reach`` words on each side. Items
-    with fewer words than a mask get one mask of their whole length; items under ``min_item_words`` words
-    prove nothing and are left out.
+    on the exact seed hash and only those places are aligned, up to ``reach`` words on each side. Items under
+    ``min_overlap`` words get one mask of their whole length; items under ``min_item_words`` words prove nothing
+    and are left out.
 
     Null or empty texts and items: never match. Repeated items: each is reported. Repeated documents with
     one id: reported once an item. Null ids stay null. Very long texts: linear. Empty tables: empty result.
     Other columns are not carried.
     """
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).alias("item"), word_hashes(F.col(item_text)).alias("words")).filter(F.size("words") >= min_item_words)
     items = written(items, "items")
-    shortest = min(map(len, masks))
-    short = sorted(r.n for r in items.filter(F.size("words") < shortest).select(F.size("words").alias("n")).distinct().collect())
-    every = [*masks, *("1" * n for n in short)]  # at most one more mask for each length below the shortest
+    short = sorted(r.n for r in items.filter(F.size("words") < min_overlap).select(F.size("words").alias("n")).distinct().collect())
+    every = [*masks, *("1" * n for n in short)]  # at most one more mask for each length below min_overlap
 
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,7 +134,7 @@ def contaminated(
             ids, out_i, out_q, out_h = b.column("item").to_numpy(zero_copy_only=False), [], [], []
             for k in range(b.num_rows):
                 w = values[bounds[k] : bounds[k + 1]]
-                for mask in masks if len(w) >= shortest else ["1" * len(w)]:
+                for mask in masks if len(w) >= min_overlap else ["1" * len(w)]:
                     h = seeds(w, mask)
                     out_h.append(h)
                     out_q.append(np.arange(len(h)))
@@ -142,7 +144,7 @@ def contaminated(
                 yield pa.record_batch([b.column("item").take(pa.array(rows)), pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_h))], ["item", "q", "h"])
 
     item_type = items.schema["item"].dataType.simpleString()
-    of_items = written(items.mapInArrow(item_seeds, f"item {item_type}, q long, h long"), "item-seeds")
+    of_items = written(items.mapInArrow(lean(item_seeds), f"item {item_type}, q long, h long"), "item-seeds")
     sieve = build_sieve(of_items, "h", of_items.count())
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -175,7 +177,7 @@ def contaminated(
             yield pa.record_batch([ids, pa.array(first, pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(hits, hit_type)], ["id", "first", "words", "hits"])
 
     slim = docs.select(F.col(id_col).alias("id"), word_hashes(F.col(text_col)).alias("words"))
-    found = slim.mapInArrow(places, f"id {id_type}, first long, words array<long>, hits array<struct<h: long, p: long>>")
+    found = slim.mapInArrow(lean(places), f"id {id_type}, first long, words array<long>, hits array<struct<h: long, p: long>>")
     found = written(found.withColumn("place", F.monotonically_increasing_id()), "places")
     hits = found.select("place", F.explode("hits").alias("hit")).select("place", F.col("hit.h").alias("h"), F.col("hit.p").alias("p"))
     lines = hits.join(of_items, "h").select("place", "item", (F.col("p") - F.col("q")).alias("shift")).distinct()
@@ -193,7 +195,7 @@ def contaminated(
                 lo, hi = max(0, -shift), min(len(i), len(d) - shift)
                 equal = i[lo:hi] == d[lo + shift : hi + shift]
                 s, e = longest_overlap(equal, share)
-                if e - s >= min(min_overlap, len(i)):
+                if e - s >= min_overlap or (len(i) < min_overlap and len(equal) == len(i) and equal.all()):
                     same = int(equal[s:e].sum())
                     keep.append(k)
                     out.append((e - s, same, len(i), same / len(i), first + lo + shift + s))
@@ -203,7 +205,7 @@ def contaminated(
                 yield pa.record_batch([b.column("id").take(take), b.column("item").take(take), *(pa.array(c, t) for c, t in zip(zip(*out), types))], ["id", "item", "overlap", "equal", "item_words", "coverage", "doc_word"])
 
     proven = pairs.select("id", "item", "shift", "first", "words", "item_words").mapInArrow(
-        align, f"id {id_type}, item {item_type}, overlap long, equal long, item_words long, coverage double, doc_word long"
+        lean(align), f"id {id_type}, item {item_type}, overlap long, equal long, item_words long, coverage double, doc_word long"
     )
     best = proven.groupBy("id", "item").agg(F.max(F.struct("equal", "overlap", -F.col("doc_word"), "item_words", "coverage")).alias("b"))
     return best.select(
