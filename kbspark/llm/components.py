@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 from kbspark.llm.shared import written
 
 
+#: Parts that the edges of one node are dealt to where they meet its least neighbour.
+SALTS = 8
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node goes to the node's least neighbour (or itself). A root of a large class has
+    all its members as neighbours, so its edges are salted and its one row of the other side is repeated."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = both.filter("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
