@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kbspark.llm.license_templates import TEMPLATES
 from kbspark.llm.quality_rules import STOP_WORDS
-from kbspark.llm.shared import small_batches
+from kbspark.llm.shared import lean, small_batches
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -196,4 +196,4 @@ def scan_licenses(
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {id_type}, license string, coverage double, matched long, template_words long, first_word long, end_word long"
-    return slim.mapInArrow(scan, schema).withColumnRenamed("id", id_col)
+    return slim.mapInArrow(lean(scan), schema).withColumnRenamed("id", id_col)

@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from kbspark.llm.bagminhash import band_keys, mix, signatures
 from kbspark.llm.components import components
-from kbspark.llm.shared import SPACE_CLASS, written
+from kbspark.llm.shared import SPACE_CLASS, give_back, lean, small_batches, written
 
 #: Elements that one call to the signature code takes; a longer text is taken alone.
-CHUNK = 400_000
+CHUNK = 150_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -44,6 +44,11 @@ def bag(words: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(h, return_counts=True)
 
 
+def print_of(shingles: np.ndarray, counts: np.ndarray) -> bytes:
+    """A 128-bit print of a bag."""
+    return hashlib.blake2b(shingles.tobytes() + counts.tobytes(), digest_size=16).digest()
+
+
 def _lists(column) -> Iterator[np.ndarray]:
     values = column.values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
     bounds = column.offsets.to_numpy()
@@ -69,16 +74,16 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: in
         lengths = [len(u) for u, _ in bags]
         doc = np.repeat(np.arange(len(bags)), lengths)
         keys = band_keys(signatures(doc, np.concatenate([u for u, _ in bags]), np.concatenate([c for _, c in bags]), len(bags), bands * rows), bands)
-        prints = [hashlib.blake2b(u.tobytes() + c.tobytes(), digest_size=16).digest() if len(u) else None for u, c in bags]
+        prints = [print_of(u, c) if len(u) else None for u, c in bags]
         sizes = [int(c.sum()) for _, c in bags]
         return pa.record_batch([ids, pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(list(keys), pa.list_(pa.int64()))], ["id", "print", "size", "bands"])
 
     slim = docs.select(F.col(id_col).alias("id"), word_hashes(F.col(text_col)).alias("words"))
-    return slim.mapInArrow(sign, f"id {id_type}, print binary, size long, bands array<long>")
+    return slim.mapInArrow(lean(sign), f"id {id_type}, print binary, size long, bands array<long>")
 
 
 def _bags(docs: DataFrame, id_col: str, text_col: str, shingle: int, wanted: DataFrame) -> DataFrame:
-    """``(node, shingles, counts)`` for the nodes of ``wanted`` (node, id), from the texts of their documents.
+    """``(node, shingles, counts)`` for the nodes of ``wanted`` (node, id, print), from the texts of their documents.
 
     Texts of documents that no candidate needs stop at a bitmap of fixed size before anything is shuffled.
     """
@@ -96,17 +101,21 @@ def _bags(docs: DataFrame, id_col: str, text_col: str, shingle: int, wanted: Dat
                 yield b.select(["id", "text"]).take(pa.array(hit))
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", key)
-    some = slim.mapInArrow(wanted_only, f"id {id_type}, text string").select("id", word_hashes(F.col("text")).alias("words"))
+    some = slim.mapInArrow(lean(wanted_only), f"id {id_type}, text string").select("id", word_hashes(F.col("text")).alias("words"))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [bag(w, shingle) for w in _lists(b.column("words"))]
+            # An id may have several rows with different texts; the node's is the one with its print.
+            own = [k for k, ((u, c), p) in enumerate(zip(found, b.column("print").to_pylist())) if print_of(u, c) == p]
             longs = pa.list_(pa.int64())
-            yield pa.record_batch([b.column("node"), pa.array([u.view(np.int64) for u, _ in found], longs), pa.array([c for _, c in found], longs)], ["node", "shingles", "counts"])
+            yield pa.record_batch(
+                [b.column("node").take(pa.array(own, pa.int64())), pa.array([found[k][0].view(np.int64) for k in own], longs), pa.array([found[k][1] for k in own], longs)],
+                ["node", "shingles", "counts"],
+            )
 
-    # An id may have several rows with different texts: the bag is of the row whose print is the node's.
-    joined = some.join(wanted.select("node", "id", "size"), "id").filter(F.greatest(F.lit(0), F.size("words") - F.lit(shingle - 1), F.signum(F.size("words")).cast("int")) == F.col("size"))
-    return joined.select("node", "words").dropDuplicates(["node"]).mapInArrow(bags, "node long, shingles array<long>, counts array<long>")
+    joined = some.join(wanted.select("node", "id", "print"), "id").select("node", "print", "words")
+    return joined.mapInArrow(lean(bags), "node long, shingles array<long>, counts array<long>").dropDuplicates(["node"])
 
 
 def overlap(u: np.ndarray, c: np.ndarray, v: np.ndarray, d: np.ndarray) -> float:
@@ -117,8 +126,9 @@ def overlap(u: np.ndarray, c: np.ndarray, v: np.ndarray, d: np.ndarray) -> float
 
 
 def similarities(bags: list[tuple[np.ndarray, np.ndarray]], columns: int = 4096) -> np.ndarray:
-    """All pairwise weighted Jaccard similarities of some bags, exactly: the n-th copy of a shingle is an
-    element of its own, so overlaps are products of 0/1 rows, taken over ``columns`` elements at a time."""
+    """All weighted Jaccard similarities of two different bags of some, exactly: the n-th copy of a shingle is an
+    element of its own, so overlaps are products of 0/1 rows, taken over ``columns`` elements at a time.
+    Elements of one bag alone are left out, so the diagonal says nothing."""
     n = len(bags)
     doc = np.repeat(np.arange(n), [len(u) for u, _ in bags])
     u, c = (np.concatenate(x) for x in zip(*bags))
@@ -184,6 +194,7 @@ def near_duplicates(
     one class. Rows with one id: the class of any of them counts for the id in class_id. Null ids: kept. Very
     long texts: taken whole. Empty table: empty result. Other columns are not carried.
     """
+    small_batches(docs.sparkSession)
     signed = written(_signed(docs, id_col, text_col, shingle, bands, rows), "signed")
     full = signed.filter(F.col("print").isNotNull())
     nodes = written(
@@ -196,7 +207,7 @@ def near_duplicates(
         "band", "node", F.first("node").over(in_order).alias("leader"), F.lead("node").over(in_order).alias("next")
     )
     members = written(members.filter("leader <> node OR next IS NOT NULL").drop("next"), "members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "id", "size"), "node")
+    wanted = members.select("node").distinct().join(nodes.select("node", "id", "print"), "node")
     bags = written(_bags(docs, id_col, text_col, shingle, written(wanted, "wanted")), "bags")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +224,7 @@ def near_duplicates(
     pairs = pairs.filter(least(F.col("x"), F.col("y"))).select("a", "b")
     with_a = pairs.join(bags.select(F.col("node").alias("a"), F.col("shingles").alias("u"), F.col("counts").alias("c")), "a")
     with_b = with_a.join(bags.select(F.col("node").alias("b"), F.col("shingles").alias("v"), F.col("counts").alias("d")), "b")
-    stars = written(with_b.mapInArrow(linked, "a long, b long"), "stars")
+    stars = written(with_b.mapInArrow(lean(linked), "a long, b long"), "stars")
     classes = written(components(stars, "star-classes"), "star-classes")
 
     # Bands of three nodes or more whose members are not of one class yet; equal sets of members count once.
@@ -237,6 +248,8 @@ def near_duplicates(
     def block_links(group: pd.DataFrame) -> pd.DataFrame:
         held = [(np.asarray(u, np.int64), np.asarray(c, np.int64)) for u, c in zip(group["shingles"], group["counts"])]
         found = _forest(group["node"].to_numpy(), group["root"].to_numpy(), similarities(held) >= threshold)
+        del held
+        give_back()
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     more = dealt.join(bags, "node").groupBy("band", "i", "j").applyInPandas(block_links, "a long, b long")

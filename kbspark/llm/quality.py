@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kbspark.llm import shared
 from kbspark.llm.quality_rules import STOP_WORDS
-from kbspark.llm.shared import small_batches, written
+from kbspark.llm.shared import lean, small_batches, written
 
 _STOP = frozenset(STOP_WORDS)
 
@@ -63,8 +64,10 @@ def statistics(text: str | None) -> list[float]:
 def statistics_column(text: Column) -> Column:
     @F.pandas_udf("array<double>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        shared.WORKER_CACHES.clear()
         for batch in texts:
             yield pd.Series([statistics(t) for t in batch], dtype=object)
+        shared.give_back()
 
     return of(text)
 
@@ -161,7 +164,7 @@ def fit(
             total[:, k] += z.T @ x["label"].to_numpy(float)
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    parts = rows.filter("fold <> 4").mapInArrow(normal, "sums binary").collect()
+    parts = rows.filter("fold <> 4").mapInArrow(lean(normal), "sums binary").collect()
     total = sum(np.frombuffer(p.sums).reshape(k, k + 1) for p in parts)
     size = max(1.0, total[k - 1, k - 1])
     model.weights = np.linalg.solve(total[:, :k] + ridge * size / k * np.eye(k), total[:, k])
@@ -173,7 +176,7 @@ def fit(
             at = np.clip(((raw + 0.5) / 2 * bins).astype(int), 0, bins - 1)
             yield pa.record_batch([pa.array(at), pa.array(raw), pa.array(x["label"].to_numpy(float))], ["bin", "raw", "y"])
 
-    held = rows.filter("fold = 4").mapInArrow(scored, "bin long, raw double, y double")
+    held = rows.filter("fold = 4").mapInArrow(lean(scored), "bin long, raw double, y double")
     found = held.groupBy("bin").agg(F.avg("raw").alias("x"), F.avg("y").alias("y"), F.count("*").alias("w")).collect()
     if found:
         x, y, w = np.array(sorted((r.x, r.y, float(r.w)) for r in found)).T

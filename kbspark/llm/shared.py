@@ -56,6 +56,37 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(name, str(rows))
 
 
+#: What tasks leave in a Python worker for later tasks of their own kind, such as remembered words.
+WORKER_CACHES: dict = {}
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system: Arrow's pool and the C library keep it otherwise,
+    and a worker that serves one stage after another would hold the peak of each."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def lean(task):
+    """``task`` (batches in, batches out) so that it begins without what other operators left in its worker, and
+    gives its own memory back at the end."""
+
+    def run(batches):
+        from kbspark.llm import shared  # the worker's own module, not a copy in the closure
+
+        shared.WORKER_CACHES.clear()
+        yield from task(batches)
+        shared.give_back()
+
+    return run
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and use it several times in ``body(variable)``.
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.llm.shared import file_system, parent_made, written
+from kbspark.llm.shared import file_system, parent_made, small_batches, written
 from kbspark.llm.tokens import encoder, in_pieces
 
 MAGIC = b"KBTOKEN1"
@@ -173,6 +173,7 @@ def write_tokens(
     Null text: encoded as empty, so only the end id (nothing where ``end_id`` is None). Null ids come first.
     Repeated rows: all written. Very long texts: split over chunks. Empty table: no shard.
     """
+    small_batches(docs.sparkSession)
     slim = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )

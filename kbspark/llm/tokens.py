@@ -8,20 +8,19 @@ from array import array
 
 import numpy as np
 
+from kbspark.llm.shared import WORKER_CACHES
+
 #: A space before a character that is no white space always starts a new pre-token of byte-level BPE.
 _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?=\s|\Z)")
 #: Distinct words that a worker remembers; about 200 bytes each. The first ones stay, and frequent words come early.
-CACHE_WORDS = 1_000_000
-
-_encoders: dict[str, "Encoder"] = {}
-
+CACHE_WORDS = 400_000
 
 def encoder(path: str) -> "Encoder":
     """The encoder of this Python worker for a vocabulary file; later tasks of the worker find its words."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if path not in WORKER_CACHES:
+        WORKER_CACHES[path] = Encoder(path)
+    return WORKER_CACHES[path]
 
 
 class Encoder:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.shared import file_system, parent_made, written
+from kbspark.llm.shared import file_system, lean, parent_made, small_batches, written
 
 #: One fixed date for all records: the input has none, and a clock would make files differ by run.
 DATE = "2000-01-01T00:00:00Z"
@@ -159,6 +159,7 @@ def write_archives(
     Null payload: empty. Null URL: empty header. Null keys come first and have an empty id header. Rows that
     repeat the largest key with the same payload are all responses. Empty table: no file, empty manifest.
     """
+    small_batches(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(
         F.col(key_col).cast("long").alias("key"), F.sha1(F.encode(payload, "UTF-8")).alias("digest"), F.lit(1).alias("kind"),
@@ -196,7 +197,7 @@ def write_archives(
         types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(names), types)], names)
 
-    return written(dealt.mapInArrow(write, MANIFEST), "warc-manifest")
+    return written(dealt.mapInArrow(lean(write), MANIFEST), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
@@ -236,4 +237,4 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
 
     files = max(1, manifest.count())
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
-    return manifest.select("file").repartition(files).mapInArrow(read, schema)
+    return manifest.select("file").repartition(files).mapInArrow(lean(read), schema)
