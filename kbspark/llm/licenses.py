@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,6 +71,16 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def common(words: Iterable[int], n: int) -> Iterator[int]:
+    """Length of the longest common subsequence of a template of ``n`` words with the words so far, after each
+    word; a word comes as the bits of its places in the template."""
+    full = row = (1 << n) - 1
+    for places in words:
+        met = row & places
+        row = ((row + met) | (row - met)) & full
+        yield n - row.bit_count()
+
+
 class Scanner:
     """Templates ready for scanning; the same in every task."""
 
@@ -78,6 +88,10 @@ class Scanner:
         self.coverage, self.slack = coverage, slack
         self.words = {name: words_of(t) for name, t in templates.items()}
         self.counts = {name: Counter(w) for name, w in self.words.items()}
+        # Whole numbers, so that a coverage met exactly counts.
+        self.need = {name: max(1, -(-round(1000 * coverage) * len(w) // 1000)) for name, w in self.words.items()}
+        self.places = {name: self._places(w) for name, w in self.words.items()}
+        self.mirrored = {name: self._places(w[::-1]) for name, w in self.words.items()}
         spread = Counter(w for c in self.counts.values() for w in c)
         self.keys: dict[str, list[str]] = defaultdict(list)
         for name, counts in self.counts.items():
@@ -86,49 +100,70 @@ class Scanner:
             for w in sorted(counts, key=lambda w: (w in STOP_WORDS, spread[w], -len(w), w)):
                 self.keys[w].append(name)
                 missing += counts[w]
-                if missing > (1 - coverage) * len(self.words[name]):
+                if missing > len(self.words[name]) - self.need[name]:
                     break
         self.key_words = frozenset(self.keys)
 
-    def regions(self, name: str, where: dict[str, list[int]]) -> Iterator[tuple[int, int]]:
-        """Word ranges of the text, at most ``slack`` times the template long, that hold enough of its words
-        (each counted as often as the template has it); of ranges that overlap, the one that holds most."""
-        counts, need = self.counts[name], self.coverage * len(self.words[name])
+    @staticmethod
+    def _places(words: list[str]) -> dict[str, int]:
+        out: dict[str, int] = defaultdict(int)
+        for k, w in enumerate(words):
+            out[w] |= 1 << k
+        return dict(out)
+
+    def stretches(self, name: str, where: dict[str, list[int]]) -> Iterator[tuple[int, int, int]]:
+        """(first word, end, common words) of stretches of the text, at most ``slack`` times the template long,
+        that have enough of its words in order. They don't overlap: the one that is complete first is taken, grown or
+        cut to where its words are dense, and the scan goes on behind it."""
+        counts, need, n = self.counts[name], self.need[name], len(self.words[name])
         if sum(min(c, len(where.get(w, ()))) for w, c in counts.items()) < need:
             return
         spots = sorted((i, w) for w in counts for i in where.get(w, ()))
-        width = int(self.slack * len(self.words[name])) + 8
+        width = int(self.slack * n) + 8
+        ahead = [self.places[name][w] for _, w in spots]
+        behind = [self.mirrored[name][w] for _, w in spots]
+        at = [i for i, _ in spots]
         have: Counter = Counter()
-        full, left, best = 0, 0, None
-        for i, w in spots:
+        held, left = 0, 0
+        start, wait = 0, 0  # spots before ``start`` belong to earlier stretches; none before ``wait`` can end one
+        for k, (i, w) in enumerate(spots):
             have[w] += 1
-            full += have[w] <= counts[w]
-            while spots[left][0] <= i - width:
+            held += have[w] <= counts[w]
+            while at[left] <= i - width:
                 old = spots[left][1]
-                full -= have[old] <= counts[old]
+                held -= have[old] <= counts[old]
                 have[old] -= 1
                 left += 1
-            if full >= need:
-                lo = spots[left][0]
-                if best and lo > best[2]:
-                    yield best[1], best[2] + 1
-                    best = None
-                if not best or full > best[0]:
-                    best = (full, lo, i)
-        if best:
-            yield best[1], best[2] + 1
-
-    def align(self, template: list[str], words: list[str], lo: int, hi: int) -> tuple[int, list[tuple[int, int]]]:
-        """(start, matched pairs) in a region. Words around a license can hide its anchors by repeating them, so
-        where the whole region falls short, stretches of the template's length inside it are tried too."""
-        best, n = (lo, patience(template, words[lo:hi])), len(template)
-        if len(best[1]) >= self.coverage * n:
-            return best
-        for k in range(max(0, lo - n // 4), max(lo, hi - int(self.coverage * n)) + 1, max(1, n // 20)):
-            pairs = patience(template, words[k : k + n + n // 20])
-            if len(pairs) > len(best[1]):
-                best = (k, pairs)
-        return best
+            if held < need or k < wait:
+                continue
+            lo, most = max(left, start), 0
+            for j, most in zip(range(k, lo - 1, -1), common(reversed(behind[lo : k + 1]), n)):
+                if most >= need:
+                    break
+            if most < need:
+                wait = k + need - most  # each further word adds one at most
+                continue
+            a, z, most = self._fit(at, ahead, behind, start, j, k, need, n, width)
+            yield at[a], at[z] + 1, most
+            start = wait = z + 1
+
+    @staticmethod
+    def _fit(at: list[int], ahead: list[int], behind: list[int], start: int, a: int, z: int, need: int, n: int, width: int) -> tuple[int, int, int]:
+        """The spots ``a`` to ``z`` grown or cut in turns at each end, to most common words less words between."""
+        best = None
+        while True:
+            old, hi = best, bisect_left(at, at[a] + width)
+            for j, m in zip(range(a, hi), common(ahead[a:hi], n)):
+                score = 2 * m - (at[j] - at[a] + 1)
+                if m >= need and (best is None or score > best[0]):
+                    best, z = (score, m), j
+            lo = max(start, bisect_left(at, at[z] - width + 1))
+            for j, m in zip(range(z, lo - 1, -1), common(reversed(behind[lo : z + 1]), n)):
+                score = 2 * m - (at[z] - at[j] + 1)
+                if m >= need and score > best[0]:
+                    best, a = (score, m), j
+            if best == old:
+                return a, z, best[1]
 
     def scan(self, text: str) -> list[tuple[str, float, int, int, int, int]]:
         """(template, coverage, matched words, its words, first word, end) of licenses in a text; where several
@@ -148,10 +183,11 @@ class Scanner:
         found = []
         for name in sorted(names):
             template = self.words[name]
-            for lo, hi in self.regions(name, where):
-                lo, pairs = self.align(template, words, lo, hi)
-                if pairs and len(pairs) >= self.coverage * len(template):
-                    found.append((len(pairs) / len(template), len(pairs), name, lo + pairs[0][1], lo + pairs[-1][1] + 1))
+            for lo, hi, most in self.stretches(name, where):
+                matched = len(patience(template, words[lo:hi]))
+                if matched < self.need[name]:
+                    matched = most  # repeated words hide the anchors
+                found.append((matched / len(template), matched, name, lo, hi))
         out: list = []
         for cover, n, name, s, e in sorted(found, key=lambda f: (-f[1], -f[0], f[2], f[3])):
             if all(e <= x[4] or s >= x[5] for x in out):
@@ -170,9 +206,10 @@ def scan_licenses(
     """One row for each license found in each document: ``(id_col, license, coverage, matched, template_words,
     first_word, end_word)``, positions counted in words of the text.
 
-    A template is found where the patience alignment with a stretch of the text, ``slack`` times its length
-    plus 8 words at most, matches ``coverage`` of its words. Stretches that can't reach that are skipped by
-    a bound on their words, which loses nothing. No shuffle.
+    A template is found where a stretch of the text, ``slack`` times its length plus 8 words at most, has
+    ``coverage`` of its words in order. ``matched`` is what the patience alignment with that stretch matches, or the
+    longest common subsequence where repeated words keep the alignment under the coverage. Stretches that can't
+    reach it are skipped by bounds on their words, which lose nothing. No shuffle.
 
     Null or empty text: no row. Several licenses, or one several times: a row each. Where templates claim
     the same words: the more matched words, the better coverage, then the name. Very long texts: n log n. Repeated rows: each is scanned. Empty table:

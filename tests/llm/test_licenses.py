@@ -55,3 +55,48 @@ def test_odd_cases(spark, odd):
     docs = spark.createDataFrame([(1, "Released under the MIT License."), (1, "Released under the MIT License.\nx\nLicensed under CC BY-NC 4.0."), (2, None)], "doc_id long, text string")
     rows = licenses.scan_licenses(docs).collect()
     assert sorted((r.doc_id, r.license, r.coverage, r.first_word) for r in rows) == [(1, "notice: CC-BY-NC-4.0", 1.0, 6), (1, "notice: MIT", 1.0, 0), (1, "notice: MIT", 1.0, 0)]
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+def test_repeated_and_adjacent_copies_are_all_found():
+    s = licenses.Scanner(TEMPLATES, 0.8, 1.5)
+    mit = "Released under the MIT License. "
+    assert [f[0] for f in s.scan(mit * 3)] == ["notice: MIT"] * 3
+    assert [(f[0], f[1]) for f in s.scan("x y " * 50 + TEMPLATES["MIT"] * 2)] == [("MIT", 1.0)] * 2
+    scrambled = " ".join(sorted(TEMPLATES["Zlib"].split()))
+    assert [f[0] for f in s.scan(f"{scrambled} {TEMPLATES['Zlib']} {scrambled}")].count("Zlib") == 1
+
+
+def test_exact_share_is_enough():
+    s = licenses.Scanner({"five": "a b c d e"}, 0.8, 1.5)
+    for gone in "abcde":
+        assert [f[:3] for f in s.scan("x " + "abcde".replace(gone, "y").replace("", " "))] == [("five", 0.8, 4)], gone
+
+
+def test_scanner_against_brute_force():
+    """As many stretches as an earliest-end scan of all stretches finds, each of them a true one."""
+    rng = random.Random(5)
+    for _ in range(400):
+        template = [rng.choice("abcdef") for _ in range(rng.randint(3, 10))]
+        n, need = len(template), -(-8 * len(template) // 10)
+        width, words = int(1.5 * n) + 8, []
+        for _ in range(rng.randint(0, 4)):
+            words += [w if rng.random() > 0.1 else "z" for w in template] if rng.random() < 0.6 else [rng.choice("abcdefyz") for _ in range(6)]
+        first = next((e for e in range(len(words) + 1) if lcs(template, words[max(0, e - width) : e]) >= need), None)
+        found = licenses.Scanner({"t": " ".join(template)}, 0.8, 1.5).scan(" ".join(words))
+        assert bool(found) == (first is not None), (template, words)
+        start = 0
+        for _, cover, matched, _, s, e in found:
+            assert start <= s and e - s <= width and need <= matched <= lcs(template, words[s:e])
+            assert not any(lcs(template, words[max(start, k - width) : k]) >= need for k in range(start, s + 1)), (template, words)
+            start = e
+        assert not any(lcs(template, words[max(start, k - width) : k]) >= need for k in range(start, len(words) + 1)), (template, words)
