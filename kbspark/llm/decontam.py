@@ -4,6 +4,7 @@ document and a benchmark item agree in spite of substituted words, and an alignm
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,9 @@ from kbspark.llm.shared import lean, small_batches, written
 #: substitutions, of 15 with 3, of 20 with 4 and of 25 with 5 has a place where one of them fits: the set was found
 #: by a greedy search over all such patterns, and a test goes through them again.
 MASKS = ("1110111", "1111011", "1110100011", "11000011011")
+#: Options with which every item counts: those under ``min_overlap`` words over their whole length at the share of
+#: the others; under five words that is word for word.
+WHOLE = {"short_share": 0.8, "min_item_words": 1}
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,6 +43,27 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return h.view(np.int64)
 
 
+def least_equal(n: int, share: float) -> int:
+    """Equal words that make ``share`` of ``n`` words, in whole numbers."""
+    return max(1, -(-round(1000 * share) * n // 1000))
+
+
+def whole_masks(n: int, share: float) -> dict[tuple[str, int], None]:
+    """(mask, its first word in the item) for an item of ``n`` words that counts whole: with k substitutions allowed,
+    the words are cut into blocks and each mask ignores k of them, so wherever the substitutions are, some mask
+    compares none of them. Masks begin and end with a compared word, so an item cut off at the end of a document by
+    no more than k words is met too."""
+    k = n - least_equal(n, share)
+    # More blocks leave more words compared; four are rare enough.
+    blocks = next((b for b in range(k + 1, n) if n - k * -(-n // b) >= 4), n)
+    block_of = [i * blocks // n for i in range(n)]
+    out = {}
+    for gone in combinations(range(blocks), k):
+        mask = "".join("0" if b in gone else "1" for b in block_of)
+        out[mask.strip("0"), mask.index("1")] = None
+    return out
+
+
 def _flat(column) -> tuple[np.ndarray, np.ndarray]:
     """(all values, bounds of each list) of an Arrow list column."""
     values = column.values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
@@ -107,16 +132,18 @@ def contaminated(
     min_item_words: int = 5,
     reach: int = 256,
     masks: tuple[str, ...] = MASKS,
+    short_share: float = 1.0,
 ) -> DataFrame:
     """``(id_col, item_col, overlap, equal, item_words, coverage, doc_word)``: the documents and benchmark items
     that share a stretch of ``min_overlap`` aligned words of which at least ``share`` are equal, with the best such
-    stretch of the pair. Items with fewer words than that count only whole and word for word. ``doc_word`` is the
-    first word of the stretch in the document.
+    stretch of the pair. Items with fewer words than that count only whole, where ``short_share`` of all their words
+    are equal (by default word for word). ``doc_word`` is the first word of the stretch in the document.
 
     Documents pass a fixed-size sieve of the benchmark's seeds in one scan; what it lets through is joined
     on the exact seed hash and only those places are aligned, up to ``reach`` words on each side. Items under
-    ``min_overlap`` words get one mask of their whole length; items under ``min_item_words`` words prove nothing
-    and are left out.
+    ``min_overlap`` words get masks for their length that lose no place with the substitutions ``short_share`` allows
+    (:func:`whole_masks`); items under ``min_item_words`` words are left out. The registered query and the pipeline take
+    :data:`WHOLE`: items of any length, short ones at the same share as long ones.
 
     Null or empty texts and items: never match. Repeated items: each is reported. Repeated documents with
     one id: reported once an item. Null ids stay null. Very long texts: linear. Empty tables: empty result.
@@ -126,7 +153,8 @@ def contaminated(
     items = benchmark.select(F.col(item_col).alias("item"), word_hashes(F.col(item_text)).alias("words")).filter(F.size("words") >= min_item_words)
     items = written(items, "items")
     short = sorted(r.n for r in items.filter(F.size("words") < min_overlap).select(F.size("words").alias("n")).distinct().collect())
-    every = [*masks, *("1" * n for n in short)]  # at most one more mask for each length below min_overlap
+    masks_of = {n: list(whole_masks(n, short_share)) for n in short}
+    every = list(dict.fromkeys([*masks, *(m for ms in masks_of.values() for m, _ in ms)]))
 
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,10 +162,13 @@ def contaminated(
             ids, out_i, out_q, out_h = b.column("item").to_numpy(zero_copy_only=False), [], [], []
             for k in range(b.num_rows):
                 w = values[bounds[k] : bounds[k + 1]]
-                for mask in masks if len(w) >= min_overlap else ["1" * len(w)]:
-                    h = seeds(w, mask)
+                if len(w) >= min_overlap:
+                    found = [(np.arange(len(h)), h) for h in (seeds(w, mask) for mask in masks)]
+                else:
+                    found = [(np.array([q]), seeds(w[q : q + len(mask)], mask)) for mask, q in masks_of[len(w)]]
+                for q, h in found:
                     out_h.append(h)
-                    out_q.append(np.arange(len(h)))
+                    out_q.append(q)
                     out_i.append(np.full(len(h), k))
             if out_h:
                 rows = np.concatenate(out_i)
@@ -195,7 +226,10 @@ def contaminated(
                 lo, hi = max(0, -shift), min(len(i), len(d) - shift)
                 equal = i[lo:hi] == d[lo + shift : hi + shift]
                 s, e = longest_overlap(equal, share)
-                if e - s >= min_overlap or (len(i) < min_overlap and len(equal) == len(i) and equal.all()):
+                if len(i) < min_overlap:
+                    # A short item counts whole, words beyond the document's ends as unequal ones.
+                    s, e = (0, len(equal)) if equal.sum() >= least_equal(len(i), short_share) else (0, 0)
+                if e - s >= min_overlap or (len(i) < min_overlap and e):
                     same = int(equal[s:e].sum())
                     keep.append(k)
                     out.append((e - s, same, len(i), same / len(i), first + lo + shift + s))

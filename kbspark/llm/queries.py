@@ -66,7 +66,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontam.contaminated(docs, table(spark, sf_dir, "benchmark"), **decontam.WHOLE)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

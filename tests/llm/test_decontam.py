@@ -67,3 +67,36 @@ def test_odd_cases(spark, odd):
     left = decontam.decontaminate(odd, bench)
     assert left.columns == odd.columns and left.count() == 9
     assert decontam.contaminated(odd.limit(0), bench).count() == 0 and decontam.contaminated(odd, bench.limit(0)).count() == 0
+
+
+def test_short_masks_lose_no_item():
+    for n in range(1, 13):
+        allowed = (2 * n) // 10
+        for wrong in combinations(range(n), allowed):
+            assert any(all(q + i not in wrong for i, c in enumerate(m) if c == "1") for m, q in decontam.whole_masks(n, 0.8)), (n, wrong)
+
+
+def test_short_items_against_the_plain_share(spark):
+    """Items under 13 words over their whole length at 0.8, in integers; words beyond the document's ends are unequal."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    items = [(i, [rng.choice(words) for _ in range(i % 12 + 1)]) for i in range(36)]
+    docs = []
+    for d in range(150):
+        text, part = [rng.choice(words) for _ in range(rng.randint(0, 30))], list(rng.choice(items)[1])
+        for k in rng.sample(range(len(part)), min(len(part), rng.randint(0, 3))):
+            part[k] = "zzz"
+        at = rng.choice([0, len(text), rng.randint(0, len(text))])
+        text[at:at] = part[1:] if d % 5 == 0 and at == 0 else part
+        docs.append((d, text))
+    want = set()
+    for d, w in docs:
+        for i, v in items:
+            for shift in range(-len(v), len(w) + 1):
+                same = sum(0 <= k + shift < len(w) and w[k + shift] == v[k] for k in range(len(v)))
+                if 10 * same >= 8 * len(v):
+                    want.add((d, i))
+    frames = [spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{c} long, text string") for rows, c in ((docs, "doc_id"), (items, "item_id"))]
+    got = decontam.contaminated(*frames, **decontam.WHOLE).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert all(10 * r.equal >= 8 * r.item_words for r in got) and any(r.equal < r.item_words for r in got)
