@@ -61,13 +61,13 @@ def matched_rule(host: Column, path: Column, rules=FIXED_RULES) -> tuple[Column,
 
 
 def mined_rules(
-    labelled: DataFrame, min_support: float = 0.002, min_count: int = 5, min_confidence: float = 0.5, max_tokens: int = 3
+    labelled: DataFrame, min_support: float = 0.002, min_count: int = 5, min_confidence: float = 0.5
 ) -> DataFrame:
     """``(antecedent array<string>, confidence, support)`` of token sets that mark bad URLs.
 
     ``labelled`` has ``url`` and ``bad`` (boolean). Spark's FP-growth counts the token sets; a rule stays if
     its set and the mark occur together in ``min_support`` of the rows and in ``min_count`` rows, at
-    ``min_confidence``, with ``max_tokens`` tokens at most, and if no part of it is a rule already.
+    ``min_confidence``, and if no part of it is a rule already. Rules may have any number of tokens.
     """
     tokens = url_tokens(F.col("url"))
     items = written(
@@ -82,23 +82,22 @@ def mined_rules(
         return empty
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min_confidence).fit(items)
     rules = model.associationRules.filter(
-        (F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.size("antecedent") <= max_tokens)
+        (F.size("consequent") == 1) & (F.col("consequent")[0] == BAD)
     ).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
     rules = written(rules, "url-rules")
-    # A rule whose part is a rule adds nothing: the part fits wherever it does.
-    parts = rules.select("antecedent", F.explode(_proper_subsets(F.col("antecedent"), max_tokens)).alias("part"))
-    whole = rules.select(F.col("antecedent").alias("part"))
-    redundant = parts.join(whole, "part", "left_semi").select("antecedent").distinct()
+    # A rule whose part is a rule adds nothing: the part fits wherever it does. The part's rarest token is in the rule.
+    parts = _filed(rules).select(F.col("antecedent").alias("part"), "token")
+    each = rules.select("antecedent", F.explode("antecedent").alias("token"))
+    inside = (F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0)
+    redundant = each.join(parts, "token").filter(inside).select("antecedent").distinct()
     return rules.join(redundant, "antecedent", "left_anti")
 
 
-def _proper_subsets(a: Column, max_tokens: int) -> Column:
-    """Non-empty proper subsets of a sorted array of up to ``max_tokens`` tokens."""
-    masks = F.sequence(F.lit(1), F.lit(2**max_tokens - 2))
-    picked = F.transform(
-        masks, lambda m: F.filter(a, lambda x, i: (F.floor(m / F.pow(F.lit(2.0), i)) % 2) == 1)
-    )
-    return F.filter(picked, lambda s: (F.size(s) > 0) & (F.size(s) < F.size(a)))
+def _filed(rules: DataFrame) -> DataFrame:
+    """``(antecedent, token)``: each rule with the one of its tokens that fewest rules share."""
+    each = rules.select("antecedent", F.explode("antecedent").alias("token"))
+    common = each.groupBy("token").agg(F.count("*").alias("n"))
+    return each.join(common, "token").groupBy("antecedent").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
 
 
 def rule_hits(pages: DataFrame, rules: DataFrame, broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
@@ -108,10 +107,7 @@ def rule_hits(pages: DataFrame, rules: DataFrame, broadcast_rules: int = BROADCA
     at it; the rest of the rule is then checked in place.
     """
     rules = written(rules.select("antecedent"), "pruned-rules")
-    each = rules.select("antecedent", F.explode("antecedent").alias("token"))
-    common = each.groupBy("token").agg(F.count("*").alias("n"))
-    filed = each.join(common, "token").groupBy("antecedent").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
-    index = filed.groupBy("token").agg(F.collect_set("antecedent").alias("rules"))
+    index = _filed(rules).groupBy("token").agg(F.collect_set("antecedent").alias("rules"))
     if rules.count() <= broadcast_rules:
         index = F.broadcast(index)
     urls = pages.select("url").filter(F.col("url").isNotNull()).withColumn("tokens", url_tokens(F.col("url")))
@@ -127,7 +123,6 @@ def filter_urls(
     min_support: float = 0.002,
     min_count: int = 5,
     min_confidence: float = 0.5,
-    max_tokens: int = 3,
 ) -> DataFrame:
     """``pages`` with host, path, rule (the fixed rule that decided, or null), mined (some mined rule fits)
     and verdict.
@@ -137,7 +132,7 @@ def filter_urls(
     alike, since the verdict depends on the URL alone. Empty tables: no rules, or an empty result. Columns
     of ``pages`` with the names of result columns are replaced.
     """
-    hits = rule_hits(pages, mined_rules(labelled, min_support, min_count, min_confidence, max_tokens))
+    hits = rule_hits(pages, mined_rules(labelled, min_support, min_count, min_confidence))
     hits = hits.select(F.col("url").alias("__url"), F.lit(True).alias("__hit"))
     out = ("host", "path", "rule", "mined", "verdict")
     joined = pages.join(hits, F.col("url") == F.col("__url"), "left")

@@ -68,3 +68,30 @@ def test_mined_rules(spark):
     assert got == [(1, True, "block"), (2, False, "allow"), (2, False, "allow"), (3, False, "allow")]
     assert url_rules.filter_urls(pages.limit(0), labelled).count() == 0
     assert [r.n for r in spark.range(1).select(F.size(url_rules.url_tokens(F.lit("http://a.a.com/1/2?x=1&x=2#z"))).alias("n")).collect()] == [6]
+
+
+def test_rules_of_any_length_against_brute_force(spark):
+    """Only host label, folder, query key and fragment mark together are bad; any three of them are so half the time
+    at most, and less where more good rows have them."""
+    from itertools import combinations
+
+    parts = ["q.net", "/buy", "?ref=1", "#x"]
+    rows = []
+    for some in range(16):
+        host, folder, query, mark = (p if some >> k & 1 else "" for k, p in enumerate(parts))
+        rows += [(f"http://{host or 'ok.net'}{folder or '/read'}/{i}{query}{mark}", some == 15) for i in range(30 if some.bit_count() == 3 else 20)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    tokens = labelled.select(url_rules.url_tokens(F.col("url")).alias("t"), "bad").collect()
+    bad, every = {}, {}
+    for r in tokens:
+        for n in range(1, len(r.t) + 1):
+            for s in combinations(sorted(r.t), n):
+                every[s] = every.get(s, 0) + 1
+                bad[s] = bad.get(s, 0) + r.bad
+    rules = {s for s in bad if bad[s] >= 5 and bad[s] >= 0.5 * every[s]}
+    least = {s for s in rules if not any(set(o) < set(s) for o in rules)}
+    got = {tuple(r.antecedent) for r in url_rules.mined_rules(labelled).collect()}
+    assert got == least and min(map(len, got)) == 4
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    blocked = {r.page_id for r in url_rules.filter_urls(pages, labelled).filter("mined").collect()}
+    assert blocked == {i for i, (_, b) in enumerate(rows) if b}
