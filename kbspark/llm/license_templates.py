@@ -1,4 +1,5 @@
-"""Texts and notices of common public licenses, as published, names and years left out."""
+"""Whole texts of short public licenses, and the notices that longer ones tell authors to use, as published;
+names and years left out. Whole texts of Apache, GPL, AGPL and MPL have no template: only the notice that they quote is met."""
 
 TEMPLATES = {
     "MIT": """
@@ -27,6 +28,13 @@ following conditions are met: Redistributions of source code must retain the abo
 conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice,
 this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
 distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
 """,
     "BSD-3-Clause": """
 Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
@@ -35,6 +43,13 @@ conditions and the following disclaimer. Redistributions in binary form must rep
 this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
 distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
 promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
 """,
     "Zlib": """
 This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
@@ -47,7 +62,15 @@ the original software. This notice may not be removed or altered from any source
     "Unlicense": """
 This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
 compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
-commercial or non-commercial, and by any means.
+commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors
+of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication
+for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to
+be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please
+refer to http://unlicense.org
 """,
     "Apache-2.0": """
 Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
@@ -80,4 +103,72 @@ distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.
     "notice: CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
     "notice: CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "notice: CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "GPL-2.0-or-later": """
+This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for
+more details. You should have received a copy of the GNU General Public License along with this program.
+""",
+    "LGPL-2.1-or-later": """
+This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later
+version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for
+more details. You should have received a copy of the GNU Lesser General Public License along with this library.
+""",
+    "LGPL-3.0-or-later": """
+This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for
+more details. You should have received a copy of the GNU Lesser General Public License along with this program.
+""",
+    "AGPL-3.0-or-later": """
+This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public
+License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for
+more details. You should have received a copy of the GNU Affero General Public License along with this program.
+""",
+    "notice: Apache": "Released under the Apache License.",
+    "notice: GPL": "Released under the GNU General Public License.",
+    "notice: LGPL": "Released under the GNU Lesser General Public License.",
+    "notice: AGPL": "Released under the GNU Affero General Public License.",
+    "notice: LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "notice: CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "notice: CC0-1.0": "Licensed under CC0 1.0.",
+}
+
+_GPL = ("lesser", "library", "affero")
+#: (phrases that a stretch must hold, words that it must not hold) of the templates that others resemble.
+TELLING = {
+    "BSD-3-Clause": (("endorse",), ()),
+    "Apache-2.0": (("apache", "2 0"), ()),
+    "MPL-2.0": (("mozilla", "2 0"), ()),
+    "GPL-2.0-or-later": (("general public license", "version 2 of"), _GPL),
+    "GPL-3.0-or-later": (("general public license", "version 3"), _GPL),
+    "LGPL-2.1-or-later": (("lesser general public license", "version 2 1"), ()),
+    "LGPL-3.0-or-later": (("lesser general public license", "version 3"), ()),
+    "AGPL-3.0-or-later": (("affero general public license", "version 3"), ()),
+    "notice: MIT": (("mit",), ()),
+    "notice: BSD": (("bsd",), ()),
+    "notice: Apache": (("apache",), ()),
+    "notice: Apache-2.0": (("apache", "2 0"), ()),
+    "notice: GPL": (("general public license",), _GPL),
+    "notice: GPL-2.0": (("general public license", "version 2"), _GPL),
+    "notice: GPL-3.0": (("general public license", "version 3"), _GPL),
+    "notice: LGPL": (("lesser general public license",), ()),
+    "notice: LGPL-2.1": (("lesser general public license", "version 2 1"), ()),
+    "notice: LGPL-3.0": (("lesser general public license", "version 3"), ()),
+    "notice: AGPL": (("affero general public license",), ()),
+    "notice: AGPL-3.0": (("affero general public license", "version 3"), ()),
+    "notice: MPL-2.0": (("mozilla", "2 0"), ()),
+    "notice: CC-BY-4.0": (("cc by 4 0",), ()),
+    "notice: CC-BY-SA-4.0": (("cc by sa 4 0",), ()),
+    "notice: CC-BY-ND-4.0": (("cc by nd 4 0",), ()),
+    "notice: CC-BY-NC-4.0": (("cc by nc 4 0",), ()),
+    "notice: CC-BY-NC-SA-4.0": (("cc by nc sa 4 0",), ()),
+    "notice: CC-BY-NC-ND-4.0": (("cc by nc nd 4 0",), ()),
+    "notice: CC0-1.0": (("cc0 1 0",), ()),
 }

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.license_templates import TEMPLATES
+from kbspark.llm.license_templates import TELLING, TEMPLATES
 from kbspark.llm.quality_rules import STOP_WORDS
 from kbspark.llm.shared import lean, small_batches
 
@@ -84,8 +84,8 @@ def common(words: Iterable[int], n: int) -> Iterator[int]:
 class Scanner:
     """Templates ready for scanning; the same in every task."""
 
-    def __init__(self, templates: dict[str, str], coverage: float, slack: float):
-        self.coverage, self.slack = coverage, slack
+    def __init__(self, templates: dict[str, str], coverage: float, slack: float, telling: dict | None = None):
+        self.coverage, self.slack, self.telling = coverage, slack, telling or {}
         self.words = {name: words_of(t) for name, t in templates.items()}
         self.counts = {name: Counter(w) for name, w in self.words.items()}
         # Whole numbers, so that a coverage met exactly counts.
@@ -111,7 +111,13 @@ class Scanner:
             out[w] |= 1 << k
         return dict(out)
 
-    def stretches(self, name: str, where: dict[str, list[int]]) -> Iterator[tuple[int, int, int]]:
+    def told(self, name: str, words: list[str]) -> bool:
+        """Whether a stretch holds the words that tell this license from others."""
+        phrases, barred = self.telling.get(name, ((), ()))
+        text = f" {' '.join(words)} " if phrases or barred else ""
+        return all(f" {p} " in text for p in phrases) and not any(f" {b} " in text for b in barred)
+
+    def stretches(self, name: str, where: dict[str, list[int]], words: list[str]) -> Iterator[tuple[int, int, int]]:
         """(first word, end, common words) of stretches of the text, at most ``slack`` times the template long,
         that have enough of its words in order. They don't overlap: the one that is complete first is taken, grown or
         cut to where its words are dense, and the scan goes on behind it."""
@@ -143,7 +149,13 @@ class Scanner:
             if most < need:
                 wait = k + need - most  # each further word adds one at most
                 continue
-            a, z, most = self._fit(at, ahead, behind, start, j, k, need, n, width)
+            a, z, best = self._fit(at, ahead, behind, start, j, k, need, n, width)
+            if self.told(name, words[at[a] : at[z] + 1]):
+                most = best
+            elif self.told(name, words[at[j] : i + 1]):
+                a, z = j, k
+            else:
+                continue
             yield at[a], at[z] + 1, most
             start = wait = z + 1
 
@@ -183,7 +195,7 @@ class Scanner:
         found = []
         for name in sorted(names):
             template = self.words[name]
-            for lo, hi, most in self.stretches(name, where):
+            for lo, hi, most in self.stretches(name, where, words):
                 matched = len(patience(template, words[lo:hi]))
                 if matched < self.need[name]:
                     matched = most  # repeated words hide the anchors
@@ -202,6 +214,7 @@ def scan_licenses(
     templates: dict[str, str] | None = None,
     coverage: float = 0.8,
     slack: float = 1.5,
+    telling: dict | None = None,
 ) -> DataFrame:
     """One row for each license found in each document: ``(id_col, license, coverage, matched, template_words,
     first_word, end_word)``, positions counted in words of the text.
@@ -209,14 +222,15 @@ def scan_licenses(
     A template is found where a stretch of the text, ``slack`` times its length plus 8 words at most, has
     ``coverage`` of its words in order. ``matched`` is what the patience alignment with that stretch matches, or the
     longest common subsequence where repeated words keep the alignment under the coverage. Stretches that can't
-    reach it are skipped by bounds on their words, which lose nothing. No shuffle.
+    reach it are skipped by bounds on their words, which lose nothing. A stretch counts only if it holds the phrases
+    that ``telling`` requires of its template, such as name and version, and no word that it bars. No shuffle.
 
     Null or empty text: no row. Several licenses, or one several times: a row each. Where templates claim
     the same words: the more matched words, the better coverage, then the name. Very long texts: n log n. Repeated rows: each is scanned. Empty table:
     empty result. Other columns are not carried.
     """
     small_batches(docs.sparkSession)
-    scanner = Scanner(templates or TEMPLATES, coverage, slack)
+    scanner = Scanner(templates or TEMPLATES, coverage, slack, telling if templates else telling or TELLING)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -100,3 +100,21 @@ def test_scanner_against_brute_force():
             assert not any(lcs(template, words[max(start, k - width) : k]) >= need for k in range(start, s + 1)), (template, words)
             start = e
         assert not any(lcs(template, words[max(start, k - width) : k]) >= need for k in range(start, len(words) + 1)), (template, words)
+
+
+def test_licenses_that_resemble_each_other_keep_their_names():
+    from kbspark.llm.license_templates import TELLING
+
+    s = licenses.Scanner(TEMPLATES, 0.8, 1.5, TELLING)
+    for name, text in TEMPLATES.items():
+        assert [f[:2] for f in s.scan(f"x y z {text} x y z")] == [(name, 1.0)], name
+    named = {
+        "Released under the Apache License.": ["notice: Apache"],
+        "Released under the GNU General Public License.": ["notice: GPL"],
+        "It was released last year under a law that the new license covers.": [],
+        "Licensed under CC BY-SA 3.0.": [],
+        "This work is licensed under the GNU General Public License.": ["notice: GPL"],
+        "Released under MIT License. Released under the MIT": ["notice: MIT", "notice: MIT"],
+    }
+    for text, names in named.items():
+        assert [f[0] for f in s.scan(text)] == names, text
