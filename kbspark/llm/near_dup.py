@@ -186,9 +186,10 @@ def near_duplicates(
 
     Similarity is of bags of ``shingle`` lower-cased words, exactly computed for every link that is used.
     Candidates share one of ``bands`` bands of ``rows`` components; with 32 bands of 5 a pair at 0.8 is missed
-    with a chance of 3e-6, and at 0.9 of 4e-13. A group of any size gives a row for each member and band, never for
-    each pair. Where a band keeps several classes after the first comparison, its members are compared in
-    blocks of ``block`` against ``block``, and each block returns at most one link fewer than it has classes.
+    with a chance of 3e-6, and at 0.9 of 4e-13. The first comparison has a row for each member and band, never for
+    each pair. Where a band of n members keeps several classes after it, the members are compared in blocks of
+    ``block`` against ``block``: each goes with its bag to ceil(n / block) blocks, so n * n / block rows are
+    shuffled. Each block returns at most one link fewer than it has classes.
 
     Null text, or one without words: a class of its own. Fewer words than ``shingle``: one shingle. Equal texts:
     one class. Rows with one id: the class of any of them counts for the id in class_id. Null ids: kept. Very
