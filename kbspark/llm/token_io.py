@@ -161,15 +161,18 @@ def write_tokens(
     block: int = 65_536,
     planes: str = "byte",
     shard_tokens: int = 64_000_000,
+    shard_docs: int = 500_000,
 ) -> DataFrame:
     """Encode ``docs`` into shard files in ``folder``, ids in ascending order of ``id_col``, and return the
     manifest: one row a shard with ``base``, the ids of all shards before it.
 
     Rows are dealt by ranges of (id, text hash), so equal ids may be split too; each task sorts its range
-    and writes files of ``shard_tokens`` ids at most. A file has a name that no other attempt uses, and only
+    and writes files of about ``shard_tokens`` ids and ``shard_docs`` documents at most, which bounds the index that a
+    reader holds. ``base`` is a window over the manifest alone, one row a file. A file has a name that no other attempt uses, and only
     those that the written manifest names belong to the result: a task that is lost or run twice leaves an
     orphan, never a wrong or doubled shard.
 
+    The ids of a text are those that the tokenizers library gives it, strings of special tokens included.
     Null text: encoded as empty, so only the end id (nothing where ``end_id`` is None). Null ids come first.
     Repeated rows: all written. Very long texts: split over chunks. Empty table: no shard.
     """
@@ -191,7 +194,7 @@ def write_tokens(
                 for doc_id, data in zip(ids[a:b], encode(texts[a:b])):
                     writer = writer or ShardWriter(folder, shard, part, block, planes)
                     writer.add(doc_id, data + end)
-                    if writer.tokens >= shard_tokens:
+                    if writer.tokens >= shard_tokens or len(writer.docs) >= shard_docs:
                         rows.append((shard, part, *writer.close()))
                         writer, part = None, part + 1
         if writer:

@@ -11,20 +11,21 @@ from kbspark.llm.queries import vocabulary
 
 @pytest.fixture(scope="module")
 def plain():
-    t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(vocabulary())
 
 
 def test_encoder_equals_library(plain):
     rng = random.Random(2)
-    parts = ["a", "b", " ", " ", "\n", ",", ".", "'s", "'", "1", "é", "\u3000", "漢", "🙂", "٣", "T", "\t", "\x85", "\x1c", "<|endoftext|>", "the", " of"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
-    small = tokens.Encoder(vocabulary(), 40)
+    parts = ["a", "b", " ", " ", "\n", ",", ".", "'s", "'", "1", "é", "\u3000", "漢", "🙂", "٣", "T", "\t", "\x85", "\x1c", "\xa0", "  ", "\r\n", "<|endoftext|>", "<|", "ñu", "ª", "×", "\0", "don't", "the", " of"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += ["end <|endoftext|> of text", "two  <|endoftext|>", "", " ", "a "]
+    small, large = tokens.Encoder(vocabulary(), 40), tokens.Encoder(vocabulary())
     for k in range(0, len(texts), 100):
-        got = small.encode(texts[k : k + 100])
-        assert got == [np.asarray(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts[k : k + 100], add_special_tokens=False)]
-    assert len(small.known) <= 40
+        some = texts[k : k + 100]
+        want = [np.asarray(e.ids, "<u4").tobytes() for e in plain.encode_batch(some, add_special_tokens=False)]
+        assert small.encode(some) == want and large.encode(some) == want and large.count(some) == [len(w) // 4 for w in want]
+        assert len(small.words.keys) <= max(40, sum(len(t.split(" ")) for t in some))
+    assert small.encode([]) == []
 
 
 @pytest.mark.parametrize("kind", ["bit", "byte"])
@@ -60,6 +61,14 @@ def test_files(spark, plain, tmp_path, planes):
     assert len(whole) == shards[0].n_tokens and (reader.ids(60, 200) == whole[60:200]).all()
 
 
+def test_special_strings_and_document_limit(spark, plain, tmp_path):
+    rows = [(i, f"{'x ' * (i % 5)}<|endoftext|> after {i}") for i in range(30)]
+    made = token_io.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), str(tmp_path), vocabulary(), shard_docs=4)
+    assert max(r.n_docs for r in made.collect()) == 4
+    assert sorted(map(tuple, token_io.read_documents(made, str(tmp_path)).collect())) == expected(plain, rows)
+    assert plain.encode("end <|endoftext|> of text").ids.count(50256) == 1
+
+
 def test_odd_cases(spark, plain, odd, tmp_path):
     made = token_io.write_tokens(odd, str(tmp_path), vocabulary(), block=1024)
     rows = token_io.read_documents(made, str(tmp_path)).collect()
