@@ -1,8 +1,11 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from kbspark.llm import near_dup
 from kbspark.llm.components import components
+from kbspark.llm.shared import split_join
 
 
 def brute(rows, threshold=0.8):
@@ -78,6 +81,60 @@ def test_one_id_with_two_texts(spark):
     assert sorted((r.doc_id, r.class_size) for r in got) == [(1, 2), (1, 2), (2, 2), (3, 2)]
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Ids shared by different texts and rows without id: no class may go whole, and no copy may stay."""
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"c{k}" for k in range(40))
+    rows = [(5, a), (9, a + " tail"), (2, b), (5, b + " tail"), (None, a + " end"), (None, "d e f g h i"), (7, "d e f g h i j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id, r.text[0]) for r in near_dup.drop_near_duplicates(docs, threshold=0.5).collect())
+    assert kept == [(2, "c"), (5, "a"), (7, "d")]
+    got = {(r.doc_id, r.class_id, r.class_size) for r in near_dup.near_duplicates(docs, threshold=0.5).collect()}
+    assert got == {(5, 5, 3), (9, 5, 3), (None, 5, 3), (2, 2, 2), (5, 2, 2), (None, 7, 2), (7, 7, 2)}
+
+
+def test_split_join_keeps_every_row(spark):
+    rows = [(0, k) for k in range(900)] + [(k, k) for k in range(1, 200)]
+    left = spark.createDataFrame(rows, "a long, b long")
+    keyed = left.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m")).filter("a % 3 <> 1")
+    got = sorted((r.a, r.b, r.m) for r in split_join(left, keyed, "a", len(rows)).collect())
+    assert got == sorted((a, b, a) for a, b in rows if a % 3 != 1)
+
+
+def test_blocks_meet_every_open_pair_once_sent_linearly(spark):
+    """5,000 members of one band, 40 of them outside its largest class: every pair that is still open meets in a block,
+    and rows sent stay near the members, where blocks of all against all would send 13 rows a member."""
+    known = spark.createDataFrame([(1, n, n if n % 125 == 3 else 10**6) for n in range(5000)], "band long, node long, root long")
+    sent = near_dup._dealt(known, near_dup._open(known), 5000, 400).collect()
+    assert len(sent) < 1.2 * 5000
+    outside, places = [n for n in range(5000) if n % 125 == 3], {}
+    for r in sent:
+        places.setdefault(r.node, set()).add((r.i, r.j))
+    assert all(places[o] & places[n] for o in outside for n in range(5000))
+    # The same with 3 classes of like size: all pairs between classes meet, and no block has one class alone.
+    known = spark.createDataFrame([(1, n, n % 3) for n in range(300)], "band long, node long, root long")
+    sent = near_dup._dealt(known, near_dup._open(known), 300, 40).collect()
+    places = {}
+    for r in sent:
+        places.setdefault(r.node, set()).add((r.i, r.j))
+    assert all(places[x] & places[y] for x in range(300) for y in range(x) if (x - y) % 3)
+
+
+def test_crowd_in_one_band(spark):
+    """Texts that share a long passage but are under the threshold, with near copies among them: every band of the
+    passage is wide, and the copies are found by a second band."""
+    rng = random.Random(5)
+    shared = [f"s{k}" for k in range(80)]
+    rows = []
+    for i in range(60):
+        own = [f"o{i}x{k}" for k in range(35)]
+        rows.append((2 * i, " ".join(shared + own)))
+        if i % 3 == 0:
+            own[rng.randrange(30)] = "changed"
+            rows.append((2 * i + 1, " ".join(shared + own)))
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=4).collect()
+    assert {r.doc_id: r.class_id for r in got} == brute(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(200, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
