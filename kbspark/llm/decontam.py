@@ -11,15 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.shared import lean, small_batches, written
+from kbspark.llm.shared import lean, small_batches, split_join, written
 
 #: Fixed masks: 1 compares a word, 0 ignores it; each compares six. Every stretch of 13 words with up to 2
 #: substitutions, of 15 with 3, of 20 with 4 and of 25 with 5 has a place where one of them fits: the set was found
 #: by a greedy search over all such patterns, and a test goes through them again.
 MASKS = ("1110111", "1111011", "1110100011", "11000011011")
-#: Options with which every item counts: those under ``min_overlap`` words over their whole length at the share of
-#: the others; under five words that is word for word.
-WHOLE = {"short_share": 0.8, "min_item_words": 1}
+#: Seeds of items that may be broadcast: 24 bytes each.
+BROADCAST_SEEDS = 1_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,21 +128,22 @@ def contaminated(
     item_text: str = "text",
     min_overlap: int = 13,
     share: float = 0.8,
-    min_item_words: int = 5,
+    min_item_words: int = 1,
     reach: int = 256,
     masks: tuple[str, ...] = MASKS,
-    short_share: float = 1.0,
+    broadcast_seeds: int = BROADCAST_SEEDS,
 ) -> DataFrame:
     """``(id_col, item_col, overlap, equal, item_words, coverage, doc_word)``: the documents and benchmark items
     that share a stretch of ``min_overlap`` aligned words of which at least ``share`` are equal, with the best such
-    stretch of the pair. Items with fewer words than that count only whole, where ``short_share`` of all their words
-    are equal (by default word for word). ``doc_word`` is the first word of the stretch in the document.
+    stretch of the pair. Items with fewer words than that count only whole, where ``share`` of all their words are
+    equal; under five words, where one substitution is more than a fifth, that is word for word. ``doc_word`` is the
+    first word of the stretch in the document.
 
     Documents pass a fixed-size sieve of the benchmark's seeds in one scan; what it lets through is joined
-    on the exact seed hash and only those places are aligned, up to ``reach`` words on each side. Items under
-    ``min_overlap`` words get masks for their length that lose no place with the substitutions ``short_share`` allows
-    (:func:`whole_masks`); items under ``min_item_words`` words are left out. The registered query and the pipeline take
-    :data:`WHOLE`: items of any length, short ones at the same share as long ones.
+    on the exact seed hash and only those places are aligned, up to ``reach`` words on each side. The shifts of a place
+    against an item are gathered first, so both texts travel once however repetitive they are. Items under
+    ``min_overlap`` words get masks for their length that lose no place with the substitutions ``share`` allows
+    (:func:`whole_masks`). ``min_item_words`` leaves shorter items out; by default none.
 
     Null or empty texts and items: never match. Repeated items: each is reported. Repeated documents with
     one id: reported once an item. Null ids stay null. Very long texts: linear. Empty tables: empty result.
@@ -153,7 +153,7 @@ def contaminated(
     items = benchmark.select(F.col(item_col).alias("item"), word_hashes(F.col(item_text)).alias("words")).filter(F.size("words") >= min_item_words)
     items = written(items, "items")
     short = sorted(r.n for r in items.filter(F.size("words") < min_overlap).select(F.size("words").alias("n")).distinct().collect())
-    masks_of = {n: list(whole_masks(n, short_share)) for n in short}
+    masks_of = {n: list(whole_masks(n, share)) for n in short}
     every = list(dict.fromkeys([*masks, *(m for ms in masks_of.values() for m, _ in ms)]))
 
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +176,8 @@ def contaminated(
 
     item_type = items.schema["item"].dataType.simpleString()
     of_items = written(items.mapInArrow(lean(item_seeds), f"item {item_type}, q long, h long"), "item-seeds")
-    sieve = build_sieve(of_items, "h", of_items.count())
+    n_seeds = of_items.count()
+    sieve = build_sieve(of_items, "h", n_seeds)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,34 +212,45 @@ def contaminated(
     found = slim.mapInArrow(lean(places), f"id {id_type}, first long, words array<long>, hits array<struct<h: long, p: long>>")
     found = written(found.withColumn("place", F.monotonically_increasing_id()), "places")
     hits = found.select("place", F.explode("hits").alias("hit")).select("place", F.col("hit.h").alias("h"), F.col("hit.p").alias("p"))
-    lines = hits.join(of_items, "h").select("place", "item", (F.col("p") - F.col("q")).alias("shift")).distinct()
-    pairs = lines.join(found.select("place", "id", "first", "words"), "place").join(
-        items.select("item", F.col("words").alias("item_words")), "item"
-    )
+    if n_seeds <= broadcast_seeds:
+        met = hits.join(F.broadcast(of_items), "h")
+    else:  # a seed that many places share is dealt over 16 tasks
+        salts = of_items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        met = hits.withColumn("salt", F.pmod("place", F.lit(16)).cast("int")).join(salts, ["h", "salt"])
+    # A place is a stretch of one text, so it has no more shifts against an item than the two have words.
+    lines = met.groupBy("place", "item").agg(F.collect_set(F.col("p") - F.col("q")).alias("shifts"))
+    lines = written(lines, "shifts")
+    sized = items.select("item", F.col("words").alias("item_words")).join(lines.groupBy("item").agg(F.count("*").alias("n")), "item")
+    pairs = split_join(lines, sized, "item", lines.count()).join(found.select("place", "id", "first", "words"), "place")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dv, db = _flat(b.column("words"))
             iv, ib = _flat(b.column("item_words"))
             keep, out = [], []
-            for k, (shift, first) in enumerate(zip(b.column("shift").to_pylist(), b.column("first").to_pylist())):
+            for k, (shifts, first) in enumerate(zip(b.column("shifts").to_pylist(), b.column("first").to_pylist())):
                 d, i = dv[db[k] : db[k + 1]], iv[ib[k] : ib[k + 1]]
-                lo, hi = max(0, -shift), min(len(i), len(d) - shift)
-                equal = i[lo:hi] == d[lo + shift : hi + shift]
-                s, e = longest_overlap(equal, share)
-                if len(i) < min_overlap:
-                    # A short item counts whole, words beyond the document's ends as unequal ones.
-                    s, e = (0, len(equal)) if equal.sum() >= least_equal(len(i), short_share) else (0, 0)
-                if e - s >= min_overlap or (len(i) < min_overlap and e):
-                    same = int(equal[s:e].sum())
+                best = None
+                for shift in shifts:
+                    lo, hi = max(0, -shift), min(len(i), len(d) - shift)
+                    equal = i[lo:hi] == d[lo + shift : hi + shift]
+                    if len(i) < min_overlap:
+                        # A short item counts whole, words beyond the document's ends as unequal ones.
+                        s, e = (0, len(equal)) if equal.sum() >= least_equal(len(i), share) else (0, 0)
+                    else:
+                        s, e = longest_overlap(equal, share)
+                    if e - s >= (min_overlap if len(i) >= min_overlap else 1):
+                        same = int(equal[s:e].sum())
+                        best = max(best or (), (same, e - s, -(first + lo + shift + s)))
+                if best:
                     keep.append(k)
-                    out.append((e - s, same, len(i), same / len(i), first + lo + shift + s))
+                    out.append((best[1], best[0], len(i), best[0] / len(i), -best[2]))
             if keep:
                 take = pa.array(keep)
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
                 yield pa.record_batch([b.column("id").take(take), b.column("item").take(take), *(pa.array(c, t) for c, t in zip(zip(*out), types))], ["id", "item", "overlap", "equal", "item_words", "coverage", "doc_word"])
 
-    proven = pairs.select("id", "item", "shift", "first", "words", "item_words").mapInArrow(
+    proven = pairs.select("id", "item", "shifts", "first", "words", "item_words").mapInArrow(
         lean(align), f"id {id_type}, item {item_type}, overlap long, equal long, item_words long, coverage double, doc_word long"
     )
     best = proven.groupBy("id", "item").agg(F.max(F.struct("equal", "overlap", -F.col("doc_word"), "item_words", "coverage")).alias("b"))

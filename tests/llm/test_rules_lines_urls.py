@@ -34,7 +34,20 @@ def test_lines(spark, limit):
     assert got[2].text == "own line 2" and got[50].text == "footer\nx" and got[51].text == ""
 
 
+def test_hot_host_is_cut_by_row(spark):
+    """Copies and null texts of a hot host don't meet in one task, and the result is that of the broadcast way."""
+    rows = [(i, "footer\nsame text" if i % 3 else None, "hot") for i in range(300)] + [(400 + i, f"footer\nown {i}", f"h{i % 9}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    a = line_dedup.drop_boilerplate_lines(docs, broadcast_lines=0, hot_parts=8)
+    assert sorted(map(str, a.collect())) == sorted(map(str, line_dedup.drop_boilerplate_lines(docs).collect()))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    assert a.select(F.spark_partition_id()).distinct().count() > 1
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_lines_odd_cases(spark, odd):
+    rows = line_dedup.drop_boilerplate_lines(odd, broadcast_lines=0)
+    assert rows.count() == 10 and rows.filter("doc_id = 2").first().text is None
     rows = line_dedup.drop_boilerplate_lines(odd)
     assert rows.count() == 10 and rows.filter("doc_id = 2").first().text is None
     assert line_dedup.drop_boilerplate_lines(odd, counts=False).columns == odd.columns
