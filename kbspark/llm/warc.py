@@ -1,8 +1,8 @@
 """WARC output: deterministic sharded archives, and reading them back.
 
 Records are range-sorted by key, written as one gzip member each, and files are rolled by compressed size.
-Headers and digests are made anew from the payload, and nothing in a file depends on clock, host or
-attempt, so the same rows in the same ranges give the same bytes.
+Ranges are exact quantiles of the payload bytes in order of key and digest. Headers and digests are made anew from the
+payload, and nothing in a file depends on clock, host, attempt or partitions, so the same rows give the same bytes.
 """
 
 from __future__ import annotations
@@ -14,23 +14,28 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.llm.shared import file_system, lean, parent_made, small_batches, written
+from kbspark.llm.shared import file_system, lean, parent_made, small_batches, split_join, written
 
 #: One fixed date for all records: the input has none, and a clock would make files differ by run.
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard int, part int, file string, n_records long, n_bytes long, sha1 string, first_key long, last_key long"
 CRLF = b"\r\n"
+#: Compressed bytes that go to the decompressor at once; what lies behind a record's end is copied.
+SLICE = 8192
 
 
 def record_id(key: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'kbspark:page:{key}')}>"
 
 
+def info_id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'kbspark:file:{name}')}>"
+
+
 def labelled_digest(hex_digest: str) -> str:
     """A hex SHA-1 as WARC writes it."""
     return "sha1:" + base64.b32encode(bytes.fromhex(hex_digest)).decode()
@@ -82,7 +87,7 @@ class ArchiveWriter:
         self.out = self.system.open_output_stream(self.temporary)
         self.sha1, self.bytes, self.keys = hashlib.sha1(), 0, []
         self._put(_member(_headers("WARC/1.1", [
-            ("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None).replace("urn:uuid:", f"urn:uuid:{shard:08x}{part:08x}-")),
+            ("WARC-Type", "warcinfo"), ("WARC-Record-ID", info_id(self.name)),
             ("WARC-Date", DATE), ("WARC-Filename", f"{self.name}.warc.gz"), ("Content-Type", "application/warc-fields"), ("Content-Length", "0"),
         ]) + CRLF + CRLF))
 
@@ -109,35 +114,66 @@ def read_records(folder: str, name: str) -> Iterator[tuple[dict[str, str], bytes
     """(WARC headers, block) of each record of an archive, one record in memory at a time."""
     system, path = file_system(folder)
     with system.open_input_stream(f"{path}/{name}", compression=None) as src:
-        rest = b""
+        held, at = memoryview(b""), 0
         while True:
             z, parts = zlib.decompressobj(31), []
             while not z.eof:
-                rest = rest or src.read(1 << 20)
-                if not rest:
+                if at == len(held):
+                    held, at = memoryview(src.read(1 << 20)), 0
+                if not len(held):
                     if parts:
                         raise ValueError(f"{name} ends inside a record")
                     return
-                parts.append(z.decompress(rest))
-                rest = z.unused_data if z.eof else b""
+                some = held[at : at + SLICE]
+                parts.append(z.decompress(some))
+                at += len(some) - len(z.unused_data)
             head, _, body = b"".join(parts).partition(CRLF + CRLF)
             fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split("\r\n")[1:])
             yield fields, body[: int(fields["Content-Length"])]
 
 
-def revisits(pages: DataFrame, key_col: str = "page_id", payload_col: str = "html", min_bytes: int = 1000) -> DataFrame:
-    """``(key, digest, refers)`` of the rows whose payload of ``min_bytes`` bytes or more some row with a larger
-    key has too: ``refers`` is the largest of those keys.
+def revisits(slim: DataFrame, min_bytes: int = 1000) -> DataFrame:
+    """``(key, digest, refers)`` of the rows of ``slim`` (key, digest, bytes) whose payload of ``min_bytes`` bytes or more
+    some row with a larger key has too: ``refers`` is the largest of those keys.
 
-    Only keys and digests move. Digests are grouped with a map-side combine and those that occur once are gone
-    before the join.
+    Digests are grouped with a map-side combine and those that occur once are gone before the join.
     """
-    payload = F.coalesce(F.col(payload_col), F.lit(""))
-    slim = pages.filter(F.octet_length(payload) >= min_bytes).select(
-        F.col(key_col).cast("long").alias("key"), F.sha1(F.encode(payload, "UTF-8")).alias("digest")
-    )
-    groups = slim.groupBy("digest").agg(F.count("*").alias("n"), F.max("key").alias("refers")).filter("n > 1").drop("n")
-    return slim.join(groups, "digest").filter(~F.col("key").eqNullSafe(F.col("refers"))).select("key", "digest", "refers").distinct()
+    some = slim.filter(F.col("bytes") >= min_bytes)
+    groups = some.groupBy("digest").agg(F.count("*").alias("n"), F.max("key").alias("refers")).filter("n > 1")
+    met = split_join(some.select("key", "digest"), groups, "digest", some.count())
+    return met.filter(~F.col("key").eqNullSafe(F.col("refers"))).select("key", "digest", "refers").distinct()
+
+
+def shard_starts(slim: DataFrame, shard_bytes: int) -> list[tuple]:
+    """The least (key, digest) of each shard but the first, where ``shard_bytes`` more bytes are full, in order.
+
+    Exact and the same however ``slim`` is partitioned: rows are sorted by ranges, each range's bytes are added up, and a
+    row's place is that of its range plus that in it.
+    """
+    order = ("none", "key", "digest")  # rows without a key come first
+    ranked = slim.withColumn("none", F.col("key").isNotNull()).repartitionByRange(*order).withColumn("range", F.spark_partition_id())
+    ranked = written(ranked, "warc-ranges")
+    in_order = Window.partitionBy("range").orderBy(*order)
+    sizes = ranked.groupBy("range").agg(F.sum("bytes").alias("size"))  # one row a partition
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    within = F.sum("bytes").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
+    placed = ranked.withColumn("within", within).join(F.broadcast(offsets), "range")
+    shard = F.floor((F.col("offset") + F.col("within")) / F.lit(shard_bytes))
+    starts = placed.groupBy(shard.alias("shard")).agg(F.min(F.struct(*order)).alias("start")).orderBy("shard").collect()
+    return [tuple(r.start) for r in starts[1:]]
+
+
+def _shard_of(none: Column, key: Column, digest: Column, starts: list[tuple]) -> Column:
+    """How many of ``starts`` a row has reached, by two short searches: of blocks of starts, then in the block."""
+    if not starts:
+        return F.lit(0)
+    rows = F.array(*[F.struct(F.lit(n).alias("none"), F.lit(k).cast("long").alias("key"), F.lit(d).alias("digest")) for n, k, d in starts])
+    width = max(1, round(len(starts) ** 0.5))
+    own = F.struct(none.alias("none"), key.alias("key"), digest.alias("digest"))
+    reached = lambda some: F.size(F.filter(some, lambda s: s <= own))
+    block = reached(F.array(*[F.get(rows, F.lit(k)) for k in range(0, len(starts), width)])) - 1
+    return F.when(block < 0, 0).otherwise(block * width + reached(F.slice(rows, F.greatest(block, F.lit(0)) * width + 1, width)))
 
 
 def write_archives(
@@ -148,34 +184,48 @@ def write_archives(
     payload_col: str = "html",
     min_bytes: int = 1000,
     roll_bytes: int = 256 * 1024 * 1024,
+    shard_bytes: int | None = None,
 ) -> DataFrame:
     """Write ``pages`` as archives into ``folder`` and return the manifest, one row a file.
 
     Of rows with equal payloads of ``min_bytes`` bytes or more, that with the largest key is a response and
     the others revisit it; all else are responses. A file ends after the record that takes it past
-    ``roll_bytes`` compressed bytes. Files are complete before they get their names, and only those in the
-    written manifest count.
+    ``roll_bytes`` compressed bytes, and with its shard, which has about ``shard_bytes`` bytes of payload (by default 32 MB,
+    or more where that made over 10,000 shards). Files are complete before they get their names, and only those in the
+    written manifest count; temporary files of lost attempts are swept at the end.
 
     Null payload: empty. Null URL: empty header. Null keys come first and have an empty id header. Rows that
     repeat the largest key with the same payload are all responses. Empty table: no file, empty manifest.
     """
     small_batches(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col), F.lit(""))
+    key, digest = F.col(key_col).cast("long"), F.sha1(F.encode(payload, "UTF-8"))
+    slim = written(pages.select(key.alias("key"), digest.alias("digest"), F.octet_length(payload).cast("long").alias("bytes")), "warc-digests")
+    total = slim.agg(F.sum("bytes")).first()[0] or 0
+    starts = shard_starts(slim, shard_bytes or max(1 << 25, total // 10_000))
     rows = pages.select(
-        F.col(key_col).cast("long").alias("key"), F.sha1(F.encode(payload, "UTF-8")).alias("digest"), F.lit(1).alias("kind"),
-        F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.lit(None).cast("long").alias("refers"),
+        key.alias("key"), digest.alias("digest"), F.lit(1).alias("kind"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"),
+        F.lit(None).cast("long").alias("refers"),
     )
     # Notes of what a row revisits travel to its range on their own and sort just before it, so that payloads
     # are shuffled once.
-    notes = revisits(pages, key_col, payload_col, min_bytes).select(
+    notes = revisits(slim, min_bytes).select(
         "key", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "refers"
     )
-    dealt = rows.unionByName(notes).repartitionByRange("key", "digest").sortWithinPartitions("key", "digest", "kind", "url")
+    both = rows.unionByName(notes)
+    both = both.withColumn("shard", _shard_of(F.col("key").isNotNull(), F.col("key"), F.col("digest"), starts).cast("int"))
+    # A shard is in one task as a whole, whatever ranges of shards Spark takes.
+    dealt = both.repartitionByRange(len(starts) + 1, "shard").sortWithinPartitions("shard", "key", "digest", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, writer, part, out, note = TaskContext.get().partitionId(), None, 0, [], (None, None, None)
+        shard, writer, part, out, note = -1, None, 0, [], (None, None, None)
+
+        def closed() -> None:
+            if writer:
+                out.append((shard, part, *writer.close()))
+
         for batch in batches:
-            keys, urls, texts, refers, digests, kinds = (batch.column(n) for n in ("key", "url", "payload", "refers", "digest", "kind"))
+            shards, keys, urls, texts, refers, digests, kinds = (batch.column(n) for n in ("shard", "key", "url", "payload", "refers", "digest", "kind"))
             for i in range(batch.num_rows):
                 key = keys[i].as_py()
                 if kinds[i].as_py() == 0:
@@ -185,19 +235,26 @@ def write_archives(
                 digest = hashlib.sha1(payload).hexdigest()
                 if digest != digests[i].as_py():
                     raise ValueError(f"payload of record {key} changed between its digest and its writing")
+                if shards[i].as_py() != shard:
+                    closed()
+                    shard, writer, part = shards[i].as_py(), None, 0
+                elif writer and writer.bytes >= roll_bytes:
+                    closed()
+                    writer, part = None, part + 1
                 writer = writer or ArchiveWriter(folder, shard, part)
                 refers_to = note[2] if note[:2] == (key, digest) else None
                 writer.add(key, record(key, urls[i].as_py(), payload, refers_to, digest))
-                if writer.bytes >= roll_bytes:
-                    out.append((shard, part, *writer.close()))
-                    writer, part = None, part + 1
-        if writer:
-            out.append((shard, part, *writer.close()))
+        closed()
         names = [f.split(" ")[0] for f in MANIFEST.split(", ")]
         types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(names), types)], names)
 
-    return written(dealt.mapInArrow(lean(write), MANIFEST), "warc-manifest")
+    manifest = written(dealt.mapInArrow(lean(write), MANIFEST), "warc-manifest")
+    system, path = file_system(folder)
+    left = f"{path}/_temporary"
+    if system.get_file_info(left).type.name == "Directory":
+        system.delete_dir(left)
+    return manifest
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:

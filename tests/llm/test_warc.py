@@ -1,6 +1,8 @@
 import gzip
 import hashlib
 import os
+import uuid
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -18,16 +20,38 @@ def test_round_trip(spark, tmp_path):
         body = (html or "").encode()
         assert got[key].payload_bytes == len(body) and got[key].payload_digest == hashlib.sha1(body).hexdigest()
     assert {k: (r.record_type, r.refers_to) for k, r in got.items() if r.record_type == "revisit"} == {1: ("revisit", 9), 2: ("revisit", 9), None: ("revisit", 9)}
-    assert made.count() > 1 and not os.listdir(tmp_path / "_temporary")
+    assert made.count() > 1 and not os.path.exists(tmp_path / "_temporary")
     for row in made.collect():
         data = (tmp_path / row.file).read_bytes()
         assert hashlib.sha1(data).hexdigest() == row.sha1 and gzip.decompress(data).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
 
 
 def test_same_rows_same_bytes(spark, tmp_path):
-    pages = spark.createDataFrame([(i, f"u{i}", "z" * (i * 40)) for i in range(60)], "page_id long, url string, html string").coalesce(1)
-    made = [warc.write_archives(pages, str(tmp_path / d)).orderBy("shard", "part").select("file", "sha1").collect() for d in "ab"]
-    assert made[0] == made[1]
+    """Whatever the partitions; and shards are exact quantiles of the payload bytes."""
+    rows = [(i if i % 7 else None, f"u{i}", f"{i % 50}" + "z" * (i * 40)) for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = []
+    for n in (1, 3, 8):
+        folder = str(tmp_path / str(n))
+        manifest = warc.write_archives(pages.repartition(n), folder, shard_bytes=50_000)
+        made.append(manifest.orderBy("shard", "part").select("shard", "part", "file", "n_records", "sha1").collect())
+        assert warc.read_archives(manifest, folder).count() == 120
+    assert made[0] == made[1] == made[2] and len(made[0]) > 3
+    order = sorted(((k is not None, k or 0, hashlib.sha1(t.encode()).hexdigest(), len(t)) for k, _, t in rows))
+    at, want = 0, Counter()
+    for _, _, _, n in order:
+        want[at // 50_000] += 1
+        at += n
+    assert [r.n_records for r in made[0]] == [want[k] for k in sorted(want)]
+
+
+def test_ids_are_uuids(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "a" * 30)] * 400 + [(None, "u", None)], "page_id long, url string, html string")
+    made = warc.write_archives(pages, str(tmp_path))
+    records = [fields for r in made.collect() for fields, _ in warc.read_records(str(tmp_path), r.file)]
+    assert len(records) == 401 + made.count()
+    for fields in records:
+        assert str(uuid.UUID(fields["WARC-Record-ID"][1:-1].removeprefix("urn:uuid:"))) in fields["WARC-Record-ID"]
 
 
 def test_repeats_and_empty(spark, tmp_path):
