@@ -225,7 +225,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, shin
     # Bands with two nodes or more, each row with its band's least node.
     each = nodes.select("node", "size", F.explode("bands").alias("band"))
     shared = each.groupBy("band").agg(F.min(F.struct("node", "size")).alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    members = split_join(each, shared, "band", bands * nodes.count())
+    members = split_join(each, written(shared, "shared-bands"), "band", bands * nodes.count())
     members = written(members.select("band", "node", "size", "n", F.col("leader.node").alias("leader"), F.col("leader.size").alias("leader_size")), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "key", "print"), "node")
     bags = written(_bags(docs, id_col, text_col, shingle, written(wanted, "wanted")), "bags")

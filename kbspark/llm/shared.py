@@ -95,11 +95,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def split_join(rows: DataFrame, keyed: DataFrame, key: str, total: int, count: str = "n", parts: int = 256) -> DataFrame:
+def split_join(rows: DataFrame, keyed: DataFrame, key: str, total: int, count: str = "n", parts: int = 256, floor: int = 100_000) -> DataFrame:
     """``rows`` inner-joined on ``key`` with ``keyed``, which has one slim row a key and the number of its ``rows`` in
     ``count``, so that no task gets all rows of a hot key: a key with more than ``total / parts`` of the ``total`` rows
-    goes to all tasks by broadcast, and there are fewer than ``parts`` of them; the others are shuffled."""
-    hot = F.col(count) > F.lit(total // parts)
+    goes to all tasks by broadcast, and there are fewer than ``parts`` of them; the others are shuffled. Keys of up to
+    ``floor`` rows, a few megabytes, are never hot, and where none is hot it is a plain join."""
+    limit = max(total // parts, floor)
+    hot = F.col(count) > F.lit(limit)
+    if total <= limit or keyed.filter(hot).isEmpty():
+        return rows.join(keyed, key)
     some = F.broadcast(keyed.filter(hot))
     rest = rows.join(some.select(key), key, "left_anti").join(keyed.filter(~hot), key)
     return rows.join(some, key).unionByName(rest)

@@ -1,8 +1,11 @@
 import random
 from collections import Counter
+from functools import partial
 
+import pytest
 from pyspark.sql import functions as F
 
+from kbspark.llm import components as components_module
 from kbspark.llm import near_dup
 from kbspark.llm.components import components
 from kbspark.llm.shared import split_join
@@ -96,8 +99,9 @@ def test_split_join_keeps_every_row(spark):
     rows = [(0, k) for k in range(900)] + [(k, k) for k in range(1, 200)]
     left = spark.createDataFrame(rows, "a long, b long")
     keyed = left.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m")).filter("a % 3 <> 1")
-    got = sorted((r.a, r.b, r.m) for r in split_join(left, keyed, "a", len(rows)).collect())
-    assert got == sorted((a, b, a) for a, b in rows if a % 3 != 1)
+    for floor in (0, 100_000):
+        got = sorted((r.a, r.b, r.m) for r in split_join(left, keyed, "a", len(rows), floor=floor).select("a", "b", "m").collect())
+        assert got == sorted((a, b, a) for a, b in rows if a % 3 != 1)
 
 
 def test_blocks_meet_every_open_pair_once_sent_linearly(spark):
@@ -135,7 +139,9 @@ def test_crowd_in_one_band(spark):
     assert {r.doc_id: r.class_id for r in got} == brute(rows)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("floor", [0, 100_000])
+def test_components(spark, monkeypatch, floor):
+    monkeypatch.setattr(components_module, "split_join", partial(split_join, floor=floor))
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(200, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and all(got[k] == 100 for k in range(100, 140)) and 200 not in got
