@@ -60,27 +60,47 @@ def matched_rule(host: Column, path: Column, rules=FIXED_RULES) -> tuple[Column,
     return name, says
 
 
+def _folded(rows: DataFrame, least: float) -> DataFrame:
+    """``(token, name, members)`` of the tokens that occur with the mark in at least ``least`` rows of ``rows`` (row,
+    tokens, bad): tokens found in exactly the same rows are one item, named by the least of them."""
+    each = rows.select("row", "bad", F.explode("tokens").alias("token"))
+    found = each.groupBy("token").agg(
+        F.count_if("bad").alias("bad"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(row))").alias("x"), F.expr("bit_xor(xxhash64(row, 1))").alias("y")
+    )
+    classes = found.filter(F.col("bad") >= least).groupBy("n", "x", "y").agg(F.sort_array(F.collect_list("token")).alias("members"))
+    return classes.select(F.explode("members").alias("token"), F.col("members")[0].alias("name"), "members")
+
+
 def mined_rules(
     labelled: DataFrame, min_support: float = 0.002, min_count: int = 5, min_confidence: float = 0.5
 ) -> DataFrame:
-    """``(antecedent array<string>, confidence, support)`` of token sets that mark bad URLs.
+    """``(antecedent array<string>, members array<array<string>>, confidence, support)`` of token sets that mark bad URLs.
 
     ``labelled`` has ``url`` and ``bad`` (boolean). Spark's FP-growth counts the token sets; a rule stays if
     its set and the mark occur together in ``min_support`` of the rows and in ``min_count`` rows, at
     ``min_confidence``, and if no part of it is a rule already. Rules may have any number of tokens.
+
+    Tokens that can't be in a rule are taken out before mining, and those that always occur together are one item: a site
+    whose URLs share 30 tokens has one set and not 2 ** 30. ``members`` has the tokens of each item of ``antecedent``, any
+    of which stands for it.
     """
-    tokens = url_tokens(F.col("url"))
-    items = written(
+    rows = written(
         labelled.filter(F.col("url").isNotNull()).select(
-            F.when(F.coalesce(F.col("bad"), F.lit(False)), F.concat(tokens, F.array(F.lit(BAD)))).otherwise(tokens).alias("items")
+            F.monotonically_increasing_id().alias("row"), F.array_distinct(url_tokens(F.col("url"))).alias("tokens"), F.coalesce(F.col("bad"), F.lit(False)).alias("bad")
         ),
-        "url-items",
+        "url-tokens",
     )
-    n = items.count()
-    empty = items.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support double")
+    n = rows.count()
+    empty = rows.sparkSession.createDataFrame([], "antecedent array<string>, members array<array<string>>, confidence double, support double")
     if n == 0:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min_confidence).fit(items)
+    support = min(1.0, max(min_support, min_count / n))
+    tokens = written(_folded(rows, support * n - 1e-9), "url-items")
+    names = rows.select("row", F.explode("tokens").alias("token")).join(tokens.filter("token = name").select("token"), "token")
+    items = names.groupBy("row").agg(F.collect_list("token").alias("items")).join(rows.select("row", "bad"), "row", "right")
+    marked = F.coalesce("items", F.array().cast("array<string>"))
+    items = written(items.select(F.when(F.col("bad"), F.concat(marked, F.array(F.lit(BAD)))).otherwise(marked).alias("items")), "url-baskets")
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.filter(
         (F.size("consequent") == 1) & (F.col("consequent")[0] == BAD)
     ).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
@@ -90,7 +110,10 @@ def mined_rules(
     each = rules.select("antecedent", F.explode("antecedent").alias("token"))
     inside = (F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0)
     redundant = each.join(parts, "token").filter(inside).select("antecedent").distinct()
-    return rules.join(redundant, "antecedent", "left_anti")
+    kept = rules.join(redundant, "antecedent", "left_anti")
+    named = tokens.filter("token = name").select("name", "members")
+    wide = kept.select("antecedent", F.explode("antecedent").alias("name")).join(named, "name").groupBy("antecedent").agg(F.collect_list("members").alias("members"))
+    return kept.join(wide, "antecedent").select("antecedent", "members", "confidence", "support")
 
 
 def _filed(rules: DataFrame) -> DataFrame:
@@ -100,22 +123,37 @@ def _filed(rules: DataFrame) -> DataFrame:
     return each.join(common, "token").groupBy("antecedent").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
 
 
-def rule_hits(pages: DataFrame, rules: DataFrame, broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
-    """Distinct ``url`` of ``pages`` that some rule fits, by an inverted index from token to rules.
+def rule_hits(urls: DataFrame, rules: DataFrame, broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
+    """The ``url`` of ``urls`` (distinct) that some rule fits, by an inverted index from token to rules.
 
-    Each rule is filed under one token, the one that fewest rules share, and only URLs with that token look
-    at it; the rest of the rule is then checked in place.
+    Each rule is filed under the tokens of one item, that which fewest rules share, and only URLs with such a token
+    look at it; the rest of the rule is then checked in place.
     """
-    rules = written(rules.select("antecedent"), "pruned-rules")
-    index = _filed(rules).groupBy("token").agg(F.collect_set("antecedent").alias("rules"))
+    rules = written(rules.select("antecedent", "members"), "pruned-rules")
+    filed = rules.join(_filed(rules).withColumnRenamed("token", "name"), "antecedent")
+    under = F.element_at(F.filter("members", lambda m: F.array_contains(m, F.col("name"))), 1)
+    index = filed.select("members", F.explode(under).alias("token")).groupBy("token").agg(F.collect_list("members").alias("rules"))
     if rules.count() <= broadcast_rules:
         index = F.broadcast(index)
-    urls = pages.select("url").filter(F.col("url").isNotNull()).withColumn("tokens", url_tokens(F.col("url")))
-    met = urls.withColumn("token", F.explode("tokens")).join(index, "token")
-    fits = F.exists("rules", lambda r: F.size(F.array_except(r, F.col("tokens"))) == 0)
+    met = urls.select("url", url_tokens(F.col("url")).alias("tokens")).withColumn("token", F.explode("tokens")).join(index, "token")
+    fits = F.exists("rules", lambda r: F.forall(r, lambda m: F.arrays_overlap(m, F.col("tokens"))))
     return met.filter(fits).select("url").distinct()
 
 
+def _judged(pages: DataFrame, urls: DataFrame, total: int, parts: int = 256) -> DataFrame:
+    """``pages`` with ``__hit`` of ``urls`` (url, n, hit). URLs with more than ``total / parts`` of the pages, fewer than
+    ``parts``, are looked up in a broadcast, and neither they nor null URLs meet in one task."""
+    hot = F.col("n") > F.lit(total // parts)
+    some = F.broadcast(urls.filter(hot).select(F.col("url").alias("__hot"), F.col("hit").alias("__hot_hit")))
+    rest = urls.filter(~hot & F.col("hit")).select(F.col("url").alias("__url"), F.lit(True).alias("__cold_hit"))
+    # Rows that are settled get a key of their own, which no URL equals.
+    own = F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))
+    looked = pages.join(some, F.col("url") == F.col("__hot"), "left")
+    keyed = looked.withColumn("__key", F.when(F.col("url").isNull() | F.col("__hot").isNotNull(), own).otherwise(F.col("url")))
+    joined = keyed.join(rest, F.col("__key") == F.col("__url"), "left")
+    return joined.withColumn("__hit", F.coalesce("__hot_hit", "__cold_hit", F.lit(False)))
+
+
 def filter_urls(
     pages: DataFrame,
     labelled: DataFrame,
@@ -132,13 +170,14 @@ def filter_urls(
     alike, since the verdict depends on the URL alone. Empty tables: no rules, or an empty result. Columns
     of ``pages`` with the names of result columns are replaced.
     """
-    hits = rule_hits(pages, mined_rules(labelled, min_support, min_count, min_confidence))
-    hits = hits.select(F.col("url").alias("__url"), F.lit(True).alias("__hit"))
+    urls = written(pages.filter(F.col("url").isNotNull()).groupBy("url").agg(F.count("*").alias("n")), "urls")
+    hits = rule_hits(urls, mined_rules(labelled, min_support, min_count, min_confidence))
+    urls = written(urls.join(hits.withColumn("hit", F.lit(True)), "url", "left").fillna(False, "hit"), "judged-urls")
     out = ("host", "path", "rule", "mined", "verdict")
-    joined = pages.join(hits, F.col("url") == F.col("__url"), "left")
+    joined = _judged(pages, urls, pages.count())
     name, says = matched_rule(F.col("host"), F.col("path"), fixed_rules)
     return (
         joined.withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url"))})
-        .withColumns({"rule": name, "mined": F.coalesce(F.col("__hit"), F.lit(False)), "verdict": F.coalesce(says, F.when(F.col("__hit"), "block").otherwise("allow"))})
+        .withColumns({"rule": name, "mined": F.col("__hit"), "verdict": F.coalesce(says, F.when(F.col("__hit"), "block").otherwise("allow"))})
         .select(*[c for c in pages.columns if c not in out], *out)
     )

@@ -74,8 +74,8 @@ def test_mined_rules(spark):
     rows = [(f"http://spam.net/buy/{i}", True) for i in range(30)] + [(f"http://fine.net/read/{i}", i % 10 == 0) for i in range(60)] + [(None, True), ("http://x.net/y", None)]
     labelled = spark.createDataFrame(rows, "url string, bad boolean")
     rules = url_rules.mined_rules(labelled)
-    found = {tuple(r.antecedent) for r in rules.collect()}
-    assert ("h:spam",) in found and ("p:buy",) in found and all(len(a) == 1 for a in found)
+    found = {m for r in rules.collect() for m in r.members[0]}
+    assert "h:spam" in found and "p:buy" in found and all(len(r.antecedent) == 1 for r in rules.collect())
     pages = spark.createDataFrame([(1, "https://spam.net/other"), (2, "http://fine.net/read/9"), (2, "http://fine.net/read/9"), (3, None)], "page_id long, url string")
     got = sorted((r.page_id, r.mined, r.verdict) for r in url_rules.filter_urls(pages, labelled).collect())
     assert got == [(1, True, "block"), (2, False, "allow"), (2, False, "allow"), (3, False, "allow")]
@@ -86,7 +86,7 @@ def test_mined_rules(spark):
 def test_rules_of_any_length_against_brute_force(spark):
     """Only host label, folder, query key and fragment mark together are bad; any three of them are so half the time
     at most, and less where more good rows have them."""
-    from itertools import combinations
+    from itertools import combinations, product
 
     parts = ["q.net", "/buy", "?ref=1", "#x"]
     rows = []
@@ -103,8 +103,20 @@ def test_rules_of_any_length_against_brute_force(spark):
                 bad[s] = bad.get(s, 0) + r.bad
     rules = {s for s in bad if bad[s] >= 5 and bad[s] >= 0.5 * every[s]}
     least = {s for s in rules if not any(set(o) < set(s) for o in rules)}
-    got = {tuple(r.antecedent) for r in url_rules.mined_rules(labelled).collect()}
+    got = {tuple(sorted(s)) for r in url_rules.mined_rules(labelled).collect() for s in product(*r.members)}
     assert got == least and min(map(len, got)) == 4
     pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
     blocked = {r.page_id for r in url_rules.filter_urls(pages, labelled).filter("mined").collect()}
     assert blocked == {i for i, (_, b) in enumerate(rows) if b}
+
+
+def test_site_with_many_common_tokens(spark):
+    """40 tokens in every bad URL are one item; a page with any one of them is met, and repeated and null URLs keep rows."""
+    long = "/".join(f"part{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40))
+    rows = [(f"http://bad.net/{long}/{i}", True) for i in range(20)] + [(f"http://good.org/x/{i}", False) for i in range(30)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    rules = url_rules.mined_rules(labelled).collect()
+    assert len(rules) == 1 and len(rules[0].members[0]) == 42
+    pages = spark.createDataFrame([(i, "http://z.org/partbc") for i in range(50)] + [(60, None), (61, None), (62, "http://z.org/none"), (63, "http://bad.com/")], "page_id long, url string")
+    got = {r.page_id: r.mined for r in url_rules.filter_urls(pages, labelled).collect()}
+    assert got == {**{i: True for i in range(50)}, 60: False, 61: False, 62: False, 63: True}
