@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.functions.chunking import TARGET, chunk_column
+from kbspark.functions.chunking import TARGET, chunk_rows
 from kbspark.functions.text import CrawlSettings, group_url, keep_para, kept_paragraphs, paragraphs, strip_block_marker, trim
 
 
@@ -20,9 +20,8 @@ def chunk_id(domain: Column, url: Column, content: Column) -> Column:
 
 def chunk_pages(pages: DataFrame, paras: Column) -> DataFrame:
     """One row for each chunk of each page (``domain, page_seq, url`` and an array of kept paragraphs)."""
-    bare = F.transform(paras, strip_block_marker)
-    made = pages.select("domain", "page_seq", "url", chunk_column(bare, F.col("url")).alias("chunks"))
-    return made.select("domain", "page_seq", "url", F.explode("chunks").alias("c")).select("domain", "page_seq", "url", "c.*")
+    slim = pages.select("domain", "page_seq", "url", F.transform(paras, strip_block_marker).alias("paras"))
+    return chunk_rows(slim, F.col("paras")).drop("paras")
 
 
 def chunk_texts(pages: DataFrame, settings: CrawlSettings = CrawlSettings()) -> DataFrame:
@@ -123,8 +122,9 @@ def entry_chunks(entries: DataFrame) -> DataFrame:
     """Chunks of manual entries and uploads (``domain, source, label, text``): they carry content, label and
     source and no headings or index. An entry without any chunk is rejected, so it has no row."""
     url = F.concat(F.col("source"), F.lit("://"), F.col("domain"), F.lit("/"), F.col("label"))
-    made = entries.select("domain", "source", F.col("label").alias("entry"), url.alias("url"), chunk_column(F.transform(kept_paragraphs(F.col("text")), strip_block_marker), url).alias("chunks"))
-    return made.select("domain", "source", F.col("entry").alias("label"), "url", F.explode("chunks").alias("c")).select("domain", "source", "label", "url", "c.content")
+    bare = F.transform(kept_paragraphs(F.col("text")), strip_block_marker)
+    named = entries.select("domain", "source", F.col("label").alias("entry"), url.alias("url"), bare.alias("paras"))
+    return chunk_rows(named, F.col("paras")).select("domain", "source", F.col("entry").alias("label"), "url", "content")
 
 
 def replace_entry_chunks(chunks: DataFrame, fresh: DataFrame) -> DataFrame:
