@@ -11,6 +11,7 @@ from kbspark.operators.chunks import chunk_id, chunk_pages, dedup_chunks, embed_
 from kbspark.operators.crawl import changed_thin_groups, diff_pages, page_hash_updates
 from kbspark.operators.paragraphs import dedup_paragraphs, rebuild_pages, split_pages
 from kbspark.sources.pages import crawled_pages
+from kbspark.sources.shared import saved
 
 
 #: Repeated pages whose keys may be broadcast, about 50 bytes each.
@@ -28,22 +29,31 @@ def first_of_each_url(pages: DataFrame, broadcast_pages: int = BROADCAST_PAGES)
     return pages.join(repeats, ["domain", "page_seq"], "left_anti")
 
 
-def extracted_pages(raw: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """``(domain, page_seq, url, text, content_hash, priority, links, outline, used_renderer)`` of raw pages."""
-    read = crawled_pages(raw).withColumn("page", page_column(F.col("html"), exclude))
+def extracted_pages(raw: DataFrame) -> DataFrame:
+    """``(domain, page_seq, url, text, content_hash, priority, links, needs_render)`` of raw pages."""
+    read = crawled_pages(raw).withColumn("page", page_column(F.col("html")))
     return read.select(
         "domain", "page_seq", "url", F.col("page.text").alias("text"), content_hash(F.col("page.text")).alias("content_hash"),
-        priority(F.col("url")).alias("priority"), F.col("page.links").alias("links"), F.col("page.outline").alias("outline"), F.col("page.needs_render").alias("needs_render"),
+        priority(F.col("url")).alias("priority"), F.col("page.links").alias("links"), F.col("page.needs_render").alias("needs_render"),
     )
 
 
 def build_chunks(pages: DataFrame, settings: CrawlSettings = CrawlSettings()) -> DataFrame:
     """All chunks of pages with ``text``: boilerplate out, long pages chunked, thin pages grouped, equal chunks
-    once. Thin pages are cut from their original text, not the deduplicated one."""
-    kept = dedup_paragraphs(split_pages(pages, settings))
-    rebuilt = rebuild_pages(pages, kept)
+    once. Thin pages are cut from their original text, not the deduplicated one.
+
+    The texts are saved once, so html is read by one task a page, and so are the rebuilt pages that both branches use.
+    """
+    pages = saved(pages.select("domain", "page_seq", "url", "text"), "page-texts")
+    return _chunks_of(pages, pages, settings)
+
+
+def _chunks_of(pages: DataFrame, thin: DataFrame, settings: CrawlSettings) -> DataFrame:
+    """Chunks of ``pages`` that aren't thin, and of the groups of ``thin``: those that are, where it is ``pages`` itself."""
+    rebuilt = saved(rebuild_pages(pages, dedup_paragraphs(split_pages(pages, settings))), "rebuilt-pages")
     normal = chunk_pages(rebuilt.filter("NOT thin"), F.col("paras"))
-    thin = pages.join(rebuilt.filter("thin").select("domain", "page_seq"), ["domain", "page_seq"], "left_semi")
+    if thin is pages:
+        thin = pages.join(rebuilt.filter("thin").select("domain", "page_seq"), ["domain", "page_seq"], "left_semi")
     return dedup_chunks(normal.unionByName(group_thin_pages(thin, settings)))
 
 
@@ -56,11 +66,9 @@ def stored_chunks(chunks: DataFrame, embed, now: Column, known: DataFrame | None
 def refresh_chunks(diffed: DataFrame, settings: CrawlSettings = CrawlSettings()) -> DataFrame:
     """Chunks that a refresh writes: of changed pages, deduplicated among themselves, and of thin groups with a
     changed member. A changed page that turns out thin after dedup gives none and keeps its old chunks."""
+    diffed = saved(diffed, "diffed-pages")
     changed = diffed.filter("change = 'changed'").select("domain", "page_seq", "url", "text")
-    rebuilt = rebuild_pages(changed, dedup_paragraphs(split_pages(changed, settings)))
-    normal = chunk_pages(rebuilt.filter("NOT thin"), F.col("paras"))
-    thin = changed_thin_groups(diffed).select("domain", "page_seq", "url", "text")
-    return dedup_chunks(normal.unionByName(group_thin_pages(thin, settings)))
+    return _chunks_of(changed, changed_thin_groups(diffed).select("domain", "page_seq", "url", "text"), settings)
 
 
 def refresh(crawled: DataFrame, stored: DataFrame, settings: CrawlSettings = CrawlSettings()) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -5,11 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """An unused folder below the one that ``spark.checkpoint.dir`` names; below a fresh local one where that is
-    unset, which is right only in local mode."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kbspark-")
+    """An unused folder below the one that ``spark.checkpoint.dir`` names. In local mode that may be unset, and a fresh
+    local one is taken; on a cluster its absence is an error, since executors wouldn't find a folder of the driver's."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="kbspark-")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into a shared folder and read again, so that what follows uses it without making it
+    anew. The files stay until the caller clears the shared folder."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
