@@ -16,22 +16,20 @@ from pyspark.sql import functions as F
 from kbspark.functions.text import GENERATORS, SCRIPT_SOURCES
 
 #: Kinds of elements.
-DROPPED = frozenset("head nav footer script style noscript template".split())
-LEAVES = frozenset("p dt dd td th blockquote figcaption address".split())
-BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li td th article section blockquote main ul ol table tr figure figcaption address".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+DROPPED = frozenset({"head", "nav", "footer", "script", "style", "noscript", "template"})
+LEAVES = frozenset({"p", "dt", "dd", "td", "th", "blockquote", "figcaption", "address"})
+BLOCKS = frozenset({"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "article", "section", "blockquote", "main", "ul", "ol", "table", "tr", "figure", "figcaption", "address"})
+VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
 #: A start tag of the key ends open elements of the value, up to a barrier.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 ENDS_P = BLOCKS - {"td", "th", "tr", "li"} | {"header", "nav", "footer", "form", "pre", "hr", "dl", "dt", "dd", "li", "aside", "details", "fieldset"}
 BARRIERS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table"}, "option": {"select"}}
-P_BARRIERS = frozenset("td th table button caption object marquee html body".split())
-OUTLINE_SKIPS = frozenset("script style noscript svg path head".split())
+P_BARRIERS = frozenset({"td", "th", "table", "button", "caption", "object", "marquee", "html", "body"})
 _SPACE = "\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _TRIM = "".join(chr(k) for k in (9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
-_SCRIPTS = re.compile(SCRIPT_SOURCES, re.I)
+_SCRIPTS = re.compile("|".join(SCRIPT_SOURCES), re.I)
 _GENERATORS = re.compile(GENERATORS, re.I)
 _PROTECTED = "/cdn-cgi/l/email-protection#"
-_SELECTOR = re.compile(r"([a-z][a-z0-9-]*|\*)?((?:[#.][\w-]+|\[[\w-]+(?:=[\"']?[^\]\"']*[\"']?)?\])*)$", re.I)
 
 
 def protected_email(code: str) -> str | None:
@@ -43,61 +41,23 @@ def protected_email(code: str) -> str | None:
     return "".join(chr(b ^ data[0]) for b in data[1:]) if data else None
 
 
-class Selector:
-    """A simple CSS selector: tag, #id, .class and [attribute] or [attribute=value] tests on one element."""
-
-    def __init__(self, text: str):
-        found = _SELECTOR.match(text.strip())
-        if not found or not text.strip():
-            raise ValueError(f"not a simple selector: {text!r}")
-        self.tag = None if found[1] in (None, "*") else found[1].lower()
-        self.tests = re.findall(r"([#.])([\w-]+)|\[([\w-]+)(?:=[\"']?([^\]\"']*)[\"']?)?\]", found[2] or "")
-
-    def fits(self, tag: str, attrs: dict) -> bool:
-        if self.tag and self.tag != tag:
-            return False
-        for kind, name, key, value in self.tests:
-            if kind == "#" and attrs.get("id") != name:
-                return False
-            if kind == "." and name not in (attrs.get("class") or "").split():
-                return False
-            if key and (key not in attrs or value and attrs[key] != value):
-                return False
-        return True
-
-
-def selectors(texts) -> list[Selector]:
-    """Those of ``texts`` that can be read; the others are left out, as an unknown selector selects nothing."""
-    out = []
-    for t in texts:
-        try:
-            out.append(Selector(t))
-        except ValueError:
-            continue
-    return out
-
-
 class _Element:
-    __slots__ = ("tag", "parts", "items", "silent", "line", "own", "children")
+    __slots__ = ("tag", "parts", "items", "silent")
 
     def __init__(self, tag: str, silent: bool):
         self.tag, self.silent = tag, silent
         self.parts: list[str] = []
         self.items: list[str] = []
-        self.line: int | None = None  # of the outline
-        self.own: list[str] = []
-        self.children = 0
 
 
 class PageReader(HTMLParser):
-    """Reads a page once and keeps its text, links, outline and signs of a script framework."""
+    """Reads a page once and keeps its text, links and signs of a script framework."""
 
-    def __init__(self, exclude=(), keep_nav_links: bool = False):
+    def __init__(self, keep_nav_links: bool = False):
         super().__init__(convert_charrefs=True)
-        self.exclude, self.keep_nav_links = exclude, keep_nav_links
+        self.keep_nav_links = keep_nav_links
         self.open = [_Element("#page", False)]
         self.links: list[str] = []
-        self.outline: list[list] = []
         self.framework = False
 
     # Elements
@@ -116,8 +76,7 @@ class PageReader(HTMLParser):
         if tag in ENDS_P:
             self._end({"p"}, P_BARRIERS)
         parent = self.open[-1]
-        parent.children += 1
-        silent = parent.silent or tag in DROPPED or any(s.fits(tag, attrs) for s in self.exclude)
+        silent = parent.silent or tag in DROPPED
         if tag == "br":
             parent.parts.append("\n")
         email = None
@@ -126,15 +85,12 @@ class PageReader(HTMLParser):
         if email is not None:
             if not parent.silent:
                 parent.parts.append(email)
-                parent.own.append(email)
             silent = True
         elif tag == "a" and (not silent or self.keep_nav_links) and attrs.get("href") and not attrs["href"].startswith(("#", "mailto:")):
             self.links.append(attrs["href"])
         if tag in VOID:
             return
-        element = _Element(tag, silent)
-        self._outline(element, tag, attrs)
-        self.open.append(element)
+        self.open.append(_Element(tag, silent))
 
     def handle_startendtag(self, tag, attributes):
         self.handle_starttag(tag, attributes)
@@ -154,7 +110,6 @@ class PageReader(HTMLParser):
         top = self.open[-1]
         if not top.silent:
             top.parts.append(data)
-        top.own.append(data)
 
     def _end(self, tags, barriers):
         for k in range(len(self.open) - 1, 0, -1):
@@ -168,8 +123,6 @@ class PageReader(HTMLParser):
     def _close(self):
         e = self.open.pop()
         parent = self.open[-1]
-        if e.line is not None:
-            self.outline[e.line][2:] = [e.own, e.children]
         if e.silent or parent.silent:
             return
         inner = "".join(e.parts)
@@ -201,16 +154,6 @@ class PageReader(HTMLParser):
         elif "data-reactroot" in attrs or "data-v-app" in attrs or attrs.get("id") in ("__next", "__nuxt"):
             self.framework = True
 
-    def _outline(self, element, tag, attrs):
-        depth = len(self.open) - 1
-        shown = depth == 0 or self.open[-1].line is not None
-        if not shown or depth > 3 or tag in OUTLINE_SKIPS or len(self.outline) >= 6000:
-            return
-        classes = "".join("." + c for c in attrs.get("class", "").split()[:3])
-        name = tag + ("#" + attrs["id"] if attrs.get("id") else "") + classes
-        element.line = len(self.outline)
-        self.outline.append([depth, name, element.own, 0])
-
     def text(self) -> str:
         while len(self.open) > 1:
             self._close()
@@ -218,42 +161,26 @@ class PageReader(HTMLParser):
         t = re.sub(r" *\n *", "\n", t)
         return re.sub(r"\n{3,}", "\n\n", t).strip(_TRIM)
 
-    def dom_outline(self, limit: int = 6000) -> str:
-        lines, hidden = [], None
-        for depth, name, own, children in self.outline:
-            if hidden is not None and depth > hidden:
-                continue
-            hidden = None
-            said = re.sub(f"[{_SPACE}]+", " ", "".join(own)).strip(_TRIM)[:50]
-            if not said and not children:
-                hidden = depth
-                continue
-            lines.append("  " * depth + name + (f' "{said}"' if said else ""))
-        out = "\n".join(lines)
-        return out if len(out) <= limit else out[:limit] + "\n[truncated]"
-
-
-def read_page(html: str | None, exclude=(), keep_nav_links: bool = False) -> dict:
-    """Text, links, outline and whether the page seems to need a browser to render. Links in dropped parts,
+
+def read_page(html: str | None, keep_nav_links: bool = False) -> dict:
+    """Text, links and whether the page seems to need a browser to render. Links in dropped parts,
     such as navigation, are not followed unless ``keep_nav_links`` asks for them."""
-    reader = PageReader(exclude, keep_nav_links)
+    reader = PageReader(keep_nav_links)
     reader.feed(html or "")
     reader.close()
     text = reader.text()
-    return {"text": text, "links": reader.links, "outline": reader.dom_outline(), "framework": reader.framework, "needs_render": reader.framework or "[H1]" not in text}
+    return {"text": text, "links": reader.links, "framework": reader.framework, "needs_render": reader.framework or "[H1]" not in text}
 
 
-PAGE_TYPE = "struct<text: string, links: array<string>, outline: string, framework: boolean, needs_render: boolean>"
+PAGE_TYPE = "struct<text: string, links: array<string>, framework: boolean, needs_render: boolean>"
 
 
-def page_column(html: Column, exclude: tuple[str, ...] = (), keep_nav_links: bool = False) -> Column:
+def page_column(html: Column, keep_nav_links: bool = False) -> Column:
     """The struct of :func:`read_page` for a column of pages. Null pages read as empty."""
-    known = selectors(exclude)
-
     @F.pandas_udf(PAGE_TYPE)
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([read_page(h, known, keep_nav_links) for h in batch], columns=["text", "links", "outline", "framework", "needs_render"])
+            yield pd.DataFrame([read_page(h, keep_nav_links) for h in batch], columns=["text", "links", "framework", "needs_render"])
 
     return read(html)
 

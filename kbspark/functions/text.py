@@ -24,8 +24,20 @@ HEADING = r"^\[H[123]\] "
 PRIORITY = r"(?i)/(menu|hours|events|specials|news|blog|sermons|schedule|calendar)"
 #: Script sources, generators and mount points of pages that render in the browser.
 SCRIPT_SOURCES = (
-    r"\breact\b|\bvue\b|\bangular\b|\bsvelte\b|/_next/|\bnuxt\b|\bgatsby\b|webflow\.com|squarespace\.com"
-    r"|squarecdn\.com|squareupscdn\.com|shopify\.com/s/|wixstatic\.com|weebly\.com"
+    r"\breact\b",
+    r"\bvue\b",
+    r"\bangular\b",
+    r"\bsvelte\b",
+    r"/_next/",
+    r"\bnuxt\b",
+    r"\bgatsby\b",
+    r"webflow\.com",
+    r"squarespace\.com",
+    r"squarecdn\.com",
+    r"squareupscdn\.com",
+    r"shopify\.com/s/",
+    r"wixstatic\.com",
+    r"weebly\.com",
 )
 GENERATORS = r"webflow|squarespace|wix|shopify|squareup"
 

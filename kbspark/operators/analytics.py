@@ -9,12 +9,20 @@ from kbspark.schemas import PRESERVED_SOURCES
 
 #: What each role may do.
 ROLES = {
-    "superadmin": "conversations.view conversations.reply knowledge.view knowledge.edit settings.view settings.edit billing.view billing.edit "
-    "users.view users.manage livechat.use impersonation.use entities.manage",
-    "owner": "conversations.view conversations.reply knowledge.view knowledge.edit settings.view settings.edit billing.view billing.edit "
-    "users.view users.manage livechat.use",
-    "agent": "conversations.view conversations.reply knowledge.view livechat.use",
-    "readonly": "conversations.view knowledge.view settings.view billing.view users.view",
+    "superadmin": [
+        "conversations.view", "conversations.reply", "knowledge.view", "knowledge.edit", "settings.view", "settings.edit",
+        "billing.view", "billing.edit", "users.view", "users.manage", "livechat.use", "impersonation.use", "entities.manage",
+    ],
+    "owner": [
+        "conversations.view", "conversations.reply", "knowledge.view", "knowledge.edit", "settings.view", "settings.edit",
+        "billing.view", "billing.edit", "users.view", "users.manage", "livechat.use",
+    ],
+    "agent": [
+        "conversations.view", "conversations.reply", "knowledge.view", "livechat.use",
+    ],
+    "readonly": [
+        "conversations.view", "knowledge.view", "settings.view", "billing.view", "users.view",
+    ],
 }
 
 
@@ -139,7 +147,7 @@ def resolve_permissions(users: DataFrame) -> DataFrame:
     """``(email, domain, permission)``: what roles give and what is granted directly, each once. Of several
     memberships in one domain the first counts; unknown roles give nothing."""
     spark = users.sparkSession
-    presets = spark.createDataFrame([(r, p) for r, ps in ROLES.items() for p in ps.split()], "role string, permission string")
+    presets = spark.createDataFrame([(r, p) for r, ps in ROLES.items() for p in ps], "role string, permission string")
     members = _members(users)
     by_role = members.select("email", "domain", F.explode("roles").alias("role")).join(F.broadcast(presets), "role").select("email", "domain", "permission")
     direct = members.select("email", "domain", F.explode("permissions").alias("permission"))

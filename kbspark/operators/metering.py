@@ -75,7 +75,8 @@ def blocked_counts(messages: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def quota_warnings(outcome: DataFrame, thresholds: DataFrame | None = None, limit: int = LIMIT) -> DataFrame:
     """``(domain, period_start, message_id, threshold)``: the highest threshold that an accepted message of a free
-    tenant newly reaches. ``thresholds`` has ``domain, thresholds array<int>``; 50, 75 and 90 where it has none.
+    tenant newly reaches. ``thresholds`` has ``domain, thresholds array<int>``; 50, 75 and 90 where it has none, or null or
+    an empty list.
 
     Only the messages at a threshold's place are ranked on: ``rn`` equals it, so nothing fires twice.
     """
@@ -83,7 +84,7 @@ def quota_warnings(outcome: DataFrame, thresholds: DataFrame | None = None, limi
     counted = outcome.filter("accepted AND plan = 'free'").filter(F.col("rn") <= limit)
     if thresholds is not None:
         counted = counted.join(thresholds.select("domain", "thresholds"), "domain", "left")
-        usual = F.coalesce("thresholds", usual)
+        usual = F.when(F.size("thresholds") > 0, F.col("thresholds")).otherwise(usual)
     hit = F.filter(usual, lambda t: F.ceil(F.lit(limit) * t / 100) == F.col("rn"))
     return counted.select("domain", "period_start", "message_id", F.array_max(hit).alias("threshold")).filter("threshold IS NOT NULL")
 

@@ -77,12 +77,12 @@ def a_page_chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.page_chunk_sizes(pages, c).select("domain", "url", F.array_join(F.col("sizes").cast("array<string>"), ",").alias("sizes"))
 
 
-@query(f"""WITH {CHUNKS}, asked AS (SELECT DISTINCT domain, 'g' || (chunk_id // 100) AS url FROM chunks UNION SELECT domain, url FROM chunks WHERE chunk_id % 40 < 20),
+@query(f"""WITH {CHUNKS}, asked AS (SELECT DISTINCT domain, 'g' || (chunk_id // 100) AS url FROM chunks UNION SELECT domain, url FROM chunks),
 f AS (SELECT DISTINCT c.domain, a.url AS asked, chunk_id, chunk_index FROM chunks c JOIN asked a ON a.domain = c.domain AND (c.url = a.url OR list_contains(source_urls, a.url)))
 SELECT domain, asked, chunk_id, row_number() OVER (PARTITION BY domain, asked ORDER BY chunk_index, chunk_id) AS position FROM f""")
 def a_chunks_for_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.vector_chunks(spark, sf_dir)
-    asked = c.select("domain", F.element_at("source_urls", 2).alias("url")).union(c.filter("chunk_id % 40 < 20").select("domain", "url"))
+    asked = c.select("domain", F.element_at("source_urls", 2).alias("url")).union(c.select("domain", "url"))
     return an.chunks_for_url(c, asked).select("domain", "asked", "chunk_id", F.col("position").cast("long").alias("position"))
 
 
@@ -119,7 +119,7 @@ def a_tenants_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("position", F.col("position").cast("long"))
 
 
-_PRESETS = ", ".join(f"('{r}', '{p}')" for r, ps in an.ROLES.items() for p in ps.split())
+_PRESETS = ", ".join(f"('{r}', '{p}')" for r, ps in an.ROLES.items() for p in ps)
 MEMBERS = f"""{_USERS}, members AS (SELECT email, d1 AS domain, CASE k % 3 WHEN 0 THEN 'owner' WHEN 1 THEN 'agent' ELSE 'stranger' END AS role, ['knowledge.view', 'billing.view'] AS granted FROM users
   UNION ALL SELECT email, d2, 'readonly', [] FROM users WHERE d1 <> d2)"""
 

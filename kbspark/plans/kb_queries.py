@@ -118,7 +118,7 @@ def io_crawled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def t_extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = build.extracted_pages(table(spark, sf_dir, "pages"))
-    return rows.select("page_seq", "url", "text", "content_hash", "priority", F.size("links").alias("n_links"), "outline", "needs_render")
+    return rows.select("page_seq", "url", "text", "content_hash", "priority", F.size("links").alias("n_links"), "needs_render")
 
 
 @query()
@@ -341,10 +341,10 @@ def v_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CHUNKS}, {ASKED}, cached AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(vector, embedding), 12) DESC, chunk_id) AS rn,
-  list_dot_product(vector, embedding) AS score FROM asked JOIN chunks USING (domain) WHERE chunk_id % 4 = 0)
+  list_dot_product(vector, embedding) AS score FROM asked JOIN chunks USING (domain))
 SELECT query_id, chunk_id AS cache_id, round(score, 6) AS score FROM cached WHERE rn = 1 AND score >= 0.95""")
 def d_cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = views.vector_chunks(spark, sf_dir).filter("chunk_id % 4 = 0").select(F.col("chunk_id").alias("cache_id"), "domain", "embedding")
+    cache = views.vector_chunks(spark, sf_dir).select(F.col("chunk_id").alias("cache_id"), "domain", "embedding")
     return rt.cached_answers(views.vector_queries(spark, sf_dir), cache).withColumn("score", F.round("score", 6))
 
 

@@ -1,10 +1,8 @@
-"""Writes: replaced chunks, upserted pages, and versioned tables that are swapped whole."""
+"""Writes: replaced chunks and upserted pages, as the tables that follow."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.operators.snapshots import replaceable
@@ -32,43 +30,3 @@ def upsert_pages(stored: DataFrame, crawled: DataFrame, now: Column) -> DataFram
         F.when(F.col("seen"), now).otherwise(F.col("last_scraped_at")).alias("last_scraped_at"),
         F.when(differs, now).otherwise(F.col("last_changed_at")).alias("last_changed_at"),
     )
-
-
-class VersionedTable:
-    """A Parquet table whose versions lie side by side; readers follow the newest committed one.
-
-    A version is written whole and then named by a one-row commit table, so a job that dies leaves readers on
-    the version before. Nothing reads and overwrites one path.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _commits(self) -> DataFrame:
-        return self.spark.read.schema("version long, folder string").json(f"{self.path}/_commits/*")
-
-    def current(self) -> tuple[int, str] | None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_commits")
-        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            return None
-        top = self._commits().agg(F.max(F.struct("version", "folder")).alias("m")).first()
-        return (top.m.version, top.m.folder) if top and top.m else None
-
-    def read(self) -> DataFrame:
-        now = self.current()
-        if now is None:
-            raise FileNotFoundError(f"{self.path} has no committed version")
-        return self.spark.read.parquet(f"{self.path}/{now[1]}")
-
-    def write(self, df: DataFrame, buckets: int | None = None, key: str = "domain") -> int:
-        """Write ``df`` as the next version, hash-bucketed into folders by ``key`` if asked, and commit it."""
-        now = self.current()
-        version, folder = (now[0] + 1 if now else 1), f"v-{uuid.uuid4().hex}"
-        if buckets:
-            bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-            df.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
-        else:
-            df.write.parquet(f"{self.path}/{folder}")
-        commit = self.spark.createDataFrame([(version, folder)], "version long, folder string")
-        commit.coalesce(1).write.json(f"{self.path}/_commits/{version:012d}-{uuid.uuid4().hex}")
-        return version

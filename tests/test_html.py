@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from kbspark.functions.html import Selector, protected_email, read_page, selectors
+from kbspark.functions.html import protected_email, read_page
 
 
 def code(email, key=0x2A):
@@ -47,14 +47,6 @@ def test_links_and_nav():
     assert read_page(html, keep_nav_links=True)["links"] == ["/n", "/a"]
 
 
-def test_exclude():
-    known = selectors([".ad", "div#x", "[data-k=v]", "a > b"])
-    assert len(known) == 3
-    assert read_page('<div class="ad big">no</div><div id="x">no</div><p data-k="v">no</p><p>yes</p>', known)["text"] == "[SB]yes"
-    with pytest.raises(ValueError):
-        Selector("a > b")
-
-
 @pytest.mark.parametrize(
     "html,needs",
     [
@@ -66,12 +58,6 @@ def test_needs_render(html, needs):
     assert read_page(html)["needs_render"] is needs
 
 
-def test_outline():
-    html = '<body><div id="m" class="a b c d">Hi <p>there</p><span></span></div><script>x</script></body>'
-    assert read_page(html)["outline"] == 'div#m.a.b.c "Hi"\n  p "there"'
-    assert read_page("<p>" + "x" * 40 + "</p>" + "<p>yyyy</p>" * 900)["outline"].endswith("\n[truncated]")
-
-
 def test_deep_nesting_and_soup():
     assert read_page("<div>" * 5000 + "deep")["text"] == "deep"
     assert re.sub(r"\s+", " ", read_page("</p></div>a</b><table><td>b</table>c")["text"]) == "a [SB]b c"

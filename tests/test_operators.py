@@ -1,5 +1,4 @@
 import datetime as dt
-import os
 
 import numpy as np
 import pytest
@@ -16,7 +15,7 @@ from kbspark.operators import retrieval as rt
 from kbspark.operators import scans
 from kbspark.operators import snapshots as sn
 from kbspark.sources.pages import crawled_pages, read_uploads, site_domain
-from kbspark.sources.writes import VersionedTable, replace_chunks, upsert_pages
+from kbspark.sources.writes import replace_chunks, upsert_pages
 
 
 def values(spark, column, rows, name="x", kind="string"):
@@ -136,7 +135,7 @@ def test_snapshots(spark):
     assert kept.count() == 11 and left.count() == 11 and "s00" not in {r.snapshot_id for r in left.collect()}
 
 
-def test_writes(spark, tmp_path):
+def test_writes(spark):
     old = chunk_rows(spark, [("d", "u1", None, "old"), ("d", "u1", "manual", "m"), ("d", "u2", "scraped", "keep")])
     fresh = chunk_rows(spark, [("d", "u1", "scraped", "new")])
     assert sorted(r.content for r in replace_chunks(old, fresh).collect()) == ["keep", "m", "new"]
@@ -145,12 +144,6 @@ def test_writes(spark, tmp_path):
     rows = {r.url: r for r in upsert_pages(stored, crawl, F.lit(ts("2024-02-01"))).collect()}
     assert rows["u"].last_changed_at == ts("2024-01-01") and rows["u"].last_scraped_at == ts("2024-02-01") and rows["u"].has_variants and rows["u"].priority == "high"
     assert rows["w"].last_changed_at == ts("2024-02-01")
-    table = VersionedTable(spark, str(tmp_path / "table"))
-    with pytest.raises(FileNotFoundError):
-        table.read()
-    table.write(old)
-    table.write(replace_chunks(table.read(), fresh), buckets=3)
-    assert table.current()[0] == 2 and sorted(r.content for r in table.read().collect()) == ["keep", "m", "new"]
 
 
 def test_uploads_and_pages(spark, tmp_path):
@@ -234,7 +227,7 @@ def test_permissions(spark):
     rows = [("a@x", False, [("d", ["agent", "nobody"], ["billing.view", "knowledge.view"]), ("d", ["owner"], [])]), ("s@x", True, [])]
     users = spark.createDataFrame(rows, "email string, superadmin boolean, memberships array<struct<entity_domain: string, roles: array<string>, permissions: array<string>>>")
     got = {r.permission for r in an.resolve_permissions(users).collect()}
-    assert got == set(an.ROLES["agent"].split()) | {"billing.view"}
+    assert got == set(an.ROLES["agent"]) | {"billing.view"}
     tenants = spark.createDataFrame([("d", ts("2024-01-01")), ("e", ts("2024-01-02"))], "domain string, created_at timestamp")
     assert sorted((r.email, r.domain, r.position) for r in an.tenants_visible(users, tenants).collect()) == [("a@x", "d", 1), ("s@x", "d", 2), ("s@x", "e", 1)]
     left, counts = an.purge_tenants({"users": users, "tenants": tenants}, spark.createDataFrame([("d",)], "domain string"))
@@ -252,9 +245,8 @@ def test_classifier(spark):
     assert [(r.route, r.reason) for r in got] == [("simple", "r"), ("complex", ""), ("complex", "parse_failed"), ("complex", "invalid_route"), ("complex", "classifier_error"), ("complex", "classifier_error")]
 
 
-def test_versions_are_not_mixed(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "t"))
-    table.write(spark.range(3))
-    before = table.read()
-    table.write(spark.range(5))
-    assert before.count() == 3 and table.read().count() == 5 and len(os.listdir(tmp_path / "t")) == 3
+def test_no_thresholds_are_the_usual_ones(spark):
+    seen = spark.createDataFrame([(d, ts("2024-01-01"), n, n, "free", True) for d in ("none", "empty", "own") for n in range(1, 101)], "domain string, period_start timestamp, message_id long, rn long, plan string, accepted boolean")
+    lists = spark.createDataFrame([("empty", []), ("own", [20]), ("other", [1])], "domain string, thresholds array<int>")
+    got = sorted((r.domain, r.message_id, r.threshold) for r in mt.quota_warnings(seen, lists).collect())
+    assert got == sorted([(d, t, t) for d in ("none", "empty") for t in (50, 75, 90)] + [("own", 20, 20)])
