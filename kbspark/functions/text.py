@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: White space as browsers see it; Spark's ``\s`` and ``trim`` know the ASCII part only.
 WS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+SPACES = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 NOT_WS = r"[^\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 #: What makes a short paragraph worth keeping.
@@ -51,7 +52,7 @@ class CrawlSettings:
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def content_hash(text: Column) -> Column:
@@ -59,11 +60,11 @@ def content_hash(text: Column) -> Column:
 
 
 def strip_block_marker(p: Column) -> Column:
-    return F.regexp_replace(p, r"^(\[SB\])+", "")
+    return F.when(p.startswith("[SB]"), F.regexp_replace(p, r"^(\[SB\])+", "")).otherwise(p)
 
 
 def is_heading(bare: Column) -> Column:
-    return bare.rlike(HEADING)
+    return bare.startswith("[H1] ") | bare.startswith("[H2] ") | bare.startswith("[H3] ")
 
 
 def keep_para(p: Column, settings: CrawlSettings = CrawlSettings()) -> Column:
