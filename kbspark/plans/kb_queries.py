@@ -16,7 +16,7 @@ from kbspark.operators import snapshots as sn
 from kbspark.plans import build, serve, views
 from kbspark.plans.views import ASKED, CHUNKS, CRAWL, LIMITS, RE2_WS, STORED
 from kbspark.sources.pages import crawled_pages, site_domain
-from kbspark.sources.tables import table
+from kbspark.sources.tables import spread, table
 from kbspark.sources.writes import replace_chunks, upsert_pages
 
 
@@ -117,7 +117,7 @@ def io_crawled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def t_extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = build.extracted_pages(table(spark, sf_dir, "pages"))
+    rows = build.extracted_pages(spread(table(spark, sf_dir, "pages")))
     return rows.select("page_seq", "url", "text", "content_hash", "priority", F.size("links").alias("n_links"), "needs_render")
 
 
@@ -158,7 +158,7 @@ def c_owner_reply_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def built(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = build.first_of_each_url(crawled_pages(table(spark, sf_dir, "pages")))
+    pages = spread(build.first_of_each_url(crawled_pages(table(spark, sf_dir, "pages"))))
     return build.build_chunks(pages.withColumn("text", page_column(F.col("html"))["text"]).drop("html"))
 
 
@@ -181,7 +181,7 @@ def w2_refresh_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def j_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = crawled_pages(table(spark, sf_dir, "pages"))
+    pages = spread(crawled_pages(table(spark, sf_dir, "pages")))
     linked = pages.select("domain", F.col("domain").alias("base_host"), "url", page_column(F.col("html"), keep_nav_links=True)["links"].alias("links"))
     return cr.frontier_step(linked, pages.select("domain", t.url_key(F.col("url")).alias("url_key")))
 
