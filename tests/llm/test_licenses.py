@@ -50,6 +50,26 @@ def test_bound_loses_nothing():
                 assert found, (name, words)
 
 
+def test_one_template_against_every_window():
+    """A template is found exactly where some window of the text, as wide as allowed, has enough of it in order."""
+    rng = random.Random(12)
+    template = "a b c d e a f g h b"
+    s = licenses.Scanner({"t": template}, 0.8, 1.5)
+    width, t = int(1.5 * 10) + 8, template.split()
+    seen = set()
+    for _ in range(250):
+        words = [rng.choice("abcdefghxyz") for _ in range(rng.randint(0, 34))]
+        if rng.random() < 0.6:
+            part = [w for w in t if rng.random() > 0.15]
+            for _ in range(rng.randint(0, 4)):
+                part.insert(rng.randint(0, len(part)), "x")
+            words[7:7] = part
+        want = any(lcs(t, words[k : k + width]) >= 8 for k in range(max(1, len(words))))
+        assert bool(list(s.scan(" ".join(words)))) == want, words
+        seen.add(want)
+    assert seen == {True, False}
+
+
 def test_odd_cases(spark, odd):
     assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(odd.limit(0)).count() == 0
     docs = spark.createDataFrame([(1, "Released under the MIT License."), (1, "Released under the MIT License.\nx\nLicensed under CC BY-NC 4.0."), (2, None)], "doc_id long, text string")

@@ -56,3 +56,29 @@ def test_odd_cases(spark, odd):
     assert quality.keep_good_documents(odd, labels).columns == odd.columns
     assert len(quality.score_documents(odd, labels.limit(0)).collect()) == 10
     assert quality.score_documents(odd.limit(0), labels).count() == 0
+
+
+def test_fit_equals_a_plain_numpy_fit(spark):
+    """Normal equations summed over partitions, the ridge term and the calibration, against one process on all rows."""
+    rng = np.random.default_rng(3)
+    d = len(quality.STATISTICS)
+    stats = rng.normal(size=(400, d)) * rng.uniform(0.5, 4, d)
+    label = (stats[:, 0] + rng.normal(size=400) > 0).astype(int)
+    fold = np.arange(400) % 4 + 1
+    rows = spark.createDataFrame([(x.tolist(), int(y), int(f)) for x, y, f in zip(stats, label, fold)], "stats array<double>, label int, fold int")
+    m = quality.fit(rows, n_features=64, ridge=1e-3, bins=50, tasks=3)
+    assert np.allclose(m.mean, stats.mean(axis=0)) and np.allclose(m.sd, stats.std(axis=0))
+    z = np.sqrt(2 / 64) * np.cos(np.clip((stats - stats.mean(axis=0)) / stats.std(axis=0), -8, 8) @ m.directions + m.phases)
+    z = np.hstack([z, np.ones((400, 1))])
+    own = fold != 4
+    weights = np.linalg.solve(z[own].T @ z[own] + 1e-3 * own.sum() / 65 * np.eye(65), z[own].T @ label[own])
+    assert np.allclose(m.weights, weights, atol=1e-6)
+    raw, y = (z @ weights)[~own], label[~own]
+    at = np.clip(((raw + 0.5) / 2 * 50).astype(int), 0, 49)
+    points = sorted((raw[at == b].mean(), y[at == b].mean(), (at == b).sum()) for b in set(at))
+    # The isotonic fit by its formula: the largest over starts of the least mean over ends.
+    x, v, w = map(np.array, zip(*points))
+    mean = lambda i, j: (v[i : j + 1] * w[i : j + 1]).sum() / w[i : j + 1].sum()
+    want = [max(min(mean(i, j) for j in range(k, len(v))) for i in range(k + 1)) for k in range(len(v))]
+    steps = m.steps_y[[np.flatnonzero(np.isclose(m.steps_y, u))[0] for u in want]]
+    assert np.allclose(steps, want) and len(m.steps_y) == len({round(u, 9) for u in want})
