@@ -18,12 +18,14 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI or path without a trailing slash.
 
-    It is the one that ``spark.checkpoint.dir`` names. Only where that is unset (tests, a laptop) a
-    fresh local folder is taken, which is right only in local mode.
+    It is the one that ``spark.checkpoint.dir`` names. Where that is unset, local mode (tests, a laptop) takes a fresh
+    local folder; on a cluster it is an error, since executors wouldn't find a folder of the driver's.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = getattr(spark.sparkContext, "_kbspark_shared_dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="kbspark-")
