@@ -61,7 +61,22 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("domain", "session_token", "seq", "s.handoff", "s.cancel")
 
 
-@query()
+def _near(a: str, b: str) -> str:
+    x, y = _W.format(a), _W.format(b)
+    return f"CASE WHEN len(list_distinct({x} || {y})) = 0 THEN true ELSE len(list_intersect({x}, {y})) / len(list_distinct({x} || {y})) >= 0.6 END"
+
+
+#: One row for each turn with a signal, and one before the first: the turn's questions follow from those before it.
+FOLD = f"""{MESSAGES}, {SIGNALLED}, s0 AS (SELECT domain, session_token, seq, reply AS r FROM signalled), s1 AS ({_take('HANDOFF_REQUESTED', 's0', 'r', 'handoff')}), s2 AS ({_take('HANDOFF_CANCEL', 's1', 'r', 'cancel')}),
+told AS (SELECT *, row_number() OVER (PARTITION BY domain, session_token ORDER BY seq) AS k FROM s2 WHERE handoff IS NOT NULL OR cancel IS NOT NULL),
+fold AS (SELECT domain, session_token, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS open, false AS flag, false AS notice FROM told WHERE k = 1
+  UNION ALL SELECT domain, session_token, seq, k, CASE WHEN handoff IS NULL OR len(list_filter(left_open, lambda q: {_near('handoff', 'q')})) > 0 THEN left_open ELSE list_append(left_open, handoff) END,
+    handoff IS NOT NULL OR (flag AND NOT (cancel IS NOT NULL AND len(left_open) = 0)), handoff IS NOT NULL AND NOT flag
+  FROM (SELECT t.domain, t.session_token, t.seq, t.k, t.handoff, t.cancel, f.flag, CASE WHEN list_contains(f.open, t.cancel) THEN f.open[1:list_position(f.open, t.cancel) - 1] || f.open[list_position(f.open, t.cancel) + 1:] ELSE f.open END AS left_open
+    FROM fold f JOIN told t ON t.domain = f.domain AND t.session_token = f.session_token AND t.k = f.k + 1))"""
+
+
+@query(f"""WITH RECURSIVE {FOLD} SELECT domain, session_token, array_to_string(arg_max(open, k), ';') AS pending, arg_max(flag, k) AS handoff_pending, count(*) FILTER (notice) AS notices FROM fold GROUP BY 1, 2""")
 def m_handoff_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cv.handoff_state(turns(spark, sf_dir)).withColumn("pending", F.array_join("pending", ";"))
 
@@ -114,7 +129,12 @@ def m_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.messages(spark, sf_dir).select("session_token", "seq", cv.clean_topic(F.col("content")).alias("topic"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FOLD}, state AS (SELECT domain, session_token, arg_max(open, k) AS open FROM fold GROUP BY 1, 2),
+asked AS (SELECT * FROM messages WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY domain, session_token ORDER BY seq DESC) = 1),
+past AS (SELECT domain, session_token, least(count(*), 10) AS n FROM messages GROUP BY 1, 2)
+SELECT a.session_token, 'You answer for ' || upper(a.domain) || '. Wait: 24 hours.' || chr(10) || 'Now (America/New_York): ' || strftime(a.ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York', '%A, %B %-d, %Y at %-I:%M %p') || chr(10) || 'Handoff status: '
+  || CASE WHEN len(open) > 0 THEN 'ACTIVE' || chr(10) || array_to_string(list_transform(open, lambda q, i: i || '. ' || q), chr(10)) ELSE 'NONE' END AS system, CAST(p.n + 3 AS INTEGER) AS n_messages, a.content AS last
+FROM asked a JOIN past p USING (domain, session_token) LEFT JOIN state s USING (domain, session_token)""")
 def m_chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = views.messages(spark, sf_dir)
     last = Window.partitionBy("domain", "session_token").orderBy(F.col("seq").desc())
@@ -153,7 +173,14 @@ def m_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("c", cv.parse_classifier(F.col("raw"))).select("event_id", "c.route", "c.reason")
 
 
-@query()
+_RESET = "CAST(date_trunc('month', {0}) + INTERVAL 1 MONTH + to_days(CAST(day({0}) - 1 AS INTEGER)) AS DATE)"
+
+
+@query(f"""WITH RECURSIVE {METERED}, days AS (SELECT DISTINCT domain, CAST(ts AS DATE) AS day FROM metered),
+starts AS (SELECT domain, min(day) AS day FROM days GROUP BY 1
+  UNION ALL SELECT s.domain, min(d.day) FROM starts s JOIN days d ON d.domain = s.domain AND d.day >= {_RESET.format('s.day')} GROUP BY s.domain, s.day)
+SELECT m.domain, strftime(s.day, '%Y-%m-%d') AS period_start, strftime({_RESET.format('s.day')}, '%Y-%m-%d') AS reset_on, count(*) AS messages
+FROM metered m JOIN starts s ON m.domain = s.domain AND CAST(m.ts AS DATE) >= s.day AND CAST(m.ts AS DATE) < {_RESET.format('s.day')} GROUP BY m.domain, s.day""")
 def q_billing_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mt.billing_periods(views.metered(spark, sf_dir))
     return rows.groupBy("domain", F.col("period_start").cast("string").alias("period_start"), F.col("reset_on").cast("string").alias("reset_on")).agg(F.count("*").alias("messages"))

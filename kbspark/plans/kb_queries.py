@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as t
+from kbspark.functions.chunking import TARGET
 from kbspark.functions.html import page_column
 from kbspark.operators import chunks as ch
 from kbspark.operators import crawl as cr
@@ -126,7 +127,21 @@ def c_page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.chunk_texts(views.crawl(spark, sf_dir)).select("page_seq", "url", "chunk_index", "content", "page_h1", "section_h2", "label")
 
 
-@query()
+#: Thin pages as cards in page order; a card opens a pack, or joins the one before it while that has room.
+CARDS = f"""{LENGTHS}, parts AS (SELECT page_seq, idx, p, regexp_replace(p, '^(\\[SB\\])+', '') AS bare, starts_with(p, '[H1] ') AS title FROM each),
+body AS (SELECT page_seq, string_agg(bare, chr(10) || chr(10) ORDER BY idx) AS body FROM parts WHERE NOT title AND {_KEEP} GROUP BY 1),
+heads AS (SELECT page_seq, arg_min(nullif({_TRIM.replace('(x,', '(p[6:],')}, ''), idx) AS h1 FROM parts WHERE title GROUP BY 1),
+cards AS (SELECT domain, page_seq, url, h1, regexp_extract(url, '^(.*/)[^/]*$', 1) AS grp, '[Source: ' || url || ']' || coalesce(chr(10) || '[H1] ' || h1, '') || coalesce(chr(10) || chr(10) || body, '') AS card
+  FROM crawled LEFT JOIN body USING (page_seq) LEFT JOIN heads USING (page_seq) WHERE content_len < 300),
+dealt AS (SELECT *, row_number() OVER (PARTITION BY domain, grp ORDER BY page_seq, url) AS k FROM cards),
+packed AS (SELECT domain, grp, k, CAST(0 AS BIGINT) AS pack, length(card) AS size FROM dealt WHERE k = 1
+  UNION ALL SELECT d.domain, d.grp, d.k, CASE WHEN p.size > 0 AND p.size + length(d.card) + 10 > {TARGET} THEN p.pack + 1 ELSE p.pack END, CASE WHEN p.size > 0 AND p.size + length(d.card) + 10 > {TARGET} THEN 0 ELSE p.size END + length(d.card)
+  FROM packed p JOIN dealt d ON d.domain = p.domain AND d.grp = p.grp AND d.k = p.k + 1)"""
+
+
+@query(f"""WITH RECURSIVE {CARDS}, chunked AS (SELECT domain, grp, pack, string_agg(card, chr(10) || chr(10) ORDER BY k) AS cards, list(h1 ORDER BY k) FILTER (h1 IS NOT NULL) AS titles, count(*) AS n FROM dealt JOIN packed USING (domain, grp, k) GROUP BY 1, 2, 3)
+SELECT domain, grp AS url, CAST(pack AS INTEGER) AS chunk_index, {_TRIM.replace('(x,', "('[Source: ' || grp || ']' || repeat(chr(10), 4) || cards,")} AS content,
+  CASE WHEN titles IS NULL THEN 'Group' ELSE array_to_string(titles[1:3], ', ') || CASE WHEN len(titles) > 3 THEN ', …' ELSE '' END END AS label, CAST(n AS INTEGER) AS n_urls FROM chunked""")
 def c_thin_group_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = pa.estimate_content_len(views.crawl(spark, sf_dir)).filter(F.col("content_len") < pa.THIN_PAGE)
     return ch.group_thin_pages(pages).select("domain", "url", "chunk_index", "content", "label", F.size("source_urls").alias("n_urls"))

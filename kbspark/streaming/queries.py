@@ -67,7 +67,7 @@ def r_quota_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("message_id", "rn", "accepted", "notice", "threshold")
 
 
-@query()
+@query(f"WITH RECURSIVE {chat_queries.FOLD} SELECT domain, session_token, seq, array_to_string(open, ';') AS pending, flag AS handoff_pending, notice FROM fold WHERE k > 0")
 def r_handoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = collected(spark, jobs.handoff_stream(chat_queries.turns(_Streams(spark), sf_dir)), "handoffs")
     return rows.select("domain", "session_token", "seq", F.array_join("pending", ";").alias("pending"), "handoff_pending", "notice")
