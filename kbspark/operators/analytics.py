@@ -26,13 +26,32 @@ ROLES = {
 }
 
 
-def paged(df: DataFrame, by: list[str], order: list[Column], size: int) -> DataFrame:
-    """``df`` with ``position`` (from 1), ``page`` (from 1), and ``total`` and ``pages`` of its group."""
-    per = Window.partitionBy(*by)
-    numbered = df.withColumn("position", F.row_number().over(per.orderBy(*order)))
-    totals = df.groupBy(*by).agg(F.count("*").alias("total"))
-    joined = numbered.join(totals, by)
-    return joined.withColumns({"page": F.ceil(F.col("position") / size), "pages": F.ceil(F.col("total") / size)})
+#: Characters of a URL that make a bucket: host and the first folders.
+PREFIX = 48
+
+
+def placed(df: DataFrame, by: list[str], bucket: Column, order: list[Column], descending: bool = False) -> DataFrame:
+    """``df`` with ``position`` (from 1) in its group by ``order``, and the group's ``total``.
+
+    ``bucket`` never falls as the order goes on (never rises, if ``descending``): rows are ranked inside a bucket,
+    and the rows of the buckets before it are added, so a large group is ranked by as many tasks as it has buckets.
+    Rows with null keys or buckets are a group or bucket like any other.
+    """
+    keyed = df.withColumn("_key", F.struct(*by, bucket.alias("_bucket")))
+    counts = keyed.groupBy("_key").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*[F.col(f"_key.{c}") for c in by])
+    order_of = F.col("_key._bucket").desc() if descending else F.col("_key._bucket").asc()
+    upto = F.sum("_n").over(group.orderBy(order_of).rowsBetween(Window.unboundedPreceding, 0))
+    offsets = counts.select("_key", (upto - F.col("_n")).alias("_before"), F.sum("_n").over(group).alias("total"))
+    ranked = keyed.withColumn("_inside", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
+    joined = ranked.join(offsets, "_key").withColumn("position", F.col("_before") + F.col("_inside"))
+    return joined.drop("_key", "_before", "_inside")
+
+
+def paged(df: DataFrame, by: list[str], bucket: Column, order: list[Column], size: int, descending: bool = False) -> DataFrame:
+    """``df`` with ``position`` (from 1), ``page`` (from 1), and ``total`` and ``pages`` of its group; see :func:`placed`."""
+    rows = placed(df, by, bucket, order, descending)
+    return rows.withColumns({"page": F.ceil(F.col("position") / size), "pages": F.ceil(F.col("total") / size)})
 
 
 def tenant_stats(tenants: DataFrame, chunks: DataFrame, pages: DataFrame, messages: DataFrame) -> DataFrame:
@@ -95,7 +114,8 @@ def conversation_list(messages: DataFrame, size: int = 20) -> DataFrame:
     """Conversations by last activity with page numbers and an 80-character preview of the last message."""
     rows = messages.groupBy("domain", "session_token").agg(F.count("*").alias("messages"), F.max("ts").alias("last_active_at"), F.max_by("content", "seq").alias("last"))
     preview = F.when(F.length("last") > 80, F.concat(F.substring("last", 1, 80), F.lit("…"))).otherwise(F.col("last"))
-    return paged(rows.withColumn("preview", preview).drop("last"), ["domain"], [F.col("last_active_at").desc(), F.col("session_token")], size)
+    listed = rows.withColumn("preview", preview).drop("last")
+    return paged(listed, ["domain"], F.date_trunc("hour", "last_active_at"), [F.col("last_active_at").desc(), F.col("session_token")], size, descending=True)
 
 
 def page_search(pages: DataFrame, pattern: str | None = None, rendered: bool | None = None, priority: str | None = None, size: int = 50) -> DataFrame:
@@ -106,25 +126,19 @@ def page_search(pages: DataFrame, pattern: str | None = None, rendered: bool | N
         found = found.filter(F.coalesce("used_renderer", F.lit(False)) == rendered)
     if priority:
         found = found.filter(F.col("priority") == priority)
-    return paged(found, ["domain"], [F.col("url")], size)
+    return paged(found, ["domain"], F.substring("url", 1, PREFIX), [F.col("url")], size)
 
 
 def log_search(logs: DataFrame, now: Column, level: str | None = None, source: str | None = None, domain: str | None = None, size: int = 50, days: int = 30) -> DataFrame:
     """Log rows of the last ``days`` days that fit the filters, newest first, paged over the whole log.
 
-    The position is a rank over all rows, made in two steps: inside each day, plus the rows of later days.
+    The position is a rank over all rows: inside each minute, plus the rows of later minutes.
     """
     found = logs.filter(F.col("created_at") >= now - F.expr(f"INTERVAL {int(days)} DAYS"))
     for name, value in (("level", level), ("source", source), ("domain", domain)):
         if value is not None:
             found = found.filter(F.col(name) == value)
-    dated = found.withColumn("day", F.to_date("created_at"))
-    inside = F.row_number().over(Window.partitionBy("day").orderBy(F.col("created_at").desc(), "log_id"))
-    counts = dated.groupBy("day").agg(F.count("*").alias("n"))
-    later = counts.select("day", F.sum("n").over(Window.orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), "n", F.sum("n").over(Window.partitionBy()).alias("total"))
-    joined = dated.withColumn("inside", inside).join(later, "day")
-    position = F.col("upto") - F.col("n") + F.col("inside")
-    return joined.withColumns({"position": position, "page": F.ceil(position / size), "pages": F.ceil(F.col("total") / size)}).drop("day", "inside", "upto", "n")
+    return paged(found, [], F.date_trunc("minute", "created_at"), [F.col("created_at").desc(), F.col("log_id")], size, descending=True)
 
 
 def _members(users: DataFrame) -> DataFrame:
@@ -133,14 +147,29 @@ def _members(users: DataFrame) -> DataFrame:
     return each.withColumn("rn", F.row_number().over(first)).filter("rn = 1").select("email", F.col("m.entity_domain").alias("domain"), F.col("m.roles").alias("roles"), F.col("m.permissions").alias("permissions"))
 
 
+#: Superadmins of one array, and how many of them, an e-mail address each, are broadcast.
+ADMIN_BLOCK, BROADCAST_ADMINS = 1000, 100_000
+
+
 def tenants_visible(users: DataFrame, tenants: DataFrame) -> DataFrame:
     """``(email, domain, position)``: every tenant for superadmins, the tenants of their memberships for others,
-    newest first. Each superadmin is paired with each tenant by a key of one value on the few rows they are."""
-    admins = users.filter("superadmin").select("email", F.lit(1).alias("k"))
-    all_of = admins.join(tenants.select("domain", F.lit(1).alias("k")), "k").select("email", "domain")
-    own = _members(users.filter("NOT superadmin")).select("email", "domain")
-    seen = all_of.union(own).join(tenants.select("domain", "created_at"), "domain")
-    return seen.select("email", "domain", F.row_number().over(Window.partitionBy("email").orderBy(F.col("created_at").desc(), "domain")).alias("position"))
+    newest first.
+
+    What superadmins see is every tenant for each of them, a row for each pair by definition. Tenants are placed once
+    for all superadmins, whose addresses meet them as arrays of about ``ADMIN_BLOCK``, by the number of the array.
+    """
+    admins = users.filter("superadmin").select("email")
+    n = admins.count()
+    blocks = max(1, -(-n // ADMIN_BLOCK))
+    arrays = admins.groupBy(F.pmod(F.xxhash64("email"), F.lit(blocks)).alias("block")).agg(F.collect_list("email").alias("emails"))
+    if n <= BROADCAST_ADMINS:
+        arrays = F.broadcast(arrays)
+    listed = placed(tenants.select("domain", "created_at"), [], F.date_trunc("day", "created_at"), [F.col("created_at").desc(), F.col("domain")], descending=True)
+    dealt = listed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    all_of = dealt.join(arrays, "block").select(F.explode("emails").alias("email"), "domain", "position")
+    own = _members(users.filter("NOT superadmin")).select("email", "domain").join(tenants.select("domain", "created_at"), "domain")
+    place = F.row_number().over(Window.partitionBy("email").orderBy(F.col("created_at").desc(), "domain"))
+    return all_of.unionByName(own.select("email", "domain", place.cast("long").alias("position")))
 
 
 def resolve_permissions(users: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from kbspark.functions.text import trim
 
@@ -19,46 +20,59 @@ def dot_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, salts: int = 16, query_block: int = 256, list_size: int = 512) -> DataFrame:
+#: Tenants with more vectors than one cell takes, about 50 bytes each, up to which their sizes are broadcast.
+BROADCAST_TENANTS = 500_000
+
+
+def _celled(rows: DataFrame, of: str, key: str, other: str, sizes: DataFrame) -> DataFrame:
+    """``rows`` dealt by a hash of ``key`` to the ``of`` cells of their domain, once for each of its ``other`` cells."""
+    met = rows.join(sizes, "domain", "left")
+    own = F.pmod(F.xxhash64(key), F.coalesce(F.col(of), F.lit(1)))
+    each = F.explode(F.sequence(F.lit(0), (F.coalesce(F.col(other), F.lit(1)) - 1).cast("int")))
+    return met.select(F.col("domain").alias(f"{of}_domain"), own.cast("int").alias(f"{of}_cell"), each.alias(f"{other}_cell"), *[x for x in rows.columns if x != "domain"])
+
+
+def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, query_block: int = 1024, list_size: int = 4096) -> DataFrame:
     """``(query_id, domain, chunk_id, score, rank)``: each query's ``k`` best chunks of its domain, exactly.
 
-    ``queries`` has ``query_id, domain, vector``; ``chunks`` has ``chunk_id, domain, embedding``. Queries are
-    gathered into blocks of ``query_block`` a domain, each block meets the lists of chunks of its domain, dealt
-    by (domain, salt), and a matrix product gives the scores of a batch; a batch keeps its own best ``k`` for each
-    query, so what goes to the final ranking is small. Ties go to the lower chunk_id.
+    ``queries`` has ``query_id, domain, vector``; ``chunks`` has ``chunk_id, domain, embedding``. Rows without a domain or
+    a vector have no hits. A domain is a grid of cells of about ``list_size`` chunks and ``query_block`` queries, as many as
+    its size needs; each cell is one matrix product and keeps its own best ``k`` for each query, so no task grows with a
+    tenant, and what goes to the final ranking is small. Ties (at 12 digits) go to the lower chunk_id.
     """
-    numbered = queries.withColumn("n", F.row_number().over(Window.partitionBy("domain").orderBy("query_id")) - 1)
-    blocks = numbered.groupBy("domain", F.floor(F.col("n") / query_block).alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("query_id", "vector"))).alias("q")
-    )
-    # Chunks of a domain in lists of about list_size, as many as it needs, so that one row is one matrix.
-    sizes = chunks.groupBy("domain").agg(F.ceil(F.count("*") / list_size).alias("parts"))
-    parted = chunks.select("chunk_id", "domain", "embedding").join(sizes, "domain").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("parts")))
-    lists = parted.groupBy("domain", "part").agg(F.collect_list(F.struct("chunk_id", "embedding")).alias("c"))
-    lists = lists.withColumn("salt", F.col("part") % salts)
-    spread = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    met = lists.join(spread, ["domain", "salt"])
-    q_type = queries.schema["query_id"].dataType.simpleString()
-    c_type = chunks.schema["chunk_id"].dataType.simpleString()
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                x = np.array([q["vector"] for q in row["q"]], dtype=float)
-                y = np.array([c["embedding"] for c in row["c"]], dtype=float)
-                ids = np.array([c["chunk_id"] for c in row["c"]])
-                scores = x @ y.T
-                keep = min(k, len(ids))
-                qs, cs, ss = [], [], []
-                for q, s in zip(row["q"], scores):
-                    top = np.lexsort((ids, -s))[:keep]
-                    qs += [q["query_id"]] * keep
-                    cs += ids[top].tolist()
-                    ss += s[top].tolist()
-                yield pa.record_batch([pa.array(qs), pa.array([row["domain"]] * len(qs)), pa.array(cs), pa.array(ss)], ["query_id", "domain", "chunk_id", "score"])
-
-    scored = met.select("domain", "q", "c").mapInArrow(best, f"query_id {q_type}, domain string, chunk_id {c_type}, score double")
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "chunk_id")
+    asked = queries.select("query_id", "domain", "vector").filter("domain IS NOT NULL AND vector IS NOT NULL")
+    held = chunks.select("chunk_id", "domain", "embedding").filter("domain IS NOT NULL AND embedding IS NOT NULL")
+    # Only tenants that need more than one cell are listed: at most one for each list_size chunks or query_block queries.
+    counts = lambda df, name, size: df.groupBy("domain").agg(F.ceil(F.count("*") / size).cast("int").alias(name)).filter(F.col(name) > 1)
+    sizes = counts(held, "c", list_size).join(counts(asked, "q", query_block), "domain", "full")
+    if sizes.count() <= BROADCAST_TENANTS:
+        sizes = F.broadcast(sizes)
+    left = _celled(asked, "q", "query_id", "c", sizes).groupBy("q_domain", "q_cell", "c_cell")
+    right = _celled(held, "c", "chunk_id", "q", sizes).groupBy("c_domain", "q_cell", "c_cell")
+    q_type, c_type = queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
+    out = to_arrow_schema(StructType.fromDDL(f"query_id {q_type}, domain string, chunk_id {c_type}, score double"))
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return out.empty_table()
+        scores = np.round(matrix(a["vector"]) @ matrix(b["embedding"]).T, 12)
+        keep = min(k, b.num_rows)
+        order = pc.sort_indices(b["chunk_id"]).to_numpy()
+        scores = scores[:, order]  # by id, so that of equal scores the first column wins
+        least = np.partition(scores, -keep, axis=1)[:, -keep]
+        tops = []
+        for row, low in zip(scores, least):
+            near = np.flatnonzero(row >= low)
+            tops.append(near[np.argsort(-row[near], kind="stable")[:keep]])
+        at, of = np.concatenate(tops), np.repeat(np.arange(a.num_rows), keep)
+        ids = b["chunk_id"].take(pa.array(order[at]))
+        return pa.table([a["query_id"].take(pa.array(of)), a["q_domain"].take(pa.array(of)), ids, pa.array(scores[of, at])], schema=out)
+
+    scored = left.cogroup(right).applyInArrow(best, f"query_id {q_type}, domain string, chunk_id {c_type}, score double")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,23 +18,31 @@ from kbspark.operators.metering import LIMIT, THRESHOLDS, fold_periods
 from kbspark.operators.paragraphs import BOILERPLATE_MAX, MAX_HEADINGS, split_pages
 
 SEEN = "domain string, para_hash string, n long, batch long"
+SUMS = "domain string, para_hash string, n long, before long"
 
 
 class IncrementalDedup:
     """Paragraph dedup batch by batch, equal to the dedup of all pages at once in batch order.
 
-    The state is a table of how many copies of each short paragraph each batch kept, one folder a batch. A batch
-    reads the earlier batches' counts of its own paragraphs only, keeps its n-th copy where their sum plus n stays
-    within the limit, and adds a folder; it never rewrites the others. A batch that is run again doesn't see its
-    own counts and replaces its folder, so it gives the same rows. :meth:`compact` folds old folders into one.
+    The state is a table of how many copies of each short paragraph each batch kept, one folder a batch, and sums of all
+    batches before every ``every``-th one. A batch reads the last sums and the batches since, those counts of its own
+    paragraphs only, keeps its n-th copy where their sum plus n stays within the limit, and adds a folder. A batch that is
+    run again doesn't see its own counts, nor sums that hold them, and replaces its folder, so it gives the same rows.
     """
 
-    def __init__(self, spark: SparkSession, state_path: str, sink: Callable[[DataFrame, int], None], settings: CrawlSettings = CrawlSettings()):
-        self.spark, self.path, self.sink, self.settings = spark, state_path.rstrip("/"), sink, settings
-        spark.createDataFrame([], "domain string, para_hash string, n long").write.mode("ignore").parquet(f"{self.path}/batch=-1")
+    def __init__(self, spark: SparkSession, state_path: str, sink: Callable[[DataFrame, int], None], settings: CrawlSettings = CrawlSettings(), every: int = 16):
+        self.spark, self.path, self.sink, self.settings, self.every = spark, state_path.rstrip("/"), sink, settings, every
+        nothing = spark.createDataFrame([], "domain string, para_hash string, n long")
+        nothing.write.mode("ignore").parquet(f"{self.path}/batches/batch=-1")
+        nothing.write.mode("ignore").parquet(f"{self.path}/sums/before=0")
 
     def counts(self, before: int) -> DataFrame:
-        return self.spark.read.schema(SEEN).parquet(self.path).filter(F.col("batch") < before)
+        """Copies kept by the batches before ``before``, in rows to be added up."""
+        sums = self.spark.read.schema(SUMS).parquet(f"{self.path}/sums")
+        made = [int(re.search(r"before=(\d+)/", f)[1]) for f in sums.inputFiles()]
+        start = max((n for n in made if n <= before), default=0)
+        since = self.spark.read.schema(SEEN).parquet(f"{self.path}/batches").filter((F.col("batch") >= start) & (F.col("batch") < before))
+        return sums.filter(F.col("before") == start).drop("before").unionByName(since.drop("batch"))
 
     def __call__(self, pages: DataFrame, batch_id: int) -> None:
         bare = strip_block_marker(F.col("para"))
@@ -46,12 +55,14 @@ class IncrementalDedup:
         kept = joined.filter(F.col("cnt") + F.col("rn") <= F.when(F.col("heading"), MAX_HEADINGS).otherwise(1))
         cols = ["domain", "page_seq", "url", "idx", "para"]
         self.sink(kept.select(*cols).unionByName(marked.filter("NOT short").select(*cols)), batch_id)
-        kept.groupBy("domain", "para_hash").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        kept.groupBy("domain", "para_hash").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.path}/batches/batch={batch_id}")
+        if (batch_id + 1) % self.every == 0:
+            self.compact(self.path, batch_id + 1)
 
     def compact(self, to: str, before: int) -> None:
-        """Write the sums of the batches before ``before`` into a new state folder ``to``."""
+        """Write the sums of the batches before ``before`` into the state folder ``to``."""
         sums = self.counts(before).groupBy("domain", "para_hash").agg(F.sum("n").alias("n"))
-        sums.write.parquet(f"{to.rstrip('/')}/batch=-1")
+        sums.write.mode("overwrite").parquet(f"{to.rstrip('/')}/sums/before={before}")
 
 
 METERED = StructType([

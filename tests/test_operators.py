@@ -172,6 +172,30 @@ def test_topk_against_numpy(spark):
     assert rt.vector_topk(asked.limit(0), chunks).count() == 0
 
 
+def test_topk_of_a_large_tenant_is_a_grid(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-2, 3, size=(400, 4)).astype(float)  # many ties
+    rows = [(f"c{i:03d}", "big" if i % 10 else None if i % 20 else "small", [float(x) for x in v] if i != 7 else None) for i, v in enumerate(vectors)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, domain string, embedding array<float>").withColumn("q", F.lit(1))
+    asked = chunks.filter("chunk_id < 'c050'").select(F.col("chunk_id").alias("query_id"), "domain", F.col("embedding").alias("vector"))
+    got = {}
+    for r in rt.vector_topk(asked, chunks, k=5, query_block=7, list_size=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    for i, (q, domain, v) in enumerate(rows[:50]):
+        mates = [r for r in rows if domain is not None and v is not None and r[1] == domain and r[2] is not None]
+        assert got.get(q, []) == [r[0] for r in sorted(mates, key=lambda r: (-float(np.dot(v, r[2])), r[0]))][:5]
+
+
+def test_positions_across_buckets(spark):
+    rows = [(d, b, i) for i, (d, b) in enumerate([("a", 1), ("a", 1), ("a", 2), ("a", None), (None, 3), (None, 1), ("b", 2)] * 3)]
+    df = spark.createDataFrame(rows, "domain string, bucket int, id int")
+    got = {r.id: (r.position, r.total, r.page, r.pages) for r in an.paged(df, ["domain"], F.col("bucket"), [F.col("bucket").desc(), F.col("id")], 5, descending=True).collect()}
+    for domain in ("a", "b", None):
+        mine = sorted((r for r in rows if r[0] == domain), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+        for n, r in enumerate(mine, 1):
+            assert got[r[2]] == (n, len(mine), -(-n // 5), -(-len(mine) // 5))
+
+
 def test_context_stops_at_first_misfit(spark):
     hits = spark.createDataFrame([("q", 1, 0.9, "u1", "a" * 10, "scraped"), ("q", 2, 0.8, "u1", "b" * 30, None), ("q", 3, 0.7, "u2", "c", "scraped"), ("q", 4, 0.95, "o", "Q: A:", "owner_reply")], "query_id string, chunk_id long, score double, url string, content string, source string")
     none = hits.filter("false")

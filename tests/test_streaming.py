@@ -36,3 +36,19 @@ def test_handoff_stream_equals_fold(spark):
 def test_live_counts(spark):
     got = {r.domain: r.n for r in q.r_live_counts(spark, SF).collect()}
     assert sum(got.values()) == table(spark, SF, "events").count()
+
+
+def test_incremental_dedup_reads_sums(spark, tmp_path):
+    line = "a footer line that every page has"
+    rows = [("d", i, f"u{i}", f"{line}\n[H2] Same heading\nown paragraph number {i} of the page") for i in range(8)]
+    pages = spark.createDataFrame(rows, "domain string, page_seq long, url string, text string")
+    out = {}
+    dedup = jobs.IncrementalDedup(spark, str(tmp_path / "seen"), lambda df, n: out.update({n: df.collect()}), every=2)
+    for n in range(8):
+        dedup(pages.filter(F.col("page_seq") == n), n)
+        if n in (3, 4):
+            dedup(pages.filter(F.col("page_seq") == n), n)
+    whole = pa.dedup_paragraphs(pa.split_pages(pages)).collect()
+    assert sorted(tuple(r) for n in out for r in out[n]) == sorted((r.domain, r.page_seq, r.url, r.idx, r.para) for r in whole)
+    files = [r[0] for r in dedup.counts(8).select(F.input_file_name()).distinct().collect()]
+    assert files and all("before=8" in f for f in files)
