@@ -30,22 +30,28 @@ ROLES = {
 PREFIX = 48
 
 
-def placed(df: DataFrame, by: list[str], bucket: Column, order: list[Column], descending: bool = False) -> DataFrame:
-    """``df`` with ``position`` (from 1) in its group by ``order``, and the group's ``total``.
+def running(df: DataFrame, by: list[str], bucket: Column, order: list[Column], sums: dict[str, Column], totals: dict[str, str] | None = None, descending: bool = False) -> DataFrame:
+    """``df`` with the running sum of each of ``sums`` in its group by ``order``, its own row included, and the group's
+    whole sum of those named in ``totals``.
 
-    ``bucket`` never falls as the order goes on (never rises, if ``descending``): rows are ranked inside a bucket,
-    and the rows of the buckets before it are added, so a large group is ranked by as many tasks as it has buckets.
+    ``bucket`` never falls as the order goes on (never rises, if ``descending``): rows are added up inside a bucket,
+    and the sums of the buckets before it are put on top, so a large group is spread over as many tasks as it has buckets.
     Rows with null keys or buckets are a group or bucket like any other.
     """
-    keyed = df.withColumn("_key", F.struct(*by, bucket.alias("_bucket")))
-    counts = keyed.groupBy("_key").agg(F.count("*").alias("_n"))
+    keyed = df.withColumns({"_key": F.struct(*by, bucket.alias("_bucket")), **{f"_v_{n}": v for n, v in sums.items()}})
+    counts = keyed.groupBy("_key").agg(*[F.sum(f"_v_{n}").alias(f"_n_{n}") for n in sums])
     group = Window.partitionBy(*[F.col(f"_key.{c}") for c in by])
-    order_of = F.col("_key._bucket").desc() if descending else F.col("_key._bucket").asc()
-    upto = F.sum("_n").over(group.orderBy(order_of).rowsBetween(Window.unboundedPreceding, 0))
-    offsets = counts.select("_key", (upto - F.col("_n")).alias("_before"), F.sum("_n").over(group).alias("total"))
-    ranked = keyed.withColumn("_inside", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
-    joined = ranked.join(offsets, "_key").withColumn("position", F.col("_before") + F.col("_inside"))
-    return joined.drop("_key", "_before", "_inside")
+    upto = group.orderBy(F.col("_key._bucket").desc() if descending else F.col("_key._bucket").asc()).rowsBetween(Window.unboundedPreceding, 0)
+    whole = [F.sum(f"_n_{n}").over(group).alias(name) for n, name in (totals or {}).items()]
+    offsets = counts.select("_key", *[(F.sum(f"_n_{n}").over(upto) - F.col(f"_n_{n}")).alias(f"_b_{n}") for n in sums], *whole)
+    inside = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    added = keyed.withColumns({f"_i_{n}": F.sum(f"_v_{n}").over(inside) for n in sums}).join(offsets, "_key")
+    return added.withColumns({n: F.col(f"_b_{n}") + F.col(f"_i_{n}") for n in sums}).drop("_key", *[f"_{x}_{n}" for n in sums for x in "vib"])
+
+
+def placed(df: DataFrame, by: list[str], bucket: Column, order: list[Column], descending: bool = False) -> DataFrame:
+    """``df`` with ``position`` (from 1) in its group by ``order``, and the group's ``total``; see :func:`running`."""
+    return running(df, by, bucket, order, {"position": F.lit(1)}, {"position": "total"}, descending)
 
 
 def paged(df: DataFrame, by: list[str], bucket: Column, order: list[Column], size: int, descending: bool = False) -> DataFrame:

@@ -43,25 +43,85 @@ def thin_cards(pages: DataFrame, settings: CrawlSettings = CrawlSettings()) -> D
     return pages.select("domain", group_url(F.col("url")).alias("group"), "page_seq", "url", h1.alias("h1"), card.alias("card"))
 
 
-def group_thin_pages(pages: DataFrame, settings: CrawlSettings = CrawlSettings()) -> DataFrame:
-    """Chunks of thin pages, packed by parent folder in page order.
+#: Pages of a group that one task packs: as many as have their number in a stretch of this length.
+PART_PAGES = 20_000
+ROOM = TARGET - 10
+
+
+def _starts(p: np.ndarray) -> np.ndarray:
+    """For a pack that starts at each card the first card behind it; ``p`` are running lengths from 0. A pack ends before
+    the card that would fill it, but never before it has any characters."""
+    full = np.searchsorted(p, p[:-1] + ROOM, side="right") - 1
+    begun = np.searchsorted(p, p[:-1], side="right")
+    return np.minimum(np.maximum(full, begun), len(p) - 1)
+
+
+def _first_start(p: np.ndarray, size: int, n: int) -> int:
+    """The first of ``n`` cards that doesn't go into a pack of ``size`` characters from before."""
+    full = int(np.searchsorted(p, ROOM - size, side="right")) - 1
+    begun = int(np.searchsorted(p, 0, side="right")) if size == 0 else 0
+    return min(max(full, begun), n)
+
+
+def _running(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    group = group.sort_values(["page_seq", "url"], kind="stable")
+    return group, np.concatenate([[0], np.cumsum(group["n"].to_numpy(dtype=np.int64))])
 
-    Only (page_seq, length) goes through the sequential packing; the cards meet their pack in an aggregation.
-    """
-    cards = thin_cards(pages, settings)
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["page_seq", "url"], kind="stable")
-        packs, k, size = [], 0, 0
-        for n in group["n"]:
-            if size > 0 and size + n + 10 > TARGET:
-                k, size = k + 1, 0
-            size += n
-            packs.append(k)
+def _thin_packs(lengths: DataFrame, part_pages: int) -> DataFrame:
+    """The pack of each thin page (``domain, group, page_seq, url, n``), numbered in a group from 0.
+
+    A group's pages are cut into parts by their number. Each part tells, for every card that could be the first of a pack
+    there, how many packs follow and what the last one holds (a few numbers, since few cards fit into a pack); from
+    those the state before each part follows part by part, and each part then packs its own pages.
+    """
+    parted = lengths.withColumn("part", F.coalesce(F.floor(F.col("page_seq") / part_pages), F.lit(2**62)))
+    key = ["domain", "group", "part"]
+
+    def outline(group: pd.DataFrame) -> pd.DataFrame:
+        group, p = _running(group)
+        m, starts = len(group), _starts(p)
+        packs, last = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
+        for i in range(m - 1, -1, -1):
+            j = starts[i]
+            packs[i], last[i] = packs[j] + 1, last[j] if j < m else p[m] - p[i]
+        f = _first_start(p, 0, m)
+        row = [*group[key].iloc[0], m, int(p[m]), p[: f + 2].tolist(), packs[: f + 1].tolist(), last[: f + 1].tolist()]
+        return pd.DataFrame([row], columns=[*key, "m", "chars", "head", "packs", "last"])
+
+    def chain(parts: pd.DataFrame) -> pd.DataFrame:
+        pack, size, out = 0, 0, []
+        for r in parts.sort_values("part").itertuples():
+            out.append((r.domain, r.group, r.part, pack, size))
+            f = _first_start(np.asarray(r.head), size, r.m)
+            pack, size = (pack + int(r.packs[f]), int(r.last[f])) if f < r.m else (pack, size + r.chars)
+        return pd.DataFrame(out, columns=[*key, "pack", "size"])
+
+    def fill(group: pd.DataFrame) -> pd.DataFrame:
+        group, p = _running(group)
+        m, starts, pack = len(group), _starts(p), int(group["pack"].iloc[0])
+        i, packs = _first_start(p, int(group["size"].iloc[0]), m), np.full(m, pack)
+        while i < m:
+            pack += 1
+            packs[i : starts[i]] = pack
+            i = starts[i]
         return group[["domain", "group", "page_seq", "url"]].assign(pack=packs)
 
-    lengths = cards.select("domain", "group", "page_seq", "url", F.length("card").alias("n"))
-    packs = lengths.groupBy("domain", "group").applyInPandas(pack, "domain string, group string, page_seq long, url string, pack int")
+    kinds = "domain string, group string, part long"
+    outlines = parted.groupBy(*key).applyInPandas(outline, f"{kinds}, m long, chars long, head array<long>, packs array<long>, last array<long>")
+    before = outlines.groupBy("domain", "group").applyInPandas(chain, f"{kinds}, pack long, size long")
+    met = parted.join(before, key)
+    return met.groupBy(*key).applyInPandas(fill, "domain string, group string, page_seq long, url string, pack int")
+
+
+def group_thin_pages(pages: DataFrame, settings: CrawlSettings = CrawlSettings(), part_pages: int = PART_PAGES) -> DataFrame:
+    """Chunks of thin pages, packed by parent folder in page order.
+
+    Only (page_seq, length) goes through the packing, in parts of a group; the cards meet their pack in an aggregation.
+    """
+    cards = thin_cards(pages, settings)
+    lengths = cards.select("domain", "group", "page_seq", "url", F.coalesce(F.length("card"), F.lit(0)).alias("n"))
+    packs = _thin_packs(lengths, part_pages)
     held = cards.join(packs, ["domain", "group", "page_seq", "url"]).groupBy("domain", "group", "pack")
     rows = held.agg(F.array_sort(F.collect_list(F.struct("page_seq", "url", "h1", "card"))).alias("c"))
     titles = F.filter(F.transform("c", lambda x: x["h1"]), lambda h: h.isNotNull())

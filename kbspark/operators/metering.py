@@ -18,10 +18,11 @@ def next_reset(day: Column) -> Column:
     return F.date_add(F.add_months(F.trunc(day, "MM"), 1), F.dayofmonth(day) - 1)
 
 
-def fold_periods(days: list[dt.date]) -> list[tuple[dt.date, dt.date, dt.date]]:
+def fold_periods(days: list[dt.date], start: dt.date | None = None, reset: dt.date | None = None) -> list[tuple[dt.date, dt.date, dt.date]]:
     """(day, first day of its period, reset day) for sorted days: a period starts with the first message at or
-    after the reset of the one before, and is reset from that message's date."""
-    out, start, reset = [], None, None
+    after the reset of the one before, and is reset from that message's date. ``start`` and ``reset`` are those of the
+    period in hand before the first day, if there is one; earlier days count into it."""
+    out = []
     for d in days:
         if reset is None or d >= reset:
             y, m = (d.year, d.month + 1) if d.month < 12 else (d.year + 1, 1)

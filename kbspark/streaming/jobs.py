@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, BooleanType, DateType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from kbspark.functions.text import CrawlSettings, is_heading, strip_block_marker
+from kbspark.operators.analytics import running
 from kbspark.operators.conversations import fold_handoff
 from kbspark.operators.metering import LIMIT, THRESHOLDS, fold_periods
 from kbspark.operators.paragraphs import BOILERPLATE_MAX, MAX_HEADINGS, split_pages
@@ -65,57 +66,85 @@ class IncrementalDedup:
         sums.write.mode("overwrite").parquet(f"{to.rstrip('/')}/sums/before={before}")
 
 
-METERED = StructType([
-    StructField("domain", StringType()), StructField("message_id", LongType()), StructField("rn", LongType()), StructField("accepted", BooleanType()),
-    StructField("notice", BooleanType()), StructField("threshold", IntegerType()), StructField("period_start", DateType()),
-])
-
-
-class QuotaMeter(StatefulProcessor):
-    """Counts a tenant's messages in its billing period; state: count, period, thresholds told, notice told.
+METERED = ["domain", "message_id", "rn", "accepted", "notice", "threshold", "period_start"]
+METER_STATE = "domain string, start date, reset date, count long, told long, noticed boolean"
+IN_HAND = "day date, period_start date, reset_on date, domain string, held_count long, held_told long, held_noticed boolean"
 
-    Rows of a micro-batch are taken in order of time; a row older than the period in hand counts into it, as it
-    does where messages are handled as they arrive.
-    """
 
-    def __init__(self, limit: int = LIMIT, thresholds: tuple[int, ...] = THRESHOLDS):
-        self.limit, self.thresholds = limit, thresholds
+class QuotaMeter:
+    """Counts a tenant's messages (``domain, message_id, ts, plan``) in its billing period, batch by batch.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("meter", "count long, start date, reset date, told array<int>, noticed boolean")
-
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "message_id"], kind="stable")
-        held = self.state.get() if self.state.exists() else (0, None, None, [], False)
-        count, start, reset, told, noticed = held[0], held[1], held[2], list(held[3] or []), held[4]
-        out = []
-        for ts, message_id, plan in zip(batch["ts"], batch["message_id"], batch["plan"]):
-            day = ts.date() if hasattr(ts, "date") else ts
-            if reset is None or day >= reset:
-                (_, start, reset), = fold_periods([day])
-                count, told, noticed = 0, [], False
-            free = plan == "free"
-            accepted = not free or count < self.limit
-            notice = free and not accepted and not noticed
-            noticed = noticed or notice
-            hit = []
-            if accepted:
-                count += 1
-                hit = [t for t in self.thresholds if free and t not in told and count >= -(-self.limit * t // 100)]
-                told += hit
-            out.append((key[0], int(message_id), count, accepted, notice, max(hit) if hit else None, start))
-        self.state.update((count, start, reset, told, noticed))
-        frame = pd.DataFrame(out, columns=[f.name for f in METERED])
-        frame["threshold"] = frame["threshold"].astype("Int32")
-        yield frame
-
-    def close(self) -> None:
-        pass
+    The sink gets a row for each message: ``rn`` (the period's count after it), ``accepted``, ``notice`` (the first blocked
+    one), ``threshold`` (the highest that it newly reaches) and ``period_start``. Messages of a batch are taken in order of
+    time; one older than the period in hand counts into it, as it does where messages are handled as they arrive. Blocked
+    messages don't count. Messages without a domain or a time belong to no period and are left out. ``thresholds`` has
+    ``domain, thresholds array<int>``; the usual ones where it has none or an empty list.
 
+    The state is a row for each tenant, a folder a batch: its period, count, the count at the last free message that
+    was accepted, and whether the owner has been told of a block. A batch reads the folder of the batch before it and
+    writes its own, so one that is run again gives the same rows. A tenant's messages are added up by the hour, so a
+    busy one is spread over many tasks; only distinct days and the messages within the limit go through one.
+    """
 
-def quota_meter(messages: DataFrame, limit: int = LIMIT, thresholds: tuple[int, ...] = THRESHOLDS) -> DataFrame:
-    """Stream of outcomes for a stream of messages (``domain, message_id, ts, plan``)."""
-    return messages.groupBy("domain").transformWithStateInPandas(QuotaMeter(limit, thresholds), METERED, "Append", "None")
+    def __init__(self, spark: SparkSession, state_path: str, sink: Callable[[DataFrame, int], None], limit: int = LIMIT, thresholds: DataFrame | None = None):
+        self.spark, self.path, self.sink, self.limit, self.thresholds = spark, state_path.rstrip("/"), sink, limit, thresholds
+        spark.createDataFrame([], METER_STATE).write.mode("ignore").parquet(f"{self.path}/batch=-1")
+
+    def __call__(self, messages: DataFrame, batch_id: int) -> None:
+        held = self.spark.read.schema(METER_STATE).parquet(f"{self.path}/batch={batch_id - 1}")
+        rows = self.outcomes(messages, held).persist()
+        try:
+            self.sink(rows.select(*METERED), batch_id)
+            told = F.max(F.when(F.col("accepted") & F.col("free"), F.col("rn")))
+            periods = rows.groupBy("domain", "period_start", "reset_on", "held_told", "held_noticed").agg(F.max("rn").alias("count"), told.alias("told"), F.bool_or("notice").alias("notice"))
+            state = F.struct(
+                F.col("period_start").alias("start"), F.col("reset_on").alias("reset"), "count",
+                F.greatest("held_told", "told").alias("told"), (F.col("held_noticed") | F.col("notice")).alias("noticed"),
+            )
+            fresh = periods.groupBy("domain").agg(F.max_by(state, "period_start").alias("s")).select("domain", "s.*")
+            others = held.join(fresh.select("domain"), "domain", "left_anti")
+            fresh.unionByName(others).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        finally:
+            rows.unpersist()
+
+    def in_hand(self, dated: DataFrame, held: DataFrame) -> DataFrame:
+        """For each day of a tenant its period, and what the state holds of it."""
+
+        def fold(group: pd.DataFrame) -> pd.DataFrame:
+            first = group.iloc[0]
+            start, reset = (None, None) if pd.isna(first["start"]) else (first["start"], first["reset"])
+            out = pd.DataFrame(fold_periods(sorted(group["day"]), start, reset), columns=["day", "period_start", "reset_on"])
+            same = out["period_start"] == start if start is not None else pd.Series(False, index=out.index)
+            count, told = (0, 0) if start is None else (int(first["count"]), int(first["told"]))
+            return out.assign(domain=first["domain"], held_count=same * count, held_told=same * told, held_noticed=same & bool(start is not None and first["noticed"]))
+
+        return dated.select("domain", "day").distinct().join(held, "domain", "left").groupBy("domain").applyInPandas(fold, IN_HAND)
+
+    def outcomes(self, messages: DataFrame, held: DataFrame) -> DataFrame:
+        dated = messages.filter("domain IS NOT NULL AND ts IS NOT NULL").select("domain", "message_id", "ts", "plan", F.to_date("ts").alias("day"))
+        rows = dated.join(self.in_hand(dated, held), ["domain", "day"]).withColumn("free", F.coalesce(F.col("plan") == "free", F.lit(False)))
+        in_order = (["domain", "period_start"], F.date_trunc("hour", "ts"), [F.col("ts"), F.col("message_id")])
+        # The first messages up to the limit count whatever their plan; beyond it only paid ones do.
+        rows = running(rows, *in_order, {"n": F.lit(1)})
+        fits = F.col("n") <= F.lit(self.limit) - F.col("held_count")
+        over = {"paid": (~F.col("free") & ~fits).cast("int"), "blocked": (F.col("free") & ~fits).cast("int")}
+        rows = running(rows, *in_order, over)
+        counted = F.when(fits, F.col("held_count") + F.col("n")).otherwise(F.greatest("held_count", F.lit(self.limit)) + F.col("paid"))
+        accepted = ~F.col("free") | fits
+        notice = ~accepted & (F.col("blocked") == 1) & ~F.col("held_noticed")
+        rows = rows.withColumns({"rn": counted.cast("long"), "accepted": accepted, "notice": notice}).drop("n", "paid", "blocked", "day")
+        # A tenant has at most as many accepted free messages in a period as the limit.
+        before = F.lag("rn").over(Window.partitionBy("domain", "period_start").orderBy("rn"))
+        free = rows.filter("free AND accepted").withColumn("before", F.coalesce(before, F.col("held_told")))
+        usual = F.array(*[F.lit(t) for t in THRESHOLDS])
+        if self.thresholds is not None:
+            free = free.join(self.thresholds.select("domain", "thresholds"), "domain", "left")
+            usual = F.when(F.size("thresholds") > 0, F.col("thresholds")).otherwise(usual)
+        place = lambda t: F.ceil(F.lit(self.limit) * t / 100)
+        hit = F.array_max(F.filter(usual, lambda t: (place(t) > F.col("before")) & (place(t) <= F.col("rn"))))
+        hits = free.select("domain", "period_start", "rn", F.lit(True).alias("hit"), hit.cast("int").alias("threshold")).filter("threshold IS NOT NULL")
+        keyed = rows.withColumn("hit", F.col("free") & F.col("accepted"))
+        return keyed.join(hits, ["domain", "period_start", "rn", "hit"], "left").drop("hit")
 
 
 HANDOFFS = StructType([

@@ -63,7 +63,10 @@ def r_incremental_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT message_id, CASE WHEN plan = 'free' THEN least(n, {LIMIT}) ELSE n END AS rn, plan <> 'free' OR n <= {LIMIT} AS accepted, plan = 'free' AND n = {LIMIT} + 1 AS notice,
   CASE WHEN plan = 'free' THEN CASE n WHEN 15 THEN 50 WHEN 23 THEN 75 WHEN 27 THEN 90 END END AS threshold FROM r""")
 def r_quota_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = collected(spark, jobs.quota_meter(views.metered(_Streams(spark), sf_dir), LIMIT), "quota")
+    out = shared_folder(spark, "quota")
+    meter = jobs.QuotaMeter(spark, f"{out}-state", lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), LIMIT)
+    jobs.run_to_end(views.metered(_Streams(spark), sf_dir), f"{out}-checkpoint", "append", meter)
+    rows = spark.read.schema("domain string, message_id long, rn long, accepted boolean, notice boolean, threshold int, period_start date").parquet(out)
     return rows.select("message_id", "rn", "accepted", "notice", "threshold")
 
 

@@ -79,6 +79,24 @@ def test_thin_groups(spark):
     assert len(many) == 4 and {r.label for r in many} == {"Group"}
 
 
+@pytest.mark.parametrize("part_pages", [1, 7, 1000])
+def test_thin_packs_equal_one_pass(spark, part_pages):
+    rng = np.random.default_rng(part_pages)
+    rows = [(f"d{i % 2}", "g", i, f"u{i}", int(n)) for i, n in enumerate(rng.choice([0, 1, 30, 60, 200, 595, 600, 1180, 1190, 1191, 3000], 260))]
+    df = spark.createDataFrame(rows, "domain string, group string, page_seq long, url string, n int")
+    got = {(r.domain, r.page_seq): r.pack for r in ch._thin_packs(df, part_pages).collect()}
+    for domain in ("d0", "d1"):
+        pack, size = 0, 0
+        for d, _, i, _, n in rows:
+            if d != domain:
+                continue
+            if size > 0 and size + n + 10 > 1200:
+                pack, size = pack + 1, 0
+            size += n
+            assert got[d, i] == pack
+    assert len(got) == len(rows)
+
+
 def test_embedding_is_batched_and_reused(spark):
     df = ch.dedup_chunks(spark.createDataFrame([("d", i, i, "u", f"text {i % 3}") for i in range(6)], "domain string, page_seq long, chunk_index int, url string, content string"))
     assert df.count() == 3

@@ -1,7 +1,11 @@
+import datetime as dt
+import random
+
 from pyspark.sql import functions as F
 
 from kbspark.operators import conversations as cv
 from kbspark.operators import paragraphs as pa
+from kbspark.operators.metering import THRESHOLDS, fold_periods
 from kbspark.plans import chat_queries
 from kbspark.sources.tables import table
 from kbspark.streaming import jobs
@@ -52,3 +56,42 @@ def test_incremental_dedup_reads_sums(spark, tmp_path):
     assert sorted(tuple(r) for n in out for r in out[n]) == sorted((r.domain, r.page_seq, r.url, r.idx, r.para) for r in whole)
     files = [r[0] for r in dedup.counts(8).select(F.input_file_name()).distinct().collect()]
     assert files and all("before=8" in f for f in files)
+
+
+def metered_one_by_one(rows, limit, thresholds):
+    """(message, count, accepted, notice, threshold, period start) of messages in the order given."""
+    held, out = {}, {}
+    for domain, message, ts, plan in rows:
+        day = ts.date()
+        m = held.get(domain)
+        if m is None or day >= m["reset"]:
+            ((_, start, reset),) = fold_periods([day])
+            m = held[domain] = {"start": start, "reset": reset, "n": 0, "told": set(), "noticed": False}
+        free = plan == "free"
+        accepted = not free or m["n"] < limit
+        notice = not accepted and not m["noticed"]
+        m["noticed"] |= notice
+        m["n"] += accepted
+        hit = [t for t in thresholds.get(domain) or THRESHOLDS if free and accepted and t not in m["told"] and 100 * m["n"] >= limit * t]
+        m["told"] |= set(hit)
+        out[message] = (m["n"], accepted, notice, max(hit, default=None), m["start"])
+    return out
+
+
+def test_quota_meter_equals_one_by_one(spark, tmp_path):
+    rng = random.Random(11)
+    start = dt.datetime(2024, 1, 29)
+    rows = [(rng.choice("abbbbc"), i, start + dt.timedelta(hours=rng.randrange(24 * 75)), rng.choice(["free"] * 9 + ["paid", None])) for i in range(300)]
+    rows.sort(key=lambda r: (r[2], r[1]))
+    batches = [rows[:90], rows[90:91], rows[91:220], rows[220:]]
+    batches[1].append(("b", 1000, start, "free"))  # late
+    own = {"b": [10, 40, 100], "c": []}
+    thresholds = spark.createDataFrame(list(own.items()), "domain string, thresholds array<int>")
+    got = {}
+    meter = jobs.QuotaMeter(spark, str(tmp_path / "state"), lambda df, n: got.update({r.message_id: (r.rn, r.accepted, r.notice, r.threshold, r.period_start) for r in df.collect()}), 20, thresholds)
+    for n, batch in enumerate(batches):
+        df = spark.createDataFrame(batch, "domain string, message_id long, ts timestamp, plan string")
+        for _ in range(2 if n == 2 else 1):  # a batch that runs again changes nothing
+            meter(df.unionByName(spark.createDataFrame([(None, -1, start, "free"), ("a", -2, None, "free")], df.schema)), n)
+    expected = metered_one_by_one([r for b in batches for r in sorted(b, key=lambda r: (r[2], r[1]))], 20, own)
+    assert got == expected
