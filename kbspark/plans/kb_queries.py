@@ -194,7 +194,15 @@ def w2_refresh_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.select("domain", "url", "chunk_index", "content_hash", "label")
 
 
-@query()
+_SITE = f"regexp_extract({_HOST}, '(([^.]+\\.){{0,2}}[^.]+)$', 1)"
+
+
+@query(f"""WITH fine AS (SELECT *, {_HOST} || CASE {_PATH} WHEN '' THEN '/' ELSE {_PATH} END AS url_key, {_HOST} AS host, {_SITE} AS domain FROM pages WHERE html IS NOT NULL AND NOT contains(html, chr(0))),
+links AS (SELECT domain, host, regexp_extract(url, '^([^:]+://[^/?#]*)', 1) AS origin, unnest(regexp_extract_all(html, '<a [^>]*href="(/[^"]*)"', 1)) AS href FROM fine),
+own AS (SELECT domain, host || regexp_extract(href, '^[^?#]*') AS url_key, min(origin || href) AS url, max(host <> domain) AS subdomain FROM links GROUP BY 1, 2),
+seen AS (SELECT DISTINCT domain, url_key FROM fine), fetched AS (SELECT domain, count(*) AS n FROM seen GROUP BY 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY subdomain DESC, url_key) AS rank FROM own ANTI JOIN seen USING (domain, url_key))
+SELECT domain, url_key, url, subdomain, CAST(rank AS INTEGER) AS rank FROM ranked JOIN fetched USING (domain) WHERE rank + n <= {cr.MAX_PAGES}""")
 def j_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spread(crawled_pages(table(spark, sf_dir, "pages")))
     linked = pages.select("domain", F.col("domain").alias("base_host"), "url", page_column(F.col("html"), keep_nav_links=True)["links"].alias("links"))
