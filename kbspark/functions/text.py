@@ -90,8 +90,8 @@ def kept_paragraphs(text: Column, settings: CrawlSettings = CrawlSettings()) ->
 
 
 def content_length(text: Column) -> Column:
-    """Length of the kept paragraphs without markers, joined by blank lines; no tenant switches apply."""
-    return F.length(F.array_join(F.transform(kept_paragraphs(text), strip_block_marker), "\n\n"))
+    """Length of the kept paragraphs without markers, joined by blank lines; no tenant switches apply. Null text: 0."""
+    return F.coalesce(F.length(F.array_join(F.transform(kept_paragraphs(text), strip_block_marker), "\n\n")), F.lit(0))
 
 
 def url_part(url: Column, group: int) -> Column:
