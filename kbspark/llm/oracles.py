@@ -81,4 +81,39 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM q
 """
 
-ORACLES = {"op10_warc": OP10, "op3_line_dedup": OP3, "op7_quality_rules": OP7, "op8_url_filter": OP8}
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), x -> CAST(ascii(x) AS BIGINT))),
+      (acc, x) -> list_reduce([xor(acc, x), 0, 0, 0, 0, 0, 0, 0, 0], (c, z) -> xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)"""
+
+OP11 = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+turns AS (
+  SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t ON t.conv_id = c.base WHERE pos <= h
+  UNION ALL SELECT conv_id, 1, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos > h),
+numbered AS (
+  SELECT conv_id, row_number() OVER w AS depth, list(role || chr(0) || text) OVER w AS path, length(text) AS chars
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)),
+prefixes AS (
+  SELECT conv_id, depth, path, chars FROM numbered
+  UNION ALL SELECT conv_id, 0, [], 0 FROM c),
+members AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM prefixes),
+nodes AS (
+  SELECT path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM members GROUP BY path),
+children AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+own AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * chars AS saved
+  FROM nodes n LEFT JOIN children USING (path)),
+above AS (SELECT path[1:k] AS path, saved, n_children FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM own)),
+sums AS (SELECT path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY 1)
+SELECT o.conv_id, CAST(o.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, s.n_leaves,
+       CAST(s.saved_tokens AS BIGINT) AS saved_tokens, o.ends_sha256
+FROM own o JOIN sums s USING (path) LEFT JOIN nodes p ON o.depth > 0 AND p.path = o.path[1:o.depth - 1]
+"""
+
+ORACLES = {"op10_warc": OP10, "op11_prefix_trie": OP11, "op3_line_dedup": OP3, "op7_quality_rules": OP7, "op8_url_filter": OP8}

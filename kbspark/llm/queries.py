@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import decontam, licenses, line_dedup, near_dup, packing, quality, quality_rules, token_io, url_rules, warc
+from kbspark.llm import chunk_codec, decontam, licenses, line_dedup, near_dup, packing, periodic_runs, prefix_trie, quality, quality_rules, token_io, url_rules, warc
 from kbspark.llm.shared import fresh_dir
 from kbspark.sources.tables import table
 
@@ -74,6 +74,32 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(pages, folder), folder).drop("url")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = prefix_trie.gathered(prefix_trie.turn_keys(table(spark, sf_dir, "conversations")))
+    return prefix_trie.trie_nodes(prefix_trie.regrown(own))
+
+
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, words = table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json")
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return chunk_codec.decode(chunk_codec.encode(docs, words), words).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, h = table(spark, sf_dir, "documents").select("doc_id", "text"), prefix_trie.crc(F.col("doc_id"))
+    looped = F.when(h % 10 == 0, periodic_runs.looped(F.col("text"), F.floor(h / 10))).otherwise(F.col("text"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter"))))
+    found = periodic_runs.periodic_runs(docs.select("doc_id", looped.alias("text")))
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.before")).alias("start"), F.col("top.length").alias("length"),
+        (-F.col("top.shorter")).alias("period"), F.floor(1000 * F.col("top.length") / -F.col("top.shorter")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_packing": op2_packing,
@@ -85,4 +111,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_bpe_codec": op12_bpe_codec,
+    "op13_periodic_runs": op13_periodic_runs,
 }
