@@ -82,8 +82,8 @@ FROM q
 """
 
 #: CRC-32 of a decimal number, bit by bit.
-_CRC = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), x -> CAST(ascii(x) AS BIGINT))),
-      (acc, x) -> list_reduce([xor(acc, x), 0, 0, 0, 0, 0, 0, 0, 0], (c, z) -> xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)"""
+_CRC = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda acc, x: list_reduce([xor(acc, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)"""
 
 OP11 = f"""
 WITH t AS (
