@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.llm.shared import written
 
-BAD = "!bad"
 #: (verdict, host, path) of the fixed rules.
 FIXED_RULES = (
     ("allow", "org", "/"),
@@ -60,15 +61,34 @@ def matched_rule(host: Column, path: Column, rules=FIXED_RULES) -> tuple[Column,
     return name, says
 
 
-def _folded(rows: DataFrame, least: float) -> DataFrame:
-    """``(token, name, members)`` of the tokens that occur with the mark in at least ``least`` rows of ``rows`` (row,
+def _folded(rows: DataFrame, least: int) -> DataFrame:
+    """``(token, name, members, n, bad)`` of the tokens that occur with the mark in ``least`` rows or more of ``rows`` (row,
     tokens, bad): tokens found in exactly the same rows are one item, named by the least of them."""
     each = rows.select("row", "bad", F.explode("tokens").alias("token"))
     found = each.groupBy("token").agg(
         F.count_if("bad").alias("bad"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(row))").alias("x"), F.expr("bit_xor(xxhash64(row, 1))").alias("y")
     )
-    classes = found.filter(F.col("bad") >= least).groupBy("n", "x", "y").agg(F.sort_array(F.collect_list("token")).alias("members"))
-    return classes.select(F.explode("members").alias("token"), F.col("members")[0].alias("name"), "members")
+    classes = found.filter(F.col("bad") >= least).groupBy("n", "bad", "x", "y").agg(F.sort_array(F.collect_list("token")).alias("members"))
+    return classes.select(F.explode("members").alias("token"), F.col("members")[0].alias("name"), "members", "n", "bad")
+
+
+def marked_sets(rows: DataFrame, items: DataFrame, least: int) -> DataFrame:
+    """``(antecedent, bad, n)``: the sets of two items or more that ``least`` marked rows or more hold, with how many
+    rows and marked rows do. FP-growth sees marked rows only; the sets it finds are then counted in the distinct
+    baskets of the others, each by way of its rarest item."""
+    each = rows.select("row", "bad", F.explode("tokens").alias("token")).join(items.select("token"), "token")
+    baskets = written(each.groupBy("row", "bad").agg(F.array_sort(F.collect_list("token")).alias("items")), "url-baskets")
+    marked = baskets.filter("bad AND size(items) > 1").select("items")
+    n = marked.count()
+    if n < least:
+        return rows.sparkSession.createDataFrame([], "antecedent array<string>, bad long, n long")
+    # Half a row less, so that rounding can't ask for one more.
+    sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n).fit(marked).freqItemsets.filter("size(items) > 1")
+    sets = written(sets.select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("bad")), "url-sets")
+    others = baskets.filter("NOT bad AND size(items) > 1").groupBy("items").agg(F.count("*").alias("n"))
+    met = others.withColumn("token", F.explode("items")).join(_filed(sets), "token").filter(F.size(F.array_except("antecedent", "items")) == 0)
+    more = met.groupBy("antecedent").agg(F.sum("n").alias("more"))
+    return sets.join(more, "antecedent", "left").select("antecedent", "bad", (F.col("bad") + F.coalesce("more", F.lit(0))).alias("n"))
 
 
 def mined_rules(
@@ -76,13 +96,14 @@ def mined_rules(
 ) -> DataFrame:
     """``(antecedent array<string>, members array<array<string>>, confidence, support)`` of token sets that mark bad URLs.
 
-    ``labelled`` has ``url`` and ``bad`` (boolean). Spark's FP-growth counts the token sets; a rule stays if
-    its set and the mark occur together in ``min_support`` of the rows and in ``min_count`` rows, at
-    ``min_confidence``, and if no part of it is a rule already. Rules may have any number of tokens.
+    ``labelled`` has ``url`` and ``bad`` (boolean). A set is a rule if it and the mark occur together in ``min_support``
+    of the rows and in ``min_count`` rows, at ``min_confidence``, and if no part of it is a rule already. Rules may
+    have any number of tokens.
 
-    Tokens that can't be in a rule are taken out before mining, and those that always occur together are one item: a site
-    whose URLs share 30 tokens has one set and not 2 ** 30. ``members`` has the tokens of each item of ``antecedent``, any
-    of which stands for it.
+    Before Spark's FP-growth counts sets, what can't add a rule is left out: tokens too rare with the mark, tokens of
+    every row, and tokens that are a rule alone, since any set with one is redundant. Tokens that always occur together
+    are one item: a site whose URLs share 30 tokens has one set and not 2 ** 30. ``members`` has the tokens of each item
+    of ``antecedent``, any of which stands for it.
     """
     rows = written(
         labelled.filter(F.col("url").isNotNull()).select(
@@ -91,29 +112,21 @@ def mined_rules(
         "url-tokens",
     )
     n = rows.count()
-    empty = rows.sparkSession.createDataFrame([], "antecedent array<string>, members array<array<string>>, confidence double, support double")
-    if n == 0:
-        return empty
-    support = min(1.0, max(min_support, min_count / n))
-    tokens = written(_folded(rows, support * n - 1e-9), "url-items")
-    names = rows.select("row", F.explode("tokens").alias("token")).join(tokens.filter("token = name").select("token"), "token")
-    items = names.groupBy("row").agg(F.collect_list("token").alias("items")).join(rows.select("row", "bad"), "row", "right")
-    marked = F.coalesce("items", F.array().cast("array<string>"))
-    items = written(items.select(F.when(F.col("bad"), F.concat(marked, F.array(F.lit(BAD)))).otherwise(marked).alias("items")), "url-baskets")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.filter(
-        (F.size("consequent") == 1) & (F.col("consequent")[0] == BAD)
-    ).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
-    rules = written(rules, "url-rules")
+    least = max(1, math.ceil(min(1.0, max(min_support, min_count / max(1, n))) * n - 1e-9))
+    tokens = written(_folded(rows, least), "url-items")
+    sure = F.col("bad") / F.col("n") >= min_confidence
+    named = tokens.filter("token = name").select("name", "members", "n", "bad")
+    alone = named.filter(sure).select(F.array("name").alias("antecedent"), "bad", "n")
+    rest = marked_sets(rows, named.filter(~sure & (F.col("n") < n)).select(F.col("name").alias("token")), least).filter(sure)
+    rules = written(alone.unionByName(rest), "url-rules")
     # A rule whose part is a rule adds nothing: the part fits wherever it does. The part's rarest token is in the rule.
     parts = _filed(rules).select(F.col("antecedent").alias("part"), "token")
     each = rules.select("antecedent", F.explode("antecedent").alias("token"))
     inside = (F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0)
     redundant = each.join(parts, "token").filter(inside).select("antecedent").distinct()
     kept = rules.join(redundant, "antecedent", "left_anti")
-    named = tokens.filter("token = name").select("name", "members")
-    wide = kept.select("antecedent", F.explode("antecedent").alias("name")).join(named, "name").groupBy("antecedent").agg(F.collect_list("members").alias("members"))
-    return kept.join(wide, "antecedent").select("antecedent", "members", "confidence", "support")
+    wide = kept.select("antecedent", F.explode("antecedent").alias("name")).join(named.select("name", "members"), "name").groupBy("antecedent").agg(F.collect_list("members").alias("members"))
+    return kept.join(wide, "antecedent").select("antecedent", "members", (F.col("bad") / F.col("n")).alias("confidence"), (F.col("bad") / n).alias("support"))
 
 
 def _filed(rules: DataFrame) -> DataFrame:

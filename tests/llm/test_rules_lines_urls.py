@@ -1,3 +1,7 @@
+import random
+from collections import Counter
+from itertools import combinations
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +124,39 @@ def test_site_with_many_common_tokens(spark):
     pages = spark.createDataFrame([(i, "http://z.org/partbc") for i in range(50)] + [(60, None), (61, None), (62, "http://z.org/none"), (63, "http://bad.com/")], "page_id long, url string")
     got = {r.page_id: r.mined for r in url_rules.filter_urls(pages, labelled).collect()}
     assert got == {**{i: True for i in range(50)}, 60: False, 61: False, 62: False, 63: True}
+
+
+@pytest.mark.parametrize("keys", [8, 11, 14])
+def test_tokens_that_are_rules_alone_make_no_sets(spark, monkeypatch, keys):
+    """Bad URLs with many query keys, each missing now and then: 2 ** keys sets if they were all counted."""
+    r, seen = random.Random(keys), []
+    plain = url_rules.marked_sets
+    monkeypatch.setattr(url_rules, "marked_sets", lambda rows, items, least: seen.append(plain(rows, items, least)) or seen[-1])
+    bad = [(f"http://a.com/x/{i}?" + "&".join(f"k{k}=1" for k in range(keys) if r.random() > 0.03), True) for i in range(300)]
+    rows = bad + [(f"http://a.com/y/{i}", False) for i in range(320)]
+    got = {tuple(x.antecedent) for x in url_rules.mined_rules(spark.createDataFrame(rows, "url string, bad boolean")).collect()}
+    assert got == {("p:x",), *((f"q:k{k}",) for k in range(keys))}
+    assert seen[0].count() == 0
+
+
+def test_sets_are_counted_in_all_rows(spark):
+    """Tokens that are no rule alone, with a rule of two and one of three among them; found as by counting every set."""
+    r = random.Random(4)
+    rows = []
+    for i in range(400):
+        some = {k for k in range(6) if r.random() < 0.5}
+        bad = ({0, 1} <= some or {2, 3, 4} <= some) if r.random() < 0.95 else r.random() < 0.2
+        rows.append(("http://a.com/x?" + "&".join(f"k{k}" for k in sorted(some)), bad))
+    counts = Counter()
+    for url, bad in rows:
+        keys = [k for k in url.split("?")[1].split("&") if k]
+        for n in range(1, 7):
+            for s in combinations(keys, n):
+                counts[s, bad] += 1
+    rule = {s for s, bad in counts if counts[s, True] >= 5 and counts[s, True] >= 0.7 * (counts[s, True] + counts[s, False])}
+    want = {s for s in rule if not any(set(o) < set(s) for o in rule)}
+    got = url_rules.mined_rules(spark.createDataFrame(rows, "url string, bad boolean"), min_confidence=0.7).collect()
+    assert {tuple(sorted(t[2:] for t in x.antecedent)) for x in got} == want and max(map(len, want)) >= 2
+    for x in got:
+        s = tuple(sorted(t[2:] for t in x.antecedent))
+        assert x.confidence == counts[s, True] / (counts[s, True] + counts[s, False])
