@@ -3,14 +3,15 @@
 Texts become bags of five-word shingles. Equal bags are one node from the start. Nodes that share a band
 are candidates, but pairs are not listed: first every node is compared with the least node of each of its
 bands, which settles all bands of two and most groups of copies. Of the bands whose members are then still in
-several classes, those with many classes are split by a second band that two members share; the largest class of
-each is compared with the members outside it, and those with one another, in blocks inside tasks, which give back
-the links that join classes and nothing else.
+several classes, those with many members outside the largest are taken apart by rare shingles that two texts at
+the threshold must share; the largest class of each is compared with the members outside it, and those with one
+another, in blocks inside tasks, which give back the links that join classes and nothing else.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from kbspark.llm.bagminhash import band_keys, mix, signatures
 from kbspark.llm.components import components
 from kbspark.llm.shared import SPACE_CLASS, give_back, lean, small_batches, split_join, written
 
+#: Classes of bag sizes in which rare shingles are compared.
+SIZES = 1.02
 #: Elements that one call to the signature code takes; a longer text is taken alone.
 CHUNK = 150_000
 
@@ -142,9 +145,8 @@ def similarities(bags: list[tuple[np.ndarray, np.ndarray]], columns: int = 4096)
     n = len(bags)
     doc = np.repeat(np.arange(n), [len(u) for u, _ in bags])
     u, c = (np.concatenate(x) for x in zip(*bags))
-    at = np.repeat(np.arange(len(u)), c)
-    copy = np.arange(len(at)) - np.repeat(np.cumsum(c) - c, c)
-    doc, element = doc[at], mix(u[at].view(np.uint64) ^ mix(copy.astype(np.uint64)))
+    at, element = _elements(u, c)
+    doc = doc[at]
     _, element, seen = np.unique(element, return_inverse=True, return_counts=True)
     common = seen[element] > 1
     doc, element = doc[common], element[common]
@@ -180,13 +182,54 @@ def _forest(nodes: np.ndarray, roots: np.ndarray, same: np.ndarray) -> list[tupl
     return out
 
 
-def _open(known: DataFrame) -> DataFrame:
-    """``(band, n, root, others)`` of the bands in ``known`` (band, node, root) with more than two members in several
+def _elements(u: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``u``, hash) of the elements of bags one after the other: the n-th copy of a shingle is one of its own."""
+    at = np.repeat(np.arange(len(u)), c)
+    copy = np.arange(len(at)) - np.repeat(np.cumsum(c) - c, c)
+    return at, mix(u[at].view(np.uint64) ^ mix(copy.astype(np.uint64)))
+
+
+def _rare(bags: DataFrame, crowd: DataFrame, threshold: float) -> DataFrame:
+    """``(band, node, part)``: the nodes of ``crowd`` (node, root) by their rarest elements, as bands of another kind.
+
+    Bags of sizes m and n at the threshold t have o = t / (1 + t) * (m + n) elements or more in common. In any order of
+    all elements one of these is among the first m - o + 1 of the one bag and the first n - o + 1 of the other; with
+    the rarest first (counted over the crowd) few others have it too. No pair at the threshold is lost.
+
+    Sizes are in classes of a factor ``SIZES``, and a band is an element and two classes that pairs may have, so that
+    o is known almost exactly. Nodes of one class are parted by ``root``, those of two by class: parts meet one another.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, roots = b.column("node").to_numpy(), b.column("root").to_numpy()
+            for k, (u, c) in enumerate(zip(_lists(b.column("shingles")), _lists(b.column("counts")))):
+                element = _elements(u, c)[1].view(np.int64)
+                n = len(element)
+                yield pa.record_batch([pa.array(x) for x in (np.full(n, nodes[k]), np.full(n, roots[k]), np.full(n, n), element)], ["node", "root", "size", "element"])
+
+    each = bags.join(crowd, "node").mapInArrow(lean(spread), "node long, root long, size long, element long")
+    each = written(each, "crowd-elements")
+    counts = written(each.groupBy("element").agg(F.count("*").alias("n")), "crowd-counts")
+    ranked = split_join(each, counts, "element", each.count())
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("n", "element")))
+    class_of = lambda n: F.floor(F.log(n.cast("double")) / math.log(SIZES) + 1e-9).cast("int")
+    least_of = lambda k: F.ceil(F.pow(F.lit(SIZES), k) - 1e-6)
+    own, others = class_of(F.col("size")), F.sequence(class_of(F.greatest(F.lit(1), F.ceil(threshold * F.col("size") - 1e-9))), class_of(F.floor(F.col("size") / threshold + 1e-9)))
+    common = lambda k: F.ceil(threshold / (1 + threshold) * (F.col("size") + least_of(k)) - 1e-6)
+    reach = F.filter(others, lambda k: F.col("rank") <= F.col("size") - common(k) + 1)
+    met = ranked.filter("n > 1").withColumn("own", own).withColumn("other", F.explode(reach))
+    band = F.xxhash64("element", F.least("own", "other"), F.greatest("own", "other"))
+    return met.select(band.alias("band"), "node", F.when(F.col("own") == F.col("other"), F.col("root")).otherwise(F.col("own")).alias("part"))
+
+
+def _open(known: DataFrame, least: int = 3) -> DataFrame:
+    """``(band, n, root, others)`` of the bands in ``known`` (band, node, root) with ``least`` members or more in several
     classes: the root of the largest class and the members outside it. Of bands with equal members one is given."""
     of_class = known.groupBy("band", "root").agg(F.count("*").alias("c"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.sum("node").alias("s"))
     most = F.max(F.struct("c", "root"))
     bands = of_class.groupBy("band").agg(F.sum("c").alias("n"), F.count("*").alias("roots"), most.alias("most"), F.expr("bit_xor(x)").alias("x"), F.sum("s").alias("s"))
-    some = bands.filter("n > 2 AND roots > 1").groupBy("n", "x", "s").agg(F.min_by(F.struct("band", "most"), "band").alias("one"))
+    some = bands.filter((F.col("n") >= least) & (F.col("roots") > 1)).groupBy("n", "x", "s").agg(F.min_by(F.struct("band", "most"), "band").alias("one"))
     return some.select("one.band", "n", "one.most.root", (F.col("n") - F.col("one.most.c")).alias("others"))
 
 
@@ -254,13 +297,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, shin
     known = written(members.filter("n > 2").join(classes, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "known")
     found = written(_open(known), "open-bands")
     total = known.count()
-    # Bands with many classes are split by a second band: two texts at the threshold share a third of their bands.
-    wide = found.filter(F.col("others") > block)
-    crowd = split_join(known, wide.select("band", "n"), "band", total).join(nodes.select("node", "bands"), "node")
-    second = crowd.withColumn("other", F.explode("bands")).filter(F.col("other") != F.col("band"))
-    pair = F.xxhash64(F.least("band", "other"), F.greatest("band", "other"))
-    split = written(second.select(pair.alias("band"), "node", "root").distinct(), "second-bands")
-    dealt = _dealt(known, found.filter(F.col("others") <= block), total, block).unionByName(_dealt(split, written(_open(split), "open-second"), split.count(), block))
+    # Bands with many members outside the largest class give way to the rare shingles of their members.
+    crowd = split_join(known, found.filter(F.col("others") > block).select("band", "n"), "band", total).select("node", "root").distinct()
+    crowd = written(crowd, "crowd")
+    rare = written(_rare(bags, crowd, threshold).withColumnRenamed("part", "root"), "rare-shingles")
+    apart = _dealt(rare, written(_open(rare, 2), "open-rare"), rare.count(), block).drop("root").join(crowd, "node").select("band", "i", "j", "node", "root")
+    dealt = _dealt(known, found.filter(F.col("others") <= block), total, block).unionByName(apart)
 
     def block_links(group: pd.DataFrame) -> pd.DataFrame:
         held = [(np.asarray(u, np.int64), np.asarray(c, np.int64)) for u, c in zip(group["shingles"], group["counts"])]
@@ -298,10 +340,11 @@ def near_duplicates(
     Candidates share one of ``bands`` bands of ``rows`` components; with 32 bands of 5 a pair at 0.8 is missed
     with a chance of 3e-6, and at 0.9 of 4e-13. The first comparison has a row for each member and band, never for
     each pair. Where a band of n members keeps several classes after it, the k members outside the largest class are
-    compared with all: k * n / ``block`` + n rows are shuffled with their bags, and k * n overlaps computed. Bands with
-    k above ``block`` are first split by a second band (31 slim rows a member); a pair at 0.8 shares only one
-    band with a chance of 5e-5. Each block returns at most one link fewer than it has classes. What remains
-    quadratic is a crowd of texts that agree in two bands, are all near one another and all below the threshold.
+    compared with all: k * n / ``block`` + n rows are shuffled with their bags, and k * n overlaps computed. Members of bands
+    with k above ``block`` meet by their rarest shingles instead, a ninth of them for texts of one size, which loses no
+    pair at the threshold: a crowd of texts below 0.6 whose differences are their own comes apart. Each block returns
+    at most one link fewer than it has classes. What remains quadratic is a crowd of texts that share a band and are all
+    between 0.6 and the threshold.
 
     Null text, or one without words: a class of its own. Fewer words than ``shingle``: one shingle. Equal texts:
     one class. Rows with one id and several texts: each text has its class, and the id counts in class_id of each.

@@ -1,7 +1,9 @@
 import random
 from collections import Counter
 from functools import partial
+from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +148,61 @@ def test_components(spark, monkeypatch, floor):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and all(got[k] == 100 for k in range(100, 140)) and 200 not in got
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def crowd(seed, n, words=300, edits=5):
+    """Texts made of one base with edits: most pairs are a little below 0.8, some above."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        for k in rng.sample(range(words), edits if i % 4 else 3):
+            copy[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [2, 5, 400])
+def test_wide_bands_lose_no_pair(spark, block):
+    """A pair at 0.8 that shares one band is linked, however many members the band has: bands are few here, so that
+    most pairs share one at most."""
+    rows = crowd(1, 60) + [(i + 1000, t) for i, t in crowd(2, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bands = {r.id: set(r.bands) for r in near_dup._signed(df, "doc_id", "text", 5, 3, 2).collect()}
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(df, bands=3, rows=2, block=block).collect()}
+    bags = {i: Counter(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for i, t in rows}
+    close, once = 0, 0
+    for a, b in combinations(sorted(bags), 2):
+        both = sum((bags[a] & bags[b]).values())
+        near = both >= 0.8 * (sum(bags[a].values()) + sum(bags[b].values()) - both)
+        if near and bands[a] & bands[b]:
+            close, once = close + 1, once + (len(bands[a] & bands[b]) == 1)
+            assert got[a] == got[b]
+    assert close > 10 and once > 0
+    want = brute(rows)
+    assert all(want[a] == want[b] for a, b in combinations(got, 2) if got[a] == got[b])
+
+
+def crowd_rows(spark, n, edits, words=1000):
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(words)]
+    held = []
+    for i in range(n):
+        copy = [hash(w) for w in base]
+        for k in range(edits):
+            copy[words // edits * k + rng.randrange(words // edits - 5)] = rng.randrange(2**62)
+        held.append((i, *near_dup.bag(np.array(copy, np.int64), 5)))
+    return spark.createDataFrame([(i, u.view(np.int64).tolist(), c.tolist()) for i, u, c in held], "node long, shingles array<long>, counts array<long>")
+
+
+def test_a_crowd_below_the_threshold_comes_apart(spark):
+    """500 texts of one base, any two at 0.59 (29 edits of 1,000 words): by their rarest shingles hardly any two meet."""
+    bags = crowd_rows(spark, 500, 29)
+    one = bags.first()
+    assert 0.55 < near_dup.overlap(*(np.array(x) for x in (one.shingles, one.counts, *bags.filter("node = 7").first()[1:]))) < 0.62
+    rare = near_dup._rare(bags, bags.select("node", F.col("node").alias("root")), 0.8)
+    assert near_dup._open(rare.withColumnRenamed("part", "root"), 2).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] < 50
+    above = crowd_rows(spark, 20, 10)  # at 0.9 they do
+    rare = near_dup._rare(above, above.select("node", F.col("node").alias("root")), 0.8)
+    assert near_dup._open(rare.withColumnRenamed("part", "root"), 2).agg(F.max("n")).first()[0] > 12
