@@ -25,7 +25,7 @@ LEAST = 64
 CACHE_WORDS, CACHE_CHUNKS = 400_000, 1_000_000
 _MULTIPLIER = np.uint32(0x9E3779B1)
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_PIECE = "row long, piece int, pieces int, id {id}, ids array<int>, h1 long, h2 long, chunk binary"
+_PIECE = "row long, piece int, id {id}, ids array<int>, h1 long, h2 long, chunk binary"
 
 
 class WordEncoder:
@@ -143,29 +143,55 @@ def shared_keys(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(lean(keys), "h1 long, h2 long").groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def known_chunks(texts: pa.Array, sieve: Sieve) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end, keys) of the chunks that the sieve knows."""
+    data, bounds = buffer_of(texts)
+    starts, ends = cores(data, bounds)
+    keys = keys_of(memoryview(data), starts, ends)
+    known = sieve.holds(np.ascontiguousarray(keys[:, 0]))
+    return np.searchsorted(bounds, starts[known], "right") - 1, starts[known], ends[known], keys[known]
+
+
+def lists_of(ids: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
+
+
+def whole_texts(docs: DataFrame, vocabulary: str, sieve: Sieve, id_type: str) -> DataFrame:
+    """``(id, ids)`` of the rows (id, text) without a chunk that the sieve knows."""
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("text")
+            for a, z in pieces_of(column):
+                texts, own = column.slice(a, z - a), np.ones(z - a, bool)
+                own[known_chunks(texts, sieve)[0]] = False
+                own = pa.array(own)
+                yield pa.record_batch([batch.column("id").slice(a, z - a).filter(own), lists_of(*word_encoder(vocabulary).encode(texts.filter(own)))], ["id", "ids"])
+
+    return docs.mapInArrow(lean(encoded), f"id {id_type}, ids array<int>")
+
+
 def text_pieces(docs: DataFrame, vocabulary: str, sieve: Sieve, id_type: str) -> DataFrame:
-    """The rows of ``docs`` (id, text) as pieces: ids of what is encoded where it stands, from the last white space of
-    the chunk before it to the first of the next, and keys of chunks that the sieve knows. Texts without such a chunk
-    are one piece. ``row`` numbers rows over all tasks. Each task adds a row with the text of a chunk the first time
-    that it meets it."""
+    """The rows of ``docs`` (id, text) that hold a chunk the sieve knows, as pieces: ids of what is encoded where it
+    stands, from the last white space of the chunk before it to the first of the next, and keys of those chunks.
+    ``row`` numbers rows over all tasks. Each task adds a row with the text of a chunk the first time that it meets it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sent, row = word_encoder(vocabulary), set(), TaskContext.get().partitionId() << 40
         for batch in batches:
             column = batch.column("text")
             for a, z in pieces_of(column):
-                texts, ids = column.slice(a, z - a), batch.column("id").slice(a, z - a)
-                yield from pieces(encoder, texts, ids, row, sent)
-                row += z - a
+                texts = column.slice(a, z - a)
+                some = pa.array(np.unique(known_chunks(texts, sieve)[0]))
+                if len(some):
+                    yield from pieces(encoder, texts.take(some), batch.column("id").slice(a, z - a).take(some), row, sent)
+                row += len(some)
 
     def pieces(encoder: WordEncoder, texts: pa.Array, ids: pa.Array, first: int, sent: set) -> Iterator[pa.RecordBatch]:
         data, bounds = buffer_of(texts)
-        starts, ends = cores(data, bounds)
-        keys = keys_of(memoryview(data), starts, ends)
-        known = sieve.holds(np.ascontiguousarray(keys[:, 0]))
-        starts, ends, keys = starts[known], ends[known], keys[known]
+        where, starts, ends, keys = known_chunks(texts, sieve)
         # Own stretches: from a text's start or a chunk's end to the next chunk's start or the text's end.
-        of = np.concatenate([np.arange(len(texts)), np.searchsorted(bounds, starts, "right") - 1])
+        of = np.concatenate([np.arange(len(texts)), where])
         own = np.concatenate([bounds[:-1], ends])
         order = np.lexsort((own, np.arange(len(own)) >= len(texts), of))
         own, of = own[order], of[order]
@@ -173,8 +199,6 @@ def text_pieces(docs: DataFrame, vocabulary: str, sieve: Sieve, id_type: str) ->
         nexts = np.append(chunk[1:], -1)
         stops = np.where(nexts >= 0, np.append(starts, 0)[nexts], bounds[of + 1])
         offsets = np.stack([own, stops], 1).reshape(-1).astype(np.int32)
-        if len(offsets) == 0:
-            return
         offsets = np.append(offsets, offsets[-1])
         stretches = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
         encoded, at = encoder.encode(stretches.take(pa.array(np.arange(0, 2 * len(own), 2))))
@@ -187,15 +211,14 @@ def text_pieces(docs: DataFrame, vocabulary: str, sieve: Sieve, id_type: str) ->
         text = np.repeat(of, n)
         new = np.flatnonzero(np.diff(text, prepend=-1))
         number = np.arange(total) - np.repeat(new, np.diff(np.append(new, total)))
-        counts = np.diff(np.append(new, total))
         sizes = np.zeros(total, np.int64)
         sizes[is_own] = np.diff(at)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(encoded.astype(np.int32)))
+        lists = lists_of(encoded, np.concatenate([[0], np.cumsum(sizes)]))
         key = np.zeros((total, 2), np.int64)
         key[~is_own] = keys[chunk[chunk >= 0]]
-        columns = [pa.array(first + text), pa.array(number.astype(np.int32)), pa.array(counts[np.cumsum(np.isin(np.arange(total), new)) - 1].astype(np.int32)), ids.take(pa.array(text))]
+        columns = [pa.array(first + text), pa.array(number.astype(np.int32)), ids.take(pa.array(text))]
         columns += [pc.if_else(pa.array(is_own), lists, pa.scalar(None, lists.type)), pa.array(key[:, 0], mask=is_own), pa.array(key[:, 1], mask=is_own)]
-        names = ["row", "piece", "pieces", "id", "ids", "h1", "h2", "chunk"]
+        names = ["row", "piece", "id", "ids", "h1", "h2", "chunk"]
         yield pa.record_batch([*columns, pa.nulls(total, pa.binary())], names)
         texts_of = {}
         for k, (h, s, e) in enumerate(zip(map(tuple, keys.tolist()), starts.tolist(), ends.tolist())):
@@ -207,7 +230,7 @@ def text_pieces(docs: DataFrame, vocabulary: str, sieve: Sieve, id_type: str) ->
         if texts_of:
             m = len(texts_of)
             h = np.array(list(texts_of), np.int64)
-            gone = [pa.nulls(m, t) for t in (pa.int64(), pa.int32(), pa.int32(), ids.type, lists.type)]
+            gone = [pa.nulls(m, t) for t in (pa.int64(), pa.int32(), ids.type, lists.type)]
             yield pa.record_batch([*gone, pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(list(texts_of.values()), pa.binary())], names)
 
     return docs.mapInArrow(lean(cut), _PIECE.format(id=id_type))
@@ -218,8 +241,8 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     ``add_special_tokens=False`` and a vocabulary file whose tokens hold no white space.
 
     1. Texts are cut by a rolling hash and the 128-bit hashes of their chunks counted (16 bytes a chunk travel).
-    2. Those that occur twice or more are set in a sieve of 16 MB at most. Reading the texts again, a task sends each
-       chunk that the sieve knows once, and of the text itself only what lies between such chunks is encoded.
+    2. Those that occur twice or more are set in a sieve of 16 MB at most. Texts without a chunk that it knows are encoded
+       where they are read. Of the others a task sends each such chunk once, and encodes what lies between them.
        What the sieve lets through by mistake is treated as shared, which is as right; a full one makes all chunks so.
     3. A shared chunk is encoded once, whatever the number of texts that hold it, and its ids meet the places by a join
        on its hash; hot ones go to all tasks by broadcast.
@@ -235,16 +258,16 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keys = written(shared_keys(slim), "codec-keys")
     sieve = build_sieve(keys, "h1", keys.count())
-    pieces = written(text_pieces(slim, vocabulary, sieve, dict(docs.dtypes)[id_col]), "codec-pieces")
-    whole = pieces.filter("pieces = 1").select(F.col("id").alias(id_col), "ids")
-    open_rows = pieces.filter("pieces > 1")
+    id_type = dict(docs.dtypes)[id_col]
+    pieces = written(text_pieces(slim, vocabulary, sieve, id_type), "codec-pieces")
+    whole = whole_texts(slim, vocabulary, sieve, id_type).select(F.col("id").alias(id_col), "ids")
+    open_rows = pieces.filter("row IS NOT NULL")
     places = open_rows.filter("h1 IS NOT NULL").select("row", "piece", "h1", "h2")
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, at = word_encoder(vocabulary).encode(batch.column("chunk").cast(pa.string()))
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.record_batch([batch.column("h1"), batch.column("h2"), batch.column("n"), lists], ["h1", "h2", "n", "ids"])
+            ids = lists_of(*word_encoder(vocabulary).encode(batch.column("chunk").cast(pa.string())))
+            yield pa.record_batch([batch.column("h1"), batch.column("h2"), batch.column("n"), ids], ["h1", "h2", "n", "ids"])
 
     counted = pieces.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.first("chunk", ignorenulls=True).alias("chunk"), F.count("row").alias("n"))
     of_chunk = written(counted.mapInArrow(lean(chunks), "h1 long, h2 long, n long, ids array<int>"), "codec-chunks")
