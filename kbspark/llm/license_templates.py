@@ -1,5 +1,8 @@
 """Whole texts of short public licenses, and the notices that longer ones tell authors to use, as published;
-names and years left out. Whole texts of Apache, GPL, AGPL and MPL have no template: only the notice that they quote is met."""
+names and years left out. Whole texts of long licenses lie in ``license_texts``, as published too. The AGPL has none:
+only its notice is met."""
+
+from importlib.resources import files
 
 TEMPLATES = {
     "MIT": """
@@ -140,9 +143,19 @@ more details. You should have received a copy of the GNU Affero General Public L
     "notice: CC0-1.0": "Licensed under CC0 1.0.",
 }
 
+#: Whole texts of long licenses, named by their files.
+TEMPLATES |= {f"text: {f.name.removesuffix('.txt')}": f.read_text() for f in sorted((files("kbspark.llm") / "license_texts").iterdir(), key=lambda f: f.name)}
+
 _GPL = ("lesser", "library", "affero")
 #: (phrases that a stretch must hold, words that it must not hold) of the templates that others resemble.
 TELLING = {
+    "text: Apache-2.0": (("apache license version 2 0",), ()),
+    "text: CC0-1.0": (("cc0 1 0 universal",), ()),
+    "text: GPL-2.0": (("gnu general public license version 2 june 1991",), ()),
+    "text: GPL-3.0": (("gnu general public license version 3 29 june 2007",), ()),
+    "text: LGPL-2.1": (("gnu lesser general public license version 2 1 february 1999",), ()),
+    "text: LGPL-3.0": (("gnu lesser general public license version 3 29 june 2007",), ()),
+    "text: MPL-2.0": (("mozilla public license version 2 0",), ()),
     "BSD-3-Clause": (("endorse",), ()),
     "Apache-2.0": (("apache", "2 0"), ()),
     "MPL-2.0": (("mozilla", "2 0"), ()),

@@ -111,11 +111,11 @@ class Scanner:
             out[w] |= 1 << k
         return dict(out)
 
-    def told(self, name: str, words: list[str]) -> bool:
-        """Whether a stretch holds the words that tell this license from others."""
-        phrases, barred = self.telling.get(name, ((), ()))
-        text = f" {' '.join(words)} " if phrases or barred else ""
-        return all(f" {p} " in text for p in phrases) and not any(f" {b} " in text for b in barred)
+    def told(self, name: str, words: list[str], barred: bool = True) -> bool:
+        """Whether a stretch holds the words that tell this license from others, and none of those barred."""
+        phrases, others = self.telling.get(name, ((), ()))
+        text = f" {' '.join(words)} " if phrases or others else ""
+        return all(f" {p} " in text for p in phrases) and not (barred and any(f" {b} " in text for b in others))
 
     def stretches(self, name: str, where: dict[str, list[int]], words: list[str]) -> Iterator[tuple[int, int, int]]:
         """(first word, end, common words) of stretches of the text, at most ``slack`` times the template long,
@@ -124,6 +124,9 @@ class Scanner:
         counts, need, n = self.counts[name], self.need[name], len(self.words[name])
         if sum(min(c, len(where.get(w, ()))) for w, c in counts.items()) < need:
             return
+        # A stretch is part of the text: a phrase that the text lacks isn't in one.
+        if not self.told(name, words, barred=False):
+            return
         spots = sorted((i, w) for w in counts for i in where.get(w, ()))
         width = int(self.slack * n) + 8
         ahead = [self.places[name][w] for _, w in spots]
@@ -186,7 +189,9 @@ class Scanner:
         present = self.key_words.intersection(words)
         if not present:
             return []
-        names = {n for w in present for n in self.keys[w]}
+        names = {n for w in present for n in self.keys[w] if len(words) >= self.need[n]}
+        if not names:
+            return []
         vocabulary = {w for n in names for w in self.counts[n]}
         where: dict[str, list[int]] = defaultdict(list)
         for i, w in enumerate(words):

@@ -1,10 +1,11 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kbspark.llm import licenses
-from kbspark.llm.license_templates import TEMPLATES
+from kbspark.llm.license_templates import TELLING, TEMPLATES
 
 
 @settings(max_examples=200, deadline=None)
@@ -138,3 +139,22 @@ def test_licenses_that_resemble_each_other_keep_their_names():
     }
     for text, names in named.items():
         assert [f[0] for f in s.scan(text)] == names, text
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"])
+def test_whole_long_texts_give_their_name_alone(name):
+    """As published, and with a word in thirty replaced; other licenses that the text speaks of don't count in it."""
+    scanner = licenses.Scanner(TEMPLATES, 0.8, 1.5, TELLING)
+    text = TEMPLATES[f"text: {name}"]
+    n = len(licenses.words_of(text))
+    assert scanner.scan(text) == [(f"text: {name}", 1.0, n, n, 0, n)]
+    words = licenses.words_of("some words before " + text + " and some behind")
+    edited = [w if k % 30 or k < 90 else "replaced" for k, w in enumerate(words)]
+    ((found, cover, *_, start, end),) = scanner.scan(" ".join(edited))
+    assert found == f"text: {name}" and 0.94 < cover < 1 and start == 3 and end in range(n, n + 4)
+
+
+def test_a_text_without_its_title_is_not_told():
+    scanner = licenses.Scanner(TEMPLATES, 0.8, 1.5, TELLING)
+    other = TEMPLATES["text: LGPL-2.1"].replace("2.1", "2").replace("Lesser", "Library").replace("LESSER", "LIBRARY")
+    assert [r[0] for r in scanner.scan(other)] == []
