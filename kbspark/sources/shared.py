@@ -8,15 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _top(spark: SparkSession) -> str:
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if top:
+        return top.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    own = getattr(spark.sparkContext, "_kbspark_folder", None)
+    if own is None:
+        own = spark.sparkContext._kbspark_folder = tempfile.mkdtemp(prefix="kbspark-")
+    return own
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """An unused folder below the one that ``spark.checkpoint.dir`` names. In local mode that may be unset, and a fresh
-    local one is taken; on a cluster its absence is an error, since executors wouldn't find a folder of the driver's."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not top:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        top = tempfile.mkdtemp(prefix="kbspark-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    local one is taken, the same for the whole session; on a cluster its absence is an error, since executors wouldn't
+    find a folder of the driver's."""
+    return f"{_top(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -25,3 +33,37 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, where = _path(spark, path)
+    return system.exists(where)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``; none where it isn't there."""
+    system, where = _path(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(where) if f.isDirectory()) if system.exists(where) else []
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` with what is in it; nothing is read."""
+    system, where = _path(spark, path)
+    system.delete(where, True)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write of Parquet to ``path`` has come to its end."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+def once(df_of, spark: SparkSession, path: str) -> DataFrame:
+    """The Parquet table at ``path``; where its write hasn't come to an end it is made by ``df_of()`` and written first."""
+    if not finished(spark, path):
+        df_of().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

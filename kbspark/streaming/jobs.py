@@ -22,6 +22,19 @@ SEEN = "domain string, para_hash string, n long, batch long"
 SUMS = "domain string, para_hash string, n long, before long"
 
 
+def first_copies(pages: DataFrame, counts: DataFrame, settings: CrawlSettings) -> tuple[DataFrame, DataFrame]:
+    """The paragraphs of ``pages`` that stay where earlier pages have kept ``counts`` (domain, para_hash, n; rows are added
+    up) of each: (short ones with ``para_hash``, long ones, which stay in any case)."""
+    bare = strip_block_marker(F.col("para"))
+    marked = split_pages(pages, settings).withColumns({"heading": is_heading(bare), "para_hash": F.sha2(bare, 256), "short": F.length(bare) <= BOILERPLATE_MAX})
+    order = Window.partitionBy("domain", "para_hash").orderBy("page_seq", "idx")
+    first = marked.filter("short").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= MAX_HEADINGS)
+    mine = first.select("domain", "para_hash").distinct()
+    before = counts.join(mine, ["domain", "para_hash"], "left_semi").groupBy("domain", "para_hash").agg(F.sum("n").alias("cnt"))
+    joined = first.join(before, ["domain", "para_hash"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+    return joined.filter(F.col("cnt") + F.col("rn") <= F.when(F.col("heading"), MAX_HEADINGS).otherwise(1)), marked.filter("NOT short")
+
+
 class IncrementalDedup:
     """Paragraph dedup batch by batch, equal to the dedup of all pages at once in batch order.
 
@@ -46,16 +59,9 @@ class IncrementalDedup:
         return sums.filter(F.col("before") == start).drop("before").unionByName(since.drop("batch"))
 
     def __call__(self, pages: DataFrame, batch_id: int) -> None:
-        bare = strip_block_marker(F.col("para"))
-        marked = split_pages(pages, self.settings).withColumns({"heading": is_heading(bare), "para_hash": F.sha2(bare, 256), "short": F.length(bare) <= BOILERPLATE_MAX})
-        order = Window.partitionBy("domain", "para_hash").orderBy("page_seq", "idx")
-        first = marked.filter("short").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= MAX_HEADINGS)
-        mine = first.select("domain", "para_hash").distinct()
-        before = self.counts(batch_id).join(mine, ["domain", "para_hash"], "left_semi").groupBy("domain", "para_hash").agg(F.sum("n").alias("cnt"))
-        joined = first.join(before, ["domain", "para_hash"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
-        kept = joined.filter(F.col("cnt") + F.col("rn") <= F.when(F.col("heading"), MAX_HEADINGS).otherwise(1))
+        kept, long = first_copies(pages, self.counts(batch_id), self.settings)
         cols = ["domain", "page_seq", "url", "idx", "para"]
-        self.sink(kept.select(*cols).unionByName(marked.filter("NOT short").select(*cols)), batch_id)
+        self.sink(kept.select(*cols).unionByName(long.select(*cols)), batch_id)
         kept.groupBy("domain", "para_hash").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.path}/batches/batch={batch_id}")
         if (batch_id + 1) % self.every == 0:
             self.compact(self.path, batch_id + 1)
@@ -185,6 +191,13 @@ def live_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("domain").agg(F.count("*").alias("n"), F.max("ts").alias("latest"))
 
 
+def crawl_progress(pages: DataFrame) -> DataFrame:
+    """How far each crawl is: pages visited, their characters and the page fetched last, for update-mode sinks."""
+    return pages.groupBy("domain").agg(
+        F.count("*").alias("pages"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"), F.max_by("url", "page_seq").alias("url")
+    )
+
+
 def retained_logs(logs: DataFrame, now: dt.datetime, days: int = 30) -> DataFrame:
     """What compaction keeps of a log."""
     return logs.filter(F.col("created_at") >= F.lit(now) - F.expr(f"INTERVAL {int(days)} DAYS"))

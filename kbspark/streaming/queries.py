@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from kbspark.functions.html import page_column
+from kbspark.operators.chunks import hashing_embedder
 from kbspark.plans import chat_queries, kb_queries, views
-from kbspark.sources.shared import shared_folder
-from kbspark.streaming import jobs
+from kbspark.plans.build import stored_chunks
+from kbspark.sources.pages import crawled_pages
+from kbspark.sources.shared import saved, shared_folder
+from kbspark.sources.tables import spread, table
+from kbspark.streaming import build, jobs
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -59,6 +64,28 @@ def r_incremental_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("domain string, page_seq long, url string, idx int, para string").parquet(out).select("domain", "page_seq", "idx", "para")
 
 
+@query()
+def r_incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawled pages in four batches, then the end of all crawls: the rows of ``w1_chunks``."""
+    raw = crawled_pages(table(spark, sf_dir, "pages"))
+    pages = saved(spread(raw).withColumn("text", page_column(F.col("html"))["text"]).drop("html").withColumn("last", F.lit(False)), "crawl")
+    out = shared_folder(spark, "build")
+    job = build.IncrementalBuild(spark, f"{out}-state", lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    edges = [float("-inf"), *pages.approxQuantile("page_seq", [0.25, 0.5, 0.75], 0.05), float("inf")]
+    for n, (low, high) in enumerate(zip(edges, edges[1:])):
+        job(pages.filter((F.col("page_seq") > low) & (F.col("page_seq") <= high)), n)
+    job(build.end_of_crawls(pages), len(edges) - 1)
+    chunks = spark.read.parquet(out).drop("batch")
+    whole = stored_chunks(chunks, hashing_embedder(), kb_queries.now())
+    return whole.select("chunk_id", "domain", "url", "content", "source", "label", "chunk_index", F.size("source_urls").alias("n_urls"), F.size("embedding").alias("dim"))
+
+
+@query(f"WITH {views.CRAWL} SELECT domain, count(*) AS pages, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS chars, arg_max(url, page_seq) AS url FROM crawl GROUP BY 1")
+def r_crawl_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = collected(spark, jobs.crawl_progress(views.crawl(_Streams(spark), sf_dir)), "progress", "update")
+    return rows.groupBy("domain").agg(F.max_by(F.struct("pages", "chars", "url"), "batch").alias("x")).select("domain", "x.*")
+
+
 @query(f"""WITH {views.METERED}, r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts, message_id) AS n FROM metered)
 SELECT message_id, CASE WHEN plan = 'free' THEN least(n, {LIMIT}) ELSE n END AS rn, plan <> 'free' OR n <= {LIMIT} AS accepted, plan = 'free' AND n = {LIMIT} + 1 AS notice,
   CASE WHEN plan = 'free' THEN CASE n WHEN 15 THEN 50 WHEN 23 THEN 75 WHEN 27 THEN 90 END END AS threshold FROM r""")
