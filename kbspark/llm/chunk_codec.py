@@ -4,6 +4,7 @@ chunks that occur again are encoded in one place, and joins are repaired from wh
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,37 +25,80 @@ LEAST = 64
 #: Distinct words, and keys of chunks already sent, that a worker remembers.
 CACHE_WORDS, CACHE_CHUNKS = 400_000, 1_000_000
 _MULTIPLIER = np.uint32(0x9E3779B1)
+#: Letters (lower-cased) whose class and normal form no Unicode version changes; what else a plain word may hold; its pre-tokens.
+_LETTERS = "a-zà-öø-ÿ"
+_PLAIN = re.compile(rf"[!-~{_LETTERS}]*")
+_PRETOKENS = re.compile(rf" ?(?:'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+)")
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+with np.errstate(over="ignore"):
+    _VALUES = (np.arange(256, dtype=np.uint32) + np.uint32(1)) * _MULTIPLIER
+    _VALUES ^= _VALUES >> np.uint32(15)
 _PIECE = "row long, piece int, id {id}, ids array<int>, h1 long, h2 long, chunk binary"
 
 
 class WordEncoder:
     """Texts to the ids that the tokenizers library gives them (``add_special_tokens=False``), for a vocabulary whose
     pre-tokens hold no white space: the ids of a text are those of its words in a row, special strings included.
-    Distinct words of a batch are looked up in a bounded table; new ones go to the library.
+
+    Distinct words of a batch are looked up in a bounded table. Of new plain ones, lower-cased, only pre-tokens not met
+    before go to the library's model; others, and any with a part of a special string, go to the library as they are.
+    A vocabulary file with another normal form or other pre-tokens is used by whole words alone.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.words, self.pretokens = Table(cache_words), Table(cache_words)
+        self.marks = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        signs = ByteLevel(add_prefix_space=False, use_regex=False)
+        chars = [c for k in range(33, 256) if _PLAIN.fullmatch(c := chr(k))]
+        self.bytes_of = {ord(c): signs.pre_tokenize_str(c)[0][0] for c in chars}
         probe = "a b\tc\nd\x0be\x0cf\rg"
         if self._raw([probe])[0].tolist() != self._raw(probe.split())[0].tolist():
             raise ValueError(f"white space is part of the tokens of {path}")
-        self.words = Table(cache_words)
+        # A probe with every plain character, alone and between others, tells whether the pre-tokens are those known here.
+        probes = ["".join(p) for c in chars for p in ((c,), ("a", c, "z"), ("1", c, "."), ("'", c), ("É", c))] + ["it's", "we'RE'll", "x''d12"]
+        self.known = True
+        self.known = self._raw(probes)[0].tolist() == self._encoded(probes)[0].tolist()
 
     def _raw(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return joined([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
+    def _pretokens(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        tokenize, bytes_of = self.tokenizer.model.tokenize, self.bytes_of
+        return joined([[t.id for t in tokenize(p if p.isascii() else p.translate(bytes_of))] for p in some])
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many for each) of words."""
+        if not self.known:
+            return self._raw(words)
+        low = [w.lower() for w in words]
+        plain = np.array([_PLAIN.fullmatch(w) is not None and not any(m in w for m in self.marks) and w != "" for w in low], bool)
+        found = pa.array(_PRETOKENS.findall("".join([" " + w for w, p in zip(low, plain) if p])), pa.string()).dictionary_encode()
+        first = pc.starts_with(found.dictionary, " ").to_numpy(zero_copy_only=False)[found.indices.to_numpy()]
+        bare = pc.ascii_ltrim_whitespace(found.dictionary).dictionary_encode()
+        rows = self.pretokens.rows_of(bare.dictionary, self._pretokens)[bare.indices.to_numpy()][found.indices.to_numpy()]
+        ids = gathered(rows, self.pretokens.ids, self.pretokens.sizes)
+        sizes = np.add.reduceat(self.pretokens.sizes[rows], np.flatnonzero(first)) if len(rows) else np.empty(0, np.int64)
+        if plain.all():
+            return ids, sizes
+        other, counts = self._raw([w for w, p in zip(words, plain) if not p])
+        at = np.empty(len(words), np.int64)
+        at[plain], at[~plain] = np.arange(len(sizes)), len(sizes) + np.arange(len(counts))
+        sizes = np.concatenate([sizes, counts])
+        return gathered(at, np.concatenate([ids, other]), sizes), sizes[at]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds of each text in them)."""
         lists = pc.ascii_split_whitespace(texts)
         bounds = lists.offsets.to_numpy().astype(np.int64)
         found = lists.flatten().dictionary_encode()
-        rows = self.words.rows_of(found.dictionary, self._raw)[found.indices.to_numpy()]
+        rows = self.words.rows_of(found.dictionary, self._encoded)[found.indices.to_numpy()]
         ends = np.concatenate([[0], np.cumsum(self.words.sizes[rows])])
         return gathered(rows, self.words.ids, self.words.sizes), ends[bounds - bounds[0]]
 
@@ -66,15 +110,22 @@ def word_encoder(path: str) -> WordEncoder:
     return WORKER_CACHES["words", path]
 
 
-def rolling(data: np.ndarray) -> np.ndarray:
-    """A hash (uint32) of the ``WINDOW`` bytes that end at each place; the first ``WINDOW - 1`` are of fewer."""
+def rolling(data: np.ndarray, block: int = 1 << 17) -> np.ndarray:
+    """A hash (uint32) of the ``WINDOW`` bytes that end at each place; the first ``WINDOW - 1`` are of fewer. Blocks fit
+    the processor's cache."""
+    out = np.empty(len(data), np.uint32)
+    for a in range(0, len(data), block):
+        before = min(a, WINDOW - 1)
+        out[a : a + block] = _rolled(data[a - before : a + block])[before:]
+    return out
+
+
+def _rolled(data: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = (data.astype(np.uint32) + np.uint32(1)) * _MULTIPLIER
-        h ^= h >> np.uint32(15)
+        h = _VALUES[data]
         factor, width = _MULTIPLIER, 1
         while width < WINDOW:
-            shifted = h[:-width] * factor
-            h[width:] += shifted
+            h[width:] += h[:-width] * factor
             factor, width = factor * factor, 2 * width
     return h
 
