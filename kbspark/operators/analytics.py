@@ -49,6 +49,23 @@ def running(df: DataFrame, by: list[str], bucket: Column, order: list[Column], s
     return added.withColumns({n: F.col(f"_b_{n}") + F.col(f"_i_{n}") for n in sums}).drop("_key", *[f"_{x}_{n}" for n in sums for x in "vib"])
 
 
+def carried(df: DataFrame, by: list[str], bucket: Column, order: list[Column], values: list[str]) -> DataFrame:
+    """``df`` with each of the columns ``values`` as it was last set (not null) in its group by ``order``, in its own row or
+    before.
+
+    ``bucket`` never falls as the order goes on: what was last set inside a bucket is found first, then the last of the
+    buckets before it, so a large group is spread over as many tasks as it has buckets. Rows with null keys or
+    buckets are a group or bucket like any other (a null bucket is the first). Equal places in ``order``: any of their values.
+    """
+    keyed = df.withColumn("_key", F.struct(*by, bucket.alias("_bucket"))).withColumn("_order", F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)]))
+    last = keyed.groupBy("_key").agg(*[F.max_by(F.when(F.col(v).isNotNull(), F.struct(v)), F.when(F.col(v).isNotNull(), F.col("_order"))).alias(f"_l_{v}") for v in values])
+    group = Window.partitionBy(*[F.col(f"_key.{c}") for c in by]).orderBy("_key._bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = last.select("_key", *[F.last(f"_l_{v}", ignorenulls=True).over(group)[v].alias(f"_b_{v}") for v in values])
+    inside = Window.partitionBy("_key").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
+    met = keyed.withColumns({f"_i_{v}": F.last(v, ignorenulls=True).over(inside) for v in values}).join(before, "_key")
+    return met.withColumns({v: F.coalesce(f"_i_{v}", f"_b_{v}") for v in values}).drop("_key", "_order", *[f"_{x}_{v}" for v in values for x in "ib"])
+
+
 def placed(df: DataFrame, by: list[str], bucket: Column, order: list[Column], descending: bool = False) -> DataFrame:
     """``df`` with ``position`` (from 1) in its group by ``order``, and the group's ``total``; see :func:`running`."""
     return running(df, by, bucket, order, {"position": F.lit(1)}, {"position": "total"}, descending)

@@ -8,7 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kbspark.operators.analytics import carried
+
 LIMIT = 100
+#: Numbers of events that one task takes of a tenant.
+BUCKET = 10_000
 THRESHOLDS = (50, 75, 90)
 
 
@@ -56,13 +60,20 @@ def quota_outcome(messages: DataFrame, limit: int = LIMIT) -> DataFrame:
     don't count, so a free tenant's first ``limit`` messages of a period are accepted.
 
     Only the first ``limit + 1`` messages of a period are ranked, a bound that Spark applies in part before the
-    exchange: a busy tenant sends that many rows from each map task, and its other messages meet no window.
+    exchange: where the last of them stands is one row a period, which tells the others that they come later. A busy
+    tenant's later messages meet no window, and those up to that place are few.
+
+    Repeated rows and ids: a message each. Ties in time: by id. Messages without domain or period belong to no quota and
+    are left out. Null plan: not free. Empty table: empty result. Other columns are carried.
     """
-    order = Window.partitionBy("domain", "period_start").orderBy("ts", "message_id")
-    slim = messages.select("domain", "period_start", "ts", "message_id")
-    first = slim.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= limit + 1)
-    ranked = messages.join(first.select("domain", "message_id", "rn"), ["domain", "message_id"], "left")
-    free = F.col("plan") == "free"
+    order, at = Window.partitionBy("domain", "period_start").orderBy("ts", "message_id"), F.struct("ts", "message_id")
+    mine = messages.filter("domain IS NOT NULL AND period_start IS NOT NULL")
+    first = mine.select("domain", "period_start", "ts", "message_id").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= limit + 1)
+    edges = first.groupBy("domain", "period_start").agg(F.max(at).alias("_edge"))
+    known = mine.join(edges, ["domain", "period_start"]).withColumn("_early", F.coalesce(at <= F.col("_edge"), F.lit(True))).drop("_edge")
+    early = known.filter("_early").withColumn("rn", F.row_number().over(order)).withColumn("rn", F.when(F.col("rn") <= limit + 1, F.col("rn")))
+    ranked = early.unionByName(known.filter("NOT _early").withColumn("rn", F.lit(None).cast("int"))).drop("_early")
+    free = F.coalesce(F.col("plan") == "free", F.lit(False))
     fits = F.coalesce(F.col("rn") <= limit, F.lit(False))
     return ranked.withColumns({"accepted": ~free | fits, "notice": free & F.coalesce(F.col("rn") == limit + 1, F.lit(False))})
 
@@ -96,15 +107,18 @@ def plan_history(events: DataFrame, tenants: DataFrame, ignore_addon_updates: bo
     ``events`` has ``seq, ts, type, domain, customer, mode, status, addon``; ``type`` is checkout, updated,
     deleted or payment_failed. Events without a known domain are skipped; failed payments find their domain by
     the customer that a checkout named before. Each event sets some fields, to null too, and keeps others; the
-    last value set at or before an event holds, in order of arrival.
+    last value set at or before an event holds, in order of arrival. A tenant's events are taken by stretches of
+    ``BUCKET`` numbers, so a busy one is spread. ``seq`` is unique; repeated rows of one event give a row each. Events without
+    ``seq`` come first. Failed payments without customer: skipped. Empty tables: no rows.
     """
     known = tenants.select("domain").distinct()
     direct = events.filter("type <> 'payment_failed' AND domain IS NOT NULL").join(known, "domain", "left_semi")
     failed = events.filter("type = 'payment_failed'")
     named = direct.filter("type = 'checkout' AND customer IS NOT NULL").select("customer", "seq", F.col("domain").alias("owner"))
     both = named.select("customer", "seq", "owner").unionByName(failed.select("customer", "seq", F.lit(None).cast("string").alias("owner")))
-    by_customer = Window.partitionBy("customer").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    owners = both.withColumn("found", F.last("owner", ignorenulls=True).over(by_customer)).filter("owner IS NULL").select("seq", "found")
+    asked = F.col("owner").isNull()
+    by_customer = carried(both.withColumn("asked", asked), ["customer"], F.floor(F.col("seq") / BUCKET), [F.col("seq")], ["owner"])
+    owners = by_customer.filter("asked AND customer IS NOT NULL").select("seq", F.col("owner").alias("found"))
     resolved = failed.join(owners, "seq").filter("found IS NOT NULL").withColumn("domain", F.col("found")).drop("found")
     all_events = direct.unionByName(resolved.select(*direct.columns))
     t, mode, addon = F.col("type"), F.col("mode"), F.coalesce(F.col("addon"), F.lit(False))
@@ -120,20 +134,27 @@ def plan_history(events: DataFrame, tenants: DataFrame, ignore_addon_updates: bo
         "customer": F.when(t == "checkout", of("customer")),
         "addon": F.when((t == "checkout") & addon, to("on")).when((t == "deleted") & addon, to("off")),
     }
-    so_far = Window.partitionBy("domain").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     marked = all_events.select("domain", "seq", "ts", *[v.alias(k) for k, v in sets.items()])
-    return marked.select("domain", "seq", "ts", *[F.last(k, ignorenulls=True).over(so_far)["v"].alias(k) for k in sets])
+    state = carried(marked, ["domain"], F.floor(F.col("seq") / BUCKET), [F.col("seq")], list(sets))
+    return state.select("domain", "seq", "ts", *[F.col(k)["v"].alias(k) for k in sets])
 
 
 def as_of_plan(messages: DataFrame, history: DataFrame, default: str = "free") -> DataFrame:
-    """``messages`` (``domain, message_id, ts``) with the plan valid at their time: an as-of join as one sorted
-    pass over the union of both, so no range join is needed. A change counts for messages of the same time."""
-    changes = history.select("domain", "ts", F.lit(0).alias("kind"), F.col("seq").alias("tie"), F.struct("plan").alias("p"), F.lit(None).cast("long").alias("message_id"))
-    asks = messages.select("domain", "ts", F.lit(1).alias("kind"), F.col("message_id").alias("tie"), F.lit(None).cast("struct<plan:string>").alias("p"), "message_id")
-    order = Window.partitionBy("domain").orderBy("ts", "kind", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    both = changes.unionByName(asks).withColumn("p", F.last("p", ignorenulls=True).over(order))
-    found = both.filter("kind = 1").select("domain", "message_id", F.coalesce(F.col("p.plan"), F.lit(default)).alias("plan"))
-    return messages.join(found, ["domain", "message_id"])
+    """``messages`` (``domain, message_id, ts``) with the plan valid at their time: an as-of join as one pass over the
+    union of both by days, so no range join is needed and a busy tenant is spread over its days. A change counts for
+    messages of the same time; of changes at one time the last by ``seq``.
+
+    Messages travel with all their columns, so repeated rows and ids stay what they are. No change before, null domain or
+    null time: ``default``. Columns of ``messages`` named ``plan``: replaced.
+    """
+    row = F.struct(*[c for c in messages.columns if c != "plan"])
+    nothing = F.lit(None)
+    changes = history.filter("domain IS NOT NULL AND ts IS NOT NULL").select("domain", "ts", F.lit(0).alias("kind"), F.col("seq").cast("long").alias("tie"), F.struct("plan").alias("p"), nothing.alias("row"))
+    asks = messages.select("domain", "ts", F.lit(1).alias("kind"), nothing.cast("long").alias("tie"), nothing.cast(changes.schema["p"].dataType).alias("p"), row.alias("row"))
+    both = changes.withColumn("row", nothing.cast(asks.schema["row"].dataType)).unionByName(asks)
+    found = carried(both, ["domain"], F.to_date("ts"), [F.col("ts"), F.col("kind"), F.col("tie")], ["p"])
+    plan = F.when(F.col("domain").isNotNull() & F.col("ts").isNotNull(), F.col("p.plan"))
+    return found.filter("kind = 1").select("row.*", F.coalesce(plan, F.lit(default)).alias("plan"))
 
 
 def usage_projection(usage: DataFrame, limit: int = LIMIT) -> DataFrame:
