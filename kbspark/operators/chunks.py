@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions.chunking import TARGET, chunk_rows
 from kbspark.functions.text import CrawlSettings, group_url, keep_para, kept_paragraphs, paragraphs, strip_block_marker, trim
+from kbspark.sources.shared import saved
 
 
 def chunk_id(domain: Column, url: Column, content: Column) -> Column:
@@ -117,9 +118,11 @@ def _thin_packs(lengths: DataFrame, part_pages: int) -> DataFrame:
 def group_thin_pages(pages: DataFrame, settings: CrawlSettings = CrawlSettings(), part_pages: int = PART_PAGES) -> DataFrame:
     """Chunks of thin pages, packed by parent folder in page order.
 
-    Only (page_seq, length) goes through the packing, in parts of a group; the cards meet their pack in an aggregation.
+    Cards are made once and saved. Only (page_seq, length) goes through the packing, in parts of a group; the cards meet
+    their pack in an aggregation. Null URL: in the group without URL. Null text: a card without content. Repeated rows: a
+    card each. Pages without ``page_seq``: last. Empty table: no chunk. Other columns: ignored.
     """
-    cards = thin_cards(pages, settings)
+    cards = saved(thin_cards(pages, settings), "thin-cards")
     lengths = cards.select("domain", "group", "page_seq", "url", F.coalesce(F.length("card"), F.lit(0)).alias("n"))
     packs = _thin_packs(lengths, part_pages)
     held = cards.join(packs, ["domain", "group", "page_seq", "url"]).groupBy("domain", "group", "pack")
@@ -205,3 +208,29 @@ def owner_reply_chunks(replies: DataFrame) -> DataFrame:
     )
 
 
+def embedded_once(chunks: DataFrame, path: str, embed: Callable[[list[str]], np.ndarray], batch: int = 128, part_texts: int = 50_000) -> DataFrame:
+    """``chunks`` (with ``content`` and ``content_hash``) with ``embedding`` from the store at ``path``, a Parquet table of one
+    vector a content, shared by all tenants and runs.
+
+    Contents that the store lacks are embedded once each, however many chunks have them, in parts of about
+    ``part_texts`` that are appended one after the other: a run that fails keeps the parts before, and the next one
+    goes on from there. Null content: null embedding, not stored. Repeated rows: each gets the vector.
+    """
+    spark = chunks.sparkSession
+    schema = "content_hash string, embedding array<float>"
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+    store = lambda: spark.read.schema(schema).parquet(path)
+    texts = chunks.filter("content IS NOT NULL").groupBy("content_hash").agg(F.first("content").alias("content"))
+    lacking = saved(texts.join(store(), "content_hash", "left_anti"), "texts-to-embed")
+    parts = -(-lacking.count() // part_texts)
+
+    def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for k in range(0, len(frame), batch):
+                some = frame.iloc[k : k + batch]
+                yield pd.DataFrame({"content_hash": some["content_hash"], "embedding": list(np.asarray(embed(some["content"].tolist()), np.float32))})
+
+    for k in range(parts):
+        part = lacking.filter(F.pmod(F.xxhash64("content_hash"), F.lit(parts)) == k)
+        part.mapInPandas(vectors, schema).write.mode("append").parquet(path)
+    return chunks.join(store(), "content_hash", "left")

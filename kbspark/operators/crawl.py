@@ -32,27 +32,37 @@ def frontier_step(pages: DataFrame, visited: DataFrame, max_pages: int = MAX_PAG
     return ranked.join(room, "domain", "left").filter(F.col("rank") + F.coalesce("fetched", F.lit(0)) <= max_pages).drop("fetched")
 
 
+def page_facts(crawled: DataFrame) -> DataFrame:
+    """``crawled`` without its texts: what a diff needs of them is ``thin`` (too little content) and ``text_len``; adds
+    ``url_key`` where it isn't there yet."""
+    known = {} if "url_key" in crawled.columns else {"url_key": url_key(F.col("url"))}
+    facts = {"thin": content_length(F.col("text")) < THIN_PAGE, "text_len": F.coalesce(F.length("text"), F.lit(0))}
+    return crawled.withColumns(known | facts).drop("text")
+
+
 def diff_pages(crawled: DataFrame, stored: DataFrame, stale_days: int | None = None, now: Column | None = None) -> DataFrame:
-    """``crawled`` pages (``domain, url, text, content_hash, priority``) with ``change``: changed, unchanged
-    or thin_changed (handled through its group), and what the stored row knew.
+    """``crawled`` pages (``domain, url, text, content_hash, priority``) without their texts, with ``change``: changed,
+    unchanged or thin_changed (handled through its group), :func:`page_facts`, and what the stored row knew.
+
+    Only keys, hashes and facts are joined; texts stay where they are. Where both tables are bucketed by ``(domain,
+    url_key)`` (:func:`kbspark.sources.tables.bucketed`) nothing is shuffled at all. With ``stale_days``, pages not
+    scraped for so long count as changed too. Stored pages that this crawl did not see are left alone.
 
-    Only keys and hashes are joined. Of several stored rows with one key the last by ``last_scraped_at, url``
-    counts. With ``stale_days``, pages not scraped for so long count as changed too. Stored pages that this
-    crawl did not see are left alone.
+    Several stored rows with one key: the last by ``last_scraped_at, url``. Repeated crawled rows: each on its own. Null text: thin,
+    length 0. Null hash: changed unless the stored one is null too. Null domain or URL: not known, so changed.
     """
     latest = Window.partitionBy("domain", "url_key").orderBy(F.col("last_scraped_at").desc_nulls_last(), F.col("url").desc())
+    keyed = stored if "url_key" in stored.columns else stored.withColumn("url_key", url_key(F.col("url")))
     known = (
-        stored.withColumn("url_key", url_key(F.col("url")))
-        .withColumn("rn", F.row_number().over(latest))
+        keyed.withColumn("rn", F.row_number().over(latest))
         .filter("rn = 1")
-        .select("domain", "url_key", F.lit(True).alias("known"), F.col("content_hash").alias("stored_hash"), "has_variants", "last_scraped_at")
+        .select("domain", "url_key", F.lit(True).alias("known"), F.col("url").alias("stored_url"), F.col("content_hash").alias("stored_hash"), "has_variants", "last_scraped_at")
     )
-    joined = crawled.withColumn("url_key", url_key(F.col("url"))).join(known, ["domain", "url_key"], "left")
-    changed = ~F.col("stored_hash").eqNullSafe(F.col("content_hash"))
+    joined = page_facts(crawled).join(known, ["domain", "url_key"], "left")
+    changed = ~F.col("stored_hash").eqNullSafe(F.col("content_hash")) | F.col("known").isNull()
     if stale_days is not None:
         changed = changed | F.coalesce(F.col("last_scraped_at") < (now if now is not None else F.current_timestamp()) - F.expr(f"INTERVAL {int(stale_days)} DAYS"), F.lit(False))
-    thin = content_length(F.col("text")) < THIN_PAGE
-    return joined.withColumns({"hash_changed": changed, "thin": thin}).withColumn(
+    return joined.withColumn("hash_changed", changed).withColumn(
         "change",
         F.when(F.col("thin"), F.when(F.col("hash_changed"), "thin_changed").otherwise("unchanged"))
         .when(F.col("hash_changed") | (F.col("priority") == "high"), "changed")
@@ -69,7 +79,7 @@ def changed_thin_groups(diffed: DataFrame) -> DataFrame:
 
 def page_hash_updates(diffed: DataFrame) -> DataFrame:
     """Pages whose stored hash is rewritten: changed ones, and high-priority ones with 300 characters or more."""
-    return diffed.filter(F.col("hash_changed") | ((F.col("priority") == "high") & (F.length("text") >= THIN_PAGE)))
+    return diffed.filter(F.col("hash_changed") | ((F.col("priority") == "high") & (F.col("text_len") >= THIN_PAGE)))
 
 
 def format_duration(seconds: Column) -> Column:

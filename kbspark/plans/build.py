@@ -63,18 +63,29 @@ def stored_chunks(chunks: DataFrame, embed, now: Column, known: DataFrame | None
     return whole.withColumns({"source": F.lit("scraped"), "created_at": now, "chunk_id": chunk_id(F.col("domain"), F.col("url"), F.col("content"))})
 
 
-def refresh_chunks(diffed: DataFrame, settings: CrawlSettings = CrawlSettings()) -> DataFrame:
+def texts_of(crawled: DataFrame, pages: DataFrame, broadcast_pages: int = BROADCAST_PAGES) -> DataFrame:
+    """The rows of ``crawled`` that ``pages`` (domain, url_key, page_seq) names. As long as they are few (counted) their keys
+    go to the texts; otherwise both meet by ``(domain, url_key)``, without a shuffle where the crawl is bucketed so."""
+    keyed = crawled if "url_key" in crawled.columns else crawled.withColumn("url_key", url_key(F.col("url")))
+    wanted = pages.groupBy("domain", "url_key").agg(F.collect_set("page_seq").alias("_seqs"))
+    wanted = F.broadcast(wanted) if pages.count() <= broadcast_pages else wanted
+    return keyed.join(wanted, ["domain", "url_key"]).filter(F.array_contains("_seqs", F.col("page_seq"))).drop("_seqs")
+
+
+def refresh_chunks(diffed: DataFrame, crawled: DataFrame, settings: CrawlSettings = CrawlSettings()) -> DataFrame:
     """Chunks that a refresh writes: of changed pages, deduplicated among themselves, and of thin groups with a
     changed member. A changed page that turns out thin after dedup gives none and keeps its old chunks."""
-    diffed = saved(diffed, "diffed-pages")
-    changed = diffed.filter("change = 'changed'").select("domain", "page_seq", "url", "text")
-    return _chunks_of(changed, changed_thin_groups(diffed).select("domain", "page_seq", "url", "text"), settings)
+    keys = ["domain", "url_key", "page_seq"]
+    cols = ["domain", "page_seq", "url", "text"]
+    changed = saved(texts_of(crawled, diffed.filter("change = 'changed'").select(*keys)).select(*cols), "changed-pages")
+    thin = saved(texts_of(crawled, changed_thin_groups(diffed).select(*keys)).select(*cols), "thin-pages")
+    return _chunks_of(changed, thin, settings)
 
 
 def refresh(crawled: DataFrame, stored: DataFrame, settings: CrawlSettings = CrawlSettings()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(diff, new chunks, page rows to write) of a crawl against the stored pages."""
-    diffed = diff_pages(crawled, stored)
-    return diffed, refresh_chunks(diffed, settings), page_hash_updates(diffed)
+    diffed = saved(diff_pages(crawled, stored), "diffed-pages")
+    return diffed, refresh_chunks(diffed, crawled, settings), page_hash_updates(diffed)
 
 
-__all__ = ["first_of_each_url", "extracted_pages", "build_chunks", "stored_chunks", "refresh_chunks", "refresh"]
+__all__ = ["first_of_each_url", "extracted_pages", "build_chunks", "stored_chunks", "texts_of", "refresh_chunks", "refresh"]

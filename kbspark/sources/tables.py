@@ -15,3 +15,10 @@ def spread(df: DataFrame) -> DataFrame:
     as it is, without a shuffle, where it has enough."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
+def bucketed(df: DataFrame, name: str, keys: list[str], path: str, buckets: int = 64) -> DataFrame:
+    """``df`` stored at ``path`` as table ``name`` of the session's catalog, bucketed and sorted by ``keys``: tables with the
+    same keys and number of buckets are joined without a shuffle."""
+    df.write.mode("overwrite").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return df.sparkSession.table(name)

@@ -42,6 +42,12 @@ def bucket_of(domain: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(domain), F.lit(buckets)).cast("int")
 
 
+def of_schema(rows: DataFrame, schema: str) -> DataFrame:
+    """``rows`` with the columns of ``schema`` and their types; columns that it lacks are null, others go."""
+    fields = rows.sparkSession.createDataFrame([], schema).schema.fields
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def _into(rows: DataFrame, path: str, buckets: int) -> None:
     placed = rows.withColumn("bucket", bucket_of(F.col("domain"), buckets))
     # A hot tenant's bucket is split over tasks, small ones share one.
@@ -49,10 +55,10 @@ def _into(rows: DataFrame, path: str, buckets: int) -> None:
     spread.write.mode("overwrite").partitionBy("bucket").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def store_rows(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Write ``rows`` (with ``domain``) as a stored table at ``path``: plain Parquet, a partition for each bucket of
-    tenants. Buckets that the rows have are replaced, others stay."""
-    _into(rows, path, buckets)
+def store_rows(rows: DataFrame, path: str, schema: str, buckets: int = BUCKETS) -> None:
+    """Write ``rows`` (with ``domain``) as a stored table of ``schema`` at ``path``: plain Parquet, a partition for each
+    bucket of tenants. Buckets that the rows have are replaced, others stay."""
+    _into(of_schema(rows, schema), path, buckets)
 
 
 def stored_rows(spark: SparkSession, path: str, schema: str, domains: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
@@ -76,7 +82,7 @@ def rewrite_stored(
     Buckets that lose all their rows are emptied.
     """
     old = lambda: stored_rows(spark, path, schema, domains, buckets)
-    fresh = once(lambda: change(old()).select(*old().columns), spark, result)
+    fresh = once(lambda: of_schema(change(old()), schema), spark, result)
     _into(fresh, path, buckets)
     kept = fresh.select(bucket_of(F.col("domain"), buckets).alias("b")).distinct()
     touched = domains.select(bucket_of(F.col("domain"), buckets).alias("b")).distinct()

@@ -16,7 +16,7 @@ def rows_of(spark, path):
 def stored(spark, tmp_path):
     old = [(f"d{k}", f"u{u}", f"old {k} {u}", s) for k in range(30) for u, s in ((1, "scraped"), (1, None), (2, "scraped"), (2, "manual"))]
     path = str(tmp_path / "chunks")
-    writes.store_rows(spark.createDataFrame(old, SCHEMA), path, 8)
+    writes.store_rows(spark.createDataFrame(old, SCHEMA), path, SCHEMA, 8)
     assert rows_of(spark, path) == sorted(old, key=str)
     return path, old
 
