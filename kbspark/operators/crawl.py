@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kbspark.functions.html import resolved_links
 from kbspark.functions.text import content_length, group_url, url_key, url_part
 from kbspark.operators.paragraphs import THIN_PAGE
+from kbspark.sources.shared import saved
 
 MAX_PAGES = 500
 
@@ -18,6 +19,7 @@ def frontier_step(pages: DataFrame, visited: DataFrame, max_pages: int = MAX_PAG
     ``pages`` has ``domain, base_host, url, links``; ``visited`` has ``domain, url_key``. Links are resolved
     against their page; those on the base host or below it stay, one for each key, without the visited ones.
     Subdomains go first, then by key; a domain gets no more than ``max_pages`` in all.
+    Null links or base host: nothing to follow. Repeated pages and links: once. Empty tables: nothing.
     """
     linked = pages.select("domain", "base_host", F.explode(resolved_links(F.col("url"), F.col("links"))).alias("url"))
     host = url_part(F.col("url"), 2)
@@ -32,6 +34,32 @@ def frontier_step(pages: DataFrame, visited: DataFrame, max_pages: int = MAX_PAG
     return ranked.join(room, "domain", "left").filter(F.col("rank") + F.coalesce("fetched", F.lit(0)) <= max_pages).drop("fetched")
 
 
+def crawl_to_end(pages: DataFrame, starts: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+    """``(domain, url_key, url, round)``: all that a crawl fetches that begins at ``starts`` (``domain, url``) and follows
+    links in rounds, breadth first. ``pages`` (``domain, base_host, url, links``) are what can be fetched.
+
+    A round looks at the links of the pages fetched in the round before alone, leaves out what was visited, and is
+    written, so the next one reads it and not how it came about. A site gets no more than ``max_pages`` URLs; of a round
+    that goes over it, :func:`frontier_step`'s order decides. A URL that can't be fetched counts and leads nowhere.
+    Repeated pages of a key: all their links. Null domain or URL: not followed. No starts: empty.
+    """
+    web = saved(pages.filter("domain IS NOT NULL AND url IS NOT NULL").withColumn("url_key", url_key(F.col("url"))), "web")
+    first = starts.filter("domain IS NOT NULL AND url IS NOT NULL").groupBy("domain", url_key(F.col("url")).alias("url_key")).agg(F.min("url").alias("url"))
+    rank = F.row_number().over(Window.partitionBy("domain").orderBy("url_key"))
+    fresh = saved(first.withColumn("rank", rank).filter(F.col("rank") <= max_pages).select("domain", "url_key", "url", F.lit(0).alias("round")), "crawl-round")
+    visited, n = fresh, 0
+    while not fresh.isEmpty():
+        n += 1
+        fetched = web.join(fresh.select("domain", "url_key"), ["domain", "url_key"], "left_semi")
+        found = frontier_step(fetched, visited, max_pages)
+        fresh = saved(found.select("domain", "url_key", "url", F.lit(n).alias("round")), "crawl-round")
+        # Sixteen rounds are one table again.
+        visited = visited.unionByName(fresh)
+        if n % 16 == 0:
+            visited = saved(visited, "crawl-visited")
+    return visited
+
+
 def page_facts(crawled: DataFrame) -> DataFrame:
     """``crawled`` without its texts: what a diff needs of them is ``thin`` (too little content) and ``text_len``; adds
     ``url_key`` where it isn't there yet."""

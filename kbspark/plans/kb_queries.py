@@ -14,9 +14,12 @@ from kbspark.operators import paragraphs as pa
 from kbspark.operators import retrieval as rt
 from kbspark.operators import scans
 from kbspark.operators import snapshots as sn
-from kbspark.plans import build, serve, views
+from kbspark.plans import build, refresh_job, serve, views
 from kbspark.plans.views import ASKED, CHUNKS, CRAWL, LIMITS, RE2_WS, STORED
+from kbspark.schemas import CHUNKS as CHUNK_SCHEMA
+from kbspark.sources.archive import ChunkArchive
 from kbspark.sources.pages import crawled_pages, site_domain
+from kbspark.sources.shared import saved, shared_folder
 from kbspark.sources.tables import spread, table
 from kbspark.sources.writes import replace_chunks, upsert_pages
 
@@ -434,3 +437,123 @@ def w3_answered_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = asked.select("query_id", "domain", "vector", F.when(F.col("query_id") % 100 == 0, "simple").otherwise("complex").alias("route"), F.lit("question").alias("text"))
     metered = turns.select("domain", F.col("query_id").alias("message_id"), F.lit("free").alias("plan"), F.lit("2024-01").alias("period_start"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
     return serve.answered_turns(turns, metered, views.vector_chunks(spark, sf_dir), views.tenant_limits(spark, sf_dir), limit=3, default=0.25, offset=0.15, floor=0.05)
+
+
+def hand_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written by a rule of their number: structure, links, a protected address and, on every fifth, a mount point."""
+    n = F.col("doc_id").cast("string")
+    start = F.lit('<html><head><title>t</title></head><body><nav><a href="/menu">menu</a></nav><header>Top</header><h1>Title ')
+    rest = F.lit('</p><ul><li>one</li><li>two</li></ul><p>Write to <a href="/cdn-cgi/l/email-protection#2a4b6a4804434e">x</a></p><a href="/next/')
+    end = F.lit('">go</a><a href="#top">up</a><a href="mailto:x@y.z">m</a><footer>foot</footer></body></html>')
+    html = F.concat(start, n, F.lit("</h1><p>A paragraph &amp; more<br>of "), n, rest, n, end)
+    mount = F.lit('<html><body><div id="__next"></div><script src="/_next/static/main.js"></script></body></html>')
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, mount).otherwise(html).alias("html"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'Top' || chr(10) || chr(10) || '[H1] Title ' || doc_id || chr(10) || chr(10) || '[SB]A paragraph & more' || chr(10) || 'of ' || doc_id
+  || chr(10) || chr(10) || '[SB]one, two' || chr(10) || chr(10) || '[SB]Write to a@b.id' || chr(10) || chr(10) || 'goupm' END AS text,
+  CASE WHEN doc_id % 5 = 0 THEN '' ELSE '/next/' || doc_id END AS links, doc_id % 5 = 0 AS needs_render FROM documents""")
+def t_hand_made_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = hand_made(spark, sf_dir).withColumn("page", page_column(F.col("html")))
+    return pages.select("doc_id", F.col("page.text").alias("text"), F.array_join("page.links", " ").alias("links"), F.col("page.needs_render").alias("needs_render"))
+
+
+def regular_pages(spark: SparkSession, sf_dir: str, paras) -> DataFrame:
+    d = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL")
+    return d.select(F.col("source").alias("domain"), F.col("doc_id").alias("page_seq"), F.concat(F.lit("https://a.org/"), F.col("doc_id").cast("string")).alias("url"), paras.alias("paras"))
+
+
+def _numbered(n, text):
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.concat(F.lit(text), F.lpad(k.cast("string"), 3, "0")))
+
+
+@query("""WITH d AS (SELECT doc_id, 20 + 10 * (doc_id % 2) + 12 * CAST(doc_id % 6 = 5 AS INTEGER) AS n FROM documents),
+c AS (SELECT doc_id, n, unnest(range(CAST(ceil((n - 1) / 11.0) AS BIGINT))) AS k FROM d)
+SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, 'Part' AS section_h2, '[Source: https://a.org/' || doc_id || ']' || chr(10) || '[H1] Title' || chr(10) || '[H2] Part' || chr(10) || chr(10)
+  || array_to_string(list_transform(range(11 * k, least(11 * k + 12, n)), lambda i: 'Sentence ' || lpad(CAST(i AS VARCHAR), 3, '0') || ' ' || repeat('y', 86) || '.'), ' ') AS content FROM c""")
+def c_sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A paragraph too long for a chunk, of regular sentences: each chunk repeats the last sentence of the one before."""
+    n = (F.lit(20) + 10 * (F.col("doc_id") % 2) + 12 * (F.col("doc_id") % 6 == 5).cast("int")).cast("int")
+    long = F.array_join(F.transform(_numbered(n, "Sentence "), lambda x: F.concat(x, F.lit(" " + "y" * 86 + "."))), " ")
+    rows = ch.chunk_pages(regular_pages(spark, sf_dir, F.array(F.lit("[H1] Title"), F.lit("[H2] Part"), long)), F.col("paras"))
+    return rows.select(F.col("page_seq").alias("doc_id"), "chunk_index", "section_h2", "content")
+
+
+@query("""WITH d AS (SELECT doc_id, 3 + doc_id % 6 AS n FROM documents), c AS (SELECT doc_id, n, unnest(CASE WHEN n > 6 THEN [0, 1] ELSE [0] END) AS k FROM d)
+SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, 'Title' AS label, '[Source: https://a.org/' || doc_id || ']' || chr(10) || '[H1] Title' || chr(10) || chr(10) || CASE k WHEN 1 THEN repeat('x', 200) || chr(10) || chr(10) ELSE '' END
+  || array_to_string(list_transform(range(5 * k, CASE WHEN n > 6 AND k = 0 THEN 5 ELSE n END), lambda i: 'Paragraph ' || lpad(CAST(i AS VARCHAR), 3, '0') || ' ' || repeat('x', 280)), chr(10) || chr(10)) AS content FROM c""")
+def c_paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of one size: more than six make a chunk of five, and the next repeats the last 200 characters."""
+    paras = F.transform(_numbered((3 + F.col("doc_id") % 6).cast("int"), "Paragraph "), lambda x: F.concat(x, F.lit(" " + "x" * 280)))
+    rows = ch.chunk_pages(regular_pages(spark, sf_dir, F.concat(F.array(F.lit("[H1] Title")), paras)), F.col("paras"))
+    return rows.select(F.col("page_seq").alias("doc_id"), "chunk_index", "label", "content")
+
+
+@query("""SELECT source AS domain, sha256('Opening hours of place ' || (doc_id % 40) || ' are from nine to five.') AS content_hash, count(*) AS chunks, 64 AS dim FROM documents GROUP BY 1, 2""")
+def c_embedded_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("Opening hours of place "), (F.col("doc_id") % 40).cast("string"), F.lit(" are from nine to five."))
+    chunks = table(spark, sf_dir, "documents").select(F.col("source").alias("domain"), text.alias("content")).withColumn("content_hash", F.sha2("content", 256))
+    rows = ch.embedded_once(chunks, shared_folder(spark, "vectors"), ch.hashing_embedder())
+    return rows.groupBy("domain", "content_hash").agg(F.count("*").alias("chunks"), F.max(F.size("embedding")).alias("dim"))
+
+
+_KEPT = "(source IS NULL OR source NOT IN ('manual', 'upload', 'owner_reply'))"
+
+
+def ten_snapshots(spark: SparkSession, sf_dir: str) -> tuple[ChunkArchive, DataFrame]:
+    """The archive of ten snapshots of an unchanged knowledge base, pruned to the newest three, and these."""
+    chunks = views.vector_chunks(spark, sf_dir).select("domain", "url", "chunk_id", "content", "created_at", "source")
+    folder = shared_folder(spark, "archive")
+    archive = ChunkArchive(spark, folder, "domain string, url string, chunk_id long, content string, created_at timestamp", 8)
+    made = None
+    for day in range(1, 11):
+        snapshots, old = sn.create_snapshot(chunks.withColumn("_made", F.col("created_at")), F.lit("full"), F.lit(f"2024-03-{day:02d} 00:00:00").cast("timestamp"))
+        archive.add(old.withColumn("created_at", F.col("_made")))
+        made = snapshots if made is None else made.unionByName(snapshots)
+    kept, _ = sn.prune_snapshots(made, made, 3)
+    kept = saved(kept.select("domain", "snapshot_id", "created_at"), "kept-snapshots")
+    archive.prune(kept, f"{folder}-prune")
+    return archive, kept
+
+
+@query(f"WITH {CHUNKS} SELECT domain, count(*) AS rows, 3 * count(*) AS members FROM chunks WHERE {_KEPT} GROUP BY 1")
+def s_archive_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ten_snapshots(spark, sf_dir)[0].counts()
+
+
+@query(f"WITH {CHUNKS} SELECT domain, chunk_id, url, sha256(content) AS content_hash, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM chunks WHERE {_KEPT}")
+def s_archive_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive, kept = ten_snapshots(spark, sf_dir)
+    newest = kept.groupBy("domain").agg(F.max_by("snapshot_id", "created_at").alias("snapshot_id"))
+    return archive.archived(newest).select("domain", "chunk_id", "url", F.sha2("content", 256).alias("content_hash"), stamp("created_at"))
+
+
+def linked_web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a web: page n of a site links to pages 2n + 1 and 3n + 2, of which some can't be fetched."""
+    d = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL")
+    host = F.concat(F.col("source"), F.lit(".example.com"))
+    links = F.transform(F.array(2 * F.col("doc_id") + 1, 3 * F.col("doc_id") + 2), lambda k: F.concat(F.lit("/p/"), k.cast("string")))
+    return d.select(F.col("source").alias("domain"), host.alias("base_host"), F.concat(F.lit("https://"), host, F.lit("/p/"), F.col("doc_id").cast("string")).alias("url"), links.alias("links"))
+
+
+@query("""WITH RECURSIVE reach AS (SELECT DISTINCT source AS domain, CAST(unnest(range(12)) AS BIGINT) AS k FROM documents
+  UNION SELECT r.domain, unnest([2 * r.k + 1, 3 * r.k + 2]) AS k FROM reach r JOIN documents d ON d.source = r.domain AND d.doc_id = r.k)
+SELECT domain, domain || '.example.com/p/' || k AS url_key FROM reach""")
+def j_crawl_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    web = linked_web(spark, sf_dir)
+    each = web.select("domain", "base_host").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    starts = each.select("domain", F.concat(F.lit("https://"), "base_host", F.lit("/p/"), F.col("k").cast("string")).alias("url"))
+    return cr.crawl_to_end(web, starts, max_pages=1_000_000).select("domain", "url_key")
+
+
+@query(f"""WITH {DIFF}, updated AS (SELECT c.domain, c.page_seq, s.url AS stored_url, c.url AS crawled_url, s.content_hash AS old_hash, c.content_hash AS new_hash, s.page_seq IS NOT NULL AS known,
+  c.hash_changed OR (c.priority = 'high' AND length(c.text) >= 300) AS written FROM classed c LEFT JOIN stored s ON c.page_seq = s.page_seq)
+SELECT domain, coalesce(stored_url, crawled_url) AS url, CASE WHEN written THEN new_hash ELSE old_hash END AS content_hash, '2024-02-01 00:00:00' AS last_scraped_at,
+  CASE WHEN known AND (NOT written OR old_hash = new_hash) THEN '2024-01-01 00:00:00' ELSE '2024-02-01 00:00:00' END AS last_changed_at FROM updated""")
+def w2_refreshed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored pages after a whole refresh job."""
+    folder, crawled = shared_folder(spark, "refresh"), saved(views.crawl(spark, sf_dir), "crawl")
+    base = refresh_job.KnowledgeBase(f"{folder}/base", 8)
+    base.create(spark.createDataFrame([], CHUNK_SCHEMA), views.stored_pages(spark, sf_dir))
+    refresh_job.refresh_job(base, crawled, ch.hashing_embedder(), now(), f"{folder}/job")
+    return base.pages(spark).select("domain", "url", "content_hash", stamp("last_scraped_at"), stamp("last_changed_at"))

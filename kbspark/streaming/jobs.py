@@ -17,6 +17,7 @@ from kbspark.operators.analytics import running
 from kbspark.operators.conversations import fold_handoff
 from kbspark.operators.metering import LIMIT, THRESHOLDS, fold_periods
 from kbspark.operators.paragraphs import BOILERPLATE_MAX, MAX_HEADINGS, split_pages
+from kbspark.sources.shared import drop_folder, subfolders
 
 SEEN = "domain string, para_hash string, n long, batch long"
 SUMS = "domain string, para_hash string, n long, before long"
@@ -88,30 +89,39 @@ class QuotaMeter:
 
     The state is a row for each tenant, a folder a batch: its period, count, the count at the last free message that
     was accepted, and whether the owner has been told of a block. A batch reads the folder of the batch before it and
-    writes its own, so one that is run again gives the same rows. A tenant's messages are added up by the hour, so a
-    busy one is spread over many tasks; only distinct days and the messages within the limit go through one.
+    writes its own, so one that is run again gives the same rows; older folders are deleted. A tenant's messages are
+    added up by the hour, so a busy one is spread over many tasks; only distinct days and the messages within the limit
+    go through one. With ``idle_days``, tenants whose period ended so long before the newest message are forgotten; a
+    message of theirs starts a period, as it would in any case if it isn't older than that.
     """
 
-    def __init__(self, spark: SparkSession, state_path: str, sink: Callable[[DataFrame, int], None], limit: int = LIMIT, thresholds: DataFrame | None = None):
-        self.spark, self.path, self.sink, self.limit, self.thresholds = spark, state_path.rstrip("/"), sink, limit, thresholds
+    def __init__(
+        self, spark: SparkSession, state_path: str, sink: Callable[[DataFrame, int], None], limit: int = LIMIT, thresholds: DataFrame | None = None, idle_days: int | None = None
+    ):
+        self.spark, self.path, self.sink, self.limit, self.thresholds, self.idle_days = spark, state_path.rstrip("/"), sink, limit, thresholds, idle_days
         spark.createDataFrame([], METER_STATE).write.mode("ignore").parquet(f"{self.path}/batch=-1")
 
     def __call__(self, messages: DataFrame, batch_id: int) -> None:
         held = self.spark.read.schema(METER_STATE).parquet(f"{self.path}/batch={batch_id - 1}")
-        rows = self.outcomes(messages, held).persist()
-        try:
-            self.sink(rows.select(*METERED), batch_id)
-            told = F.max(F.when(F.col("accepted") & F.col("free"), F.col("rn")))
-            periods = rows.groupBy("domain", "period_start", "reset_on", "held_told", "held_noticed").agg(F.max("rn").alias("count"), told.alias("told"), F.bool_or("notice").alias("notice"))
-            state = F.struct(
-                F.col("period_start").alias("start"), F.col("reset_on").alias("reset"), "count",
-                F.greatest("held_told", "told").alias("told"), (F.col("held_noticed") | F.col("notice")).alias("noticed"),
-            )
-            fresh = periods.groupBy("domain").agg(F.max_by(state, "period_start").alias("s")).select("domain", "s.*")
-            others = held.join(fresh.select("domain"), "domain", "left_anti")
-            fresh.unionByName(others).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
-        finally:
-            rows.unpersist()
+        work = f"{self.path}/work={batch_id % 2}"
+        self.outcomes(messages, held).write.mode("overwrite").parquet(work)
+        rows = self.spark.read.parquet(work)
+        self.sink(rows.select(*METERED), batch_id)
+        told = F.max(F.when(F.col("accepted") & F.col("free"), F.col("rn")))
+        periods = rows.groupBy("domain", "period_start", "reset_on", "held_told", "held_noticed").agg(F.max("rn").alias("count"), told.alias("told"), F.bool_or("notice").alias("notice"))
+        state = F.struct(
+            F.col("period_start").alias("start"), F.col("reset_on").alias("reset"), "count",
+            F.greatest("held_told", "told").alias("told"), (F.col("held_noticed") | F.col("notice")).alias("noticed"),
+        )
+        fresh = periods.groupBy("domain").agg(F.max_by(state, "period_start").alias("s")).select("domain", "s.*")
+        whole = fresh.unionByName(held.join(fresh.select("domain"), "domain", "left_anti"))
+        newest = rows.agg(F.max("ts")).first()[0]
+        if self.idle_days is not None and newest is not None:
+            whole = whole.filter(F.col("reset") >= F.lit(newest.date() - dt.timedelta(days=self.idle_days)))
+        whole.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        for name in subfolders(self.spark, self.path):  # a rerun of this batch needs the one before
+            if name.startswith("batch=") and int(name.split("=")[1]) < batch_id - 1:
+                drop_folder(self.spark, f"{self.path}/{name}")
 
     def in_hand(self, dated: DataFrame, held: DataFrame) -> DataFrame:
         """For each day of a tenant its period, and what the state holds of it."""
@@ -160,10 +170,16 @@ HANDOFFS = StructType([
 
 
 class Handoffs(StatefulProcessor):
-    """Open questions of a session; one row out for each turn with a signal."""
+    """Open questions of a session; one row out for each turn with a signal. With ``idle_ms``, a session without turns for
+    so long in event time is forgotten; its next turn starts anew."""
+
+    def __init__(self, idle_ms: int | None = None):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("handoff", "pending array<string>, flag boolean")
+        self.until = handle.getValueState("until", "at long") if self.idle_ms else None
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable").astype(object)
@@ -174,16 +190,34 @@ class Handoffs(StatefulProcessor):
             pending, flag, raised = fold_handoff(pending, flag, [(request, cancel)])
             out.append((key[0], key[1], int(seq), pending, flag, raised[0]))
         self.state.update((pending, flag))
+        if self.until:
+            at = int(max(pd.Timestamp(x).timestamp() for x in batch["ts"]) * 1000) + self.idle_ms
+            old = self.until.get()[0] if self.until.exists() else None
+            if old is None or at > old:
+                if old is not None:
+                    self.handle.deleteTimer(old)
+                self.handle.registerTimer(at)
+                self.until.update((at,))
         yield pd.DataFrame(out, columns=[f.name for f in HANDOFFS])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        if self.until:
+            self.until.clear()
+        yield pd.DataFrame([], columns=[f.name for f in HANDOFFS])
+
     def close(self) -> None:
         pass
 
 
-def handoff_stream(turns: DataFrame) -> DataFrame:
-    """Stream of handoff states for a stream of turns (``domain, session_token, seq, handoff, cancel``)."""
+def handoff_stream(turns: DataFrame, idle_minutes: int | None = None, late: str = "10 minutes") -> DataFrame:
+    """Stream of handoff states for a stream of turns (``domain, session_token, seq, handoff, cancel``, and ``ts`` with
+    ``idle_minutes``, after which a session's state goes; turns ``late`` behind the newest are dropped then)."""
     told = turns.filter("handoff IS NOT NULL OR cancel IS NOT NULL")
-    return told.groupBy("domain", "session_token").transformWithStateInPandas(Handoffs(), HANDOFFS, "Append", "None")
+    if idle_minutes is None:
+        return told.groupBy("domain", "session_token").transformWithStateInPandas(Handoffs(), HANDOFFS, "Append", "None")
+    timed = told.withWatermark("ts", late).groupBy("domain", "session_token")
+    return timed.transformWithStateInPandas(Handoffs(idle_minutes * 60_000), HANDOFFS, "Append", "EventTime")
 
 
 def live_counts(rows: DataFrame) -> DataFrame:
@@ -203,6 +237,35 @@ def retained_logs(logs: DataFrame, now: dt.datetime, days: int = 30) -> DataFram
     return logs.filter(F.col("created_at") >= F.lit(now) - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
+class LogStore:
+    """Logs by day: ``append`` for ``foreachBatch`` writes a batch into the folders of its days, a batch that is run again
+    replaces its own files, and ``expire`` drops whole days without reading them.
+
+    Rows without a time are kept under no day and never expire. ``rows`` gives what is not older than ``days`` to the moment.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, days: int = 30):
+        self.spark, self.path, self.schema, self.days = spark, path.rstrip("/"), schema, days
+
+    def append(self, logs: DataFrame, batch_id: int) -> None:
+        placed = logs.withColumns({"day": F.to_date("created_at"), "batch": F.lit(batch_id)})
+        placed.write.mode("overwrite").partitionBy("day", "batch").option("partitionOverwriteMode", "dynamic").parquet(self.path)
+
+    def expire(self, now: dt.datetime) -> list[str]:
+        """The days dropped: those of which no moment is within the last ``days`` days."""
+        first = (now - dt.timedelta(days=self.days)).date().isoformat()
+        old = [d for d in subfolders(self.spark, self.path) if d.startswith("day=") and d[4:] < first and not d.endswith("__")]
+        for d in old:
+            drop_folder(self.spark, f"{self.path}/{d}")
+        return [d[4:] for d in old]
+
+    def rows(self, now: dt.datetime) -> DataFrame:
+        stored = self.spark.read.schema(f"{self.schema}, day date, batch int").parquet(self.path)
+        first = F.lit((now - dt.timedelta(days=self.days)).date())
+        recent = stored.filter((F.col("day") >= first) | F.col("day").isNull())
+        return recent.filter(F.col("created_at").isNull() | (F.col("created_at") >= F.lit(now) - F.expr(f"INTERVAL {int(self.days)} DAYS"))).drop("day", "batch")
+
+
 def run_to_end(stream: DataFrame, checkpoint: str, mode: str, sink: Callable[[DataFrame, int], None]) -> None:
     """Run a stream over all that is there now, each micro-batch into ``sink``."""
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()

@@ -114,3 +114,15 @@ def r_live_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r_retained_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = collected(spark, views.logs(_Streams(spark), sf_dir), "logs")
     return jobs.retained_logs(rows, dt.datetime(2024, 2, 15)).select("log_id", "level")
+
+
+@query(f"WITH {views.LOGS} SELECT log_id, level FROM logs WHERE created_at >= TIMESTAMP '2024-02-15' - INTERVAL 30 DAY")
+def r_log_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log kept by days, after the expired ones are dropped."""
+    stream, now = views.logs(_Streams(spark), sf_dir), dt.datetime(2024, 2, 15)
+    fields = ", ".join(f"`{c}` {t}" for c, t in stream.dtypes)
+    out = shared_folder(spark, "log-store")
+    store = jobs.LogStore(spark, f"{out}/days", fields)
+    jobs.run_to_end(stream, f"{out}/checkpoint", "append", store.append)
+    store.expire(now)
+    return store.rows(now).select("log_id", "level")

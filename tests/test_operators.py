@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -292,3 +293,34 @@ def test_no_thresholds_are_the_usual_ones(spark):
     lists = spark.createDataFrame([("empty", []), ("own", [20]), ("other", [1])], "domain string, thresholds array<int>")
     got = sorted((r.domain, r.message_id, r.threshold) for r in mt.quota_warnings(seen, lists).collect())
     assert got == sorted([(d, t, t) for d in ("none", "empty") for t in (50, 75, 90)] + [("own", 20, 20)])
+
+
+def test_crawl_to_end_equals_a_plain_queue(spark):
+    rng = random.Random(3)
+    rows, starts = [], []
+    for d in ("a.com", "b.org"):
+        for k in range(60):
+            links = [f"/{rng.randrange(80)}" for _ in range(rng.choice([0, 1, 3, 2]))] + (["https://elsewhere.net/x"] if k % 7 == 0 else []) + ([f"https://sub.{d}/{k}?x"] if k % 11 == 0 else [])
+            rows.append((d, d, f"https://{d}/{k}", links if k % 13 != 5 else None))
+        starts.append((d, f"https://{d}/0"))
+        starts.append((d, f"http://{d}/1#top"))
+    web = spark.createDataFrame(rows + [rows[5], (None, "x", "https://x/1", ["/2"])], "domain string, base_host string, url string, links array<string>")
+    begin = spark.createDataFrame(starts + [(None, "https://x/1")], "domain string, url string")
+    links = {u: ls or [] for _, _, u, ls in rows}
+    want = {}
+    for d in ("a.com", "b.org"):
+        queue, seen = [f"https://{d}/0", f"https://{d}/1"], {f"{d}/0": 0, f"{d}/1": 0}
+        while queue:
+            url = queue.pop(0)
+            for link in links.get(url, []):
+                to = link if "://" in link else f"https://{d}{link}"
+                key = to.split("://")[1].split("?")[0]
+                if (key.split("/")[0] == d or key.split("/")[0].endswith("." + d)) and key not in seen:
+                    seen[key] = seen[url.split("://")[1]] + 1
+                    queue.append(f"https://{key}")
+        want |= {(d, k): n for k, n in seen.items()}
+    got = {(r.domain, r.url_key): r.round for r in cr.crawl_to_end(web, begin).collect()}
+    assert got == want and max(want.values()) > 3
+    capped = cr.crawl_to_end(web, begin, max_pages=10).groupBy("domain").count().collect()
+    assert all(r["count"] == 10 for r in capped)
+    assert cr.crawl_to_end(web, begin.limit(0)).count() == 0
