@@ -104,7 +104,7 @@ class QuotaMeter:
     def __call__(self, messages: DataFrame, batch_id: int) -> None:
         held = self.spark.read.schema(METER_STATE).parquet(f"{self.path}/batch={batch_id - 1}")
         work = f"{self.path}/work={batch_id % 2}"
-        self.outcomes(messages, held).write.mode("overwrite").parquet(work)
+        self.outcomes(messages, held, batch_id).write.mode("overwrite").parquet(work)
         rows = self.spark.read.parquet(work)
         self.sink(rows.select(*METERED), batch_id)
         told = F.max(F.when(F.col("accepted") & F.col("free"), F.col("rn")))
@@ -136,19 +136,28 @@ class QuotaMeter:
 
         return dated.select("domain", "day").distinct().join(held, "domain", "left").groupBy("domain").applyInPandas(fold, IN_HAND)
 
-    def outcomes(self, messages: DataFrame, held: DataFrame) -> DataFrame:
+    def outcomes(self, messages: DataFrame, held: DataFrame, batch_id: int) -> DataFrame:
+        def staged(rows: DataFrame, name: str) -> DataFrame:
+            path = f"{self.path}/{name}={batch_id % 2}"
+            rows.write.mode("overwrite").parquet(path)
+            return self.spark.read.schema(rows.schema).parquet(path)
+
         dated = messages.filter("domain IS NOT NULL AND ts IS NOT NULL").select("domain", "message_id", "ts", "plan", F.to_date("ts").alias("day"))
         rows = dated.join(self.in_hand(dated, held), ["domain", "day"]).withColumn("free", F.coalesce(F.col("plan") == "free", F.lit(False)))
         in_order = (["domain", "period_start"], F.date_trunc("hour", "ts"), [F.col("ts"), F.col("message_id")])
-        # The first messages up to the limit count whatever their plan; beyond it only paid ones do.
-        rows = running(rows, *in_order, {"n": F.lit(1)})
+        # The first messages up to the limit count whatever their plan; beyond it only paid ones do, and how many of both
+        # kinds were among the first is one row a period.
+        rows = running(rows, *in_order, {"n": F.lit(1), "p": (~F.col("free")).cast("int")})
+        rows = staged(rows, "counted")
         fits = F.col("n") <= F.lit(self.limit) - F.col("held_count")
-        over = {"paid": (~F.col("free") & ~fits).cast("int"), "blocked": (F.col("free") & ~fits).cast("int")}
-        rows = running(rows, *in_order, over)
+        early = rows.filter(fits).groupBy("domain", "period_start").agg(F.max("n").alias("early"), F.max("p").alias("early_paid"))
+        rows = rows.join(early, ["domain", "period_start"], "left").fillna(0, ["early", "early_paid"])
+        late_paid = F.col("p") - F.col("early_paid")
+        rows = rows.withColumns({"paid": late_paid, "blocked": F.when(~F.col("free") | fits, 0).otherwise(F.col("n") - F.col("early") - late_paid)})
         counted = F.when(fits, F.col("held_count") + F.col("n")).otherwise(F.greatest("held_count", F.lit(self.limit)) + F.col("paid"))
         accepted = ~F.col("free") | fits
         notice = ~accepted & (F.col("blocked") == 1) & ~F.col("held_noticed")
-        rows = rows.withColumns({"rn": counted.cast("long"), "accepted": accepted, "notice": notice}).drop("n", "paid", "blocked", "day")
+        rows = staged(rows.withColumns({"rn": counted.cast("long"), "accepted": accepted, "notice": notice}).drop("n", "p", "early", "early_paid", "paid", "blocked", "day"), "judged")
         # A tenant has at most as many accepted free messages in a period as the limit.
         before = F.lag("rn").over(Window.partitionBy("domain", "period_start").orderBy("rn"))
         free = rows.filter("free AND accepted").withColumn("before", F.coalesce(before, F.col("held_told")))
