@@ -78,11 +78,11 @@ def _member(data: bytes) -> bytes:
 class ArchiveWriter:
     """One archive, written under a temporary name and moved to its own when it is whole."""
 
-    def __init__(self, folder: str, shard: int, part: int):
+    def __init__(self, folder: str, shard: int, part: int, run: str):
         self.attempt = uuid.uuid4().hex
         self.name = f"pages-{shard:06d}-{part:04d}"
         self.system, self.folder = file_system(folder)
-        self.temporary = f"{self.folder}/_temporary/{self.name}-{self.attempt}"
+        self.temporary = f"{self.folder}/_temporary-{run}/{self.name}-{self.attempt}"
         parent_made(self.system, self.temporary)
         self.out = self.system.open_output_stream(self.temporary)
         self.sha1, self.bytes, self.keys = hashlib.sha1(), 0, []
@@ -198,6 +198,7 @@ def write_archives(
     repeat the largest key with the same payload are all responses. Empty table: no file, empty manifest.
     """
     small_batches(pages.sparkSession)
+    run = uuid.uuid4().hex  # of this job alone: another one may write into the same folder
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     key, digest = F.col(key_col).cast("long"), F.sha1(F.encode(payload, "UTF-8"))
     slim = written(pages.select(key.alias("key"), digest.alias("digest"), F.octet_length(payload).cast("long").alias("bytes")), "warc-digests")
@@ -241,7 +242,7 @@ def write_archives(
                 elif writer and writer.bytes >= roll_bytes:
                     closed()
                     writer, part = None, part + 1
-                writer = writer or ArchiveWriter(folder, shard, part)
+                writer = writer or ArchiveWriter(folder, shard, part, run)
                 refers_to = note[2] if note[:2] == (key, digest) else None
                 writer.add(key, record(key, urls[i].as_py(), payload, refers_to, digest))
         closed()
@@ -251,7 +252,7 @@ def write_archives(
 
     manifest = written(dealt.mapInArrow(lean(write), MANIFEST), "warc-manifest")
     system, path = file_system(folder)
-    left = f"{path}/_temporary"
+    left = f"{path}/_temporary-{run}"
     if system.get_file_info(left).type.name == "Directory":
         system.delete_dir(left)
     return manifest

@@ -20,7 +20,7 @@ def test_round_trip(spark, tmp_path):
         body = (html or "").encode()
         assert got[key].payload_bytes == len(body) and got[key].payload_digest == hashlib.sha1(body).hexdigest()
     assert {k: (r.record_type, r.refers_to) for k, r in got.items() if r.record_type == "revisit"} == {1: ("revisit", 9), 2: ("revisit", 9), None: ("revisit", 9)}
-    assert made.count() > 1 and not os.path.exists(tmp_path / "_temporary")
+    assert made.count() > 1 and not [f for f in os.listdir(tmp_path) if f.startswith("_temporary")]
     for row in made.collect():
         data = (tmp_path / row.file).read_bytes()
         assert hashlib.sha1(data).hexdigest() == row.sha1 and gzip.decompress(data).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
@@ -60,3 +60,11 @@ def test_repeats_and_empty(spark, tmp_path):
     assert sorted((r.page_id, r.record_type, r.refers_to) for r in rows) == [(0, "revisit", 1), (1, "response", None), (1, "response", None)]
     none = warc.write_archives(pages.limit(0), str(tmp_path))
     assert none.count() == 0 and warc.read_archives(none, str(tmp_path)).count() == 0
+
+
+def test_another_jobs_open_files_stay(spark, tmp_path):
+    other = tmp_path / "_temporary-other"
+    other.mkdir()
+    (other / "open").write_text("x")
+    warc.write_archives(spark.createDataFrame([(1, "http://a", "html")], "page_id long, url string, html string"), str(tmp_path))
+    assert (other / "open").read_text() == "x" and len([f for f in os.listdir(tmp_path) if f.startswith("_temporary")]) == 1
