@@ -23,7 +23,7 @@ WINDOW, MEAN = 32, 512
 #: Shorter chunks (without the words at their ends) are encoded where they are.
 LEAST = 64
 #: Distinct words, and keys of chunks already sent, that a worker remembers.
-CACHE_WORDS, CACHE_CHUNKS = 400_000, 1_000_000
+CACHE_WORDS, CACHE_CHUNKS = 400_000, 200_000
 _MULTIPLIER = np.uint32(0x9E3779B1)
 #: Letters (lower-cased) whose class and normal form no Unicode version changes; what else a plain word may hold; its pre-tokens.
 _LETTERS = "a-zà-öø-ÿ"
@@ -170,7 +170,7 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces_of(texts: pa.Array, limit: int = 6_000_000) -> Iterator[tuple[int, int]]:
+def pieces_of(texts: pa.Array, limit: int = 3_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text, to bound what is held."""
     bounds = buffer_of(texts)[1]
     start = 0
