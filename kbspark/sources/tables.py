@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table ``name`` below ``sf_dir`` (any path or URI that Spark reads)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Gives the table of a folder and a name, as a stream for example.
+Reader = Callable[[str, str], DataFrame]
+
+
+def table(source: SparkSession | Reader, sf_dir: str, name: str) -> DataFrame:
+    """The table ``name`` below ``sf_dir`` (any path or URI that Spark reads), read by a session or a function."""
+    return source.read.parquet(f"{sf_dir}/{name}.parquet") if isinstance(source, SparkSession) else source(sf_dir, name)
 
 
 def spread(df: DataFrame) -> DataFrame:

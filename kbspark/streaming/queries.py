@@ -14,7 +14,7 @@ from kbspark.plans import chat_queries, kb_queries, views
 from kbspark.plans.build import stored_chunks
 from kbspark.sources.pages import crawled_pages
 from kbspark.sources.shared import saved, shared_folder
-from kbspark.sources.tables import spread, table
+from kbspark.sources.tables import Reader, spread, table
 from kbspark.streaming import build, jobs
 
 QUERIES: dict = {}
@@ -33,19 +33,15 @@ def query(sql: str | None = None):
     return add
 
 
-class _Streams:
-    """Stands in for a session: its reads give streams, so that the views' rules apply to streams too."""
+def streamed(spark: SparkSession) -> Reader:
+    """Reads tables as streams, so that the views' rules apply to streams too."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-
-    @property
-    def read(self):
-        return self
-
-    def parquet(self, path: str) -> DataFrame:
+    def read(sf_dir: str, name: str) -> DataFrame:
+        path = f"{sf_dir}/{name}.parquet"
         # As a pattern, since a stream's plain path must be a folder and a small table may be one file.
-        return self.spark.readStream.schema(self.spark.read.parquet(path).schema).parquet(f"{path}*")
+        return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+
+    return read
 
 
 def collected(spark: SparkSession, rows: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -60,7 +56,7 @@ def collected(spark: SparkSession, rows: DataFrame, name: str, mode: str = "appe
 def r_incremental_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_folder(spark, "dedup")
     dedup = jobs.IncrementalDedup(spark, f"{out}-state", lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
-    jobs.run_to_end(views.crawl(_Streams(spark), sf_dir), f"{out}-checkpoint", "append", dedup)
+    jobs.run_to_end(views.crawl(streamed(spark), sf_dir), f"{out}-checkpoint", "append", dedup)
     return spark.read.schema("domain string, page_seq long, url string, idx int, para string").parquet(out).select("domain", "page_seq", "idx", "para")
 
 
@@ -82,7 +78,7 @@ def r_incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {views.CRAWL} SELECT domain, count(*) AS pages, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS chars, arg_max(url, page_seq) AS url FROM crawl GROUP BY 1")
 def r_crawl_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = collected(spark, jobs.crawl_progress(views.crawl(_Streams(spark), sf_dir)), "progress", "update")
+    rows = collected(spark, jobs.crawl_progress(views.crawl(streamed(spark), sf_dir)), "progress", "update")
     return rows.groupBy("domain").agg(F.max_by(F.struct("pages", "chars", "url"), "batch").alias("x")).select("domain", "x.*")
 
 
@@ -92,34 +88,34 @@ SELECT message_id, CASE WHEN plan = 'free' THEN least(n, {LIMIT}) ELSE n END AS
 def r_quota_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_folder(spark, "quota")
     meter = jobs.QuotaMeter(spark, f"{out}-state", lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), LIMIT)
-    jobs.run_to_end(views.metered(_Streams(spark), sf_dir), f"{out}-checkpoint", "append", meter)
+    jobs.run_to_end(views.metered(streamed(spark), sf_dir), f"{out}-checkpoint", "append", meter)
     rows = spark.read.schema("domain string, message_id long, rn long, accepted boolean, notice boolean, threshold int, period_start date").parquet(out)
     return rows.select("message_id", "rn", "accepted", "notice", "threshold")
 
 
 @query(f"WITH RECURSIVE {chat_queries.FOLD} SELECT domain, session_token, seq, array_to_string(open, ';') AS pending, flag AS handoff_pending, notice FROM fold WHERE k > 0")
 def r_handoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = collected(spark, jobs.handoff_stream(chat_queries.turns(_Streams(spark), sf_dir)), "handoffs")
+    rows = collected(spark, jobs.handoff_stream(chat_queries.turns(streamed(spark), sf_dir)), "handoffs")
     return rows.select("domain", "session_token", "seq", F.array_join("pending", ";").alias("pending"), "handoff_pending", "notice")
 
 
 @query(f"WITH {views.METERED} SELECT domain, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest FROM metered GROUP BY 1")
 def r_live_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = collected(spark, jobs.live_counts(views.metered(_Streams(spark), sf_dir)), "counts", "update")
+    rows = collected(spark, jobs.live_counts(views.metered(streamed(spark), sf_dir)), "counts", "update")
     last = rows.groupBy("domain").agg(F.max_by(F.struct("n", "latest"), "batch").alias("x"))
     return last.select("domain", "x.n", F.date_format("x.latest", "yyyy-MM-dd HH:mm:ss").alias("latest"))
 
 
 @query(f"WITH {views.LOGS} SELECT log_id, level FROM logs WHERE created_at >= TIMESTAMP '2024-02-15' - INTERVAL 30 DAY")
 def r_retained_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = collected(spark, views.logs(_Streams(spark), sf_dir), "logs")
+    rows = collected(spark, views.logs(streamed(spark), sf_dir), "logs")
     return jobs.retained_logs(rows, dt.datetime(2024, 2, 15)).select("log_id", "level")
 
 
 @query(f"WITH {views.LOGS} SELECT log_id, level FROM logs WHERE created_at >= TIMESTAMP '2024-02-15' - INTERVAL 30 DAY")
 def r_log_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log kept by days, after the expired ones are dropped."""
-    stream, now = views.logs(_Streams(spark), sf_dir), dt.datetime(2024, 2, 15)
+    stream, now = views.logs(streamed(spark), sf_dir), dt.datetime(2024, 2, 15)
     fields = ", ".join(f"`{c}` {t}" for c, t in stream.dtypes)
     out = shared_folder(spark, "log-store")
     store = jobs.LogStore(spark, f"{out}/days", fields)
