@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.schemas import PRESERVED_SOURCES
+from kbspark.sources.shared import saved
 
 #: What each role may do.
 ROLES = {
@@ -30,23 +31,43 @@ ROLES = {
 PREFIX = 48
 
 
-def running(df: DataFrame, by: list[str], bucket: Column, order: list[Column], sums: dict[str, Column], totals: dict[str, str] | None = None, descending: bool = False) -> DataFrame:
+#: Rows of a bucket beyond which it is cut into ranges of its own.
+HOT_BUCKET = 1_000_000
+
+
+def running(
+    df: DataFrame, by: list[str], bucket: Column, order: list[Column], sums: dict[str, Column], totals: dict[str, str] | None = None, descending: bool = False, hot_bucket: int | None = None
+) -> DataFrame:
     """``df`` with the running sum of each of ``sums`` in its group by ``order``, its own row included, and the group's
     whole sum of those named in ``totals``.
 
     ``bucket`` never falls as the order goes on (never rises, if ``descending``): rows are added up inside a bucket,
     and the sums of the buckets before it are put on top, so a large group is spread over as many tasks as it has buckets.
-    Rows with null keys or buckets are a group or bucket like any other.
+    Buckets of more than ``hot_bucket`` rows (counted) are first cut into ranges of the order, which are buckets then, so
+    that a group with all its rows in one is spread too; rows equal in the order stay together.
+    Rows with null keys or buckets are a group or bucket like any other. Empty table: empty result.
     """
-    keyed = df.withColumns({"_key": F.struct(*by, bucket.alias("_bucket")), **{f"_v_{n}": v for n, v in sums.items()}})
-    counts = keyed.groupBy("_key").agg(*[F.sum(f"_v_{n}").alias(f"_n_{n}") for n in sums])
+    keyed = df.withColumns({"_key": F.struct(*by, bucket.alias("_bucket")), "_sub": F.lit(0), **{f"_v_{n}": v for n, v in sums.items()}})
+    counted = [F.count("*").alias("_rows"), *[F.sum(f"_v_{n}").alias(f"_n_{n}") for n in sums]]
+    counts = saved(keyed.groupBy("_key", "_sub").agg(*counted), "bucket-sums")
+    most = HOT_BUCKET if hot_bucket is None else hot_bucket
+    hot = counts.filter(F.col("_rows") > most).select("_key", "_rows")
+    rows = hot.agg(F.sum("_rows")).first()[0]
+    if rows:
+        # There are fewer hot buckets than rows / most.
+        large = keyed.join(F.broadcast(hot.select("_key")), "_key", "left_semi")
+        parts = max(2, -(-rows // max(1, most // 2)))
+        cut = saved(large.repartitionByRange(parts, "_key", *order).withColumn("_sub", F.spark_partition_id()), "hot-buckets")
+        keyed = keyed.join(F.broadcast(hot.select("_key")), "_key", "left_anti").unionByName(cut)
+        fresh = cut.groupBy("_key", "_sub").agg(*counted)
+        counts = counts.filter(F.col("_rows") <= most).unionByName(fresh)
     group = Window.partitionBy(*[F.col(f"_key.{c}") for c in by])
-    upto = group.orderBy(F.col("_key._bucket").desc() if descending else F.col("_key._bucket").asc()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = group.orderBy(F.col("_key._bucket").desc() if descending else F.col("_key._bucket").asc(), "_sub").rowsBetween(Window.unboundedPreceding, 0)
     whole = [F.sum(f"_n_{n}").over(group).alias(name) for n, name in (totals or {}).items()]
-    offsets = counts.select("_key", *[(F.sum(f"_n_{n}").over(upto) - F.col(f"_n_{n}")).alias(f"_b_{n}") for n in sums], *whole)
-    inside = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    added = keyed.withColumns({f"_i_{n}": F.sum(f"_v_{n}").over(inside) for n in sums}).join(offsets, "_key")
-    return added.withColumns({n: F.col(f"_b_{n}") + F.col(f"_i_{n}") for n in sums}).drop("_key", *[f"_{x}_{n}" for n in sums for x in "vib"])
+    offsets = counts.select("_key", "_sub", *[(F.sum(f"_n_{n}").over(upto) - F.col(f"_n_{n}")).alias(f"_b_{n}") for n in sums], *whole)
+    inside = Window.partitionBy("_key", "_sub").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    added = keyed.withColumns({f"_i_{n}": F.sum(f"_v_{n}").over(inside) for n in sums}).join(offsets, ["_key", "_sub"])
+    return added.withColumns({n: F.col(f"_b_{n}") + F.col(f"_i_{n}") for n in sums}).drop("_key", "_sub", *[f"_{x}_{n}" for n in sums for x in "vib"])
 
 
 def carried(df: DataFrame, by: list[str], bucket: Column, order: list[Column], values: list[str]) -> DataFrame:

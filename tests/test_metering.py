@@ -4,10 +4,11 @@ import datetime as dt
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from kbspark.operators import metering as mt
-from kbspark.operators.analytics import carried
+from kbspark.operators.analytics import carried, running
 
 DAY = dt.datetime(2024, 3, 1)
 
@@ -64,3 +65,23 @@ def test_plans_of_a_busy_tenant_by_stretches(spark, monkeypatch):
     whole = key(mt.plan_history(events, tenants))
     monkeypatch.setattr(mt, "BUCKET", 7)
     assert key(mt.plan_history(events, tenants)) == whole
+
+
+@pytest.mark.parametrize("hot", [None, 5, 0])
+def test_a_group_with_all_rows_in_one_bucket_is_spread(spark, hot):
+    r = random.Random(hot)
+    rows = [(r.choice(["a"] * 8 + ["b", None]), r.choice([None, 1, 1, 1, 1, 2]), k, r.randrange(5)) for k in range(500)]
+    df = spark.createDataFrame(rows, "g string, bucket long, k long, v long")
+    rank = lambda b, k: (b is not None, b or 0, k)
+    for descending in (False, True):
+        k = F.col("k").desc() if descending else F.col("k")
+        b = F.col("bucket").desc() if descending else F.col("bucket")
+        got = running(df, ["g"], F.col("bucket"), [b, k], {"n": F.lit(1), "s": F.col("v")}, {"n": "total"}, descending, hot).select("g", "bucket", "k", "v", "n", "s", "total").collect()
+        want = []
+        for g in ("a", "b", None):
+            mine, s = sorted((x for x in rows if x[0] == g), key=lambda x: rank(x[1], x[2]), reverse=descending), 0
+            for n, x in enumerate(mine, 1):
+                s += x[3]
+                want.append((*x, n, s, len(mine)))
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert running(df.limit(0), ["g"], F.col("bucket"), [F.col("k")], {"n": F.lit(1)}, hot_bucket=hot).count() == 0
