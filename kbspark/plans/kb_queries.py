@@ -18,7 +18,7 @@ from kbspark.plans import build, refresh_job, serve, views
 from kbspark.plans.views import ASKED, CHUNKS, CRAWL, LIMITS, RE2_WS, STORED
 from kbspark.schemas import CHUNKS as CHUNK_SCHEMA
 from kbspark.sources.archive import ChunkArchive
-from kbspark.sources.pages import crawled_pages, site_domain
+from kbspark.sources.pages import crawled_pages, read_uploads, site_domain
 from kbspark.sources.shared import saved, shared_folder
 from kbspark.sources.tables import spread, table
 from kbspark.sources.writes import replace_chunks, upsert_pages
@@ -557,3 +557,17 @@ def w2_refreshed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     base.create(spark.createDataFrame([], CHUNK_SCHEMA), views.stored_pages(spark, sf_dir))
     refresh_job.refresh_job(base, crawled, ch.hashing_embedder(), now(), f"{folder}/job")
     return base.pages(spark).select("domain", "url", "content_hash", stamp("last_scraped_at"), stamp("last_changed_at"))
+
+
+@query(f"""WITH t AS (SELECT {_TRIM} AS text FROM (SELECT text AS x FROM documents WHERE text IS NOT NULL))
+SELECT 'txt' AS kind, CASE WHEN text = '' THEN 'empty' END AS reason, CASE WHEN text <> '' THEN sha256(text) END AS content_hash, count(*) AS files FROM t GROUP BY ALL""")
+def io_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document written as an upload of its own, and the uploads read: accepted texts and rejects."""
+    folder = shared_folder(spark, "uploads")
+    texts = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("text")
+    texts.write.option("maxRecordsPerFile", 1).text(folder)
+    accepted, rejected = read_uploads(spark, folder)
+    both = accepted.select("kind", F.lit(None).cast("string").alias("reason"), F.sha2("text", 256).alias("content_hash")).unionByName(
+        rejected.filter("kind = 'txt'").select("kind", "reason", F.lit(None).cast("string").alias("content_hash"))
+    )
+    return both.groupBy("kind", "reason", "content_hash").agg(F.count("*").alias("files"))
