@@ -20,6 +20,23 @@ def dot_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def dot_products(a: pa.Array, b: pa.Array) -> pa.Array:
+    """:func:`dot_product` of two list columns, row by row; null where a list or an element is null or the lengths differ."""
+    fits = pc.fill_null(pc.equal(pc.list_value_length(a), pc.list_value_length(b)), False)
+    x, y = a.filter(fits), b.filter(fits)
+    sizes, u, v = pc.list_value_length(x).to_numpy(), x.flatten(), y.flatten()
+    product = u.to_numpy(zero_copy_only=False).astype(float) * v.to_numpy(zero_copy_only=False).astype(float)
+    gone = np.concatenate([[0], np.cumsum(pc.or_(pc.is_null(u), pc.is_null(v)).to_numpy(zero_copy_only=False))])
+    ends = np.cumsum(sizes)
+    # One more place, so that an empty list at the end has one to point to.
+    total = np.add.reduceat(np.append(np.nan_to_num(product), 0.0), ends - sizes) if len(sizes) else np.empty(0)
+    out, where = np.full(len(a), np.nan), np.flatnonzero(fits.to_numpy(zero_copy_only=False))
+    out[where] = np.where(sizes > 0, total, 0.0)
+    bad = np.ones(len(a), bool)
+    bad[where] = gone[ends] > gone[ends - sizes]
+    return pa.array(out, mask=bad)
+
+
 #: Tenants with more vectors than one cell takes, about 50 bytes each, up to which their sizes are broadcast.
 BROADCAST_TENANTS = 500_000
 
@@ -86,13 +103,20 @@ def primary_hits(top: DataFrame, chunks: DataFrame, tenants: DataFrame, default:
 
 def sibling_expand(primary: DataFrame, chunks: DataFrame, queries: DataFrame, offset: float = OFFSET, floor: float = FLOOR) -> DataFrame:
     """Other chunks of the pages that primary hits (not owner replies) come from, at a lower threshold and
-    without limit: ``(query_id, domain, chunk_id, score, url, content, source)``."""
+    without limit: ``(query_id, domain, chunk_id, score, url, content, source)``.
+
+    Scores are made by columns of vectors; contents stay in Spark and meet only what is over the threshold. Null source: as any
+    page's chunk. Null vector, or one of another length: no sibling. Repeated hits: once. Equal scores: all. No hits: empty.
+    """
     pages = primary.filter(~F.col("source").eqNullSafe(F.lit("owner_reply"))).select("query_id", "domain", "url", "threshold").distinct()
     others = chunks.filter(~F.col("source").eqNullSafe(F.lit("owner_reply")))
-    met = pages.join(others, ["domain", "url"]).join(primary.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    scored = met.join(queries.select("query_id", "vector"), "query_id").withColumn("score", dot_product(F.col("vector"), F.col("embedding")))
+    slim = others.select("domain", "url", "chunk_id", "embedding")
+    met = pages.join(slim, ["domain", "url"]).join(primary.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    score = F.arrow_udf(dot_products, "double")(F.col("vector"), F.col("embedding"))
+    scored = met.join(queries.select("query_id", "vector"), "query_id").withColumn("score", score)
     limit = F.greatest(F.lit(floor), F.col("threshold") - offset)
-    return scored.filter(F.col("score") >= limit).select("query_id", "domain", "chunk_id", "score", "url", "content", "source")
+    near = scored.filter(F.col("score") >= limit).select("query_id", "domain", "chunk_id", "score")
+    return near.join(others.select("domain", "chunk_id", "url", "content", "source"), ["domain", "chunk_id"]).select("query_id", "domain", "chunk_id", "score", "url", "content", "source")
 
 
 def pack_context(primary: DataFrame, siblings: DataFrame, budget: int = BUDGET) -> DataFrame:

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow as pa_
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,3 +325,12 @@ def test_crawl_to_end_equals_a_plain_queue(spark):
     capped = cr.crawl_to_end(web, begin, max_pages=10).groupBy("domain").count().collect()
     assert all(r["count"] == 10 for r in capped)
     assert cr.crawl_to_end(web, begin.limit(0)).count() == 0
+
+
+def test_dot_products_of_columns():
+    rows = [([1.0, 2.0], [3.0, 4.0]), ([], []), (None, [1.0]), ([1.0], None), ([1.0], [1.0, 2.0]), ([1.0, None], [1.0, 1.0]), ([2.0], [0.5]), ([3.0, 1.0], [2.0, 4.0]), ([], []), ([], [])]
+    a, b = (pa_.array(x, pa_.list_(pa_.float32())) for x in zip(*rows))
+    assert rt.dot_products(a, b).to_pylist() == [11.0, 0.0, None, None, None, None, 1.0, 10.0, 0.0, 0.0]
+    assert rt.dot_products(a.slice(6), b.slice(6)).to_pylist() == [1.0, 10.0, 0.0, 0.0]
+    assert rt.dot_products(a.slice(0, 0), b.slice(0, 0)).to_pylist() == []
+    assert rt.dot_products(a.slice(1, 1), b.slice(1, 1)).to_pylist() == [0.0]
