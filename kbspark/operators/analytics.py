@@ -163,6 +163,12 @@ def conversation_list(messages: DataFrame, size: int = 20) -> DataFrame:
 
 
 def page_search(pages: DataFrame, pattern: str | None = None, rendered: bool | None = None, priority: str | None = None, size: int = 50) -> DataFrame:
+    """Stored pages that fit the filters, by URL, paged inside each tenant; see :func:`paged`.
+
+    ``pattern`` is a regular expression, any case. Null URL: first, and in no search by pattern. Null ``used_renderer``: not
+    rendered. Null domain: a tenant of its own. Repeated rows: a place each, equal URLs in any order. Empty table: empty result.
+    Very long URLs: by their first 48 characters, then whole.
+    """
     found = pages
     if pattern:
         found = found.filter(F.col("url").rlike(f"(?i){pattern}"))

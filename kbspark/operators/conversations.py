@@ -180,7 +180,12 @@ def chat_requests(turns: DataFrame, messages: DataFrame, tenants: DataFrame, tem
 
 def notification_outbox(events: DataFrame, tenants: DataFrame, link: str = "") -> DataFrame:
     """One row a channel for each event (``domain, kind, session_token, text, reason, threshold, used, limit``):
-    handoffs go to every contact that is set, quota notices to the tenant's channels (e-mail by default)."""
+    handoffs go to every contact that is set, quota notices to the tenant's channels (e-mail by default).
+
+    Tenants have one row each. Events of no known domain: left out. Contact not set: no row for its channel. Null
+    channels: e-mail; an empty list: none. Null text: empty preview; longer ones: 100 characters. Repeated events: a message each.
+    Empty tables: empty result.
+    """
     joined = events.join(tenants, "domain")
     both = F.array(F.lit("sms"), F.lit("email"))
     channels = F.when(F.col("kind") == "handoff", both).otherwise(F.coalesce("quota_alert_channels", F.array(F.lit("email"))))

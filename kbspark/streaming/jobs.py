@@ -1,4 +1,4 @@
-"""Streaming jobs: incremental build, quota meter, handoffs, live counts, log retention."""
+"""Streaming jobs: paragraph dedup, quota meter, handoffs, live counts, crawl progress, logs by days."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from kbspark.operators.analytics import running
 from kbspark.operators.conversations import fold_handoff
 from kbspark.operators.metering import LIMIT, THRESHOLDS, fold_periods
 from kbspark.operators.paragraphs import BOILERPLATE_MAX, MAX_HEADINGS, split_pages
-from kbspark.sources.shared import drop_folder, subfolders
+from kbspark.sources.shared import drop_folder, exists, subfolders
 
 SEEN = "domain string, para_hash string, n long, batch long"
 SUMS = "domain string, para_hash string, n long, before long"
@@ -269,6 +269,8 @@ class LogStore:
         return [d[4:] for d in old]
 
     def rows(self, now: dt.datetime) -> DataFrame:
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], self.schema)
         stored = self.spark.read.schema(f"{self.schema}, day date, batch int").parquet(self.path)
         first = F.lit((now - dt.timedelta(days=self.days)).date())
         recent = stored.filter((F.col("day") >= first) | F.col("day").isNull())

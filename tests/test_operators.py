@@ -334,3 +334,18 @@ def test_dot_products_of_columns():
     assert rt.dot_products(a.slice(6), b.slice(6)).to_pylist() == [1.0, 10.0, 0.0, 0.0]
     assert rt.dot_products(a.slice(0, 0), b.slice(0, 0)).to_pylist() == []
     assert rt.dot_products(a.slice(1, 1), b.slice(1, 1)).to_pylist() == [0.0]
+
+
+def test_page_search_and_outbox_of_awkward_rows(spark):
+    rows = [("a", "https://x/b", None, "high"), ("a", "https://x/b", True, "high"), ("a", None, False, None), (None, "https://x/Z", True, "normal"), ("a", "https://x/" + "y" * 5000, True, "high")]
+    pages = spark.createDataFrame(rows, "domain string, url string, used_renderer boolean, priority string")
+    found = sorted((str(r.domain), str(r.url)[:11], r.position, r.total) for r in an.page_search(pages).collect())
+    assert found == [("None", "https://x/Z", 1, 1), ("a", "None", 1, 4), ("a", "https://x/b", 2, 4), ("a", "https://x/b", 3, 4), ("a", "https://x/y", 4, 4)]
+    assert an.page_search(pages, pattern="x/z").count() == 1 and an.page_search(pages, rendered=False).count() == 2
+    assert an.page_search(pages.limit(0)).count() == 0
+    tenants = spark.createDataFrame([("a", "A", None, "a@x", None), ("b", "B", "1", None, []), ("c", "C", "2", "c@x", ["sms"])], "domain string, name string, owner_phone string, owner_email string, quota_alert_channels array<string>")
+    kinds = [("a", "handoff", None), ("a", "handoff", None), ("b", "quota_warning", None), ("c", "quota_warning", "t"), ("c", "handoff", "z" * 500), (None, "handoff", "x"), ("zz", "handoff", "x")]
+    events = spark.createDataFrame([(d, k, "s", x, "r", 50, 5, 10) for d, k, x in kinds], "domain string, kind string, session_token string, text string, reason string, threshold int, used int, limit int")
+    sent = sorted((r.domain, r.kind, r.channel) for r in cv.notification_outbox(events, tenants).collect())
+    assert sent == [("a", "handoff", "email")] * 2 + [("c", "handoff", "email"), ("c", "handoff", "sms"), ("c", "quota_warning", "sms")]
+    assert cv.notification_outbox(events.limit(0), tenants).count() == 0

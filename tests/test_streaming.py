@@ -136,6 +136,7 @@ def test_expired_days_of_a_log_are_dropped(spark, tmp_path):
     now = dt.datetime(2024, 3, 1, 12)
     store = jobs.LogStore(spark, str(tmp_path / "log"), "log_id long, created_at timestamp", 30)
     rows = lambda *days: spark.createDataFrame([(i, None if d is None else now - dt.timedelta(days=d)) for i, d in days], "log_id long, created_at timestamp")
+    assert store.rows(now).count() == 0 and store.expire(now) == []
     store.append(rows((1, 0), (2, 29), (3, 30), (4, 31), (5, 45), (6, None)), 0)
     for _ in range(2):  # a batch that runs again changes nothing
         store.append(rows((7, 1), (8, 31), (9, 30.2)), 1)
