@@ -22,12 +22,15 @@ _SHARD_ROW = ", ".join(f"{c} long" for c in _NUMBERS) + ", ends_sha256 string, s
 
 
 def turn_keys(turns: DataFrame) -> DataFrame:
-    """``(conv_id, turn, hi, lo, chars)`` of conversation rows: a 128-bit hash of (role, text) and the code points of
-    the text. Null role or text: empty. Rows without ``conv_id`` belong to no conversation and are left out."""
+    """``(conv_id, turn, role, head, hi, lo, chars)`` of conversation rows: a 128-bit hash of (role, text), the code points
+    of the text and, for ties, its first 64. Null role or text: empty. Rows without ``conv_id`` belong to no conversation
+    and are left out."""
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     return turns.filter(F.col("conv_id").isNotNull()).select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
+        role.alias("role"),
+        F.substring(text, 1, 64).alias("head"),
         F.xxhash64(role, text).alias("hi"),
         F.xxhash64(F.lit(0x5EED), text, role).alias("lo"),
         F.length(text).cast("long").alias("chars"),
@@ -35,11 +38,12 @@ def turn_keys(turns: DataFrame) -> DataFrame:
 
 
 def gathered(keys: DataFrame) -> DataFrame:
-    """``(conv_id, turns)``: the keys of each conversation in order of ``turn``, null first, ties by hash.
+    """``(conv_id, turns)``: the keys of each conversation in order of ``turn``, null first, ties by role, the first 64
+    characters of the text and its hash.
 
-    A conversation's keys are one row, 32 bytes a turn, whatever the length of its texts.
+    A conversation's keys are one row, 32 bytes a turn and about 100 while they are sorted, whatever the length of its texts.
     """
-    rows = F.sort_array(F.collect_list(F.struct("turn", "hi", "lo", "chars")))
+    rows = F.sort_array(F.collect_list(F.struct("turn", "role", "head", "hi", "lo", "chars")))
     return keys.groupBy("conv_id").agg(F.transform(rows, lambda t: F.struct(t["hi"], t["lo"], t["chars"])).alias("turns"))
 
 
@@ -264,7 +268,7 @@ def trie_nodes(conversations: DataFrame, shards: int | None = None) -> DataFrame
 def prefix_trie(turns: DataFrame, shards: int | None = None) -> DataFrame:
     """:func:`trie_nodes` of rows ``(conv_id, turn, role, text)``; texts are read once and never shuffled.
 
-    Null role or text: empty. Null turn: before all others. Ties in ``turn``: by hash of role and text. Repeated rows: a turn each. Rows
+    Null role or text: empty. Null turn: before all others. Ties in ``turn``: by role, the text's first 64 characters, then its hash. Repeated rows: a turn each. Rows
     without conv_id: left out. Other columns: ignored. Empty table: no node. Very long texts cost their hash only.
     """
     return trie_nodes(gathered(turn_keys(turns)), shards)

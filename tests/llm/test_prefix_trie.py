@@ -105,3 +105,9 @@ def test_every_node_but_the_skeleton_lies_in_one_shard():
     shard.add((1, 1, 2, 2, 9, 9), [5, 7, 3], 3, 4, "f")
     rows = shard.end()
     assert [(r[0], r[1], r[3], r[8], r[9]) for r in rows] == [(4, 3, 3, None, 2), (4, 2, 5, 2, None), (4, 1, 5, 1, None), (4, 0, 5, 0, None)]
+
+
+def test_ties_of_turn_go_by_role_and_text(spark):
+    r = random.Random(1)
+    rows = [(c, r.choice([None, 1, 2]), r.choice(["bot", "user", None]), r.choice("xyz") * r.randrange(4)) for c in range(40) for _ in range(6)]
+    assert nodes(T.prefix_trie(spark.createDataFrame(rows, SCHEMA).repartition(7), 3)) == brute(ordered(rows))
