@@ -172,11 +172,15 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces_of(texts: pa.Array, limit: int = 3_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text, to bound what is held."""
-    bounds = buffer_of(texts)[1]
+    yield from ranges_of(buffer_of(texts)[1], limit)
+
+
+def ranges_of(bounds: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``limit`` items, of rows with ``bounds`` between them."""
     start = 0
-    while start < len(texts):
-        stop = max(start + 1, int(np.searchsorted(bounds, bounds[start] + limit, "left")))
-        yield start, min(stop, len(texts))
+    while start < len(bounds) - 1:
+        stop = max(start + 1, int(np.searchsorted(bounds, int(bounds[start]) + limit, "left")))
+        yield start, min(stop, len(bounds) - 1)
         start = stop
 
 
@@ -207,19 +211,38 @@ def lists_of(ids: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
-def whole_texts(docs: DataFrame, vocabulary: str, sieve: Sieve, id_type: str) -> DataFrame:
-    """``(id, ids)`` of the rows (id, text) without a chunk that the sieve knows."""
+def tokens_of(tokenizer, vocabulary: str) -> pa.Array:
+    """The token of each id."""
+    if tokenizer.decoder is not None:
+        raise ValueError(f"{vocabulary} has a decoder of its own")
+    return pa.array([tokenizer.id_to_token(k) for k in range(tokenizer.get_vocab_size())], pa.string())
+
+
+def decoded_texts(ids: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    """The tokens of each list, joined by a space; null for null."""
+    at = ids.offsets.to_numpy()
+    found = tokens.take(ids.values.slice(at[0], at[-1] - at[0]))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(at - at[0]), found, mask=ids.is_null() if ids.null_count else None), " ")
+
+
+def whole_texts(docs: DataFrame, vocabulary: str, sieve: Sieve, id_type: str, decoded: bool = False) -> DataFrame:
+    """``(id, ids)`` of the rows (id, text) without a chunk that the sieve knows; with ``decoded``, also what
+    :func:`decode` gives for them."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = word_encoder(vocabulary)
+        tokens = tokens_of(encoder.tokenizer, vocabulary) if decoded else None
         for batch in batches:
             column = batch.column("text")
             for a, z in pieces_of(column):
                 texts, own = column.slice(a, z - a), np.ones(z - a, bool)
                 own[known_chunks(texts, sieve)[0]] = False
                 own = pa.array(own)
-                yield pa.record_batch([batch.column("id").slice(a, z - a).filter(own), lists_of(*word_encoder(vocabulary).encode(texts.filter(own)))], ["id", "ids"])
+                ids = lists_of(*encoder.encode(texts.filter(own)))
+                more = {"decoded": decoded_texts(ids, tokens)} if decoded else {}
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(a, z - a).filter(own), "ids": ids, **more})
 
-    return docs.mapInArrow(lean(encoded), f"id {id_type}, ids array<int>")
+    return docs.mapInArrow(lean(encoded), f"id {id_type}, ids array<int>" + ", decoded string" * decoded)
 
 
 def text_pieces(docs: DataFrame, vocabulary: str, sieve: Sieve, id_type: str) -> DataFrame:
@@ -305,13 +328,27 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     Null text: as empty. Empty text: no ids. Null or repeated ids, repeated rows: a result each. Very long texts: one row, held in
     one task. Empty table: no row. Other columns: ignored.
     """
+    whole, again = _parts(docs, vocabulary, id_col, text_col)
+    return whole.unionByName(again)
+
+
+def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id_col, ids, decoded)``: what :func:`decode` gives for :func:`encode`, with one Python worker for each task of
+    the result instead of two: texts that are encoded where they are read are decoded by the same step, and only those
+    put together from pieces go to a step of their own."""
+    whole, again = _parts(docs, vocabulary, id_col, text_col, decoded=True)
+    return whole.unionByName(decode(again, vocabulary))
+
+
+def _parts(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, decoded: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(id_col, ids)`` of the texts encoded where they are read (with ``decoded`` also that) and of those put together."""
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keys = written(shared_keys(slim), "codec-keys")
     sieve = build_sieve(keys, "h1", keys.count())
     id_type = dict(docs.dtypes)[id_col]
     pieces = written(text_pieces(slim, vocabulary, sieve, id_type), "codec-pieces")
-    whole = whole_texts(slim, vocabulary, sieve, id_type).select(F.col("id").alias(id_col), "ids")
+    whole = whole_texts(slim, vocabulary, sieve, id_type, decoded).withColumnRenamed("id", id_col)
     open_rows = pieces.filter("row IS NOT NULL")
     places = open_rows.filter("h1 IS NOT NULL").select("row", "piece", "h1", "h2")
 
@@ -328,26 +365,24 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     in_order = F.sort_array(F.collect_list(F.struct("piece", "ids")))
     again = parts.groupBy("row").agg(F.flatten(F.transform(in_order, lambda p: p["ids"])).alias("ids"))
     ids = own.filter("piece = 0").select("row", F.col("id").alias(id_col))
-    return whole.unionByName(again.join(ids, "row").select(id_col, "ids"))
+    return whole, again.join(ids, "row").select(id_col, "ids")
 
 
-def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", limit: int = 1_000_000) -> DataFrame:
     """``encoded`` with ``decoded``: what the tokenizers library's ``decode(ids, skip_special_tokens=False)`` gives,
-    for a vocabulary file without decoder (tokens joined by a space). Null ids: null."""
+    for a vocabulary file without decoder (tokens joined by a space). Null ids: null. A task holds the tokens of about
+    ``limit`` ids at a time."""
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(vocabulary)
-        if tokenizer.decoder is not None:
-            raise ValueError(f"{vocabulary} has a decoder of its own")
-        tokens = pa.array([tokenizer.id_to_token(k) for k in range(tokenizer.get_vocab_size())], pa.string())
+        tokens = tokens_of(Tokenizer.from_file(vocabulary), vocabulary)
         for batch in batches:
-            ids = batch.column(ids_col)
-            lists = pa.ListArray.from_arrays(ids.offsets, tokens.take(ids.values), mask=ids.is_null() if ids.null_count else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pc.binary_join(lists, " ")], [*batch.schema.names, "decoded"])
+            for a, z in ranges_of(batch.column(ids_col).offsets.to_numpy(), limit):
+                part = batch.slice(a, z - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded_texts(part.column(ids_col), tokens)], [*batch.schema.names, "decoded"])
 
     small_batches(encoded.sparkSession, 1000)
     return encoded.mapInArrow(lean(texts), ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes) + ", decoded string")
 
 
-__all__ = ["encode", "decode", "WordEncoder", "cores", "rolling"]
+__all__ = ["encode", "decode", "encode_decode", "WordEncoder", "cores", "rolling"]

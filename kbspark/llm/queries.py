@@ -82,7 +82,7 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, words = table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json")
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return chunk_codec.decode(chunk_codec.encode(docs, words), words).select(
+    return chunk_codec.encode_decode(docs, words).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

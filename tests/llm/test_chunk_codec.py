@@ -117,3 +117,42 @@ def test_query(spark, library):
     for r in got:
         ids = library(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
+def workers_of_a_task(node):
+    """The most Python steps that one task runs at a time, in a plan below ``node``."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return workers_of_a_task(node.executedPlan())
+    children = [node.children().apply(k) for k in range(node.children().size())]
+    below = max(map(workers_of_a_task, children), default=0)
+    if "Exchange" in node.nodeName():
+        assert below <= 1
+        return 0
+    return below + ("InArrow" in node.nodeName())
+
+
+def test_a_task_of_the_result_has_one_python_worker(spark, words):
+    docs = spark.createDataFrame(list(enumerate(texts(4, 60))), "doc_id long, text string")
+    assert workers_of_a_task(C.decode(C.encode(docs, words), words)._jdf.queryExecution().executedPlan()) == 2
+    got = QUERIES["op12_bpe_codec"](spark, "/root/testdata/sf0.001")
+    assert workers_of_a_task(got._jdf.queryExecution().executedPlan()) == 1
+
+
+def test_one_step_and_two_give_the_same(spark, words, library):
+    rows = [*enumerate(texts(5, 200)), (None, None), (7, ""), (7, ""), (8, "one of its kind")]
+    docs = spark.createDataFrame(rows, "name long, body string").repartition(5)
+    got = C.encode_decode(docs, words, "name", "body")
+    assert got.columns == ["name", "ids", "decoded"]
+    tokenizer = Tokenizer.from_file(words)
+    expected = [(i, library(t), tokenizer.decode(list(library(t)), skip_special_tokens=False)) for i, t in rows]
+    assert Counter((r.name, tuple(r.ids), r.decoded) for r in got.collect()) == Counter(expected)
+    assert C.encode_decode(docs.limit(0), words, "name", "body").collect() == []
+
+
+def test_decoding_in_ranges(spark, words, library):
+    some = [library("the first of them"), None, (), library("a " * 50), (), None, library("end")]
+    encoded = spark.createDataFrame([(k, list(v) if v is not None else None) for k, v in enumerate(some)], "k int, ids array<int>").coalesce(1)
+    tokenizer = Tokenizer.from_file(words)
+    for limit in (1, 3, 1_000_000):
+        got = {r.k: r.decoded for r in C.decode(encoded, words, limit=limit).collect()}
+        assert got == {k: None if v is None else tokenizer.decode(list(v), skip_special_tokens=False) for k, v in enumerate(some)}
