@@ -10,9 +10,13 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kbspark.llm import shared
 from kbspark.llm.shared import small_batches, written
 from kbspark.llm.tokens import encoder, in_pieces
 
+#: Characters whose tokens are counted at once, and distinct words that a task remembers meanwhile.
+PIECE_CHARS, CACHE_WORDS = 1_000_000, 100_000
+
 
 def optimal_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     """At most ``buckets`` bucket lengths (ascending, the last the greatest length) with the least padding in
@@ -70,15 +74,22 @@ def _hidden(a: tuple, b: tuple, c: tuple) -> bool:
 
 
 def token_counts(vocabulary: str):
-    """A column function: ids that the vocabulary gives a whole text (null: 0)."""
+    """A column function: ids that the vocabulary gives a whole text (null: 0).
+
+    Spark deals tasks to the idle Python workers of an executor in turn, so a task leaves no encoder behind: an executor
+    holds one for each running task, however many workers earlier stages have started.
+    """
 
     def count(text: Column) -> Column:
         @F.pandas_udf("long")
         def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            shared.WORKER_CACHES.clear()
             for b in batches:
                 texts = b.fillna("").tolist()
-                found = [n for i, j in in_pieces(texts) for n in encoder(vocabulary).count(texts[i:j])]
+                found = [n for i, j in in_pieces(texts, PIECE_CHARS) for n in encoder(vocabulary, CACHE_WORDS).count(texts[i:j])]
                 yield pd.Series(found, dtype=np.int64)
+            shared.WORKER_CACHES.clear()
+            shared.give_back()
 
         return of(text)
 

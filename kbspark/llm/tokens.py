@@ -24,11 +24,11 @@ _PRETOKENS = re.compile(rf"'(?:[sdmt]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{
 CACHE_WORDS = 400_000
 
 
-def encoder(path: str) -> "Encoder":
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> "Encoder":
     """The encoder of this Python worker for a vocabulary file; later tasks of the worker find its words."""
-    if path not in WORKER_CACHES:
-        WORKER_CACHES[path] = Encoder(path)
-    return WORKER_CACHES[path]
+    if (path, cache_words) not in WORKER_CACHES:
+        WORKER_CACHES[path, cache_words] = Encoder(path, cache_words)
+    return WORKER_CACHES[path, cache_words]
 
 
 class Table:
@@ -125,8 +125,9 @@ class Encoder:
         order[sorted(odd)] = len(texts) + np.arange(len(odd))
         return pa.concat_arrays([lists, own]).take(pa.array(order))
 
-    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, bounds of each text in them)."""
+    def _placed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row of each word of all texts, bounds of each text in them, ids of the first words' rows, which follow those of
+        the table, and how many ids each row has)."""
         lists = self._words(texts)
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
@@ -139,7 +140,11 @@ class Encoder:
         rows[inner] = self.words.rows_of(words.dictionary, self._encoded)[words.indices.to_numpy()]
         rows[bounds[:-1]] = len(self.words.sizes) + heads.indices.to_numpy()
         first, counts = self._raw(heads.dictionary.to_pylist())
-        sizes = np.concatenate([self.words.sizes, counts])
+        return rows, bounds, first, np.concatenate([self.words.sizes, counts])
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, bounds of each text in them)."""
+        rows, bounds, first, sizes = self._placed(texts)
         ids = gathered(rows, np.concatenate([self.words.ids, first]), sizes)
         return ids, np.concatenate([[0], np.cumsum(sizes[rows])])[bounds]
 
@@ -150,7 +155,9 @@ class Encoder:
         return [data[4 * a : 4 * z] for a, z in zip(bounds.tolist(), bounds[1:].tolist())]
 
     def count(self, texts: list[str]) -> list[int]:
-        return np.diff(self.encode_flat(texts)[1]).tolist()
+        """The number of ids of each text; they are not put together."""
+        rows, bounds, _, sizes = self._placed(texts)
+        return np.diff(np.concatenate([[0], np.cumsum(sizes[rows])])[bounds]).tolist()
 
 
 def in_pieces(texts, limit_chars: int = 6_000_000):

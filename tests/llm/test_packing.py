@@ -1,12 +1,16 @@
+import random
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from kbspark.llm import packing
 from kbspark.llm.queries import vocabulary
+from kbspark.llm.tokens import Encoder, in_pieces
 
 
 def cost(bounds, histogram):
@@ -53,3 +57,32 @@ def test_odd_cases(spark, odd):
     assert packing.pack(odd.limit(0), F.lit(1)).count() == 0
     with pytest.raises(ValueError):
         packing.pack(odd, F.lit(1), max_len=0)
+
+
+def held_in_workers(spark):
+    """What is left in the Python workers that tasks find: the most of any."""
+
+    def left(batches):
+        from kbspark.llm import shared
+
+        for b in batches:
+            yield pa.record_batch([pa.array([len(shared.WORKER_CACHES)] * b.num_rows, pa.int64())], ["n"])
+
+    return max(r.n for r in spark.range(0, 32, 1, 16).mapInArrow(left, "n long").collect())
+
+
+def test_counting_leaves_no_encoder_in_a_worker(spark):
+    texts = ["the first text of all", "", None, "a naïve 漢字 text  with   odd\u00a0spaces <|endoftext|> ", "x" * 3000] * 8
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.n for r in docs.select("doc_id", packing.token_counts(vocabulary())(F.col("text")).alias("n")).collect()}
+    whole = Tokenizer.from_file(vocabulary())
+    assert got == {i: len(whole.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert held_in_workers(spark) == 0
+
+
+def test_counts_with_a_full_table():
+    some = random.Random(3)
+    texts = [" ".join(f"{some.choice(['w', 'é', '漢', 'A1', '--'])}{some.randrange(400)}" for _ in range(some.randrange(60))) + some.choice(["", " ", "\n"]) for _ in range(300)]
+    small, whole = Encoder(vocabulary(), cache_words=50), Tokenizer.from_file(vocabulary())
+    want = [len(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [n for i, j in in_pieces(texts, 2000) for n in small.count(texts[i:j])] == want
