@@ -20,7 +20,7 @@ def split_pages(pages: DataFrame, settings: CrawlSettings = CrawlSettings()) ->
 
 def dedup_paragraphs(paras: DataFrame) -> DataFrame:
     """Drop paragraphs of up to 200 characters that the domain's earlier pages had: a heading may stand five
-    times, anything else once. Longer ones pass untouched and are not shuffled.
+    times, anything else once. Longer ones pass untouched and are not shuffled. A page without ``page_seq`` comes last.
 
     The rank filter is a plain ``rn <= 5``, which Spark applies in part before the exchange, so a footer on a
     million pages sends five rows from each map task.
@@ -28,7 +28,7 @@ def dedup_paragraphs(paras: DataFrame) -> DataFrame:
     bare = strip_block_marker(F.col("para"))
     marked = paras.withColumns({"bare_len": F.length(bare), "heading": is_heading(bare), "para_hash": F.sha2(bare, 256)})
     short = marked.filter(F.col("bare_len") <= BOILERPLATE_MAX)
-    order = Window.partitionBy("domain", "para_hash").orderBy("page_seq", "idx")
+    order = Window.partitionBy("domain", "para_hash").orderBy(F.col("page_seq").asc_nulls_last(), "idx")
     first = short.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= MAX_HEADINGS)
     first = first.filter(F.col("heading") | (F.col("rn") == 1)).drop("rn")
     return first.unionByName(marked.filter(F.col("bare_len") > BOILERPLATE_MAX)).drop("bare_len", "heading", "para_hash")
