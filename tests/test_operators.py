@@ -53,7 +53,7 @@ def test_keep_para_has_ascii_word_edges(spark):
     assert values(spark, t.has_price(F.col("x")), ["$ 5", "$\x0b5"]) == [True, False]
 
 
-@pytest.mark.parametrize("q", [kb_queries.p_kept_paragraphs, kb_queries.p_dedup_paragraphs])
+@pytest.mark.parametrize("q", [kb_queries.p_kept_paragraphs, kb_queries.p_dedup_paragraphs, streaming_queries.r_incremental_dedup])
 def test_paragraphs_of_odd_texts_equal_sql(spark, tmp_path, q):
     odd = [*range(1, 10), *range(11, 0x180), 0x17F, 0x2003, 0x2028, 0x212A, 0x3000, 0xFEFF, 0x1F600]
     each = "{c}unit 5\nunit {c}\nG{c}ste da\n{c}te 5\nx{c}te 5\n5{c}pm\n5 {c}m\n${c}5\na@{c}.d\n555{c}555-5555\n[SB]abc{c}\n[SB]{c}abc\n{c}\naaaaaaaaaaaaaaaaaaa{c}\n[H1]{c}x"
