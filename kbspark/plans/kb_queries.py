@@ -18,8 +18,8 @@ from kbspark.plans import build, refresh_job, serve, views
 from kbspark.plans.views import ASKED, CHUNKS, CRAWL, LIMITS, RE2_WS, STORED
 from kbspark.schemas import CHUNKS as CHUNK_SCHEMA
 from kbspark.sources.archive import ChunkArchive
-from kbspark.sources.pages import crawled_pages, read_uploads, site_domain
-from kbspark.sources.shared import saved, shared_folder
+from kbspark.sources.pages import crawled_pages, marked_uploads, site_domain, write_uploads
+from kbspark.sources.shared import saved, setting, shared_folder
 from kbspark.sources.tables import spread, table
 from kbspark.sources.writes import replace_chunks, upsert_pages
 
@@ -564,10 +564,10 @@ SELECT 'txt' AS kind, CASE WHEN text = '' THEN 'empty' END AS reason, CASE WHEN
 def io_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document written as an upload of its own, and the uploads read: accepted texts and rejects."""
     folder = shared_folder(spark, "uploads")
-    texts = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("text")
-    texts.write.option("maxRecordsPerFile", 1).text(folder)
-    accepted, rejected = read_uploads(spark, folder)
-    both = accepted.select("kind", F.lit(None).cast("string").alias("reason"), F.sha2("text", 256).alias("content_hash")).unionByName(
-        rejected.filter("kind = 'txt'").select("kind", "reason", F.lit(None).cast("string").alias("content_hash"))
-    )
+    write_uploads(spread(table(spark, sf_dir, "documents").select("text")), folder)
+    marked = marked_uploads(spark, folder).filter("reason IS NULL OR kind = 'txt'")
+    hashed = marked.select("kind", "reason", F.when(F.col("reason").isNull(), F.sha2("text", 256)).alias("content_hash"))
+    # A file counts as 4 MB by default, which makes a task of every 32 small ones.
+    with setting(spark, "spark.sql.files.openCostInBytes", "128k"):
+        both = saved(hashed, "uploads-read")
     return both.groupBy("kind", "reason", "content_hash").agg(F.count("*").alias("files"))

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,6 +44,38 @@ def _path(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the store that Spark finds it in."""
+    system, where = _path(spark, path)
+    return system.makeQualified(where).toString()
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    system, where = _path(spark, path)
+    system.mkdirs(where)
+
+
+def arrow_files(uri: str) -> tuple[fs.FileSystem, str] | None:
+    """(Arrow's file system, path in it) of a URI with a scheme; none for a store that Arrow doesn't know or reach."""
+    if uri.startswith("file:/"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    try:
+        return fs.FileSystem.from_uri(uri)
+    except (pa.ArrowException, OSError):
+        return None
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """The session's setting ``name`` is ``value`` meanwhile."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     system, where = _path(spark, path)
     return system.exists(where)

@@ -18,7 +18,8 @@ from kbspark.operators import retrieval as rt
 from kbspark.operators import scans
 from kbspark.operators import snapshots as sn
 from kbspark.plans import kb_queries
-from kbspark.sources.pages import crawled_pages, read_uploads, site_domain
+from kbspark.sources.pages import crawled_pages, read_uploads, site_domain, write_uploads
+from kbspark.sources.shared import saved
 from kbspark.sources.writes import replace_chunks, upsert_pages
 from kbspark.streaming import queries as streaming_queries
 
@@ -205,6 +206,44 @@ def test_uploads_and_pages(spark, tmp_path):
     assert [r.page_seq for r in crawled_pages(raw).collect()] == [1]
 
 
+def test_written_uploads_are_read_back(spark, tmp_path):
+    texts = [f"text {k}" for k in range(2500)] + ["", " \n ", None, "two\nlines\r\n", "ünï 💡\0", "x" * 300_000]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").coalesce(1)
+    write_uploads(rows, str(tmp_path / "up"))
+    good, bad = read_uploads(spark, str(tmp_path / "up"))
+    assert sorted((r.kind, r.text) for r in good.collect()) == sorted(("txt", x.strip()) for x in texts if x and x.strip())
+    assert [(r.kind, r.reason) for r in bad.collect()] == [("txt", "empty")] * 2
+    folders = sorted(f for f in (tmp_path / "up").iterdir())
+    assert [len(list(f.iterdir())) for f in folders] == [1000, 1000, 505]  # no checksums, no folder of all files
+    write_uploads(rows.limit(0), str(tmp_path / "none"))
+    assert [df.count() for df in read_uploads(spark, str(tmp_path / "none"))] == [0, 0]
+
+
+def test_uploads_go_to_stores_that_only_spark_knows(spark, tmp_path):
+    (tmp_path / "real").mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.uploads.link./in", f"file://{tmp_path}/real")
+    write_uploads(spark.createDataFrame([("a",), ("b\nc",), (None,), ("",)], "text string"), "viewfs://uploads/in/up")
+    good, bad = read_uploads(spark, "viewfs://uploads/in/up")
+    assert sorted(r.text for r in good.collect()) == ["a", "b\nc"] and [r.reason for r in bad.collect()] == ["empty"]
+
+
+def test_uploads_query_opens_each_file_once(spark, tmp_path, monkeypatch):
+    texts = [("same",), ("same ",), ("other",), ("",), (None,)]
+    spark.createDataFrame(texts, "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+
+    def counted(df, name):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString().count("binaryFile"))
+        return saved(df, name)
+
+    monkeypatch.setattr(kb_queries, "saved", counted)
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    df = kb_queries.io_uploads(spark, str(tmp_path))
+    assert sorted((r.reason or "", r.files) for r in df.collect()) == [("", 1), ("", 2), ("empty", 1)]
+    assert seen == [1] and "binaryFile" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
+
+
 def test_topk_against_numpy(spark):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(300, 8))
