@@ -197,8 +197,8 @@ def _members(users: DataFrame) -> DataFrame:
     return each.withColumn("rn", F.row_number().over(first)).filter("rn = 1").select("email", F.col("m.entity_domain").alias("domain"), F.col("m.roles").alias("roles"), F.col("m.permissions").alias("permissions"))
 
 
-#: Superadmins of one array, and how many of them, an e-mail address each, are broadcast.
-ADMIN_BLOCK, BROADCAST_ADMINS = 1000, 100_000
+#: Superadmins of one array, how many of them, an e-mail address each, are broadcast, and the pairs that one task makes.
+ADMIN_BLOCK, BROADCAST_ADMINS, TASK_PAIRS = 1000, 100_000, 20_000_000
 
 
 def tenants_visible(users: DataFrame, tenants: DataFrame) -> DataFrame:
@@ -206,20 +206,27 @@ def tenants_visible(users: DataFrame, tenants: DataFrame) -> DataFrame:
     newest first.
 
     What superadmins see is every tenant for each of them, a row for each pair by definition. Tenants are placed once
-    for all superadmins, whose addresses meet them as arrays of about ``ADMIN_BLOCK``, by the number of the array.
+    for all superadmins, whose addresses meet them as arrays of about ``ADMIN_BLOCK``, by the number of the array. They are dealt
+    out so that a task makes about ``TASK_PAIRS`` pairs, however small their own table is, and the arrays are taken apart last, in
+    the same step as whatever follows.
     """
     admins = users.filter("superadmin").select("email")
     n = admins.count()
+    tasks = -(-n * tenants.count() // TASK_PAIRS)
     blocks = max(1, -(-n // ADMIN_BLOCK))
     arrays = admins.groupBy(F.pmod(F.xxhash64("email"), F.lit(blocks)).alias("block")).agg(F.collect_list("email").alias("emails"))
     if n <= BROADCAST_ADMINS:
         arrays = F.broadcast(arrays)
     listed = placed(tenants.select("domain", "created_at"), [], F.date_trunc("day", "created_at"), [F.col("created_at").desc(), F.col("domain")], descending=True)
+    listed = listed.select("domain", "position")
+    if tasks > users.sparkSession.sparkContext.defaultParallelism:
+        listed = listed.repartition(tasks)
     dealt = listed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    all_of = dealt.join(arrays, "block").select(F.explode("emails").alias("email"), "domain", "position")
+    all_of = dealt.join(arrays, "block").select("emails", "domain", "position")
     own = _members(users.filter("NOT superadmin")).select("email", "domain").join(tenants.select("domain", "created_at"), "domain")
     place = F.row_number().over(Window.partitionBy("email").orderBy(F.col("created_at").desc(), "domain"))
-    return all_of.unionByName(own.select("email", "domain", place.cast("long").alias("position")))
+    both = all_of.unionByName(own.select(F.array("email").alias("emails"), "domain", place.cast("long").alias("position")))
+    return both.select(F.explode("emails").alias("email"), "domain", "position")
 
 
 def resolve_permissions(users: DataFrame) -> DataFrame:

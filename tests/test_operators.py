@@ -346,6 +346,23 @@ def test_permissions(spark):
     assert [len(r.memberships) for r in left["users"].orderBy("email").collect()] == [0, 0] and counts.first().deleted == 1
 
 
+@pytest.mark.parametrize("broadcast", [100, 0])
+def test_pairs_of_superadmins_are_dealt_out(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(an, "ADMIN_BLOCK", 7)
+    monkeypatch.setattr(an, "BROADCAST_ADMINS", broadcast)
+    monkeypatch.setattr(an, "TASK_PAIRS", 100, raising=False)
+    rows = [(f"s{k}@x", True, [("t1", ["owner"], [])]) for k in range(30)] + [("a@x", False, [("t3", ["owner"], []), ("t5", ["agent"], []), ("t3", ["agent"], []), ("gone", [], [])]), ("n@x", False, [])]
+    users = spark.createDataFrame(rows, "email string, superadmin boolean, memberships array<struct<entity_domain: string, roles: array<string>, permissions: array<string>>>")
+    tenants = spark.createDataFrame([(f"t{k}", ts("2024-01-01") + dt.timedelta(minutes=k // 2)) for k in range(40)], "domain string, created_at timestamp")  # all of one day
+    seen = an.tenants_visible(users, tenants)
+    place = {d: n for n, d in enumerate(sorted((f"t{k}" for k in range(40)), key=lambda d: (-(int(d[1:]) // 2), d)), 1)}
+    want = [(f"s{k}@x", d, n) for k in range(30) for d, n in place.items()] + [("a@x", "t5", 1), ("a@x", "t3", 2)]
+    assert sorted((r.email, r.domain, r.position) for r in seen.collect()) == sorted(want)
+    if broadcast:
+        counts = [r["count"] for r in seen.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(counts) >= 8 and max(counts) <= 300
+
+
 def test_sensitive(spark):
     texts = ["password: hunter22", "card 4111 1111 1111 1111 ok", "card 4111 1111 1111 1112", "123-45-6789", "clean", None]
     assert values(spark, scans.sensitive(F.coalesce("x", F.lit(""))), texts) == [["password"], ["card"], [], ["ssn"], [], []]
